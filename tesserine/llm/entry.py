@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, secrets
+from . import bpe, media, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -13,6 +14,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the vocabulary lies; a parameter of the operator.
+RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(_table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(_table(spark, sf_dir, "documents"))
 
@@ -22,6 +31,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
     "op8_media_columns": op8_media_columns,
 }
