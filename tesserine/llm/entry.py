@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, secrets
+from . import bpe, media, neardup, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -14,6 +14,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+ORACLES["op1_minhash_neardup"] = r"""
+WITH RECURSIVE
+  words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+  sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s
+    FROM words),
+  shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+  links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+  reach(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id WHERE r.root < l.b)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.root) AS component_id, s.doc_id = min(r.root) AS kept
+FROM sets s JOIN reach r ON r.doc_id = s.doc_id
+GROUP BY s.doc_id, s.s
+"""
+
 #: Where the vocabulary lies; a parameter of the operator.
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -31,6 +59,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_neardup": op1_minhash_neardup,
     "op2_byte_bpe": op2_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
     "op8_media_columns": op8_media_columns,
