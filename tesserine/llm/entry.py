@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, neardup, secrets
+from . import bpe, decontam, media, neardup, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -50,6 +50,33 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
 
 
+def op4_spaced_seed_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: Without seeds: all equal token pairs by alignment, then 11 of them within 13 positions.
+ORACLES["op4_spaced_seed_decontam"] = r"""
+WITH
+  d AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS pos
+        FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents)),
+  i0 AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+  i AS (SELECT item_id, len(w) AS size, unnest(w) AS tok, generate_subscripts(w, 1) AS ipos FROM i0 WHERE len(w) >= 5),
+  eq AS (SELECT doc_id, item_id, size, pos - ipos AS diag, list(ipos ORDER BY ipos) AS at
+         FROM d JOIN i USING (tok) GROUP BY doc_id, item_id, size, pos - ipos
+         HAVING count(*) >= least(11, size)),
+  best AS (
+    SELECT doc_id, item_id,
+      CASE WHEN size < 11 THEN size ELSE list_max([
+        CASE WHEN at[k + 12] - at[k] <= 12 THEN 13 WHEN at[k + 11] - at[k] <= 12 THEN 12 WHEN at[k + 10] - at[k] <= 12 THEN 11 ELSE 0 END
+        FOR k IN range(1, len(at) + 1)]) END AS best
+    FROM eq),
+  per AS (SELECT doc_id, item_id, max(best) AS best FROM best WHERE best > 0 GROUP BY ALL),
+  flat AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(best) AS best FROM per GROUP BY doc_id)
+SELECT documents.doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0) AS n_items, coalesce(items, '') AS items, coalesce(best, 0)::BIGINT AS best
+FROM documents LEFT JOIN flat USING (doc_id)
+"""
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +88,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_spaced_seed_decontam": op4_spaced_seed_decontam,
     "op7_secret_scan": op7_secret_scan,
     "op8_media_columns": op8_media_columns,
 }
