@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, media, neardup, secrets
+from . import bpe, decontam, lm, media, neardup, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -61,14 +61,14 @@ WITH
         FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents)),
   i0 AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
   i AS (SELECT item_id, len(w) AS size, unnest(w) AS tok, generate_subscripts(w, 1) AS ipos FROM i0 WHERE len(w) >= 5),
-  eq AS (SELECT doc_id, item_id, size, pos - ipos AS diag, list(ipos ORDER BY ipos) AS at
+  eq AS (SELECT doc_id, item_id, size, pos - ipos AS diag, list(ipos ORDER BY ipos) AS ix
          FROM d JOIN i USING (tok) GROUP BY doc_id, item_id, size, pos - ipos
          HAVING count(*) >= least(11, size)),
   best AS (
     SELECT doc_id, item_id,
       CASE WHEN size < 11 THEN size ELSE list_max([
-        CASE WHEN at[k + 12] - at[k] <= 12 THEN 13 WHEN at[k + 11] - at[k] <= 12 THEN 12 WHEN at[k + 10] - at[k] <= 12 THEN 11 ELSE 0 END
-        FOR k IN range(1, len(at) + 1)]) END AS best
+        CASE WHEN ix[k + 12] - ix[k] <= 12 THEN 13 WHEN ix[k + 11] - ix[k] <= 12 THEN 12 WHEN ix[k + 10] - ix[k] <= 12 THEN 11 ELSE 0 END
+        FOR k IN range(1, len(ix) + 1)]) END AS best
     FROM eq),
   per AS (SELECT doc_id, item_id, max(best) AS best FROM best WHERE best > 0 GROUP BY ALL),
   flat AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(best) AS best FROM per GROUP BY doc_id)
@@ -77,6 +77,10 @@ FROM documents LEFT JOIN flat USING (doc_id)
 """
 
 
+def op5_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.ctw_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(_table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_spaced_seed_decontam": op4_spaced_seed_decontam,
+    "op5_context_tree_lm": op5_context_tree_lm,
     "op7_secret_scan": op7_secret_scan,
     "op8_media_columns": op8_media_columns,
 }
