@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lm, media, neardup, secrets
+from . import bpe, decontam, langid, lm, media, neardup, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -50,6 +50,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_predictions(_table(spark, sf_dir, "documents"))
+
+
 def op4_spaced_seed_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -92,6 +96,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_language_id": op3_language_id,
     "op4_spaced_seed_decontam": op4_spaced_seed_decontam,
     "op5_context_tree_lm": op5_context_tree_lm,
     "op7_secret_scan": op7_secret_scan,
