@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, lm, media, neardup, secrets
+from . import bpe, decontam, langid, lm, media, neardup, pii, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -85,6 +85,10 @@ def op5_context_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.ctw_scores(_table(spark, sf_dir, "documents"))
 
 
+def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(_table(spark, sf_dir, "documents"))
 
@@ -99,6 +103,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_spaced_seed_decontam": op4_spaced_seed_decontam,
     "op5_context_tree_lm": op5_context_tree_lm,
+    "op6_boosted_pii": op6_boosted_pii,
     "op7_secret_scan": op7_secret_scan,
     "op8_media_columns": op8_media_columns,
 }
