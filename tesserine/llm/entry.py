@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, lm, media, neardup, pii, secrets
+from . import bpe, decontam, html, langid, lm, media, neardup, pii, quality, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -97,6 +97,14 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -106,4 +114,6 @@ QUERIES = {
     "op6_boosted_pii": op6_boosted_pii,
     "op7_secret_scan": op7_secret_scan,
     "op8_media_columns": op8_media_columns,
+    "op9_html_layout": op9_html_layout,
+    "op10_weak_quality": op10_weak_quality,
 }
