@@ -1,10 +1,69 @@
-"""Corpus preparation in stages, each written and reread before the next."""
+"""Corpus preparation in stages over ``documents``, each written as Parquet and reread by the next.
+
+Order: language identification drops what it cannot tell, MinHash near-dedup keeps one document of
+each group, decontamination drops documents with benchmark passages, the secret scan masks
+secrets, and the tokenizer turns the rest into token digests. Every stage works on all rows that
+its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserine.llm import bpe, decontam, langid, neardup, secrets
+
+#: Least score with which a recognised language is kept.
+LANGUAGE_SCORE = 0.4
+RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_known(docs, langid.fit(docs), LANGUAGE_SCORE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps each group's document with the smallest id; rows that share that id stay with it."""
+    dropped = neardup.near_duplicates(docs, words=5, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(neardup.bounded(neardup.write_shared(dropped)), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = decontam.passage_hits(docs, benchmark).select("doc").distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc"]), "left_anti").select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(docs, RANK_FILE, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("secret_scan", mask_secrets),
+    ("byte_bpe", tokenize),
+]
+
+#: The language model and the tokenizer are not SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, with what each kept written to the session's shared folder."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    base = f"{home}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{i}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
