@@ -1 +1,11 @@
 """Declarative semantic indexing and weighted vector search on Spark DataFrames."""
+
+from tesserine.functions.text import CachedEmbedder, HashedEmbedder, chunk_text, chunked
+from tesserine.operators.index import Effect, Index
+from tesserine.operators.spaces import CategoricalSimilaritySpace, CustomSpace, ImageSpace, InputAggregation, LinearScale, LogarithmicScale, Mode, NumberSpace, PeriodTime, RecencySpace, TextSimilaritySpace
+from tesserine.plans.app import App, InMemoryExecutor, InMemorySource, QueryResult, Source
+from tesserine.plans.query import Param, Query, batch_top_k
+from tesserine.schema import Blob, Boolean, CreatedAtField, EventSchema, Float, FloatList, IdField, Integer, Schema, SchemaError, SchemaReference, String, StringList, Timestamp
+from tesserine.sources.readers import DataFormat, DataLoaderConfig
+
+__all__ = [n for n in dir() if n[0].isupper()] + ["batch_top_k", "chunk_text", "chunked"]
