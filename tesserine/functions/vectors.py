@@ -12,11 +12,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Terms up to which a sum is written out; longer ones would outgrow what the JIT compiles.
-UNROLL = 96
+#: Terms up to which a sum is written out; longer ones outgrow what the JIT compiles.
+UNROLL = 24
 
 
 def total(terms: Sequence[Column]) -> Column:
@@ -32,7 +33,7 @@ def dot(v: Column, q: Sequence[float], strategy: str = "auto") -> Column:
     """Inner product of an array column with fixed numbers; null elements and a null array count as zeros."""
     q = [float(x) for x in q]
     if strategy == "auto":
-        strategy = "unrolled" if sum(map(bool, q)) <= UNROLL else "folded"
+        strategy = "unrolled" if sum(map(bool, q)) <= UNROLL else "arrow"
     if strategy == "unrolled":
         return total([F.coalesce(F.get(v, F.lit(i)).cast("double"), F.lit(0.0)) * F.lit(x) for i, x in enumerate(q) if x])
     if strategy == "folded":
@@ -41,17 +42,17 @@ def dot(v: Column, q: Sequence[float], strategy: str = "auto") -> Column:
     if strategy == "arrow":
         weights = np.array(q)
 
-        @F.pandas_udf("double")
-        def product(vectors):
-            full = np.zeros((len(vectors), len(weights)))
-            for i, x in enumerate(vectors):
-                if x is not None:
-                    full[i, : len(x)] = np.nan_to_num(np.asarray(x, float))[: len(weights)]
-            import pandas as pd
-
-            return pd.Series(full @ weights)
-
-        return product(v)
+        @F.arrow_udf("double")
+        def product(vectors: pa.Array) -> pa.Array:
+            flat, at = vectors.flatten().fill_null(0.0).to_numpy(zero_copy_only=False), np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+            out = np.zeros(len(vectors))
+            if len(at) and len(flat) == len(at) * len(weights):
+                out[at] = flat.reshape(-1, len(weights)) @ weights
+            elif len(at):
+                raise ValueError(f"vectors of length {len(weights)} are needed")
+            return pa.array(out)
+
+        return product(v.cast("array<double>"))
     raise ValueError(f"unknown strategy {strategy}")
 
 

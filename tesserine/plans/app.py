@@ -17,10 +17,14 @@ from tesserine.sources.store import upsert
 
 
 class Source:
-    """Rows of one schema; ``mapping`` names the columns or dot paths that its fields come from."""
+    """Rows of one schema; ``mapping`` names the columns or dot paths that its fields come from.
 
-    def __init__(self, schema: Schema, mapping: dict | None = None, loader: DataLoaderConfig | None = None):
-        self.schema, self.mapping, self.loader, self.app = schema, mapping, loader, None
+    Rows are merged by id. ``unique`` says that a first batch has one row per id already, which
+    spares the merge and leaves the scan open to pushed filters.
+    """
+
+    def __init__(self, schema: Schema, mapping: dict | None = None, loader: DataLoaderConfig | None = None, unique: bool = False):
+        self.schema, self.mapping, self.loader, self.unique, self.app = schema, mapping, loader, unique, None
 
     def put(self, rows) -> None:
         """A DataFrame, a pandas frame, a dictionary or a list of them; merged by id."""
@@ -75,7 +79,8 @@ class App:
             df = from_rows(self.spark, schema, rows, source.mapping)
         else:
             df = schema.read(rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows), source.mapping)
-        self.tables[schema] = upsert(self.tables.get(schema), df, "id")
+        old = self.tables.get(schema)
+        self.tables[schema] = df if source.unique and old is None else upsert(old, df, "id")
 
     def clock(self) -> int:
         import time
