@@ -80,8 +80,8 @@ def scaled(v: Column, by: Column | float) -> Column:
 def unit(v: Column, length: int | None = None) -> Column:
     """Divided by its Euclidean length; a zero vector stays as it is."""
     n = norm_l2(v, length)
-    # the length is bound once as the only element of an outer array, not worked out again for every element
-    return F.get(F.transform(F.array(F.when(n == 0, 1.0).otherwise(n)), lambda m: F.transform(v, lambda x: x.cast("double") / m)), F.lit(0))
+    # the length is worked out once and repeated, not once for every element
+    return F.zip_with(v, F.array_repeat(F.when(n == 0, 1.0).otherwise(n), F.size(v)), lambda x, m: x.cast("double") / m)
 
 
 def part(vector: Column, offset: int, length: int) -> Column:
