@@ -7,11 +7,13 @@ cut into bands; representatives that share a band are candidates.
 Candidates are never expanded to all pairs of a band. First each member meets the smallest
 representative of its band; signatures are compared batch by batch and a pair is dropped as
 soon as the posterior probability of a similarity at or above the threshold falls under the
-chosen miss probability; the rest is verified on full shingle sets. Components of these links
-settle nearly everything. What is left are bands that still hold several components; they are
-compared in blocks, where only pairs across components that survive the same sequential test
-leave the task, and are verified on full sets as well. Every pair that shares a band is thus
-linked, tested, or already in one component.
+chosen miss probability; the rest is verified on full shingle sets. The components of these links
+settle nearly everything. What is left are bands that still hold several components. Their
+members are compared in blocks of bounded size with the same sequential test, each pair in the
+first band that it shares; texts that have a surviving pair across components meet once more in
+their block, where full sets decide, and only links that join components leave the task. Every
+pair that shares a band is thus linked, tested, or already in one component, and no table holds
+the pairs of a group.
 
 Shingles are compared as 64-bit hashes. A pair at the threshold shares none of the 32 bands of 4
 values with probability 5e-8.
@@ -39,10 +41,10 @@ from .textops import map_texts, write_shared
 
 BANDS, ROWS = 32, 4
 BATCH = 32  # signature values compared at a time
-MISS = 1e-9  # posterior probability under which a pair is dropped
+MISS = 1e-6  # posterior probability under which a pair is dropped
 BLOCK = 512  # members of a band that are compared with each other at a time
 SMALL_ROWS = 1_000_000  # ids (8 bytes each) up to which a side of a join is broadcast
-WORDS_KEPT = 500_000  # word hashes that a task keeps between texts
+WORDS_KEPT = 200_000  # word hashes that a task keeps between texts
 
 _rng = np.random.default_rng(20240229)
 MULT = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,8 +83,8 @@ class Shingler:
 def signature(shingles: np.ndarray) -> bytes:
     """32-bit minima of the shingles under each hash function, as little-endian bytes."""
     low = np.full(len(MULT), 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        x = shingles[at : at + 2048, None]
+    for at in range(0, len(shingles), 512):
+        x = shingles[at : at + 512, None]
         low = np.minimum(low, ((x * MULT + ADD) >> np.uint64(32)).min(axis=0))
     return low.astype("<u4").tobytes()
 
@@ -141,7 +143,7 @@ def bounded(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 
 def _bayes_pairs(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
     """The pairs (a, b) whose signatures pass the sequential test."""
-    sig = classes.select("rep", "sig")
+    sig = classes
     both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
     schema = T.StructType([both.schema["a"], both.schema["b"]])
 
@@ -156,7 +158,7 @@ def _bayes_pairs(pairs: DataFrame, classes: DataFrame, least: list[int]) -> Data
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on full shingle sets."""
-    ids = write_shared(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct())
+    ids = _packed(write_shared(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()))
     need = texts.select(id_col, F.col(text_col).cast("string").alias("_t")).join(bounded(ids), id_col, "left_semi")
     # a class has one set, but rows may share an id: the texts of an id are tried one by one
     both = pairs.join(need.toDF("a", "_ta"), "a").join(need.toDF("b", "_tb"), "b").select("a", "b", "_ta", "_tb")
@@ -180,67 +182,142 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, id_c
     return both.mapInArrow(run, schema)
 
 
-def _block_pairs(members: DataFrame, least: list[int]) -> DataFrame:
-    """Pairs across components inside (key, i, j) blocks that pass the sequential test.
+def _blocks(batches):
+    """Tables of whole (key, i, j) blocks from rows sorted by them, with the offsets of the blocks."""
 
-    ``members``: key, i, j, side, rep, comp, sig, sorted by block inside each partition. A block
-    has at most about 2 * BLOCK members, so a task holds a bounded number of rows at a time.
+    def cuts(table):
+        block = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
+        return np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
+
+    held = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2 * BLOCK):
+            part = pa.Table.from_batches([batch.slice(at, 2 * BLOCK)])
+            held = part if held is None else pa.concat_tables([held, part])
+            at_ = cuts(held)
+            if len(at_) and held.num_rows >= 2 * BLOCK:
+                yield held.slice(0, at_[-1]).combine_chunks(), [0, *at_.tolist()]
+                held = held.slice(at_[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), [0, *cuts(held).tolist(), held.num_rows]
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    col = table[name].combine_chunks()
+    return col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+
+
+def _across(comp: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which pairs of a block's members are compared: of different components, and from its two sides if it has two."""
+    two = side.min() != side.max()
+    go = (side[:, None] < side[None, :]) if two else np.triu(np.ones((len(side), len(side)), bool), 1)
+    return go & (comp[:, None] != comp[None, :])
+
+
+def _suspects(dealt: DataFrame, least: list[int]) -> DataFrame:
+    """Members of each block that have a pair across components which passes the sequential test.
+
+    A pair counts in the first band that it shares, so later bands need not see its texts.
     """
-    schema = T.StructType([T.StructField("a", members.schema["rep"].dataType), T.StructField("b", members.schema["rep"].dataType)])
-
-    def compare(table: pa.Table, cuts: np.ndarray):
-        sig, comp, rep = _matrix(table["sig"].combine_chunks()), table["comp"].combine_chunks(), table["rep"].combine_chunks()
-        comp = comp.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        side = table["side"].to_numpy()
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            x, y = np.nonzero((comp[lo:hi, None] != comp[None, lo:hi]) & (side[lo:hi, None] <= side[None, lo:hi]))
-            go = (side[lo + x] < side[lo + y]) | (x < y) & (side[lo:hi].min() == side[lo:hi].max())
-            x, y = x[go] + lo, y[go] + lo
-            for at in range(0, len(x), 50_000):
-                p, q = x[at : at + 50_000], y[at : at + 50_000]
-                keep = sequential(sig[p], sig[q], least)
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(p[keep])), rep.take(pa.array(q[keep]))], names=["a", "b"])
+    schema = T.StructType([dealt.schema[c] for c in ("key", "i", "j", "side", "rep", "comp")])
 
     def run(batches):
-        held, names = None, None
-        for batch in batches:
-            names = names or batch.schema
-            part = pa.Table.from_batches([batch])
-            held = part if held is None else pa.concat_tables([held, part])
-            block = np.stack([held[c].to_numpy() for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
-            if len(cuts) and held.num_rows >= 4 * BLOCK:
-                yield from compare(held, np.concatenate([[0], cuts]))
-                held = held.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            block = np.stack([held[c].to_numpy() for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
-            yield from compare(held, np.concatenate([[0], cuts, [held.num_rows]]))
+        for table, at in _blocks(batches):
+            sig, side, band = _matrix(_column(table, "sig")), table["side"].to_numpy(), table["band"].to_numpy()
+            comp = _column(table, "comp").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            found = np.zeros(len(side), bool)
+            for lo, hi in zip(at[:-1], at[1:]):
+                x, y = np.nonzero(_across(comp[lo:hi], side[lo:hi]))
+                for k in range(0, len(x), 50_000):
+                    p, q = x[k : k + 50_000] + lo, y[k : k + 50_000] + lo
+                    keep = sequential(sig[p], sig[q], least)
+                    p, q = p[keep], q[keep]
+                    first = (sig[p] == sig[q]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[lo]
+                    found[p[first]] = found[q[first]] = True
+            yield table.select(schema.names).take(pa.array(np.flatnonzero(found))).combine_chunks().to_batches() if found.any() else []
+
+    def flat(batches):
+        for some in run(batches):
+            yield from some
+
+    return dealt.mapInArrow(flat, schema)
+
+
+def _block_links(suspects: DataFrame, texts: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links across components inside blocks, on full shingle sets; per block only those that join components."""
+    ids = _packed(write_shared(suspects.select(F.col("rep").alias(id_col)).distinct()))
+    need = texts.select(id_col, F.col(text_col).cast("string").alias("_t")).join(bounded(ids), id_col, "left_semi")
+    whole = suspects.join(need.withColumnRenamed(id_col, "rep"), "rep").select("key", "i", "j", "side", "rep", "comp", "_t")
+    schema = T.StructType([T.StructField("a", suspects.schema["rep"].dataType), T.StructField("b", suspects.schema["rep"].dataType)])
+
+    def common(sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of all pairwise intersections, from the shingles that two members share at least."""
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        _, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.cumsum(times > 1) - 1
+        keep = times[of] > 1
+        owner, of = owner[keep], rank[of[keep]]
+        out = np.zeros((len(sets), len(sets)))
+        for at in range(0, int(of.max()) + 1 if len(of) else 0, 8192):
+            mine = (of >= at) & (of < at + 8192)
+            m = np.zeros((len(sets), 8192), np.float32)
+            m[owner[mine], of[mine] - at] = 1
+            out += m @ m.T
+        return out
+
+    def run(batches):
+        shingles = Shingler(words)
+        for table, at in _blocks(batches):
+            rep, side = _column(table, "rep"), table["side"].to_numpy()
+            comp = _column(table, "comp").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            a, b = [], []
+            for lo, hi in zip(at[:-1], at[1:]):
+                sets = [shingles(t) for t in table["_t"].slice(lo, hi - lo).to_pylist()]
+                size, both = np.array([len(s) for s in sets]), common(sets)
+                near = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+                root = {}
+
+                def find(c):
+                    while root.get(c, c) != c:
+                        c = root[c]
+                    return c
+
+                for x, y in zip(*np.nonzero(near & _across(comp[lo:hi], side[lo:hi]))):
+                    p, q = find(comp[lo + x]), find(comp[lo + y])
+                    if p != q:
+                        root[p] = q
+                        a.append(lo + x)
+                        b.append(lo + y)
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(a, pa.int64())), rep.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    return whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
 
-    return members.mapInArrow(run, schema)
+def _packed(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A checkpointed table in as few partitions as its rows need, so that small tables make few files."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) of every node of the undirected ``edges`` (a, b); root is the smallest node reachable.
 
     Alternating stars: neighbours above a node are tied to its smallest neighbour, then those
-    below it. Rounds grow with the logarithm of the longest path; each is checkpointed.
+    below it, until every node hangs on a root directly. Rounds grow with the logarithm of the
+    longest path; each is checkpointed.
     """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    seen = None
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     for _ in range(most):
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(tied.select("u", F.col("m").alias("v")))
-        now = write_shared(small.filter("u <> v").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        now = _packed(write_shared(small.filter("u <> v").distinct()))
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(now.select("v", F.lit(0)))
+        loose = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).filter((F.col("ups") > 1) | (F.col("ups") == 1) & (F.col("root") == 0))
+        if loose.isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
@@ -253,28 +330,29 @@ def near_duplicates(
     classes = write_shared(sets.groupBy("digest").agg(F.min(id_col).alias("rep"), F.first("sig").alias("sig")).filter("rep is not null"))
 
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)])
-    bands = classes.select("rep", F.explode(keys).alias("key"))
+    bands = classes.select("rep", F.posexplode(keys).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).filter("low < high")
-    members = write_shared(bands.join(shared.select("key", "low", "n"), "key").select("key", "rep", "low", "n"))
+    members = _packed(write_shared(bands.join(shared.select("key", "low", "n"), "key").select("key", "band", "rep", "low", "n")))
+    # only representatives that share a band take their signatures along from here
+    busy = _packed(write_shared(classes.join(bounded(members.select("rep").distinct()), "rep", "left_semi").select("rep", "sig")), 20_000)
 
     stars = members.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    links = write_shared(_verified(_bayes_pairs(stars, classes, least), df, words, percent, id_col, text_col))
+    links = _packed(write_shared(_verified(_bayes_pairs(stars, busy, least), df, words, percent, id_col, text_col)))
     roots = components(links)
 
-    known = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    known = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("root", "rep").alias("comp"))
     mixed = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = (
-        known.join(mixed, "key").join(classes.select("rep", "sig"), "rep")
+        known.join(mixed, "key").join(busy, "rep")
         .withColumn("blocks", blocks).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "sig")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "rep", "comp", "sig")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     )
-    across = _block_pairs(dealt, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    more = write_shared(_verified(across, df, words, percent, id_col, text_col))
+    suspects = _packed(write_shared(_suspects(dealt, least)))
+    more = write_shared(_block_links(suspects, df, words, percent, id_col, text_col))
     if not more.isEmpty():
         roots = components(reduce(DataFrame.union, [more.select("a", "b"), roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]))
 
