@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .textops import map_texts, sized_slices
+from .textops import map_texts, sized_slices, small_batches
 
 BUCKETS = 1 << 15
 #: Labelled rows per language that the weights may be fitted on; every fifth of them calibrates.
@@ -124,12 +124,16 @@ def document_frequency(train: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    small_batches(df.sparkSession)
     train = training_rows(df, id_col, text_col, lang_col)
     freq, total = document_frequency(train)
     idf = np.log((1 + total) / (1 + freq)) + 1
+    # a share of each language that holds three times the bound on average narrows the ranking to few rows
+    hashed = train.select("lang", "id", F.xxhash64(F.col("id").cast("string")).alias("h"))
+    sizes = hashed.groupBy("lang").agg((F.lit(3.0 * FIT_ROWS) / F.count("*")).alias("share"))
+    near = hashed.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     order = Window.partitionBy("lang").orderBy("h", "id")
-    # ids alone are ranked (Spark keeps the first rows of each task); the few chosen texts are then looked up
-    picked = train.select("lang", "id", F.xxhash64(F.col("id").cast("string")).alias("h")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIT_ROWS).select("lang", "id", "r")
+    picked = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIT_ROWS).select("lang", "id", "r")
     sample = train.join(F.broadcast(picked.select(F.col("lang").alias("l"), F.col("id").alias("i"), "r")), (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i"))).select("lang", "text", "r", "id")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("r", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))])
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import sized_slices, write_shared
+from .textops import sized_slices, small_batches, write_shared
 
 DEPTH = 4
 CHUNK_BYTES = 32 << 20
@@ -273,6 +273,7 @@ def _low_levels(counts: DataFrame) -> dict[int, Level]:
 def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     spark = df.sparkSession
+    small_batches(spark)
     docs = with_chunks(df, id_col, text_col)
     keys = gathered(docs)
     counts = write_shared(keys.groupBy("k").agg(F.sum("n").alias("n")))

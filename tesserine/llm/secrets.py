@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import map_texts
+from .textops import map_texts, small_batches
 
 #: Kinds in the order in which they are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "xprv", "jwt")
@@ -154,6 +154,8 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
     """
     from pyspark.sql.functions import pandas_udf
 
+    small_batches(df.sparkSession)
+
     @pandas_udf("string")
     def redact(texts):
         auto = build_automaton()

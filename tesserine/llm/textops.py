@@ -10,13 +10,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Rows of an Arrow batch: rows are whole documents here, and Spark's default of 10,000 suits numbers.
+BATCH_ROWS = "1000"
 #: Bytes of text that a task decodes at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS`` where it stands at Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def sized_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -48,6 +57,7 @@ def map_texts(
     and returns one list per output column. Other columns of ``df`` are not read, so names
     that clash with an output column do no harm.
     """
+    small_batches(df.sparkSession)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(n, t) for n, t in columns])
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
 
@@ -63,6 +73,18 @@ def map_texts(
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def hash_share(df: DataFrame, id_col: str, rows: int, seed: int) -> DataFrame:
+    """Rows chosen by the hash of their id, twice ``rows`` on average (all rows of a smaller table).
+
+    Narrows a bounded sample for a fit before it is ordered and limited, so that what tasks
+    return for it does not grow with their number.
+    """
+    total = df.count()
+    if total <= 2 * rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * 2 * rows / total))
+
+
 def write_shared(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the folder that the cluster shares.
 
