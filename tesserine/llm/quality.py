@@ -17,7 +17,6 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import map_texts, sized_slices
+from .textops import hash_share, map_texts, sized_slices
 
 BUCKETS = 1 << 14
 FIT_ROWS = 4_000
@@ -40,45 +39,102 @@ FUNCTION_WORDS = frozenset(
     + "el los las y en un una por para con del se su no es al lo".split()
 )
 LETTERS = re.compile(r"[^\W\d_]+")
+NUMBER, REPEATED = re.compile(r"\d+"), re.compile(r"(\W)\1+")
 EDGE = re.compile(r"[#$%&*~^=<>|!]{1,}$")
 
 
+def _case(letters: str) -> str:
+    return "a" if letters.islower() else "A" if letters.isupper() else "Aa" if letters[1:].islower() else "m"
+
+
+def _shape(word: str) -> str:
+    """Runs of letters by their case, digits as one 0, repeated signs once."""
+    return REPEATED.sub(r"\1", NUMBER.sub("0", LETTERS.sub(lambda m: _case(m[0]), word)))
+
+
+class Reader:
+    """Votes and hashed features of texts; what a word contributes is worked out once and kept.
+
+    A row of ``flags`` holds a word's edge sign, lack of letters and digits, place among the function
+    words, letters and capitals; a row of ``at`` the buckets of the word and of its shape.
+    """
+
+    KEPT = 600_000
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.shapes: dict[str, int] = {}
+        self.flags, self.at = np.zeros((1024, 5)), np.zeros((1024, 2), np.int64)
+
+    def _add(self, word: str) -> None:
+        i = self.rows[word] = len(self.rows)
+        if i == len(self.flags):
+            self.flags, self.at = np.concatenate([self.flags, np.zeros_like(self.flags)]), np.concatenate([self.at, np.zeros_like(self.at)])
+        low = word.islower()
+        if word.isalpha():  # most words
+            letters, edge, alone, shape = len(word), False, False, _case(word)
+        else:
+            letters, edge = sum(map(len, LETTERS.findall(word))), len(word) > 1 and EDGE.search(word) is not None
+            alone, shape = not letters and not any(map(str.isalnum, word)), _shape(word[:200])
+        upper = 0 if low else sum(map(str.isupper, word))
+        self.flags[i] = edge, alone, (word if low else word.lower()).strip(".,;:!?") in FUNCTION_WORDS, letters, upper
+        if shape not in self.shapes:
+            self.shapes[shape] = xxhash.xxh3_64_intdigest(("s" + shape).encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1
+        self.at[i] = xxhash.xxh3_64_intdigest(("w" + word[:200]).encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1, self.shapes[shape]
+
+    def _ids(self, words: list[str]) -> np.ndarray:
+        if len(self.rows) > self.KEPT:
+            self.rows.clear()
+            self.shapes.clear()
+        for w in set(words).difference(self.rows):
+            self._add(w)
+        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+
+    def read(self, text: str | None, features: bool = True) -> tuple[str, np.ndarray | None, np.ndarray | None]:
+        """Votes, buckets and L2-normalised square roots of the counts of hashed words and shapes."""
+        text = text or ""
+        words = text.split()
+        ids = self._ids(words)
+        each, times = np.unique(ids, return_counts=True)
+        found = self.votes(text, ids, each, times)
+        if not features:
+            return found, None, None
+        total = np.bincount(self.at[each].ravel(), np.repeat(times, 2), BUCKETS) if len(each) else np.zeros(BUCKETS)
+        total[0] = 1.0
+        at = np.flatnonzero(total)
+        x = np.sqrt(total[at])
+        return found, at, x / np.sqrt((x * x).sum())
+
+    def votes(self, text: str, ids: np.ndarray, each: np.ndarray, times: np.ndarray) -> str:
+        """One character per labeller: 1 good, 0 bad, - nothing."""
+        n = len(ids)
+        if not n:
+            return "0" + "-" * 9
+        edge, alone, known, letters, upper = times @ self.flags[each] / n
+        lines = [x for x in text.split("\n") if x and not x.isspace()]
+        ends = sum(x.rstrip()[-1] in ".!?\"'»”" for x in lines) / len(lines)
+        many, caps, top, again = n >= 20, upper / max(1 / n, letters), times.max() / n, int((ids[1:] == ids[:-1]).sum()) / n
+        held = len(set(lines)) / len(lines) if len(lines) > 3 else None
+
+        def vote(bad: bool, good: bool) -> str:
+            return "0" if bad else "1" if good else "-"
+
+        return "".join([
+            vote(n < 3, n >= 40),
+            vote(caps > 0.4, caps < 0.15),
+            vote(edge > 0.25, edge < 0.05),
+            vote(alone > 0.2, alone < 0.05),
+            vote(many and known < 0.02, known > 0.1),
+            vote(many and (top > 0.25 or again > 0.2), many and top < 0.15 and again < 0.05),
+            vote(many and not ends, ends > 0.5),
+            vote(not 2 < letters < 14, 3 < letters < 9),
+            vote(held is not None and held < 0.6, held is not None and held > 0.95),
+            vote(many and len(each) < 0.3 * n and n < 2000, False),
+        ])
+
+
 def votes(text: str | None) -> str:
-    """One character per labeller: 1 good, 0 bad, - nothing."""
-    text = text or ""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return "0" + "-" * 9
-    letters = sum(map(len, LETTERS.findall(text)))
-    upper = sum(c.isupper() for c in text)
-    common = Counter(words)
-    lines = [x for x in text.split("\n") if x.strip()]
-    many = n >= 20
-
-    def vote(bad: bool, good: bool) -> str:
-        return "0" if bad else "1" if good else "-"
-
-    caps = upper / max(1, letters)
-    edge = sum(1 for w in words if len(w) > 1 and EDGE.search(w)) / n
-    alone = sum(1 for w in words if not any(c.isalnum() for c in w)) / n
-    known = sum(1 for w in words if w.lower().strip(".,;:!?") in FUNCTION_WORDS) / n
-    top = common.most_common(1)[0][1] / n
-    again = sum(a == b for a, b in zip(words, words[1:])) / n
-    ends = sum(x.rstrip()[-1] in ".!?\"'»”" for x in lines) / len(lines)
-    length = letters / n
-    return "".join([
-        vote(n < 3, n >= 40),
-        vote(caps > 0.4, caps < 0.15),
-        vote(edge > 0.25, edge < 0.05),
-        vote(alone > 0.2, alone < 0.05),
-        vote(many and known < 0.02, known > 0.1),
-        vote(many and (top > 0.25 or again > 0.2), many and top < 0.15 and again < 0.05),
-        vote(many and not ends, ends > 0.5),
-        vote(not 2 < length < 14, 3 < length < 9),
-        vote(len(lines) > 3 and len(set(lines)) < 0.6 * len(lines), len(lines) > 3 and len(set(lines)) > 0.95 * len(lines)),
-        vote(many and len(common) < 0.3 * n and n < 2000, False),
-    ])
+    return Reader().read(text, features=False)[0]
 
 
 def estimate(patterns: dict[str, int], rounds: int = 60) -> tuple[float, np.ndarray, dict[str, float]]:
@@ -104,33 +160,6 @@ def estimate(patterns: dict[str, int], rounds: int = 60) -> tuple[float, np.ndar
     return share, table, dict(zip(keys, post.tolist()))
 
 
-def _shape(word: str) -> str:
-    out = re.sub(r"[^\W\d_]", lambda c: "A" if c[0].isupper() else "a", word)
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", out))
-
-
-class Hasher:
-    """L2-normalised square roots of the counts of hashed words and shapes; hashes are kept between texts."""
-
-    def __init__(self):
-        self.kept: dict[str, tuple[int, int]] = {}
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.kept) > 500_000:
-            self.kept.clear()
-        total = np.zeros(BUCKETS)
-        total[0] = 1.0
-        for w, n in Counter((text or "").split()).items():
-            if w not in self.kept:
-                h = lambda s: xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1
-                self.kept[w] = h("w" + w[:200]), h("s" + _shape(w[:200]))
-            for at in self.kept[w]:
-                total[at] += n
-        at = np.flatnonzero(total)
-        x = np.sqrt(total[at])
-        return at, x / np.sqrt((x * x).sum())
-
-
 def learn(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, epochs: int = 12, rate: float = 0.5, ridge: float = 1e-5) -> np.ndarray:
     """Weights of a logistic model on soft labels, by AdaGrad."""
     w, g2 = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
@@ -145,7 +174,13 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, epochs: i
 
 def vote_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id and the labellers' votes."""
-    return map_texts(df, lambda: lambda texts: [[votes(t) for t in texts]], [("votes", T.StringType())], id_col, text_col)
+
+
+    def make():
+        reader = Reader()
+        return lambda texts: [[reader.read(t, features=False)[0] for t in texts]]
+
+    return map_texts(df, make, [("votes", T.StringType())], id_col, text_col)
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], np.ndarray]:
@@ -155,18 +190,18 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[
     _, _, posterior = estimate(patterns)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     order = F.xxhash64(F.col("id").cast("string"), F.lit(7))
-    picked = texts.select("id", order.alias("h")).orderBy("h", "id").limit(FIT_ROWS).select(F.col("id").alias("i"))
+    picked = hash_share(texts, "id", FIT_ROWS, 7).select("id", order.alias("h")).orderBy("h", "id").limit(FIT_ROWS).select(F.col("id").alias("i"))
     sample = texts.join(F.broadcast(picked.distinct()), F.col("id").eqNullSafe(F.col("i"))).select("id", "text")
     schema = T.StructType([T.StructField("h", T.StringType()), T.StructField("votes", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))])
 
     def run(batches):
-        hasher = Hasher()
+        reader = Reader()
         for batch in batches:
             for part in sized_slices(batch, 1):
                 texts = part.column(1).to_pylist()
-                got = [hasher(t) for t in texts]
+                got = [reader.read(t) for t in texts]
                 keys = [f"{xxhash.xxh3_64_hexdigest((t or '').encode('utf-8', 'surrogatepass'))}" for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([votes(t) for t in texts]), pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in got], pa.list_(pa.float32()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([v for v, _, _ in got]), pa.array([a.astype(np.int32) for _, a, _ in got], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, _, x in got], pa.list_(pa.float32()))], names=schema.names)
 
     table = sample.mapInArrow(run, schema).toArrow()
     order_ = np.argsort(np.array(table["h"].to_pylist(), dtype=str), kind="stable")[:FIT_ROWS]
@@ -181,11 +216,11 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def make():
         posterior, w = shared.value
-        hasher = Hasher()
+        reader = Reader()
 
         def one(text):
-            at, x = hasher(text)
-            v, score = votes(text), float(1 / (1 + np.exp(-np.clip(w[at] @ x, -30, 30))))
+            v, at, x = reader.read(text)
+            score = float(1 / (1 + np.exp(-np.clip(w[at] @ x, -30, 30))))
             return v, posterior[v], score, score >= KEEP
 
         return lambda texts: list(zip(*map(one, texts)))
