@@ -7,7 +7,8 @@ gradient-boosted trees on its format and the text around it; the trees learn fro
 whose own checks decide (a Luhn sum, IBAN digits, octets in range) without seeing those checks, a
 logistic fit calibrates their margin, and a kind's candidates are kept above its threshold.
 
-Only the fit uses a sample: at most ``FIT_SPANS`` candidates, those with the smallest hash.
+Only the fit uses a sample: about ``2 * FIT_ROWS`` documents chosen by the hash of their id, and of
+their candidates at most ``FIT_SPANS``, those with the smallest hash.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows repeat; spans may
 overlap across kinds; offsets are code points with an exclusive end; without candidates to learn
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import map_texts, sized_slices
+from .textops import hash_share, map_texts, sized_slices, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("mail_words", "phone_loose", "ssn", "iban")
 KINDS = (*BASE, *EXTRA)
-FIT_SPANS = 20_000
+FIT_ROWS, FIT_SPANS = 20_000, 20_000
 #: Least calibrated probability with which an extra span is kept.
 THRESHOLDS = {"mail_words": 0.6, "phone_loose": 0.8, "ssn": 0.6, "iban": 0.5}
 
@@ -186,8 +187,9 @@ class Trees:
         return 1 / (1 + np.exp(-(self.scale * margin + self.shift)))
 
 
-def fit(df: DataFrame, text_col: str = "text") -> Trees | None:
-    """Trees from the decided candidates of all rows with the smallest hashes, ``FIT_SPANS`` at most; None without both outcomes."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
+    """Trees from the decided candidates of sampled rows; None without both outcomes."""
+    small_batches(df.sparkSession)
     n = len(describe("", 0, 0, ""))
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
@@ -205,7 +207,7 @@ def fit(df: DataFrame, text_col: str = "text") -> Trees | None:
                             hs.append(xxhash.xxh3_64_intdigest(text[max(0, start - 20) : end + 20].encode("utf-8", "surrogatepass")) >> 1)
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ys, pa.float64()), pa.array(xs, pa.list_(pa.float64()))], names=schema.names)
 
-    rows = df.select(F.col(text_col).cast("string")).mapInArrow(run, schema).orderBy("h", "y", "x").limit(FIT_SPANS).toArrow()
+    rows = hash_share(df, id_col, FIT_ROWS, 11).select(F.col(text_col).cast("string")).mapInArrow(run, schema).orderBy("h", "y", "x").limit(FIT_SPANS).toArrow()
     y = rows["y"].to_numpy()
     if len(y) < 20 or not 0 < y.mean() < 1:
         return None
@@ -238,7 +240,7 @@ def find_pii(df: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_co
 
 def pii_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fit, find, and return counts of the base kinds, the digest of the base spans and all spans as text."""
-    found = find_pii(df, fit(df, text_col), id_col, text_col)
+    found = find_pii(df, fit(df, id_col, text_col), id_col, text_col)
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
