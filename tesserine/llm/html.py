@@ -1,7 +1,8 @@
 """HTML to text by layout: tree with implied tags, visibility rules, blocks, lists and aligned tables.
 
 A small tokenizer feeds a tree builder that closes elements as HTML implies it (a paragraph before
-a block, a list item before the next, cells and rows inside tables). The renderer walks the tree
+a block, a list item before the next, cells and rows inside tables), opens the rows that cells
+imply, and puts what stands between cells and rows before the table. The renderer walks the tree
 and writes what a reader would see: hidden elements give nothing, blocks start on their own lines
 and keep their blank lines, list items carry bullets or numbers and are indented by depth, and the
 cells of a table are padded to common columns.
@@ -29,9 +30,17 @@ BLANK = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript".split())
-UNSEEN = frozenset("head script style title meta link template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style title meta link template noscript iframe noembed noframes object audio video canvas datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd tr caption thead tbody tfoot figcaption details summary dialog legend option optgroup center menu".split())
+#: Not shown inside svg and math.
+DRAWN_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
+#: Elements inside svg and math whose content is HTML again, and HTML that ends a drawing.
+HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_DRAWING = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Parts of a table outside cells, and what may stand in them; all else moves before the table.
+FRAME = frozenset("table thead tbody tfoot tr".split())
+IN_FRAME = frozenset("caption colgroup col thead tbody tfoot tr td th script style template".split())
 #: start tag -> (open elements that it closes, elements that stop the search)
 LISTS = frozenset("ul ol menu dl".split())
 IMPLIED = {
@@ -41,19 +50,21 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select"])),
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
     "tr": (frozenset(["tr", "td", "th", "caption", "colgroup"]), frozenset(["table", "thead", "tbody", "tfoot"])),
-    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    **{t: (frozenset("tr td th thead tbody tfoot caption colgroup".split()), frozenset(["table"])) for t in ("thead", "tbody", "tfoot")},
+    "td": (frozenset(["td", "th", "caption", "colgroup"]), frozenset(["tr", "table"])),
+    "th": (frozenset(["td", "th", "caption", "colgroup"]), frozenset(["tr", "table"])),
+    **{t: (frozenset("tr td th thead tbody tfoot caption colgroup".split()), frozenset(["table"])) for t in ("thead", "tbody", "tfoot", "caption", "colgroup")},
 }
+#: start tag -> parts of a table in which it stands
+STANDS_IN = {"td": FRAME, "th": FRAME, "tr": FRAME - {"tr"}, **{t: frozenset(["table"]) for t in ("thead", "tbody", "tfoot", "caption", "colgroup")}}
 CLOSES_P = BLOCK - frozenset("html body tr thead tbody tfoot caption option optgroup legend summary".split())
 STOPS_P = frozenset("td th caption button table html object".split())
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "drawn")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: str = "", drawn: bool = False):
+        self.tag, self.attrs, self.kids, self.drawn = tag, attrs, [], drawn
 
     def attributes(self) -> dict[str, str]:
         return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(self.attrs)} if self.attrs else {}
@@ -73,14 +84,37 @@ def parse(page: str) -> Element:
                 return False
         return False
 
+    def table_at() -> int:
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "table"), 0)
+
+    def add(kid) -> None:
+        """Append to the open element; between the cells of a table, before the table (which is its parent's last child)."""
+        if stack[-1].tag == "colgroup" and (kid.tag != "col" if isinstance(kid, Element) else kid.strip(" \t\n\r\f")):
+            stack.pop()
+        if stack[-1].tag in FRAME and (kid.tag not in IN_FRAME if isinstance(kid, Element) else kid.strip(" \t\n\r\f")) and (i := table_at()):
+            stack[i - 1].kids.insert(-1, kid)
+        else:
+            stack[-1].kids.append(kid)
+
+    def drawing() -> int:
+        """Where an open svg or math stands whose rules hold here, or 0."""
+        if drawn and drawn[0] < len(stack) and stack[drawn[0]] is drawn[1]:
+            for i in range(len(stack) - 1, drawn[0] - 1, -1):
+                if stack[i].tag in ("svg", "math"):
+                    return i
+                if stack[i].tag in HTML_AGAIN:
+                    return 0
+        return 0
+
+    drawn = None  # outermost drawing: its place in the stack and itself
     while m := TAG.search(page, at):
         if m.start() > at:
-            stack[-1].kids.append(unescape(page[at : m.start()]))
+            add(unescape(page[at : m.start()]))
         at = m.end()
         if m[1]:
             tag = m[1].lower()
             if tag == "br":
-                stack[-1].kids.append(Element("br"))
+                add(Element("br"))
             elif tag not in VOID:
                 close((tag,), ("table",) if tag not in ("table", "body", "html") else ())
             continue
@@ -88,25 +122,44 @@ def parse(page: str) -> Element:
         if not name:
             continue
         tag, attrs = name.lower(), m[3] or m[5] or ""
+        inside = drawing() if drawn else 0
+        if inside and tag in ENDS_DRAWING:
+            del stack[inside:]
+            inside = 0
+        if tag == "table":  # one that opens between the cells of another ends that one
+            part = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in FRAME or stack[i].tag in STOPS_P), 0)
+            if stack[part].tag in FRAME:
+                del stack[table_at() or len(stack) :]
         if tag in CLOSES_P:
             close(("p",), STOPS_P)
         if tag in IMPLIED:
             while close(*IMPLIED[tag]):
                 pass
-        element = Element(tag, attrs.rstrip("/"))
-        stack[-1].kids.append(element)
+        if tag in STANDS_IN and (i := table_at()):
+            while len(stack) > i + 1 and stack[-1].tag not in STANDS_IN[tag]:
+                stack.pop()
+            if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < DEEPEST:
+                row = Element("tr")
+                stack[-1].kids.append(row)
+                stack.append(row)
+        element = Element(tag, attrs.rstrip("/"), bool(inside))
+        in_frame = stack[-1].tag in FRAME
+        add(element)
+        if inside and attrs.endswith("/") or tag == "form" and in_frame:
+            continue  # a form between cells holds nothing
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            inside = page[at : end.start() if end else len(page)]
             if tag in ("textarea", "title"):
-                element.kids.append(unescape(inside))
+                element.kids.append(unescape(page[at : end.start() if end else len(page)]))
             at = end.start() if end else len(page)
             if end:
                 at = (page.find(">", at) + 1) or len(page)
         elif tag not in VOID and len(stack) < DEEPEST:
+            if tag in ("svg", "math") and not inside:
+                drawn = len(stack), element
             stack.append(element)
     if at < len(page):
-        stack[-1].kids.append(unescape(page[at:]))
+        add(unescape(page[at:]))
     return root
 
 
@@ -163,7 +216,7 @@ class Lines:
 
 
 def _hidden(element: Element, tag: str) -> bool:
-    if tag in UNSEEN:
+    if tag in UNSEEN or element.drawn and tag in DRAWN_UNSEEN:
         return True
     if not element.attrs:
         return tag == "dialog"
@@ -172,6 +225,13 @@ def _hidden(element: Element, tag: str) -> bool:
     return "hidden" in a or "display:none" in style or tag == "input" and a.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in a
 
 
+def _seen(element: Element, shown: bool) -> bool:
+    if element.attrs and "visibility" in element.attrs.lower():
+        style = BLANK.sub("", element.attributes().get("style", "").lower())
+        return False if "visibility:hidden" in style or "visibility:collapse" in style else True if "visibility:visible" in style else shown
+    return shown
+
+
 def render(element: Element, lines: Lines, pre: bool = False, shown: bool = True, depth: int = 0) -> None:
     number = 0
     closed = element.tag == "details" and "open" not in element.attributes()  # only its summary shows
@@ -183,21 +243,17 @@ def render(element: Element, lines: Lines, pre: bool = False, shown: bool = True
         tag = kid.tag
         if _hidden(kid, tag) or closed and tag != "summary":
             continue
-        seen = shown
-        if kid.attrs and "visibility" in kid.attrs.lower():
-            style = BLANK.sub("", kid.attributes().get("style", "").lower())
-            seen = False if "visibility:hidden" in style or "visibility:collapse" in style else True if "visibility:visible" in style else shown
+        seen = _seen(kid, shown)
         if tag == "br":
             if seen:
                 lines.line()
             continue
         if tag == "table":
             lines.block(1)
-            if seen:
-                _table(kid, lines, depth)
+            _table(kid, lines, depth, seen)
             lines.block(1)
             continue
-        if tag not in BLOCK:
+        if tag not in BLOCK and not (tag == "text" and kid.drawn):
             render(kid, lines, pre, seen, depth)
             continue
         margin = int(tag in SPACED and not (tag in LISTS and depth))
@@ -220,27 +276,29 @@ def render(element: Element, lines: Lines, pre: bool = False, shown: bool = True
         lines.indent = old[0]
 
 
-def _rows(table: Element):
+def _rows(table: Element, shown: bool):
+    """The rows' cells, each with whether its text is visible."""
     for kid in table.kids:
         if isinstance(kid, Element) and not _hidden(kid, kid.tag):
+            seen = _seen(kid, shown)
             if kid.tag == "tr":
-                yield [c for c in kid.kids if isinstance(c, Element) and c.tag in ("td", "th") and not _hidden(c, c.tag)]
+                yield [(c, _seen(c, seen)) for c in kid.kids if isinstance(c, Element) and c.tag in ("td", "th") and not _hidden(c, c.tag)]
             elif kid.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(kid)
+                yield from _rows(kid, seen)
 
 
-def _table(table: Element, lines: Lines, depth: int) -> None:
+def _table(table: Element, lines: Lines, depth: int, shown: bool = True) -> None:
     """Captions and stray content first, then the rows with their cells padded to the widest of each column."""
     stray = Element("#stray")
     stray.kids = [k for k in table.kids if isinstance(k, str) and k.strip() or isinstance(k, Element) and k.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col")]
-    render(stray, lines, depth=depth)
+    render(stray, lines, shown=shown, depth=depth)
     lines.block(0)
     grid, widths = [], []
-    for row in _rows(table):
+    for row in _rows(table, shown):
         cells, col = [], 0
-        for cell in row:
+        for cell, seen in row:
             inner = Lines()
-            render(cell, inner)
+            render(cell, inner, shown=seen)
             text = inner.result()
             span = cell.attributes().get("colspan", "1")
             span = min(int(span), 100) if span.isdigit() and int(span[:4]) else 1

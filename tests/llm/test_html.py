@@ -20,6 +20,22 @@ def test_layout(page, want):
     assert H.page_text(page) == want
 
 
+TABLES = [
+    ("<table><tbody><td>A</td></tbody></table>", "A"), ("<table><td>A<td>B</table>", "A  B"), ("<table><tr>loose text</tr></table>", "loose text"),
+    ("<table><tr><td>a</td> stray <td>b</td></tr></table>", "stray\n\na  b"), ("<table><tr><form><td>x</td></form><td>y</td></tr></table>", "x  y"),
+    ("<table><tbody>text<tr><td>c</table>", "text\n\nc"), ("<table><tr><b>bold<td>c</td></tr></table>after", "bold\n\nc\n\nafter"), ("<table><colgroup>t<col><tr><td>c</table>", "t\n\nc"),
+    ("<table><tr><td>a<table><tr><td>in</table>b<td>c</table>", "a   c\nin\nb"), ("<table><tr><td>a</td><table><tr><td>b</table>", "a\n\nb"), ("<table><thead><th>H<tbody><td>v</table>", "H\nv"),
+    ("<table><tr style='visibility:hidden'><td>a<td style='visibility:visible'>b</tr><tbody style='visibility:hidden'><tr><td>c</table>d", "  b\n\nd"),
+    ("<table style='visibility:hidden'><tr><td>a<tr style='visibility: visible'><td>b</table>", "b"), ("<table><tr><td style='visibility:hidden'>a<td>b</table>", "  b"),
+    ("<svg><title>t</title><defs/><defs><text>no</text></defs><text>one</text><text>two</text></svg>three", "one\ntwo\nthree"), ("x = <math><mi>y</mi><mo>+</mo><mn>1</mn></math>", "x = y+1"), ("<svg><defs><p>out</p>", "out"),
+]
+
+
+@pytest.mark.parametrize("page,want", TABLES)
+def test_text_between_cells_and_in_drawings_stays(page, want):
+    assert H.page_text(page) == want
+
+
 def test_deep_and_long_pages():
     assert H.page_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert H.page_text("<b>" * 5000 + "x") == "x"
