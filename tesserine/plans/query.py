@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from tesserine.operators.index import Index
 from tesserine.operators.spaces import Context, NumberSpace, Space
 from tesserine.schema import AnyOf, Predicate, Schema, SchemaError
+from tesserine.sources.store import write_shared
 
 
 @dataclass(frozen=True, eq=False)
@@ -275,50 +276,56 @@ def query_parts(index: Index, inputs: dict[int, list], items: dict[int, list], w
     return [np.zeros(len(q)) if not w else np.where(s.masked(), q, q * w * by) for s, q, w in zip(index.spaces, parts, weights)]
 
 
-#: Query vectors that are held beside the rows at a time; more take further passes over the rows.
+#: Query vectors of a block, bytes of row vectors of a block, and the rows below which a block is not split to make tasks.
 QUERY_BLOCK = 4096
+ROW_BLOCK_BYTES = 16 << 20
+LEAST_ROWS = 1024
 
 
 def batch_top_k(rows: DataFrame, queries: DataFrame, length: int, k: int, id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
     """Exact top ``k`` rows for each of many query vectors: query_id, id, score, rank (ties by id).
 
-    The queries are dealt into blocks of about ``QUERY_BLOCK``; a task multiplies its rows with a
-    block and sends on only its best ``k`` per query, so neither rows times queries nor all
-    candidates of a query are shuffled. Rows and queries with null vectors are left out.
+    Rows and queries are written once and dealt into blocks of bounded size by their hash; Spark
+    brings every block of queries together with every block of rows, and only the best ``k`` per
+    query leave a pair of blocks. No vector passes through the driver. The shuffle carries the rows
+    once per block of queries and the queries once per block of rows. Rows and queries with null
+    vectors are left out.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    given = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("v is not null")
-    blocks = max(1, -(-given.count() // QUERY_BLOCK))
     schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType())])
-    vectors = rows.select(F.col(id_col).cast("string"), F.col(vector_col).cast("array<double>")).filter(F.col(vector_col).isNotNull())
-
-    def best_of(block: int) -> DataFrame:
-        some = given.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toArrow()
-        kind = some.schema.field("q").type
-        shared = rows.sparkSession.sparkContext.broadcast((some["q"].to_pylist(), np.array(some["v"].to_pylist(), float).reshape(-1, length)))
-
-        def run(batches):
-            qid, m = shared.value
-            best: list[list[tuple[float, str]]] = [[] for _ in qid]
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    names = part.column(0).to_pylist()
-                    s = np.round(m @ np.array(part.column(1).to_pylist(), float).reshape(-1, length).T, 9)
-                    for j, col in enumerate(s):
-                        least = np.partition(col, len(col) - k)[len(col) - k] if len(col) > k else -np.inf
-                        if len(best[j]) == k:
-                            least = max(least, -best[j][-1][0])
-                        best[j] = sorted(best[j] + [(-float(col[i]), names[i]) for i in np.flatnonzero(col >= least)])[:k]
-            flat = [(q, n, -s) for q, b in zip(qid, best) for s, n in b]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], t) for i, t in enumerate((kind, pa.string(), pa.float64()))], names=schema.names)
-
-        return vectors.mapInArrow(run, schema)
-
-    local = best_of(0)
-    for b in range(1, blocks):
-        local = local.union(best_of(b))
+    given = write_shared(queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("v is not null"))
+    vectors = write_shared(rows.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("v is not null"))
+    n, tasks = vectors.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-given.count() // QUERY_BLOCK))
+    groups = max(1, -(-n * 8 * length // ROW_BLOCK_BYTES), min(-(-tasks // blocks), -(-n // LEAST_ROWS)))
+
+    def dealt(df: DataFrame, key: str, own: str, mine: int, other: str, others: int):
+        """Each row in its own block, once per block of the other side."""
+        block = F.pmod(F.xxhash64(key, "v"), F.lit(mine)).cast("int")
+        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("b", "g")
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.astype(float).reshape(-1, length)
+
+    def best_of(asked: pa.Table, some: pa.Table) -> pa.Table:
+        kind = asked.schema.field("q").type
+        qid, m = asked["q"].to_pylist(), matrix(asked["v"])
+        best: list[list[tuple[float, str]]] = [[] for _ in qid]
+        for at in range(0, some.num_rows if qid else 0, 2048):
+            part = some.slice(at, 2048)
+            names = part["id"].to_pylist()
+            s = np.round(m @ matrix(part["v"]).T, 9)
+            for j, col in enumerate(s):
+                least = np.partition(col, len(col) - k)[len(col) - k] if len(col) > k else -np.inf
+                if len(best[j]) == k:
+                    least = max(least, -best[j][-1][0])
+                best[j] = sorted(best[j] + [(-float(col[i]), names[i]) for i in np.flatnonzero(col >= least)])[:k]
+        flat = [(q, name, -s) for q, b in zip(qid, best) for s, name in b]
+        return pa.table([pa.array([r[i] for r in flat], t) for i, t in enumerate((kind, pa.string(), pa.float64()))], names=schema.names)
+
+    local = dealt(given, "q", "b", blocks, "g", groups).cogroup(dealt(vectors, "id", "g", groups, "b", blocks)).applyInArrow(best_of, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return local.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)

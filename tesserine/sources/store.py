@@ -51,6 +51,14 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col(c).cast("array<double>") if t == "array<float>" else F.col(c) for c, t in df.dtypes])
 
 
+def write_shared(df: DataFrame) -> DataFrame:
+    """``df`` written once to the folder that the cluster shares (``spark.checkpoint.dir``; one is set where it is unset)."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return df.checkpoint(eager=True)
+
+
 def tee(stream: DataFrame, sink: Callable[[DataFrame, int], None], publish: Callable[[DataFrame], None], checkpoint: str):
     """Run a stream into ``sink`` and hand every micro-batch's raw rows to ``publish`` as well (a queue, say)."""
 

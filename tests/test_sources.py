@@ -113,6 +113,37 @@ def test_batch_search_equals_brute_force(spark, monkeypatch):
         assert [got[i][k] for k in range(1, 6)] == [str(j) for j in want]
 
 
+def test_batch_search_keeps_vectors_off_the_driver(spark, monkeypatch):
+    import tesserine.plans.query as Q
+    from pyspark.sql import functions as F
+
+    def refuse(*_):
+        raise AssertionError("vectors sent to the driver")
+
+    monkeypatch.setattr(Q, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(Q, "LEAST_ROWS", 50, raising=False)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(200, 4)), 1)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    queries = spark.createDataFrame([(None if i == 3 else i, None if i == 5 else v[i].tolist()) for i in range(30)], "query_id long, query array<double>").mapInArrow(counted, "query_id long, query array<double>")
+    monkeypatch.setattr(type(rows), "toArrow", refuse)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", refuse)
+    got = batch_top_k(rows, queries, 4, 3).select("query_id", "rank", F.col("id")).collect()
+    assert seen.value == 30  # what lies behind the queries runs once
+    have = {(r.query_id, r["rank"]): r.id for r in got}
+    assert len(got) == len(have) == 29 * 3
+    for i in set(range(30)) - {5}:
+        want = sorted(range(200), key=lambda j: (-round(float(v[j] @ v[i]), 9), str(j)))[:3]
+        assert [have[None if i == 3 else i, n] for n in (1, 2, 3)] == [str(j) for j in want]
+
+
 def test_natural_language_and_inspection(spark):
     space = CustomSpace(doc.v, 2)
     index = Index([space, RecencySpace(doc.at)], fields=[doc.body])
