@@ -30,6 +30,8 @@ from .textops import hash_share, map_texts, sized_slices
 BUCKETS = 1 << 14
 FIT_ROWS = 4_000
 KEEP = 0.5
+#: Words of a window in which a longer text's distinct words are counted.
+WINDOW = 500
 
 #: Frequent short words of four languages.
 FUNCTION_WORDS = frozenset(
@@ -52,6 +54,22 @@ def _shape(word: str) -> str:
     return REPEATED.sub(r"\1", NUMBER.sub("0", LETTERS.sub(lambda m: _case(m[0]), word)))
 
 
+def looped(ids: np.ndarray, share: float = 0.3) -> bool:
+    """Whether windows of ``WINDOW`` words hold less than ``share`` distinct words on average, or the text less than that of distinct runs of five words.
+
+    Neither falls as an ordinary text gets longer; the runs find loops that are longer than a window.
+    """
+    n = len(ids)
+    starts = [*range(0, n - WINDOW, WINDOW), n - WINDOW]
+    keys = np.sort(np.stack([ids[a : a + WINDOW] for a in starts]), axis=1)
+    if (len(starts) + int((keys[:, 1:] != keys[:, :-1]).sum())) < share * keys.size:
+        return True
+    runs = np.zeros(n - 4, np.uint64)
+    for i in range(5):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + ids[i : n - 4 + i].astype(np.uint64) + np.uint64(1)
+    return len(np.unique(runs)) < share * len(runs)
+
+
 class Reader:
     """Votes and hashed features of texts; what a word contributes is worked out once and kept.
 
@@ -129,7 +147,7 @@ class Reader:
             vote(many and not ends, ends > 0.5),
             vote(not 2 < letters < 14, 3 < letters < 9),
             vote(held is not None and held < 0.6, held is not None and held > 0.95),
-            vote(many and len(each) < 0.3 * n and n < 2000, False),
+            vote(many and len(each) < 0.3 * n and (n <= WINDOW or looped(ids)), False),
         ])
 
 

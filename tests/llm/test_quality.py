@@ -21,6 +21,19 @@ def test_em_recovers_accuracies():
     assert np.mean([(posterior[k] > 0.5) == t for k, t in zip(keys, y)]) > 0.93
 
 
+def test_looped_phrases_are_found_at_any_length():
+    for size in (20, 200, 700):
+        phrase = [f"word{i}x" for i in range(size)]
+        for words in (2000, 6000, 20_000):
+            if words >= 5 * size:
+                assert Q.votes(" ".join((phrase * (words // size + 1))[:words]))[9] == "0"
+                assert Q.votes(" ".join((phrase * (words // size + 1))[: words - 1]))[9] == "0"
+    rng = random.Random(5)
+    words = ["w" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(4000)]
+    for n in (20, 400, 1999, 2000, 2001, 60_000):  # many words, however often they come back in a long text
+        assert Q.votes(" ".join(rng.choice(words) for _ in range(n)))[9] == "-"
+
+
 def texts(n=300):
     rng = random.Random(3)
     words = ["".join(rng.choice(["an", "er", "th", "on", "re", "in"]) for _ in range(rng.randint(1, 4))) for _ in range(500)] + ["the", "of", "and"] * 80
