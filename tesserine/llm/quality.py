@@ -5,7 +5,8 @@ counted over all documents (at most 3^10 patterns, the product of the labellers'
 expectation-maximisation over these counts estimates the labellers' accuracies and the share of
 good documents. The posterior of each document's pattern is the soft label from which a linear
 model over hashed words and word shapes learns, so that the score no longer depends on the
-heuristics alone.
+heuristics alone. Runs of more than ``LONG`` characters without a blank (scripts written without
+blanks, encoded data) also give their character trigrams.
 
 Only the fit of the linear model uses a sample: the ``FIT_ROWS`` rows with the smallest hash.
 
@@ -30,6 +31,7 @@ from .textops import hash_share, map_texts, sized_slices
 BUCKETS = 1 << 14
 FIT_ROWS = 4_000
 KEEP = 0.5
+LONG = 64
 #: Words of a window in which a longer text's distinct words are counted.
 WINDOW = 500
 
@@ -70,11 +72,19 @@ def looped(ids: np.ndarray, share: float = 0.3) -> bool:
     return len(np.unique(runs)) < share * len(runs)
 
 
+def trigrams(word: str) -> np.ndarray:
+    """Buckets of all character trigrams."""
+    c = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = (c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+
+
 class Reader:
     """Votes and hashed features of texts; what a word contributes is worked out once and kept.
 
     A row of ``flags`` holds a word's edge sign, lack of letters and digits, place among the function
-    words, letters and capitals; a row of ``at`` the buckets of the word and of its shape.
+    words, letters and capitals; a row of ``at`` the buckets of the word and of its shape; ``long`` the
+    words whose trigrams count too.
     """
 
     KEPT = 600_000
@@ -82,6 +92,7 @@ class Reader:
     def __init__(self):
         self.rows: dict[str, int] = {}
         self.shapes: dict[str, int] = {}
+        self.long: dict[int, str] = {}
         self.flags, self.at = np.zeros((1024, 5)), np.zeros((1024, 2), np.int64)
 
     def _add(self, word: str) -> None:
@@ -93,17 +104,20 @@ class Reader:
             letters, edge, alone, shape = len(word), False, False, _case(word)
         else:
             letters, edge = sum(map(len, LETTERS.findall(word))), len(word) > 1 and EDGE.search(word) is not None
-            alone, shape = not letters and not any(map(str.isalnum, word)), _shape(word[:200])
+            alone, shape = not letters and not any(map(str.isalnum, word)), _shape(word)
         upper = 0 if low else sum(map(str.isupper, word))
         self.flags[i] = edge, alone, (word if low else word.lower()).strip(".,;:!?") in FUNCTION_WORDS, letters, upper
         if shape not in self.shapes:
             self.shapes[shape] = xxhash.xxh3_64_intdigest(("s" + shape).encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1
-        self.at[i] = xxhash.xxh3_64_intdigest(("w" + word[:200]).encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1, self.shapes[shape]
+        self.at[i] = xxhash.xxh3_64_intdigest(("w" + word).encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1, self.shapes[shape]
+        if len(word) > LONG:
+            self.long[i] = word
 
     def _ids(self, words: list[str]) -> np.ndarray:
         if len(self.rows) > self.KEPT:
             self.rows.clear()
             self.shapes.clear()
+            self.long.clear()
         for w in set(words).difference(self.rows):
             self._add(w)
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
@@ -118,6 +132,9 @@ class Reader:
         if not features:
             return found, None, None
         total = np.bincount(self.at[each].ravel(), np.repeat(times, 2), BUCKETS) if len(each) else np.zeros(BUCKETS)
+        if self.long:
+            for i in set(each.tolist()).intersection(self.long):
+                total += np.bincount(trigrams(self.long[i]), minlength=BUCKETS) * times[np.searchsorted(each, i)]
         total[0] = 1.0
         at = np.flatnonzero(total)
         x = np.sqrt(total[at])

@@ -34,6 +34,22 @@ def test_looped_phrases_are_found_at_any_length():
         assert Q.votes(" ".join(rng.choice(words) for _ in range(n)))[9] == "-"
 
 
+def test_long_runs_are_read_whole():
+    start = "山高水長" * 60
+    reader = Q.Reader()
+    found = [reader.read(start + end) for end in ("日月星辰" * 50, "一二三四" * 50, "日月星辰" * 50)]
+    dense = np.zeros((3, Q.BUCKETS))
+    for row, (_, at, x) in zip(dense, found):
+        row[at] = x
+    assert np.allclose(dense[0], dense[2]) and dense[0] @ dense[1] < 0.8
+    near, far = reader.read("一" + start + "日月星辰" * 50), reader.read("あいうえお" * 90)
+    at = np.zeros((2, Q.BUCKETS))
+    at[0, near[1]], at[1, far[1]] = near[2], far[2]
+    assert dense[0] @ at[0] > 0.9 and dense[0] @ at[1] < 0.3  # runs that share most of their characters are alike
+    long = "Ab1-" * 51
+    assert Q._shape(long + "x") != Q._shape(long) and not np.array_equal(reader.read(long + "x")[1], reader.read(long + "7")[1])
+
+
 def texts(n=300):
     rng = random.Random(3)
     words = ["".join(rng.choice(["an", "er", "th", "on", "re", "in"]) for _ in range(rng.randint(1, 4))) for _ in range(500)] + ["the", "of", "and"] * 80
