@@ -4,15 +4,23 @@ The texts of a slice are cut by the tokenizer's pattern; pieces that the vocabul
 are one token, the other distinct pieces become token-position rows. A recursive query joins
 adjacent rows with the merge table and contracts, per piece and round, the leftmost pair of
 minimum rank until no pair is left. Token sequences of pieces are kept for the next slices of
-the same worker, in a table of bounded size. Decoding joins the ids of whole documents with the
-vocabulary and aggregates their bytes in order.
-
-Long pieces would need a round per contraction. For them a round contracts every occurrence of
-the minimum rank at once, but only where the vocabulary shows that this cannot differ: the
-merged token is part of no token of lower rank, so no contraction can bring up an earlier one.
-
-Defined cases: a null text counts as empty and has no tokens; equal texts have equal tokens;
-an empty table gives an empty result.
+the same worker, in two tables of bounded size. Decoding joins the ids with the vocabulary and
+aggregates their bytes in order.
+
+Long pieces would need a round per contraction, so for them a round takes several contractions
+of the plain order at once. That this changes nothing: let k be the minimum rank among a piece's
+adjacent pairs and m its token. Contracting the leftmost pair of rank k removes pairs and adds
+only pairs that have m as a part. A round is widened only where every token of which m is a part
+has a higher rank than m ("safe"); then no added pair has a rank of k or less, so the next pair
+of the plain order is the next one of rank k that does not overlap with one already contracted.
+In a run of overlapping pairs these are the first, third, and so on. Where m isn't safe, the
+round contracts the leftmost pair alone.
+
+Memory is bounded by bytes: a query holds at most ``BLOCK`` bytes of pieces (or one piece) times
+the rounds that it may run, and nothing spills to local disk.
+
+Defined cases: a null text counts as empty and has no tokens; equal texts have equal tokens; a
+null id is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,15 +38,19 @@ from pyspark.sql import types as T
 
 from .textops import map_texts
 
-#: Token sequences that a worker keeps between slices (about 200 bytes each).
-KEPT_PIECES = 800_000
+#: Pieces in either of the two tables of kept token sequences (about 200 bytes each).
+KEPT_PIECES = 200_000
 #: Bytes of text in a slice, bytes of pieces in one recursive query, and the length from which a piece counts as long.
-SLICE, BLOCK, LONG = 4 << 20, 2 << 20, 128
+SLICE, BLOCK, LONG = 2 << 20, 1 << 18, 128
 #: Rounds of one recursive query; unfinished pieces start the next query where they stand.
-ROUNDS, LONG_ROUNDS = 64, 16
+ROUNDS = 16
+#: Tokens that one decoding query joins.
+DECODED = 200_000
+#: DuckDB's memory: a floor, and bytes per row of a query (for single pieces larger than a block).
+FLOOR_MB, ROW_BYTES = 160, 480
 
 ADJACENT = """
-  SELECT q.w, q.pos, q.npos, m.id AS mid, m.safe FROM (
+  SELECT q.w, q.pos, q.npos, m.id AS mid FROM (
     SELECT w, pos, id, lead(id) OVER x AS nid, lead(pos) OVER x AS npos
     FROM t WINDOW x AS (PARTITION BY w ORDER BY pos)) q
   JOIN merges m ON m.l = q.id AND m.r = q.nid
@@ -50,38 +62,45 @@ SHORT_STEP = f"""
   FROM t JOIN (
     SELECT w, arg_min(pos, k) AS hit, arg_min(mid, k) AS mid, arg_min(npos, k) AS gone
     FROM (SELECT *, (mid::BIGINT << 32) | pos AS k FROM ({ADJACENT})) GROUP BY w) g ON g.w = t.w
-  WHERE t.pos <> g.gone AND t.round < {ROUNDS}
-"""
-
-#: Occurrences of the minimum rank in each piece; of overlapping ones every second, from the left.
-HITS = f"""
-  SELECT w, pos, npos, mid FROM (
-    SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY pos) AS nth FROM (
-      SELECT *, sum(fresh) OVER (PARTITION BY w ORDER BY pos) AS run FROM (
-        SELECT *, CASE WHEN lag(npos) OVER (PARTITION BY w ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh
-        FROM (SELECT *, min(mid) OVER (PARTITION BY w) AS best FROM ({ADJACENT})) WHERE mid = best)))
-  WHERE nth % 2 = 1 AND (safe OR (run = 1 AND nth = 1))
+  WHERE t.pos <> g.gone AND t.round < $rounds
 """
 
-LONG_STEP = f"""
-  SELECT t.round + 1, t.w, t.pos, coalesce(h.mid, t.id)
-  FROM t JOIN (SELECT DISTINCT w FROM ({HITS})) live ON live.w = t.w
-  LEFT JOIN ({HITS}) h ON h.w = t.w AND h.pos = t.pos
-  LEFT JOIN ({HITS}) gone ON gone.w = t.w AND gone.npos = t.pos
-  WHERE t.round < {LONG_ROUNDS} AND gone.w IS NULL
+#: All contractions of the minimum rank where it is safe: in each run of overlapping pairs the first, third, ...
+LONG_STEP = """
+  SELECT round + 1, w, pos, CASE WHEN hit THEN mid ELSE id END FROM (
+    SELECT *, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone FROM (
+      SELECT *, coalesce(mid = best >> 32 AND (pos = best & 4294967295 OR safe AND (nth - other) % 2 = 1), false) AS hit FROM (
+        SELECT *, coalesce(max(CASE WHEN mid IS NULL OR mid <> best >> 32 THEN nth END) OVER (PARTITION BY w ORDER BY pos), 0) AS other FROM (
+          SELECT *, min(mid::BIGINT << 32 | pos) OVER (PARTITION BY w) AS best, row_number() OVER (PARTITION BY w ORDER BY pos) AS nth FROM (
+            SELECT q.*, m.id AS mid, m.safe
+            FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS nid FROM t) q LEFT JOIN merges m ON m.l = q.id AND m.r = q.nid))
+        WHERE best IS NOT NULL AND round < $rounds)))
+  WHERE NOT gone
 """
 
 
-def _query(step: str) -> str:
+def _query(step: str, rounds: int) -> str:
     return f"""
-      WITH RECURSIVE t(round, w, pos, id) AS (SELECT 0, w, pos, id FROM seed UNION ALL {step})
+      WITH RECURSIVE t(round, w, pos, id) AS (SELECT 0, w, pos, id FROM seed UNION ALL {step.replace("$rounds", str(rounds))})
       SELECT t.w AS w, any_value(t.round) AS round, list(id ORDER BY pos) AS ids
       FROM t JOIN (SELECT w, max(round) AS last FROM t GROUP BY w) z ON z.w = t.w AND z.last = t.round
       GROUP BY t.w
     """
 
 
-DECODE = "SELECT doc, string_agg(v.chars, '' ORDER BY pos) AS chars FROM toks JOIN vocab v USING (id) GROUP BY doc"
+DECODE = "SELECT part, string_agg(v.chars, '' ORDER BY pos) AS chars FROM toks JOIN vocab v USING (id) GROUP BY part"
+
+
+def _blocks(sizes: list[int], limit: int):
+    """Consecutive ranges of about ``limit`` in total (one element at least)."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > limit:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if len(sizes) > start:
+        yield start, len(sizes)
 
 
 class Tokenizer:
@@ -92,16 +111,17 @@ class Tokenizer:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        splits = [(t, t[:i], t[i:]) for t in self.ranks for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        late = {p for t, *parts in splits for p in parts if len(p) > 1 and self.ranks[p] > self.ranks[t]}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        merges = pa.table({
-            "l": pa.array([self.ranks[a] for _, a, _ in splits], pa.int32()),
-            "r": pa.array([self.ranks[b] for _, _, b in splits], pa.int32()),
-            "id": pa.array([self.ranks[t] for t, _, _ in splits], pa.int32()),
-            "safe": pa.array([t not in late for t, _, _ in splits], pa.bool_()),
-        })
+        left, right, ids, late = [], [], [], set()
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if a is not None and b is not None:
+                    left.append(a), right.append(b), ids.append(rank)
+                    late.update(p for p in (a, b) if p > rank)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{FLOOR_MB}MB", "temp_directory": ""})
+        merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "id": pa.array(ids, pa.int32()), "safe": pa.array([i not in late for i in ids], pa.bool_())})
         # bytes as the characters of the same numbers, so that tokens that end inside a character can be joined as text
         vocab = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})
         for name, table in (("merges", merges), ("vocab", vocab)):
@@ -110,11 +130,17 @@ class Tokenizer:
             self.db.unregister("given")
 
     def _table(self, sql: str, name: str, table: pa.Table) -> pa.Table:
+        """Run a query over one given table; a table beyond the usual block gets memory in proportion."""
+        large = table.num_rows * ROW_BYTES > FLOOR_MB << 20
+        if large:
+            self.db.execute(f"SET memory_limit = '{(table.num_rows * ROW_BYTES >> 20) + FLOOR_MB}MB'")
         self.db.register(name, table)
         try:
             return self.db.sql(sql).to_arrow_table()
         finally:
             self.db.unregister(name)
+            if large:
+                self.db.execute(f"SET memory_limit = '{FLOOR_MB}MB'")
 
     def merge(self, seqs: list[np.ndarray], long: bool) -> list[np.ndarray]:
         """The fixpoint of each sequence of token ids."""
@@ -124,22 +150,20 @@ class Tokenizer:
             sizes = np.array([len(seqs[i]) for i in open_])
             pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             seed = pa.table({"w": np.repeat(np.array(open_, np.int32), sizes), "pos": pos.astype(np.int32), "id": np.concatenate([seqs[i] for i in open_])})
-            got = self._table(_query(LONG_STEP if long else SHORT_STEP), "seed", seed).combine_chunks()
+            rounds = max(1, min(ROUNDS, ROUNDS * BLOCK // len(pos)))
+            got = self._table(_query(LONG_STEP if long else SHORT_STEP, rounds), "seed", seed).combine_chunks()
             ids = got["ids"].combine_chunks()
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
             flat, ends = ids.values.to_numpy(zero_copy_only=False).astype(np.int32), ids.offsets.to_numpy()
-            words, rounds = got["w"].to_numpy(), got["round"].to_numpy()
             open_ = []
-            for k, (w, r) in enumerate(zip(words.tolist(), rounds.tolist())):
+            for k, (w, r) in enumerate(zip(got["w"].to_pylist(), got["round"].to_pylist())):
                 seqs[w] = out[w] = flat[ends[k] : ends[k + 1]]
-                if r == (LONG_ROUNDS if long else ROUNDS):
+                if r == rounds:
                     open_.append(w)
         return out
 
     def learn(self, pieces: set[str]) -> None:
         """Put the token ids of new pieces among the kept ones."""
-        if len(self.kept) + len(pieces) > KEPT_PIECES:
-            self.kept.clear()
         short, long = [], []
         for p in pieces:
             raw = p.encode("utf-8", "surrogatepass")
@@ -148,43 +172,44 @@ class Tokenizer:
             else:
                 (long if len(raw) > LONG else short).append((p, raw))
         for group in (short, long):
-            at = 0
-            while at < len(group):
-                end, size = at, 0
-                while end < len(group) and (end == at or size + len(group[end][1]) <= BLOCK):
-                    size += len(group[end][1])
-                    end += 1
-                seqs = [self.of_byte[np.frombuffer(raw, np.uint8)] for _, raw in group[at:end]]
-                for (p, _), ids in zip(group[at:end], self.merge(seqs, group is long)):
+            for lo, hi in _blocks([len(raw) for _, raw in group], BLOCK):
+                seqs = [self.of_byte[np.frombuffer(raw, np.uint8)] for _, raw in group[lo:hi]]
+                for (p, _), ids in zip(group[lo:hi], self.merge(seqs, group is long)):
                     self.kept[p] = ids.astype("<u4").tobytes()
-                at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
+        if len(self.kept) > KEPT_PIECES:
+            self.kept, self.older = {}, self.kept
         cut = [self.pattern.findall(t) if t else [] for t in texts]
-        new = set().union(*cut)
-        self.learn(new if len(self.kept) + len(new) > KEPT_PIECES else new - self.kept.keys())
+        new = set().union(*cut).difference(self.kept)
+        self.kept.update((p, self.older[p]) for p in new.intersection(self.older))
+        self.learn(new.difference(self.older))
         kept = self.kept
         return [b"".join([kept[p] for p in pieces]) for pieces in cut]
 
+    def forget(self) -> None:
+        """Drop what was kept, at the end of a task; the vocabulary stays with the worker."""
+        self.kept, self.older = {}, {}
+
     def decode(self, encoded: list[bytes]) -> list[bytes]:
+        """The bytes of each id sequence, joined and put in order ``DECODED`` ids at a time."""
         sizes = np.array([len(e) // 4 for e in encoded], np.int64)
-        out = [b""] * len(encoded)
-        if not sizes.sum():
-            return out
-        ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)
-        toks = pa.table({"doc": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})
-        got = self._table(DECODE, "toks", toks)
-        for doc, chars in zip(got["doc"].to_pylist(), got["chars"].to_pylist()):
-            out[doc] = chars.encode("latin-1")
-        return out
+        out = [[] for _ in encoded]
+        ids, doc = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        for at in range(0, len(ids), DECODED):
+            some = doc[at : at + DECODED]
+            got = self._table(DECODE, "toks", pa.table({"part": some, "pos": np.arange(len(some), dtype=np.int32), "id": ids[at : at + DECODED]}))
+            for part, chars in zip(got["part"].to_pylist(), got["chars"].to_pylist()):
+                out[part].append(chars.encode("latin-1"))
+        return [b"".join(x) for x in out]
 
 
 _tokenizers: dict[tuple[str, str], Tokenizer] = {}
 
 
 def tokenizer(rank_file: str, pattern: str) -> Tokenizer:
-    """One tokenizer per worker process, so that its kept pieces outlive a task."""
+    """One tokenizer per worker process, so that the vocabulary is read once."""
     if (rank_file, pattern) not in _tokenizers:
         _tokenizers[rank_file, pattern] = Tokenizer(rank_file, pattern)
     return _tokenizers[rank_file, pattern]
@@ -195,7 +220,8 @@ def encode_texts(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
 
     def make():
         tok = tokenizer(rank_file, pattern)
-        return lambda texts: [[np.frombuffer(e, "<u4").astype(np.int32) for e in tok.encode(texts)]]
+        yield lambda texts: [[np.frombuffer(e, "<u4").astype(np.int32) for e in tok.encode(texts)]]
+        tok.forget()
 
     return map_texts(df, make, [("ids", T.ArrayType(T.IntegerType()))], id_col, text_col, SLICE)
 
@@ -227,7 +253,8 @@ def token_digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
             sha = lambda xs: [hashlib.sha256(x).hexdigest() for x in xs]
             return [[len(e) // 4 for e in ids], sha(ids), sha(back)]
 
-        return digests
+        yield digests
+        tok.forget()
 
     columns = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     return map_texts(df, make, columns, id_col, text_col, SLICE)

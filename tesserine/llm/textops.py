@@ -8,6 +8,8 @@ bounded size so that one worker never holds more than a slice of decoded texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
+from inspect import isgeneratorfunction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +56,8 @@ def map_texts(
     """One row per row of ``df``: its id and the columns that the mapper computes from its whole text.
 
     ``make`` builds the mapper once per task; the mapper takes a list of texts (null: None)
-    and returns one list per output column. Other columns of ``df`` are not read, so names
+    and returns one list per output column. A ``make`` that yields its mapper goes on at the end
+    of the task, to release what it holds. Other columns of ``df`` are not read, so names
     that clash with an output column do no harm.
     """
     small_batches(df.sparkSession)
@@ -62,13 +65,13 @@ def map_texts(
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapper = make()
-        for batch in batches:
-            for part in sized_slices(batch, 1, limit):
-                out = mapper(part.column(1).to_pylist())
-                arrays = [part.column(0).cast(arrow.field(0).type)]
-                arrays += [pa.array(v, type=arrow.field(k + 1).type) for k, v in enumerate(out)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        with contextmanager(make)() if isgeneratorfunction(make) else nullcontext(make()) as mapper:
+            for batch in batches:
+                for part in sized_slices(batch, 1, limit):
+                    out = mapper(part.column(1).to_pylist())
+                    arrays = [part.column(0).cast(arrow.field(0).type)]
+                    arrays += [pa.array(v, type=arrow.field(k + 1).type) for k, v in enumerate(out)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 

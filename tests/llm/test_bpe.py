@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -17,7 +19,6 @@ def library():
 
 
 def texts():
-    import random
 
     rng = random.Random(3)
     word = lambda n, a: "".join(rng.choice(a) for _ in range(n))
@@ -29,10 +30,11 @@ def texts():
 
 
 def test_same_ids_as_the_library_and_round_trip(spark, library):
-    rows = [(i, t, -1) for i, t in enumerate(texts())]
+    rows = [(i, t, -1) for i, t in enumerate(texts())] + [(None, "no id, twice", 0), (None, "no id, twice", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(2)
     out = {r.doc_id: r for r in bpe.token_digests(df, RANKS, P.PATTERN).collect()}
-    for i, t, _ in rows:
+    assert out[None].decoded_sha256 == hashlib.sha256(b"no id, twice").hexdigest()
+    for i, t, _ in rows[:-2]:
         want = library.encode_ordinary(t or "")
         assert out[i].n_tokens == len(want), (i, (t or "")[:40])
         assert out[i].ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in want)).hexdigest(), i
@@ -53,3 +55,49 @@ def test_kept_pieces_are_bounded(library, monkeypatch):
     tok = bpe.Tokenizer(RANKS, P.PATTERN)
     for text in ("unwonted splendour of things", "thrumming anthills everywhere in rows", "unwonted"):
         assert tok.encode([text])[0] == b"".join(x.to_bytes(4, "little") for x in library.encode_ordinary(text))
+
+
+def plain(ids, merges):
+    """The leftmost pair of minimum rank, one at a time."""
+    ids = list(ids)
+    while True:
+        best = min(((merges.get((a, b), 1 << 30), i) for i, (a, b) in enumerate(zip(ids, ids[1:]))), default=(1 << 30, 0))
+        if best[0] == 1 << 30:
+            return ids
+        ids[best[1] : best[1] + 2] = [best[0]]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_long_rounds_equal_the_plain_order_on_random_vocabularies(tmp_path, monkeypatch, seed):
+    rng = random.Random(seed)
+    ranks = {bytes([i]): i for i in range(256)}
+    grown = [b"a", b"b", b"c"]
+    while len(ranks) < 256 + 60:
+        new = rng.choice(grown) + rng.choice(grown)
+        if len(new) <= 12 and new not in ranks:
+            ranks[new] = -1
+            grown.append(new)
+    late = list(range(256, len(ranks)))
+    rng.shuffle(late)  # parts may rank behind the tokens that they make
+    ranks |= dict(zip([t for t, r in ranks.items() if r < 0], late))
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    monkeypatch.setattr(bpe, "ROUNDS", 3)
+    tok = bpe.Tokenizer(str(tmp_path / "ranks"), P.PATTERN)
+    merges = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+    words = [rng.choices(b"abc", k=rng.randint(2, 60)) for _ in range(150)] + [b"a" * 41, b"ab" * 33, b"abc" * 30]
+    seqs = lambda: [np.array(list(w), np.int32) for w in words]
+    want = [plain(w, merges) for w in words]
+    assert [x.tolist() for x in tok.merge(seqs(), False)] == want
+    assert [x.tolist() for x in tok.merge(seqs(), True)] == want
+
+
+def test_very_long_piece_and_text(library, monkeypatch):
+    monkeypatch.setattr(bpe, "DECODED", 1000)
+    monkeypatch.setattr(bpe, "BLOCK", 1000)
+    tok = bpe.Tokenizer(RANKS, P.PATTERN)
+    rng = random.Random(1)
+    one = "".join(rng.choice("etaoinsrhl") for _ in range(3_000))  # one piece above a block
+    many = "some words over and over " * 2_000
+    got = tok.encode([one, many, None])
+    assert got[0] == np.array(library.encode_ordinary(one), "<u4").tobytes() and got[1] == np.array(library.encode_ordinary(many), "<u4").tobytes() and got[2] == b""
+    assert tok.decode(got) == [one.encode(), many.encode(), b""]
