@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import Protocol
 
 import numpy as np
@@ -32,23 +34,25 @@ class HashedEmbedder:
     """Signed counts of hashed lower-case words (ASCII letters and digits), L2-normalised.
 
     Bucket and sign of a word come from its MD5, so that other engines can follow. Null and texts
-    without words give zeros. Runs as one Arrow-batched function; hashes of words are cached.
+    without words give zeros. Runs over Arrow batches; the slots of words are kept between texts.
     """
 
-    def __init__(self, length: int = 32):
+    def __init__(self, length: int = 128):
         self.length = length
 
+    def slot(self, word: str) -> int:
+        """Twice the bucket, and one more for words that count down."""
+        h = hashlib.md5(word.encode()).hexdigest()
+        return int(h[:8], 16) % self.length * 2 + (int(h[8], 16) >= 8)
+
     def counts(self, text: str | None, kept: dict) -> np.ndarray:
-        out = np.zeros(self.length)
-        for w in WORD.findall((text or "").lower()):
-            if w not in kept:
-                if len(kept) > 200_000:
-                    kept.clear()
-                h = hashlib.md5(w.encode()).hexdigest()
-                kept[w] = int(h[:8], 16) % self.length, 1.0 if int(h[8], 16) < 8 else -1.0
-            at, sign = kept[w]
-            out[at] += sign
-        return l2(out)
+        words = WORD.findall(text.lower()) if text else []
+        if len(kept) > 200_000:
+            kept.clear()
+        for w in set(words).difference(kept):
+            kept[w] = self.slot(w)
+        up_down = np.bincount(np.fromiter(map(kept.__getitem__, words), np.int64, len(words)), minlength=2 * self.length)
+        return l2((up_down[::2] - up_down[1::2]).astype(float))
 
     def column(self, text: Column) -> Column:
         counts = self.counts
@@ -94,55 +98,61 @@ class CachedEmbedder:
         return l2(np.asarray(self.load()([self.query_prompt + text])[0], float))
 
 
-def split_text(text: str, size: int, removed: list[str], kept: list[str]) -> list[str]:
-    """Pieces of at most ``size`` characters where separators allow it, in order.
+BLANKS = re.compile(r"[ \t\n\r\f\v]+")
+
+
+def cuts(flat: str, size: int, separators: list[str]) -> list[int]:
+    """Offsets at which a text is cut into pieces, its two ends among them.
 
-    A longer piece is cut at the first separator that occurs in it: removed ones first, then kept
-    ones and the blank, which stay at the end of their piece followed by a blank.
+    A cut lies behind an occurrence of a separator and the blank after it. Separators count in the
+    order given, each inside those pieces only that are still longer than ``size``.
     """
-    out: list[str] = []
-    todo = [text]
-    while todo:
-        piece = todo.pop()
-        if len(piece) > size:
-            flat = " ".join(piece.split())
-            for sep in [*removed, *kept, " "]:
-                parts = flat.split(sep)
-                tail = "" if sep in removed else sep + " "
-                cut = [p + (tail if i < len(parts) - 1 else "") for i, p in enumerate(parts) if p]
-                if len(cut) > 1:
-                    todo += reversed(cut)
-                    break
-            else:
-                out.append(piece)
-        else:
-            out.append(piece)
-    return out
+    ends = np.array([0, len(flat)])
+    for sep in separators:
+        behind = np.array([m.end() for m in re.finditer(re.escape(sep) + " ?", flat)], np.int64)
+        piece = np.searchsorted(ends, behind)
+        ends = np.union1d(ends, behind[np.diff(ends)[np.maximum(piece, 1) - 1] > size])
+    return ends.tolist()
 
 
 def chunk_text(text: str | None, size: int = 250, overlap: int = 20, kept: list[str] | None = None, removed: list[str] | None = None) -> list[str]:
-    """Chunks of about ``size`` characters; each starts with whole pieces of its predecessor, ``overlap`` characters at most."""
-    if not text:
-        return []
-    pieces = split_text(text, size, ["\n"] if removed is None else removed, [".", "!", "?"] if kept is None else kept)
-    chunks, window, length = [], [], 0
-    for p in [*pieces, None]:
-        if p is None or length + len(p) > size:
-            chunks.append(" ".join("".join(window).split()))
-            while p is not None and window and (length > overlap or length + len(p) > size):
-                length -= len(window.pop(0))
-        if p is not None:
-            window.append(p)
-            length += len(p)
-    return [c for c in chunks if c]
+    """Chunks of at most ``size`` characters where separators allow it.
 
-
-def chunked(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """One row per chunk: id (``parent#position``), origin_id, position and chunk."""
+    Blanks are squeezed. A text that fits is one chunk. A longer one is cut at ``removed`` separators
+    (which are left out), then at ``kept`` ones, then at blanks (see ``cuts``). A chunk takes pieces as
+    long as they fit, one at least; the next begins with the last whole pieces of its predecessor
+    that make up at most ``overlap`` characters and leave room for the piece that comes next.
+    """
+    flat = BLANKS.sub(" ", text or "").strip(" ")
+    removed, kept = ["\n"] if removed is None else removed, [".", "!", "?"] if kept is None else kept
+    if len(flat) <= size:
+        return [flat] if flat else []
+    ends = cuts(flat, size, [*removed, *kept, " "])
+    pieces = [flat[a:b] for a, b in zip(ends, ends[1:])]
+    for sep in removed:
+        pieces = [p.rstrip(" ").removesuffix(sep) if p.rstrip(" ").endswith(sep) else p for p in pieces]
+    total = [0, *accumulate(map(len, pieces))]
+    out, first, last = [], 0, 0
+    while last < len(pieces):
+        last = max(last + 1, bisect_right(total, total[first] + size) - 1)
+        out.append("".join(pieces[first:last]).strip(" "))
+        if last < len(pieces):
+            room = max(0, min(overlap, size - len(pieces[last])))
+            first = bisect_left(total, total[last] - room, first, last)
+    return [c for c in out if c]
+
+
+def chunk_column(text: Column, **options) -> Column:
+    """The chunks of a text column (see ``chunk_text``); null and blank texts have none."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunk_text(t, **options))
 
-    rows = df.select(F.col(id_col).cast("string").alias("origin_id"), F.posexplode(cut(text_col)).alias("position", "chunk"))
+    return cut(text)
+
+
+def chunked(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """One row per chunk: id (``parent#position``), origin_id, position and chunk."""
+    rows = df.select(F.col(id_col).cast("string").alias("origin_id"), F.posexplode(chunk_column(F.col(text_col), **options)).alias("position", "chunk"))
     return rows.select(F.concat_ws("#", "origin_id", "position").alias("id"), "origin_id", "position", "chunk")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tesserine.schema import SchemaError
+
 #: Terms up to which a sum is written out; longer ones outgrow what the JIT compiles.
 UNROLL = 24
 
@@ -91,3 +93,28 @@ def part(vector: Column, offset: int, length: int) -> Column:
 def l2(values: np.ndarray) -> np.ndarray:
     n = math.sqrt(float((values * values).sum()))
     return values / n if n else values
+
+
+def weighted_sum(items: list[tuple[np.ndarray, float]], filters: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of weighted vectors and which of its dimensions hold a negative filter.
+
+    ``filters`` marks per vector the dimensions that hold one; they are left out of the sum. A
+    dimension that sums to 0 takes its filter back; two different filters in one dimension are an
+    error. Vectors of weight 0 count for nothing, and a single vector is only scaled.
+    """
+    masks = filters or [np.zeros(len(v), bool) for v, _ in items]
+    have = [(np.asarray(v, float), w, m) for (v, w), m in zip(items, masks) if w]
+    if not have:
+        return np.zeros(len(items[0][0]) if items else 0), np.zeros(len(items[0][0]) if items else 0, bool)
+    if len(have) == 1:
+        v, w, mask = have[0]
+        return np.where(mask, v, v * w), mask
+    total = sum(np.where(m, 0.0, v) * w for v, w, m in have)
+    marked = np.stack([m for *_, m in have])
+    values = np.where(marked, np.stack([v for v, *_ in have]), np.nan)
+    any_filter = marked.any(axis=0)
+    low, high = (f(np.where(marked, values, start), axis=0) for f, start in ((np.min, np.inf), (np.max, -np.inf)))
+    if (low[any_filter] != high[any_filter]).any():
+        raise SchemaError("vectors with different negative filters in one dimension cannot be added")
+    back = any_filter & (total == 0)
+    return np.where(back, low, total), back

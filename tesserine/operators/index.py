@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.operators.spaces import Context, Space
-from tesserine.schema import AnyOf, CreatedAtField, Field, IdField, Predicate, Schema, SchemaError, SchemaReference
+from tesserine.schema import KEY, AnyOf, CreatedAtField, Field, IdField, Predicate, Schema, SchemaError, SchemaReference
+
+#: Column with the id of the document that a chunk is cut from.
+ORIGIN = "__origin_id"
 
 
 @dataclass(frozen=True)
@@ -101,12 +104,33 @@ class Index:
         return [f for f in schema.fields.values() if (schema, f.name) not in self.excluded and f.column != "id"]
 
     def rows(self, schema: Schema, df: DataFrame) -> DataFrame:
-        """The indexed rows of one schema from rows in the schema's form (see ``Schema.read``)."""
+        """The indexed rows of one schema from rows in the schema's form (see ``Schema.read``).
+
+        A text that is indexed in chunks adds a row per chunk: its id is the document's with ``#`` and
+        the chunk's position (and the space's, where several spaces have chunks), ``ORIGIN`` the
+        document's id. Such a row has the chunk's vector, the document's values in the other spaces,
+        and no fields.
+        """
         raws = []
         for s in self.spaces:
             raw = s.source(schema)
             raws.append((F.lit(None).cast(s.raw_type) if raw is None else raw).alias(self.raw_column(s)))
-        return df.select("id", *[f.column for f in self.kept_fields(schema)], *raws)
+        kept = [f.column for f in self.kept_fields(schema)]
+        key = [KEY] if KEY in df.columns else []
+        out = df.select("id", *key, *kept, *raws)
+        cut = [s for s in self.spaces if schema in getattr(s, "chunked", {})]
+        if not cut:
+            return out
+        out = out.withColumn(ORIGIN, F.lit(None).cast("string"))
+        for s in cut:
+            c = s.chunked[schema]
+            column, mark = c.field.column, f"#{self.position(s)}." if len(cut) > 1 else "#"
+            parts = df.select("*", F.posexplode(c.chunks(F.col(column))).alias("__pos", "__chunk"))
+            ids = [F.concat(F.col("id"), F.lit(mark), F.col("__pos").cast("string")).alias("id"), *[F.lit(None).cast("long").alias(k) for k in key]]
+            fields = [F.lit(None).cast(df.schema[f].dataType).alias(f) for f in kept]
+            values = [(s.raw(F.col("__chunk")) if other is s else raw).alias(self.raw_column(other)) for other, raw in zip(self.spaces, raws)]
+            out = out.unionByName(parts.select(*ids, *fields, *values, F.col("id").alias(ORIGIN)))
+        return out
 
     def stored_part(self, space: Space, ctx: Context) -> Column:
         return space.stored(F.col(self.raw_column(space)), self.scale, ctx)

@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tesserine.functions import vectors as V
-from tesserine.functions.text import HashedEmbedder, TextEmbedder
+from tesserine.functions.text import HashedEmbedder, TextEmbedder, chunk_column
 from tesserine.schema import Blob, DescribedBlob, Field, Float, FloatList, Integer, Schema, SchemaError, String, StringList, Timestamp
 
 DAY = 86_400
@@ -118,7 +118,8 @@ class Space:
     @property
     def name(self) -> str:
         f = next(iter(self.fields.values()))
-        return f"{type(self).__name__}({'+'.join(x.name for x in (f.blob, f.text)) if isinstance(f, DescribedBlob) else f.name})"
+        of = "+".join(x.name for x in (f.blob, f.text)) if isinstance(f, DescribedBlob) else f.name
+        return f"{type(self).__name__}({of}{f', {self.salt}' if self.salt else ''})"
 
     def source(self, schema: Schema) -> Column | None:
         """The raw value of a row of ``schema``; None where the schema has no field here (events alone fill it)."""
@@ -321,6 +322,12 @@ class CategoricalSimilaritySpace(Space):
         total = marks[marks > 0].sum() + max(0.0, missing)
         return marks * (self.root / total) if total > 0 else marks
 
+    def labels(self, raw: Column) -> Column:
+        """The categories that a row has; what lies outside all of them is the longest category with ``_`` behind it."""
+        names = [*self.categories, f"{max(self.categories, key=lambda c: len(c), default='')}_"]
+        marks = F.array(*[F.when(F.get(raw, F.lit(i)) != 0, F.lit(n)) for i, n in enumerate(names)])
+        return F.when(raw.isNotNull(), F.array_compact(marks))
+
 
 class VectorSpace(Space):
     """Unit vectors; inputs of a query are summed with their weights and brought to unit length."""
@@ -338,12 +345,8 @@ class VectorSpace(Space):
         raise NotImplementedError
 
     def query(self, inputs, items, ctx):
-        total = np.zeros(self.length)
-        for value, weight in inputs:
-            total += weight * self._input(value)
-        for raw, weight in items:
-            total += weight * (np.zeros(self.length) if raw is None else np.asarray(raw, float))
-        return V.l2(total)
+        have = [(self._input(value), weight) for value, weight in inputs] + [(np.asarray(raw, float), weight) for raw, weight in items if raw is not None]
+        return V.l2(V.weighted_sum(have)[0]) if have else np.zeros(self.length)
 
 
 class CustomSpace(VectorSpace):
@@ -365,13 +368,35 @@ class CustomSpace(VectorSpace):
         return V.l2(np.asarray(value, float))
 
 
+@dataclass(frozen=True, eq=False)
+class Chunk:
+    """A text field that is indexed whole and in chunks (see ``chunk``)."""
+
+    field: String
+    options: tuple
+
+    def chunks(self, text: Column) -> Column:
+        return chunk_column(text, **dict(self.options))
+
+
+def chunk(text: String, chunk_size: int = 250, chunk_overlap: int = 20, split_chars_keep: list[str] | None = None, split_chars_remove: list[str] | None = None) -> Chunk:
+    """``TextSimilaritySpace(chunk(doc.body))``: every chunk becomes a row of the index beside its document."""
+    if not isinstance(text, String):
+        raise SchemaError("only a text field has chunks")
+    if chunk_size <= 0 or not 0 <= chunk_overlap <= chunk_size:
+        raise SchemaError("a chunk has a size above 0 and an overlap of at most that")
+    return Chunk(text, (("size", chunk_size), ("overlap", chunk_overlap), ("kept", split_chars_keep), ("removed", split_chars_remove)))
+
+
 class TextSimilaritySpace(VectorSpace):
     """Embedded texts; the embedder is a plug-in and needs no model by default."""
 
     accepts = (String,)
 
     def __init__(self, text, embedder: TextEmbedder | None = None, salt: str | None = None):
-        super().__init__(text, salt)
+        given = text if isinstance(text, (list, tuple)) else [text]
+        self.chunked = {c.field.schema: c for c in given if isinstance(c, Chunk)}
+        super().__init__([c.field if isinstance(c, Chunk) else c for c in given], salt)
         self.embedder = embedder or HashedEmbedder()
         self.length = self.embedder.length
 

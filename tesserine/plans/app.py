@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,20 +12,25 @@ from tesserine.operators.effects import apply_effects
 from tesserine.operators.index import Index
 from tesserine.operators.spaces import Context
 from tesserine.plans.query import Query, QueryPlan
-from tesserine.schema import Schema, SchemaError
+from tesserine.schema import AT, KEY, Schema, SchemaError, condition, has_fields, with_ids
 from tesserine.sources.readers import DataLoaderConfig, from_rows, load
-from tesserine.sources.store import upsert
+from tesserine.sources.store import merged, write_shared
+
+
+#: Batches of a schema that are merged when it is read; beyond them the merged rows are written once.
+MOST_BATCHES = 8
 
 
 class Source:
     """Rows of one schema; ``mapping`` names the columns or dot paths that its fields come from.
 
     Rows are merged by id. ``unique`` says that a first batch has one row per id already, which
-    spares the merge and leaves the scan open to pushed filters.
+    spares the merge and leaves the scan open to pushed filters. ``order`` names the column that
+    says which of two rows with one id is the later.
     """
 
-    def __init__(self, schema: Schema, mapping: dict | None = None, loader: DataLoaderConfig | None = None, unique: bool = False):
-        self.schema, self.mapping, self.loader, self.unique, self.app = schema, mapping, loader, unique, None
+    def __init__(self, schema: Schema, mapping: dict | None = None, loader: DataLoaderConfig | None = None, unique: bool = False, order: str | None = None):
+        self.schema, self.mapping, self.loader, self.unique, self.order, self.app = schema, mapping, loader, unique, order, None
 
     def put(self, rows) -> None:
         """A DataFrame, a pandas frame, a dictionary or a list of them; merged by id."""
@@ -56,17 +62,32 @@ class QueryResult:
 
     def to_json(self) -> DataFrame:
         """One JSON text per row; bytes as base64."""
-        return self.frame.select(F.to_json(F.struct(*[F.base64(c).alias(c) if t == "binary" else F.col(c) for c, t in self.frame.dtypes])).alias("value"))
+        return self.convert(serializable).select(F.to_json(F.struct("*")).alias("value"))
+
+    def convert(self, converter: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The rows as a converter makes them, ``serializable`` for one."""
+        return self.frame.transform(converter)
+
+
+def serializable(df: DataFrame) -> DataFrame:
+    """Rows of plain values: bytes as base64 text, vectors as lists of floats."""
+    cast = {"binary": F.base64, "array<double>": lambda c: c.cast("array<float>")}
+    return df.select(*[cast[t](F.col(c)).alias(c) if t in cast else F.col(c) for c, t in df.dtypes])
 
 
 class App:
-    """``App(spark, sources, indexes, now=…)``; ``query`` returns a lazy result."""
+    """``App(spark, sources, indexes, now=…)``; ``query`` returns a lazy result.
+
+    ``queue`` is called with the schema's name and each raw dictionary that is put (DataFrames are
+    not passed on). ``return_origin_id`` gives chunks their document's id in results.
+    """
 
-    def __init__(self, spark: SparkSession, sources, indices, now: int | None = None, distinct_events: bool = False):
+    def __init__(self, spark: SparkSession, sources, indices, now: int | None = None, distinct_events: bool = False, return_origin_id: bool = False, queue: Callable[[str, dict], None] | None = None):
         self.spark = spark
         self.sources = list(sources) if isinstance(sources, (list, tuple)) else [sources]
         self.indices: list[Index] = list(indices) if isinstance(indices, (list, tuple)) else [indices]
-        self.now, self.distinct_events = now, distinct_events
+        self.now, self.distinct_events, self.return_origin_id, self.queue = now, distinct_events, return_origin_id, queue
+        self.batches: dict[Schema, list[DataFrame]] = {}
         self.tables: dict[Schema, DataFrame] = {}
         for s in self.sources:
             s.app = self
@@ -74,13 +95,25 @@ class App:
                 self.ingest(s, load(spark, s.loader))
 
     def ingest(self, source: Source, rows) -> None:
-        schema = source.schema
+        """Add a batch. All batches of a schema are merged in one shuffle; every ``MOST_BATCHES`` the result is written, which cuts its lineage."""
+        schema, held = source.schema, self.batches.setdefault(source.schema, [])
         if isinstance(rows, (dict, list, tuple)):
+            rows = [rows] if isinstance(rows, dict) else list(rows)
+            for row in rows if self.queue else ():
+                self.queue(schema.schema_name, row)
             df = from_rows(self.spark, schema, rows, source.mapping)
         else:
-            df = schema.read(rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows), source.mapping)
-        old = self.tables.get(schema)
-        self.tables[schema] = df if source.unique and old is None else upsert(old, df, "id")
+            df = schema.read(rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows), source.mapping, keep_key=source.unique and not held, order=source.order)
+        if source.unique and not held:
+            held.append(df)
+            self.tables[schema] = df.drop(AT)
+            return
+        held.append(df)
+        table = merged([b.drop(KEY) for b in held])
+        if len(held) >= MOST_BATCHES:
+            table = write_shared(table)
+            held[:] = [table]
+        self.tables[schema] = table
 
     def clock(self) -> int:
         import time
@@ -102,20 +135,28 @@ class App:
         index = query.index
 
         def stored(schema: Schema, entity: str) -> dict:
-            found = self.rows(index, schema).filter(F.col("id") == entity).limit(1).collect()
+            found = with_ids(self.rows(index, schema), [entity]).limit(1).collect()
             if not found:
                 raise SchemaError(f"{schema.schema_name} has no {entity}")
             return found[0].asDict()
 
-        plan = query.bind(params, stored, self.clock(), strategy)
+        plan = replace(query.bind(params, stored, self.clock(), strategy), origin_id=self.return_origin_id)
         return QueryResult(plan.frame(self.rows(index, query.schema)), plan)
 
     def vectors(self, index: Index, schema: Schema, ids: list[str] | None = None) -> DataFrame:
         """(id, vector): stored vectors, of given ids or all."""
         rows = self.rows(index, schema)
         if ids is not None:
-            rows = rows.filter(F.col("id").isin([str(i) for i in ids]))
+            rows = with_ids(rows, [str(i) for i in ids])
         return index.with_vectors(rows, Context(self.clock())).select("id", "vector")
 
+    def entities(self, schema: Schema, filters=(), fields=()) -> DataFrame:
+        """Stored rows of a schema that satisfy all ``filters`` and have a value in each of ``fields``."""
+        rows = self.tables[schema]
+        where = condition([[(p, p.value) for p in f.members] for f in filters])
+        if where is not None:
+            rows = rows.filter(where)
+        return rows.filter(has_fields(fields)).drop(KEY)
+
 
 InMemoryExecutor = InteractiveExecutor = App

@@ -257,9 +257,9 @@ _index = Index(_text, fields=[document.lang])
 _HASHED = """regexp_extract_all(lower({0}), '[a-z0-9]+')"""
 register("text_similar", _index, Query(_index).find(document).similar(_text, Param("about")).filter(document.lang != "de").limit(50), f"""
 WITH w AS (SELECT doc_id, unnest({_HASHED.format('text')}) AS w FROM documents WHERE lang IS DISTINCT FROM 'de'),
-  h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 32 AS b, CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT < 8 THEN 1.0 ELSE -1.0 END AS s FROM w),
+  h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 128 AS b, CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT < 8 THEN 1.0 ELSE -1.0 END AS s FROM w),
   c AS (SELECT doc_id, b, sum(s) AS n FROM h GROUP BY ALL),
-  q AS (SELECT ('0x' || substr(md5(w), 1, 8))::BIGINT % 32 AS b, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT < 8 THEN 1.0 ELSE -1.0 END) AS m FROM (SELECT unnest({_HASHED.format("'the and of worthless stories'")}) AS w) GROUP BY b),
+  q AS (SELECT ('0x' || substr(md5(w), 1, 8))::BIGINT % 128 AS b, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT < 8 THEN 1.0 ELSE -1.0 END) AS m FROM (SELECT unnest({_HASHED.format("'the and of worthless stories'")}) AS w) GROUP BY b),
   d AS (SELECT c.doc_id, coalesce(sum(n * m), 0) / nullif(sqrt(sum(n * n)), 0) / (SELECT sqrt(sum(m * m)) FROM q) AS s FROM c LEFT JOIN q USING (b) GROUP BY c.doc_id)
 SELECT id, round(s, 6) + 0.0 AS score FROM (SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(s, 0) AS s FROM documents LEFT JOIN d USING (doc_id) WHERE lang IS DISTINCT FROM 'de') ORDER BY round(s, 12) DESC, id LIMIT 50""", about="the and of worthless stories")
 
@@ -271,6 +271,32 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["text_chunks"] = text_chunks
+#: Pieces by one list step per separator, then one recursive row per chunk over the running lengths of the pieces.
+_CUT = r"""list_concat([], flatten(list_transform({0}, lambda p: CASE WHEN len(p) > {2} THEN regexp_extract_all(p, '[^{1}]*[{1}] ?|[^{1}]+') ELSE [p] END)))"""
+
+
+def _chunks_sql(size: int, overlap: int, source: str) -> str:
+    """(id, pos, chunk) of ``source`` (id, text)."""
+    pieces = "[flat]"
+    for sep in ".!? ":
+        pieces = _CUT.format(pieces, sep, size)
+    return rf"""
+WITH RECURSIVE
+  f AS (SELECT id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS flat FROM {source}),
+  p AS (SELECT id, {pieces} AS p FROM f WHERE flat <> ''),
+  x AS (SELECT id, generate_subscripts(p, 1) AS i, len(unnest(p)) AS n FROM p),
+  c AS (SELECT id, i, n, sum(n) OVER (PARTITION BY id ORDER BY i) AS t FROM x),
+  l AS (SELECT id, list(n ORDER BY i) AS n, list_concat([0], list(t ORDER BY i)) AS t FROM c GROUP BY id),
+  w(id, k, a, b) AS (
+    SELECT id, 0, 0, greatest(1, len(list_filter(t, lambda y: y <= {size})) - 1) FROM l
+    UNION ALL
+    SELECT id, k + 1, a, greatest(b + 1, len(list_filter(t, lambda y: y <= t[a + 1] + {size})) - 1) FROM (
+      SELECT w.id, k, b, t, len(list_filter(t, lambda y: y < t[b + 1] - greatest(0, least({overlap}, {size} - n[b + 1])))) AS a
+      FROM w JOIN l ON l.id = w.id WHERE b < len(n)))
+SELECT w.id, k AS pos, trim(array_to_string(p[a + 1:b], ''), ' ') AS chunk FROM w JOIN p ON p.id = w.id"""
+
+
+ORACLES["text_chunks"] = f"SELECT id, count(*) AS n_chunks, sum(len(chunk))::BIGINT AS n_chars, max(len(chunk)) AS longest FROM ({_chunks_sql(250, 20, '(SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents)')}) WHERE chunk <> '' GROUP BY id"
 
 
 # events ----------------------------------------------------------------------

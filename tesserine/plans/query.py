@@ -10,15 +10,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserine.operators.index import Index
+from tesserine.operators.index import ORIGIN, Index
 from tesserine.operators.spaces import Context, NumberSpace, Space
-from tesserine.schema import AnyOf, Predicate, Schema, SchemaError
+from tesserine.schema import AnyOf, Predicate, Schema, SchemaError, with_ids
 from tesserine.sources.store import write_shared
 
 
@@ -39,6 +40,20 @@ class Param:
         return value
 
 
+@dataclass(frozen=True)
+class QueryUserConfig:
+    """What a query returns beside its rows; ``with_metadata`` asks for partial scores."""
+
+    with_metadata: bool = False
+
+
+#: How a comparison is called in the name that its value gets.
+OPERATION_NAMES = {
+    "==": "be_equal_to", "!=": "not_be_equal_to", ">": "be_greater_than", "<": "be_less_than", ">=": "be_greater_than_or_equal_to",
+    "<=": "be_less_than_or_equal_to", "in": "be_in", "not_in": "not_be_in", "contains": "contain", "not_contains": "not_contain", "contains_all": "contain_all_of",
+}
+
+
 @dataclass(frozen=True)
 class QueryPlan:
     """A bound query: everything but the rows."""
@@ -55,6 +70,7 @@ class QueryPlan:
     partial_scores: bool
     search_params: Mapping[str, object]
     strategy: str = "auto"
+    origin_id: bool = False
 
     @property
     def search_vector(self) -> np.ndarray:
@@ -67,12 +83,18 @@ class QueryPlan:
         where = condition([[(p, v) for p, v in g] for g in self.groups])
         if where is not None:
             rows = rows.filter(where)
+        for g in self.groups:  # one comparison of the id alone is made in the scan, too
+            if len(g) == 1 and g[0][0].field.column == "id" and g[0][0].op in ("==", "in"):
+                rows = with_ids(rows, [str(v) for v in ([g[0][1]] if g[0][0].op == "==" else g[0][1])])
         index, ctx = self.index, self.context
+        if not any(self.schema in s.fields for s in index.spaces):  # only events give such rows a vector
+            rows = rows.filter(reduce(lambda a, b: a | b, [F.col(index.raw_column(s)).isNotNull() for s in index.spaces]))
         parts = [s.score(F.col(index.raw_column(s)), q, index.scale, ctx, self.strategy) for s, q in zip(index.spaces, self.parts)]
         each = [f"__part_{i}" for i in range(len(parts))]
         keep = ["id", *self.fields]
         raws = [index.raw_column(s) for s in self.metadata]
-        scored = rows.select(*keep, *[c for c in dict.fromkeys(raws)], *[p.alias(n) for p, n in zip(parts, each)])
+        origin = [ORIGIN] if self.origin_id and ORIGIN in rows.columns else []
+        scored = rows.select(*keep, *origin, *[c for c in dict.fromkeys(raws)], *[p.alias(n) for p, n in zip(parts, each)])
         total = F.lit(0.0)
         for n in each:
             total = total + F.col(n)
@@ -82,7 +104,7 @@ class QueryPlan:
         scored = scored.orderBy(F.desc(F.round("score", 12)), F.asc("id"))
         if self.limit and self.limit > 0:
             scored = scored.limit(self.limit)
-        out = [*keep, "score"]
+        out = [F.coalesce(ORIGIN, "id").alias("id") if origin else "id", *self.fields, "score"]
         extra = []
         if self.partial_scores:
             extra.append(F.array(*each).alias("partial_scores"))
@@ -184,7 +206,10 @@ class Query:
         return self._one("override_now", now_=now)
 
     def include_metadata(self) -> Query:
-        return replace(self, partial=True)
+        return self.replace_user_config(QueryUserConfig(with_metadata=True))
+
+    def replace_user_config(self, config: QueryUserConfig) -> Query:
+        return replace(self, partial=config.with_metadata)
 
     def with_natural_query(self, text: object, filler) -> Query:
         """Unset parameters are filled from ``text`` by ``filler`` (see ``tesserine.plans.natural``)."""
@@ -253,7 +278,8 @@ class Query:
                 if v is None and isinstance(p.value, Param):
                     continue  # an unbound parameter leaves its filter out
                 members.append((p, v))
-                search[f"hard_filter_{p.field.name}_{p.op}_{n}_param__"] = v
+                name = p.value.name if isinstance(p.value, Param) else f"hard_filter_{p.field.name}_{OPERATION_NAMES[p.op]}_param__"
+                search[name if name not in search else f"{name}{n}__"] = v
             groups.append(tuple(members))
         limit, radius, chosen = get(self.limit_), get(self.radius_), get(self.selected)
         if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int)):

@@ -15,6 +15,7 @@ the declared types where a DataFrame enters (decimals, dates and timestamps incl
 
 from __future__ import annotations
 
+import re
 import types
 import typing
 from dataclasses import dataclass, field
@@ -25,6 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Column with an id in the numbers that it came from.
+KEY = "__key"
+#: Column that orders the rows of one batch.
+AT = "__at"
+
+
 class SchemaError(ValueError):
     """A declaration or a query that cannot be right."""
 
@@ -283,11 +290,13 @@ class Schema:
         if not self.is_event and any(isinstance(f, (CreatedAtField, SchemaReference)) for f in self.fields.values()):
             raise SchemaError(f"{self.schema_name} is no event schema")
 
-    def read(self, df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    def read(self, df: DataFrame, mapping: dict[str, str] | None = None, keep_key: bool = False, order: str | None = None) -> DataFrame:
         """``df`` as this schema: mapped (dot paths reach into structs), cast and renamed; ``id`` is a string.
 
         Columns that a nullable field lacks are null. Rows without a usable id are an error when
-        they are read.
+        they are read. ``keep_key`` keeps an id column of whole numbers as ``KEY`` beside the id, so
+        that a look-up by id reaches the scan; ``order`` names a column that says which of two rows
+        is the later one, kept as ``AT``.
         """
         mapping = {k if isinstance(k, str) else k.name: v for k, v in (mapping or {}).items()}
         unknown = set(mapping) - set(self.fields)
@@ -306,6 +315,8 @@ class Schema:
             if isinstance(f, Timestamp):
                 c = _epoch(c, df.select(path).schema[0].dataType)
             elif isinstance(f, IdField):
+                if keep_key and isinstance(df.select(path).schema[0].dataType, (T.IntegerType, T.LongType)):
+                    out.append(c.cast("long").alias(KEY))
                 c = c.cast("string")
                 c = F.when(c.isNull() | (F.trim(c) == "") | c.isin("NaN", "Infinity", "-Infinity"), F.raise_error(F.lit(f"{self.schema_name} has a row without an id")).cast("string")).otherwise(c)
             elif isinstance(f, (StringList, FloatList)) and not isinstance(df.select(path).schema[0].dataType, T.ArrayType):
@@ -314,7 +325,21 @@ class Schema:
             else:
                 c = f.read(c)
             out.append(c.alias(f.column))
-        return df.select(*out)
+        return df.select(*out, *([F.col(order).alias(AT)] if order else []))
+
+
+def with_ids(rows: DataFrame, ids) -> DataFrame:
+    """Rows whose id is among ``ids`` (texts); where the id came from whole numbers these are compared in the scan."""
+    found = rows.filter(F.col("id").isin(list(ids)))
+    if KEY not in rows.columns:
+        return found
+    whole = [int(i) for i in ids if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", i) and -(1 << 63) <= int(i) < 1 << 63]
+    return found.filter(F.col(KEY).isin(whole) if whole else F.lit(False))
+
+
+def has_fields(fields) -> Column:
+    """Rows that have a value in every one of ``fields``."""
+    return reduce(lambda a, b: a & b, [F.col(f.column).isNotNull() for f in fields], F.lit(True))
 
 
 class EventSchema(Schema):

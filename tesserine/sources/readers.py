@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserine.schema import Schema, SchemaError
+from tesserine.schema import AT, Schema, SchemaError
 
 
 class DataFormat(Enum):
@@ -81,8 +81,9 @@ def from_rows(spark: SparkSession, schema: Schema, rows: Iterable[dict], mapping
                 value = kind(value)
             values.append(value)
         out.append(tuple(values))
-    types = T.StructType([T.StructField(f.name, f.spark_type) for f in schema.fields.values()])
-    return schema.read(spark.createDataFrame(out, types))
+    types = T.StructType([T.StructField(f.name, f.spark_type) for f in schema.fields.values()] + [T.StructField(AT, T.LongType())])
+    df = spark.createDataFrame([(*v, i) for i, v in enumerate(out)], types)
+    return schema.read(df, order=AT)
 
 
 def from_json(df: DataFrame, column: str, paths: dict[str, str]) -> DataFrame:

@@ -3,33 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserine.schema import AT
+
+
+def _placed(df: DataFrame, order: str | None) -> DataFrame:
+    """``df`` with ``AT``: the column ``order`` where one is named, else what the batch brings, else a hash of the row."""
+    if order is None and AT in df.columns:
+        return df
+    at = F.col(order) if order else F.xxhash64(*[F.to_json(F.struct(*df.columns))])
+    return df.withColumn(AT, at)
+
 
 def last_of(df: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """One row per key: of repeated rows the later non-null value of each field.
 
-    ``order`` names the column that says which is later; without it the order inside one batch
-    is its own, which Spark keeps only for in-memory rows.
+    ``order`` names the column that says which is later. In-memory rows bring their own order; for
+    other rows that repeat a key without one, the row with the greatest hash counts as the later,
+    which is the same in every run.
     """
-    at = F.col(order) if order else F.monotonically_increasing_id()
-    numbered = df.withColumn("__at", at)
-    return numbered.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__at"))).alias(c) for c in df.columns if c != key]).select(*df.columns)
+    return merged([df], key, order)
+
+
+def merged(batches: list[DataFrame], key: str = "id", order: str | None = None) -> DataFrame:
+    """All batches merged by key in one shuffle: per field the last non-null value, later batches first."""
+    placed = [_placed(df, order) for df in batches]
+    kinds = {df.schema[AT].dataType.simpleString() for df in placed}
+    rows = [df.withColumn(AT, F.struct(F.lit(i).alias("batch"), (F.col(AT) if len(kinds) == 1 else F.col(AT).cast("long")).alias("at"))) for i, df in enumerate(placed)]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    fields = [c for c in dict.fromkeys(c for df in batches for c in df.columns) if c not in (key, AT)]
+    return both.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(AT))).alias(c) for c in fields]).select(key, *fields)
 
 
 def upsert(old: DataFrame | None, new: DataFrame, key: str = "id") -> DataFrame:
     """Rows merged by key: new non-null fields replace old ones, everything else stays."""
-    new = last_of(new, key)
-    if old is None:
-        return new
-    fields = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c != key]
-    a = old.select(key, *[F.col(c).alias(f"__old_{c}") for c in old.columns if c != key])
-    b = new.select(key, *[F.col(c).alias(f"__new_{c}") for c in new.columns if c != key])
-    pick = [F.coalesce(*[F.col(f"__{side}_{c}") for side, df in (("new", new), ("old", old)) if c in df.columns]).alias(c) for c in fields]
-    return a.join(b, key, "full_outer").select(key, *pick)
+    return merged([new] if old is None else [old, new], key)
 
 
 def newest(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -38,17 +53,36 @@ def newest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def to_half(vector: Column) -> Column:
+    """Vectors as the bits of 16-bit floats, for storage alone."""
+
+    @F.pandas_udf("array<short>")
+    def pack(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.array(v, np.float16).view(np.int16))
+
+    return pack(vector)
+
+
+def from_half(bits: Column) -> Column:
+    @F.pandas_udf("array<double>")
+    def unpack(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.array(v, np.int16).view(np.float16).astype(float))
+
+    return unpack(bits)
+
+
 def persist(df: DataFrame, path: str, half: bool = False, partition_by: list[str] | None = None) -> None:
-    """Write indexed rows as Parquet; ``half`` stores vectors as 32-bit floats."""
+    """Write indexed rows as Parquet; ``half`` stores vectors as 16-bit floats (three digits, up to 65,504)."""
     if half:
-        df = df.select(*[F.col(c).cast("array<float>") if t == "array<double>" else F.col(c) for c, t in df.dtypes])
+        df = df.select(*[to_half(F.col(c)).alias(c) if t == "array<double>" else F.col(c) for c, t in df.dtypes])
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
-    return df.select(*[F.col(c).cast("array<double>") if t == "array<float>" else F.col(c) for c, t in df.dtypes])
+    wide = {"array<smallint>": from_half, "array<float>": lambda c: c.cast("array<double>")}
+    return df.select(*[wide[t](F.col(c)).alias(c) if t in wide else F.col(c) for c, t in df.dtypes])
 
 
 def write_shared(df: DataFrame) -> DataFrame:
