@@ -85,11 +85,16 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[wide[t](F.col(c)).alias(c) if t in wide else F.col(c) for c, t in df.dtypes])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``); one beside the warehouse where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def write_shared(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder that the cluster shares (``spark.checkpoint.dir``; one is set where it is unset)."""
+    """``df`` written once to the folder that the cluster shares."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
