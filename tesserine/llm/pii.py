@@ -2,37 +2,47 @@
 
 Generators propose overlapping spans: the four base kinds (email, ip, card, phone) with their
 format checks, and looser forms (spelled-out mail addresses, phone numbers without a plus, social
-security numbers, IBANs, digit groups). Base spans always stay. Every other candidate is scored by
-gradient-boosted trees on its format and the text around it; the trees learn from candidates
-whose own checks decide (a Luhn sum, IBAN digits, octets in range) without seeing those checks, a
-logistic fit calibrates their margin, and a kind's candidates are kept above its threshold.
+security numbers, IBANs). Base spans always stay. Every other candidate is scored by
+gradient-boosted trees on its format and the text around it, a logistic fit calibrates their
+margin, and a kind's candidates are kept above the kind's threshold.
+
+No labels are given; the trees learn from candidates that something else decides. Social security
+numbers and IBANs have checks of their own, which are feature and label at once. For the other two kinds
+base spans are rewritten where they stand: an email spelled out, a phone number without its plus
+or its country code, or with other signs between its groups. What the generator then finds there is personal data; what it finds in the
+text as it was is not where the digits are an address, a card or a date, or where nothing but a
+plain "at" and a full stop make up the address. A quarter of these candidates is
+held out for the calibration and for the thresholds, the least with which ``PRECISION`` of a
+kind's held-out candidates above it are right; a kind without a positive candidate is not reported.
 
 Only the fit uses a sample: about ``2 * FIT_ROWS`` documents chosen by the hash of their id, and of
-their candidates at most ``FIT_SPANS``, those with the smallest hash.
+their candidates at most ``FIT_SPANS`` per kind and outcome, those with the smallest hash.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows repeat; spans may
-overlap across kinds; offsets are code points with an exclusive end; without candidates to learn
-from only base spans are reported; an empty table gives an empty result.
+Defined cases: a null text counts as empty and has no spans; a null id is kept; repeated rows
+repeat; spans may overlap across kinds; offsets are code points with an exclusive end; without
+candidates of both outcomes only base spans are reported; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .textops import hash_share, map_texts, sized_slices, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("mail_words", "phone_loose", "ssn", "iban")
 KINDS = (*BASE, *EXTRA)
-FIT_ROWS, FIT_SPANS = 20_000, 20_000
-#: Least calibrated probability with which an extra span is kept.
-THRESHOLDS = {"mail_words": 0.6, "phone_loose": 0.8, "ssn": 0.6, "iban": 0.5}
+FIT_ROWS, FIT_SPANS = 20_000, 2_500
+#: Share of right ones that a kind's threshold must reach among held-out candidates.
+PRECISION = 0.97
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,7 +50,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE = {
-    "mail_words": re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,24}){1,4}\b"),
+    "mail_words": re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z]{2,24}){1,4}\b"),
     "phone_loose": re.compile(r"(?<![\w+.])\(?[0-9]{2,4}\)?(?:[ .-]\(?[0-9]{2,4}\)?){2,4}(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -81,46 +91,71 @@ def iban_ok(word: str) -> bool:
     return int("".join(str(int(c, 36)) for c in w[4:] + w[:4])) % 97 == 1
 
 
+DATE = re.compile(r"(19|20)\d\d[ .-]\d\d[ .-]\d\d|\d\d[ .-]\d\d[ .-](19|20)\d\d")
+SPELLED = re.compile(r"[(\[](?:at|dot)[)\]]| dot ")
+
+
 def _decided(kind: str, word: str) -> bool | None:
-    """What a candidate's own checks say; None where it has none."""
-    digits = "".join(DIGITS.findall(word))
+    """What an extra candidate's own checks say; None where it has none."""
     if kind == "iban":
         return iban_ok(word)
     if kind == "ssn":
         return word[:3] not in ("000", "666") and word[0] != "9" and word[4:6] != "00" and word[7:] != "0000"
-    if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits)
-    if kind == "phone":
-        return 9 <= len(digits) <= 15
     if kind == "phone_loose":
-        return False if not 7 <= len(digits) <= 15 or re.fullmatch(r"(19|20)\d\d[ .-]\d\d[ .-]\d\d|\d\d[ .-]\d\d[ .-](19|20)\d\d", word) else None
-    return True if kind == "email" else None
+        return False if not 7 <= len(DIGITS.findall(word)) <= 15 or DATE.fullmatch(word) or IP.fullmatch(word) or LOOSE["ssn"].fullmatch(word) else None
+    return None if SPELLED.search(word) else False
 
 
-def candidates(text: str) -> list[tuple[int, int, str, bool | None]]:
-    """All proposed spans as (start, end, kind, decided); base kinds also where their checks fail."""
-    base = base_spans(text)
-    have = set(base)
-    out = [(*s, True) for s in base]
+def extras(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, bool | None]]:
+    """Proposed spans beyond the base kinds as (start, end, kind, decided).
+
+    Digits inside an ip, a card or what looks like an IBAN are no phone number, and those of a base phone are found already.
+    """
+    out = []
     if DIGITS.search(text):
-        for kind, pattern in (("ip", IP), ("card", CARD), ("phone", PHONE)):
-            out += [(m.start(), m.end(), kind, False) for m in pattern.finditer(text) if (m.start(), m.end(), kind) not in have and m.end() - m.start() >= 9]
-        for kind in ("phone_loose", "ssn", "iban"):
+        taken = [(s, e, k) for s, e, k in base if k != "email"] + [(*m.span(), "iban") for m in LOOSE["iban"].finditer(text)]
+        for m in LOOSE["phone_loose"].finditer(text):
+            over = {k for s, e, k in taken if s < m.end() and m.start() < e}
+            if "phone" not in over:
+                out.append((m.start(), m.end(), "phone_loose", False if over else _decided("phone_loose", m[0])))
+        for kind in ("ssn", "iban"):
             out += [(m.start(), m.end(), kind, _decided(kind, m[0])) for m in LOOSE[kind].finditer(text)]
     if " at " in text or "at)" in text or "at]" in text:
-        out += [(m.start(), m.end(), "mail_words", None) for m in LOOSE["mail_words"].finditer(text)]
+        out += [(m.start(), m.end(), "mail_words", _decided("mail_words", m[0])) for m in LOOSE["mail_words"].finditer(text)]
+    return out
+
+
+def rewritten(text: str, base: list[tuple[int, int, str]]) -> list[tuple[str, int, int, str]]:
+    """Base emails and phones in looser forms: (text around with the new form, start, end, kind) of what the generators find there."""
+    out = []
+    for start, end, kind in base:
+        word, style = text[start:end], crc32(text[start:end].encode("utf-8", "surrogatepass"))
+        if kind == "email":
+            local, _, domain = word.partition("@")
+            at, dot = ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "))[style % 3]
+            form, loose = local + at + domain.replace(".", dot), "mail_words"
+        elif kind == "phone":
+            local = re.sub(r"^\+[0-9]+[ .-]*", "", word)
+            form, loose = (word[1:], local, " ".join(re.findall(r"[0-9]+", local)), ".-"[style >> 2 & 1].join(re.findall(r"[0-9]+", local)))[style % 4], "phone_loose"
+        else:
+            continue
+        before, after = text[max(0, start - 60) : start], text[end : end + 60]
+        new = before + form + after
+        lo, hi = len(before), len(before) + len(form)
+        out += [(new, m.start(), m.end(), loose) for m in LOOSE[loose].finditer(new) if lo <= m.start() and m.end() <= hi and 2 * (m.end() - m.start()) > hi - lo and _decided(loose, m[0]) is not False]
     return out
 
 
 def describe(text: str, start: int, end: int, kind: str) -> list[float]:
-    """Format of the span and of the text around it; no check sums."""
+    """Format of the span, with the checks of the kinds that have some, and of the text around it."""
     word, before, after = text[start : min(end, start + 200)], text[max(0, start - 40) : start], text[end : end + 20]
     digits = len(DIGITS.findall(word))
-    groups = re.findall(r"[0-9]+", word)
+    groups, mail = re.findall(r"[0-9]+", word), kind == "mail_words"
     cue = before.lower().split()[-3:]
     return [
-        *(float(kind == k) for k in KINDS),
-        len(word), digits, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
+        *(float(kind == k) for k in EXTRA),
+        float(kind in ("ssn", "iban") and _decided(kind, text[start:end]) is True),
+        float(mail and "(" in word), float(mail and "[" in word), float(mail and " dot " in word), float(". " in word), len(word), digits, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         sum(c.isalpha() for c in word), sum(c.isupper() for c in word), word.count("-"), word.count("."), word.count(" "), word.count("("), word.count("@"),
         len(set(word)), float(word[:1] == "+"), float(word[:1] == "("),
         float(before[-1:] in ("", " ", "\n", ":", "=")), float(after[:1] in ("", " ", "\n", ",", ".", ";")), float(before[-2:-1] == ":"),
@@ -136,7 +171,7 @@ class Trees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         hold = np.arange(len(y)) % 4 == 3
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.BINS + 1)[1:-1])) for c in x.T]
+        self.cuts = [self._cuts(np.unique(c)) for c in x.T]
         b = self._bin(x)
         p0 = np.clip(y[~hold].mean(), 0.01, 0.99)
         self.start, self.trees = float(np.log(p0 / (1 - p0))), []
@@ -154,6 +189,10 @@ class Trees:
             self.shift -= 0.05 * g.mean()
         return self
 
+    def _cuts(self, values: np.ndarray) -> np.ndarray:
+        """Bounds between distinct values, so that rare ones keep a bin of their own as long as bins last."""
+        return values[1:] if len(values) <= self.BINS else np.unique(np.quantile(values, np.linspace(0, 1, self.BINS + 1)[1:-1]))
+
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, v, side="right") for c, v in zip(self.cuts, x.T)], axis=1)
 
@@ -187,49 +226,77 @@ class Trees:
         return 1 / (1 + np.exp(-(self.scale * margin + self.shift)))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
-    """Trees from the decided candidates of sampled rows; None without both outcomes."""
+class Selector:
+    """Trees over extra candidates and the least probability with which each kind is kept."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, kinds: np.ndarray):
+        self.trees = Trees().fit(x, y)
+        hold = np.arange(len(y)) % 4 == 3
+        p = self.trees.probability(x[hold])
+        self.least = {k: self._least(p[kinds[hold] == k], y[hold][kinds[hold] == k]) for k in EXTRA}
+
+    @staticmethod
+    def _least(p: np.ndarray, y: np.ndarray) -> float:
+        if not y.any():
+            return 2.0
+        order = np.argsort(-p, kind="stable")
+        p, right = p[order], np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+        last = np.append(p[1:] < p[:-1], True)  # a threshold takes all equal probabilities
+        good = np.flatnonzero(last & (right >= PRECISION))
+        if not len(good):
+            return 2.0
+        lower = p[good[-1] + 1] if good[-1] + 1 < len(p) else max(0.0, 2 * p[good[-1]] - 1)
+        return float((p[good[-1]] + lower) / 2)
+
+    def keep(self, text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        p = self.trees.probability(np.array([describe(text, *s) for s in spans]))
+        return [s for s, q in zip(spans, p) if q >= self.least[s[2]]]
+
+
+def decided_rows(text: str) -> list[tuple[str, bool, list[float], str]]:
+    """(kind, outcome, features, surroundings) of the candidates of a text that something decides."""
+    base = base_spans(text)
+    out = [(k, ok, describe(text, s, e, k), text[max(0, s - 20) : e + 20]) for s, e, k, ok in extras(text, base) if ok is not None]
+    return out + [(k, True, describe(t, s, e, k), t) for t, s, e, k in rewritten(text, base)]
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Selector | None:
+    """A selector from the decided candidates of sampled rows; None without both outcomes."""
     small_batches(df.sparkSession)
-    n = len(describe("", 0, 0, ""))
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("y", T.DoubleType()), T.StructField("h", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         import xxhash
 
         for batch in batches:
             for part in sized_slices(batch, 0):
-                hs, ys, xs = [], [], []
-                for text in part.column(0).to_pylist():
-                    for start, end, kind, ok in candidates(text or ""):
-                        if ok is not None:
-                            xs.append(describe(text, start, end, kind))
-                            ys.append(float(ok))
-                            hs.append(xxhash.xxh3_64_intdigest(text[max(0, start - 20) : end + 20].encode("utf-8", "surrogatepass")) >> 1)
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ys, pa.float64()), pa.array(xs, pa.list_(pa.float64()))], names=schema.names)
-
-    rows = hash_share(df, id_col, FIT_ROWS, 11).select(F.col(text_col).cast("string")).mapInArrow(run, schema).orderBy("h", "y", "x").limit(FIT_SPANS).toArrow()
+                rows = [r for text in part.column(0).to_pylist() if text for r in decided_rows(text)]
+                hashes = [xxhash.xxh3_64_intdigest(around.encode("utf-8", "surrogatepass")) >> 1 for *_, around in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([float(r[1]) for r in rows], pa.float64()), pa.array(hashes, pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=schema.names)
+
+    found = hash_share(df, id_col, FIT_ROWS, 11).select(F.col(text_col).cast("string")).mapInArrow(run, schema)
+    nth = F.row_number().over(Window.partitionBy("kind", "y").orderBy("h", "x"))
+    rows = found.withColumn("nth", nth).filter(F.col("nth") <= FIT_SPANS).orderBy("h", "kind", "y", "x").select("kind", "y", "x").toArrow()  # at most FIT_SPANS per kind and outcome
     y = rows["y"].to_numpy()
-    if len(y) < 20 or not 0 < y.mean() < 1:
+    if len(y) < 8 or not 0 < y.mean() < 1:
         return None
-    return Trees().fit(np.concatenate([np.asarray(c.values) for c in rows["x"].chunks]).reshape(-1, n), y)
+    x = np.array(rows["x"].to_pylist())
+    return Selector(x, y, np.array(rows["kind"].to_pylist()))
 
 
-def pii_spans(text: str, trees: Trees | None) -> list[tuple[int, int, str]]:
-    """Base spans, then the extra spans that the trees select, by kind as listed and then start."""
+def pii_spans(text: str, selector: Selector | None) -> list[tuple[int, int, str]]:
+    """Base spans, then the extra spans that the selector keeps, by kind as listed and then start."""
     base = base_spans(text)
-    extra = [c for c in candidates(text) if c[2] in EXTRA and c[3] is not False] if trees is not None else []
-    if extra:
-        p = trees.probability(np.array([describe(text, s, e, k) for s, e, k, _ in extra]))
-        extra = [(s, e, k) for (s, e, k, _), q in zip(extra, p) if q >= THRESHOLDS[k]]
-    return base + sorted(extra, key=lambda s: (KINDS.index(s[2]), s[0]))
+    extra = [c[:3] for c in extras(text, base) if c[3] is not False] if selector is not None else []
+    return base + sorted(selector.keep(text, extra), key=lambda s: (KINDS.index(s[2]), s[0])) if extra else base
 
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
-def find_pii(df: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(df: DataFrame, selector: Selector | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: its id and ``spans``, an array of (kind, start, end) by kind as listed and start."""
-    shared = df.sparkSession.sparkContext.broadcast(trees)  # 40 trees of 8 leaves
+    shared = df.sparkSession.sparkContext.broadcast(selector)  # 40 trees of 8 leaves and four thresholds
 
     def make():
         t = shared.value
