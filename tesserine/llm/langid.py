@@ -5,12 +5,14 @@ are counted over all training rows. The weights are learned by follow-the-regula
 an elastic net, which leaves most of them at exactly zero, and a temperature fitted on training
 rows that the weights did not see calibrates the probabilities.
 
-Only the fit uses a sample: the ``FIT_ROWS`` rows per language with the smallest hash of their id,
-a bound that does not depend on the input. Everything else covers all rows and whole texts.
+Only the fit of the weights uses a sample: the ``FIT_ROWS`` distinct rows per language with the
+smallest hash of their id, for the ``MOST_LANGS`` most frequent languages. Both bounds do not
+depend on the input. Everything else covers all rows and whole texts.
 
 Defined cases: ``und`` with score 0 where the text is null or has no letter, or where nothing
-could be learned; rows without a language or id-hash 0 train nothing; repeated rows repeat; an
-empty table gives an empty result.
+could be learned; rows without a language or id-hash 0 train nothing; a null id hashes as the
+empty text; repeated rows repeat in the result, count each in the document frequencies and once in
+the sample; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .textops import map_texts, sized_slices, small_batches
 BUCKETS = 1 << 15
 #: Labelled rows per language that the weights may be fitted on; every fifth of them calibrates.
 FIT_ROWS = 600
+#: Languages that are learned (BUCKETS weights each on the driver and in every task).
+MOST_LANGS = 256
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
 LETTER = regex.compile(r"\p{L}")
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -123,18 +127,26 @@ def document_frequency(train: DataFrame) -> tuple[np.ndarray, int]:
     return out, total
 
 
+def fit_sample(train: DataFrame) -> DataFrame:
+    """(lang, r, text): per language the first ``FIT_ROWS`` distinct rows by the hash of their id, ranked from 1."""
+    keyed = train.withColumns({"h": F.xxhash64(F.col("id").cast("string")), "th": F.xxhash64("text")})
+    narrow = keyed.select("lang", "id", "h", "th")
+    # a share of each language that holds three times the bound on average narrows the ranking to few rows
+    sizes = narrow.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("h", "th")).alias("d"))
+    shares = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGS).select("lang", (F.lit(3.0 * FIT_ROWS) / F.col("d")).alias("share"))
+    near = narrow.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "h", "id", "th").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "th"))
+    picked = near.withColumn("r", rank).filter(F.col("r") <= FIT_ROWS).select(F.col("lang").alias("l"), F.col("id").alias("i"), F.col("th").alias("t"), "r")
+    met = keyed.join(F.broadcast(picked), (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i")) & F.col("th").eqNullSafe(F.col("t")))
+    return met.groupBy("lang", "r").agg(F.first("text").alias("text"))  # repeated rows leave a task once
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     small_batches(df.sparkSession)
     train = training_rows(df, id_col, text_col, lang_col)
     freq, total = document_frequency(train)
     idf = np.log((1 + total) / (1 + freq)) + 1
-    # a share of each language that holds three times the bound on average narrows the ranking to few rows
-    hashed = train.select("lang", "id", F.xxhash64(F.col("id").cast("string")).alias("h"))
-    sizes = hashed.groupBy("lang").agg((F.lit(3.0 * FIT_ROWS) / F.count("*")).alias("share"))
-    near = hashed.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    picked = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIT_ROWS).select("lang", "id", "r")
-    sample = train.join(F.broadcast(picked.select(F.col("lang").alias("l"), F.col("id").alias("i"), "r")), (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i"))).select("lang", "text", "r", "id")
+    sample = fit_sample(train).select("lang", "text", "r")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("r", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))])
 
     def run(batches):

@@ -8,7 +8,8 @@ model over hashed words and word shapes learns, so that the score no longer depe
 heuristics alone. Runs of more than ``LONG`` characters without a blank (scripts written without
 blanks, encoded data) also give their character trigrams.
 
-Only the fit of the linear model uses a sample: the ``FIT_ROWS`` rows with the smallest hash.
+Only the fit of the linear model uses a sample: the ``FIT_ROWS`` distinct rows with the smallest
+hash of their id.
 
 Defined cases: a null text counts as empty; empty texts get the votes of an empty text; without
 bad (or good) votes anywhere the posterior is the estimated share alone; repeated rows repeat; an
@@ -218,15 +219,21 @@ def vote_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_texts(df, make, [("votes", T.StringType())], id_col, text_col)
 
 
+def fit_sample(texts: DataFrame) -> DataFrame:
+    """(id, text): ``FIT_ROWS`` distinct rows of ``texts``, those with the smallest hash of their id."""
+    keyed = hash_share(texts, "id", FIT_ROWS, 7).withColumns({"h": F.xxhash64(F.col("id").cast("string"), F.lit(7)), "th": F.xxhash64("text")})
+    picked = keyed.select("h", "id", "th").distinct().orderBy("h", "id", "th").limit(FIT_ROWS).select(F.col("id").alias("i"), F.col("th").alias("t"))
+    met = keyed.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("i")) & F.col("th").eqNullSafe(F.col("t")))
+    return met.groupBy("id", "th").agg(F.first("text").alias("text")).select("id", "text")  # repeated rows leave a task once
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], np.ndarray]:
     """Posterior of every vote pattern of the corpus, and the weights learned from them."""
     found = vote_table(df, id_col, text_col)
     patterns = {r.votes: r.n for r in found.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3^10 rows
     _, _, posterior = estimate(patterns)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    order = F.xxhash64(F.col("id").cast("string"), F.lit(7))
-    picked = hash_share(texts, "id", FIT_ROWS, 7).select("id", order.alias("h")).orderBy("h", "id").limit(FIT_ROWS).select(F.col("id").alias("i"))
-    sample = texts.join(F.broadcast(picked.distinct()), F.col("id").eqNullSafe(F.col("i"))).select("id", "text")
+    sample = fit_sample(texts)
     schema = T.StructType([T.StructField("h", T.StringType()), T.StructField("votes", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))])
 
     def run(batches):

@@ -46,3 +46,74 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in L.language_predictions(df).collect()} == {"und"}
     assert L.language_predictions(df.limit(0)).count() == 0
+
+
+def plain_features(text, df, total):
+    """Hashed n-grams one by one, and their TF-IDF."""
+    mask, c = (1 << 64) - 1, [ord(x) for x in " " + text.lower() + " "]
+    tf = {}
+    for n in range(1, 4):
+        for i in range(len(c) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h * L._MULT[k] + c[i + k]) & mask
+            mixed = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 + n - 1) & mask
+            tf[mixed >> 49] = tf.get(mixed >> 49, 0) + 1
+    if df is None:
+        return tf
+    x = {b: (1 + np.log(f)) * (np.log((1 + total) / (1 + df.get(b, 0))) + 1) for b, f in tf.items()}
+    norm = sum(v * v for v in x.values()) ** 0.5
+    return {b: v / norm for b, v in x.items()}
+
+
+def test_equals_plain_training_and_prediction(spark):
+    import zlib
+
+    rows = corpus(90)
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(3)
+    train = [(i, t, g) for i, t, g, _ in rows if g and zlib.crc32(str(i).encode()) % 5]
+    freq = {}
+    for _, t, _ in train:
+        for b in plain_features(t, None, 0):
+            freq[b] = freq.get(b, 0) + 1
+    ranked = {(r.lang, r.text): r.r for r in L.fit_sample(L.training_rows(df, "doc_id", "text", "lang")).collect()}
+    assert len(ranked) == len({(g, t) for _, t, g in train})
+    langs = sorted({g for *_, g in train})
+    order = sorted(((ranked[g, t], langs.index(g), plain_features(t, freq, len(train))) for _, t, g in train), key=lambda r: r[:2])
+    learn, hold = [r for r in order if r[0] % 5], [r for r in order if r[0] % 5 == 0]
+    z, n = [{} for _ in langs], [{} for _ in langs]
+
+    def weight(k, b):
+        zz, nn = z[k].get(b, 0.0), n[k].get(b, 0.0)
+        return 0.0 if abs(zz) <= L.L1 else (np.sign(zz) * L.L1 - zz) / ((L.BETA + nn**0.5) / L.ALPHA + L.L2)
+
+    def chances(x, temperature=1.0):
+        s = np.array([sum(weight(k, b) * v for b, v in x.items()) for k in range(len(langs))]) / temperature
+        e = np.exp(s - s.max())
+        return e / e.sum()
+
+    for epoch in range(L.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(learn)):
+            _, y, x = learn[i]
+            p = chances(x)
+            for k in range(len(langs)):
+                for b, v in x.items():
+                    g, old, w = (p[k] - (k == y)) * v, n[k].get(b, 0.0), weight(k, b)
+                    z[k][b] = z[k].get(b, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / L.ALPHA * w
+                    n[k][b] = old + g * g
+    loss = lambda t: -sum(np.log(chances(x, t)[y] + 1e-12) for _, y, x in hold)
+    best = min(np.geomspace(0.05, 5, 60), key=loss)
+    got = {r.doc_id: r for r in L.language_predictions(df).collect()}
+    for i, t, *_ in rows:
+        p = chances(plain_features(t, freq, len(train)), best)
+        assert got[i].lang_pred == langs[int(p.argmax())] and abs(got[i].score - p.max()) < 2e-3
+
+
+def test_repeated_rows_stay_bounded_in_the_sample(spark):
+    rows = corpus(40)
+    same = [(7777, "der die und schung", "bb")] * 300 + [(8888, f"the and of {i}", "aa") for i in range(50)]
+    df = spark.createDataFrame([r[:3] for r in rows] + same, "doc_id long, text string, lang string").repartition(4)
+    train = L.training_rows(df, "doc_id", "text", "lang")
+    got = L.fit_sample(train)
+    assert got.count() == train.distinct().count() and got.select("lang", "r").distinct().count() == got.count()
+    assert L.language_predictions(df).count() == df.count()

@@ -78,3 +78,54 @@ def test_scores_follow_quality(spark):
     assert np.mean([r.keep == good[r.doc_id] for r in known]) > 0.97
     assert all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in got)
     assert Q.quality_scores(df.limit(0)).count() == 0
+
+
+def test_scores_equal_a_plain_model(spark):
+    rows = texts(60)
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    reader, patterns = Q.Reader(), {}
+    read = {i: reader.read(t) for i, t, _ in rows}
+    for v, *_ in read.values():
+        patterns[v] = patterns.get(v, 0) + 1
+    # expectation-maximisation, one document at a time
+    share, table = 0.7, [[[0.4, 0.6], [0.04, 0.96]] for _ in range(10)]
+    for _ in range(60):
+        soft = []
+        for v, *_ in read.values():
+            like = [1 - share, share]
+            for j, c in enumerate(v):
+                if c != "-":
+                    like = [like[k] * table[j][k][int(c)] for k in (0, 1)]
+            soft.append(like[1] / sum(like))
+        share = min(max(sum(soft) / len(soft), 1e-3), 1 - 1e-3)
+        for j in range(10):
+            for k in (0, 1):
+                votes = [0.5, 0.5]
+                for (v, *_), p in zip(read.values(), soft):
+                    if v[j] != "-":
+                        votes[int(v[j])] += p if k else 1 - p
+                table[j][k] = [x / sum(votes) for x in votes]
+    posterior = {v: p for (v, *_), p in zip(read.values(), soft)}
+    # AdaGrad on soft labels
+    import xxhash
+
+    order = sorted(rows, key=lambda r: xxhash.xxh3_64_hexdigest(r[1].encode()))
+    w, g2 = {}, {}
+    for epoch in range(12):
+        for i in np.random.default_rng(epoch).permutation(len(order)):
+            v, at, x = read[order[i][0]]
+            s = sum(w.get(b, 0.0) * y for b, y in zip(at.tolist(), x.tolist()))
+            err = 1 / (1 + np.exp(-s)) - posterior[v]
+            for b, y in zip(at.tolist(), x.tolist()):
+                g = err * y + 1e-5 * w.get(b, 0.0)
+                g2[b] = g2.get(b, 1e-8) + g * g
+                w[b] = w.get(b, 0.0) - 0.5 * g / g2[b] ** 0.5
+    for r in Q.quality_scores(df).collect():
+        v, at, x = read[r.doc_id]
+        s = sum(w.get(b, 0.0) * y for b, y in zip(at.tolist(), x.tolist()))
+        assert r.votes == v and abs(r.posterior - posterior[v]) < 1e-6 and abs(r.score - 1 / (1 + np.exp(-s))) < 1e-3
+
+
+def test_repeated_rows_stay_bounded_in_the_sample(spark):
+    df = spark.createDataFrame([(5, "the same text")] * 200 + [(6, f"text {i}") for i in range(30)] + [(None, None)] * 9, "id long, text string").repartition(4)
+    assert Q.fit_sample(df).count() == 32
