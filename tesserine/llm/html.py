@@ -7,9 +7,11 @@ and writes what a reader would see: hidden elements give nothing, blocks start o
 and keep their blank lines, list items carry bullets or numbers and are indented by depth, and the
 cells of a table are padded to common columns.
 
+Elements may be nested to any depth: the builder keeps its own stack, and the renderer is a
+generator per element that a loop drives, so neither recurses.
+
 Defined cases: null and empty pages give empty text; unclosed tags, comments and quotes run to
-the end; nesting deeper than ``DEEPEST`` continues at that depth; repeated rows repeat; an empty
-table gives an empty result.
+the end; a null id is kept; repeated rows repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +25,7 @@ from pyspark.sql import types as T
 
 from .textops import map_texts
 
-DEEPEST = 200
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
@@ -40,6 +41,8 @@ HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xm
 ENDS_DRAWING = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Parts of a table outside cells, and what may stand in them; all else moves before the table.
 FRAME = frozenset("table thead tbody tfoot tr".split())
+#: The greatest spans of a cell.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 IN_FRAME = frozenset("caption colgroup col thead tbody tfoot tr td th script style template".split())
 #: start tag -> (open elements that it closes, elements that stop the search)
 LISTS = frozenset("ul ol menu dl".split())
@@ -70,27 +73,48 @@ class Element:
         return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(self.attrs)} if self.attrs else {}
 
 
+class Stack(list):
+    """Open elements, with how many of each tag are open, so that a search for a tag that isn't open costs nothing."""
+
+    def __init__(self, root: Element):
+        super().__init__([root])
+        self.open = {root.tag: 1}
+
+    def push(self, element: Element) -> None:
+        self.append(element)
+        self.open[element.tag] = self.open.get(element.tag, 0) + 1
+
+    def cut(self, at: int) -> None:
+        """Close all elements from ``at`` on."""
+        while len(self) > at:
+            self.open[self.pop().tag] -= 1
+
+    def has(self, tags) -> bool:
+        return any(self.open.get(t) for t in tags)
+
+
 def parse(page: str) -> Element:
     """The tree of a page; texts are strings among the children."""
     root = Element("#page")
-    stack, at = [root], 0
+    stack, at = Stack(root), 0
 
     def close(tags, stops):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return True
-            if stack[i].tag in stops:
-                return False
+        if stack.has(tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    stack.cut(i)
+                    return True
+                if stack[i].tag in stops:
+                    return False
         return False
 
     def table_at() -> int:
-        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "table"), 0)
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "table"), 0) if stack.has(("table",)) else 0
 
     def add(kid) -> None:
         """Append to the open element; between the cells of a table, before the table (which is its parent's last child)."""
         if stack[-1].tag == "colgroup" and (kid.tag != "col" if isinstance(kid, Element) else kid.strip(" \t\n\r\f")):
-            stack.pop()
+            stack.cut(len(stack) - 1)
         if stack[-1].tag in FRAME and (kid.tag not in IN_FRAME if isinstance(kid, Element) else kid.strip(" \t\n\r\f")) and (i := table_at()):
             stack[i - 1].kids.insert(-1, kid)
         else:
@@ -124,12 +148,12 @@ def parse(page: str) -> Element:
         tag, attrs = name.lower(), m[3] or m[5] or ""
         inside = drawing() if drawn else 0
         if inside and tag in ENDS_DRAWING:
-            del stack[inside:]
+            stack.cut(inside)
             inside = 0
         if tag == "table":  # one that opens between the cells of another ends that one
-            part = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in FRAME or stack[i].tag in STOPS_P), 0)
+            part = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in FRAME or stack[i].tag in STOPS_P), 0) if stack.has(FRAME) else 0
             if stack[part].tag in FRAME:
-                del stack[table_at() or len(stack) :]
+                stack.cut(table_at() or len(stack))
         if tag in CLOSES_P:
             close(("p",), STOPS_P)
         if tag in IMPLIED:
@@ -137,11 +161,11 @@ def parse(page: str) -> Element:
                 pass
         if tag in STANDS_IN and (i := table_at()):
             while len(stack) > i + 1 and stack[-1].tag not in STANDS_IN[tag]:
-                stack.pop()
-            if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < DEEPEST:
+                stack.cut(len(stack) - 1)
+            if tag in ("td", "th") and stack[-1].tag != "tr":
                 row = Element("tr")
                 stack[-1].kids.append(row)
-                stack.append(row)
+                stack.push(row)
         element = Element(tag, attrs.rstrip("/"), bool(inside))
         in_frame = stack[-1].tag in FRAME
         add(element)
@@ -154,10 +178,10 @@ def parse(page: str) -> Element:
             at = end.start() if end else len(page)
             if end:
                 at = (page.find(">", at) + 1) or len(page)
-        elif tag not in VOID and len(stack) < DEEPEST:
+        elif tag not in VOID:
             if tag in ("svg", "math") and not inside:
                 drawn = len(stack), element
-            stack.append(element)
+            stack.push(element)
     if at < len(page):
         add(unescape(page[at:]))
     return root
@@ -232,7 +256,19 @@ def _seen(element: Element, shown: bool) -> bool:
     return shown
 
 
-def render(element: Element, lines: Lines, pre: bool = False, shown: bool = True, depth: int = 0) -> None:
+def render(element: Element, lines: Lines) -> None:
+    """Write what a reader of the element sees; the parts of an element run one after the other, whatever their depth."""
+    running = [_shown(element, lines)]
+    while running:
+        part = next(running[-1], None)
+        if part is None:
+            running.pop()
+        else:
+            running.append(part)
+
+
+def _shown(element: Element, lines: Lines, pre: bool = False, shown: bool = True, depth: int = 0):
+    """Renders an element; yields the parts that must run before it goes on."""
     number = 0
     closed = element.tag == "details" and "open" not in element.attributes()  # only its summary shows
     for kid in element.kids:
@@ -250,71 +286,91 @@ def render(element: Element, lines: Lines, pre: bool = False, shown: bool = True
             continue
         if tag == "table":
             lines.block(1)
-            _table(kid, lines, depth, seen)
+            yield _table(kid, lines, depth, seen)
             lines.block(1)
             continue
         if tag not in BLOCK and not (tag == "text" and kid.drawn):
-            render(kid, lines, pre, seen, depth)
+            yield _shown(kid, lines, pre, seen, depth)
             continue
         margin = int(tag in SPACED and not (tag in LISTS and depth))
         lines.block(margin)
-        old = lines.indent, lines.bullet
+        indent = lines.indent
         if tag == "li":
             number += 1
             lines.bullet = f"{number}. " if element.tag == "ol" else "- "
-            render(kid, lines, pre, seen, depth)
+            yield _shown(kid, lines, pre, seen, depth)
             lines.bullet = ""
         elif tag in ("ul", "ol", "menu"):
             lines.indent += "  " * bool(depth)
-            render(kid, lines, pre, seen, depth + 1)
+            yield _shown(kid, lines, pre, seen, depth + 1)
         elif tag in ("blockquote", "dd"):
             lines.indent += "  "
-            render(kid, lines, pre, seen, depth)
+            yield _shown(kid, lines, pre, seen, depth)
         else:
-            render(kid, lines, pre or tag == "pre", seen, depth)
+            yield _shown(kid, lines, pre or tag == "pre", seen, depth)
         lines.block(margin)
-        lines.indent = old[0]
+        lines.indent = indent
 
 
 def _rows(table: Element, shown: bool):
-    """The rows' cells, each with whether its text is visible."""
+    """The rows of each section: a list of their cells, each with whether its text is visible; a section ends with None."""
     for kid in table.kids:
         if isinstance(kid, Element) and not _hidden(kid, kid.tag):
             seen = _seen(kid, shown)
             if kid.tag == "tr":
                 yield [(c, _seen(c, seen)) for c in kid.kids if isinstance(c, Element) and c.tag in ("td", "th") and not _hidden(c, c.tag)]
             elif kid.tag in ("thead", "tbody", "tfoot"):
+                yield None
                 yield from _rows(kid, seen)
+                yield None
+
 
+def _span(cell: Element, name: str, most: int) -> int:
+    value = cell.attributes().get(name, "1").strip() if cell.attrs else "1"
+    return min(int(value[:9]), most) if value.isdecimal() and value.isascii() else 1
 
-def _table(table: Element, lines: Lines, depth: int, shown: bool = True) -> None:
-    """Captions and stray content first, then the rows with their cells padded to the widest of each column."""
+
+def _table(table: Element, lines: Lines, depth: int, shown: bool = True):
+    """Captions and stray content first, then the rows with their cells padded to the widest of each column.
+
+    A cell that spans rows keeps its columns free in the rows below, to the end of its section at most.
+    """
     stray = Element("#stray")
     stray.kids = [k for k in table.kids if isinstance(k, str) and k.strip() or isinstance(k, Element) and k.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col")]
-    render(stray, lines, shown=shown, depth=depth)
+    yield _shown(stray, lines, shown=shown, depth=depth)
     lines.block(0)
-    grid, widths = [], []
+    grid: list[list[tuple[int, list[str]]]] = []
+    widths: dict[int, int] = {}
+    below: dict[int, int] = {}  # columns that cells of earlier rows hold, and for how many more rows
     for row in _rows(table, shown):
-        cells, col = [], 0
+        if row is None:
+            below = {}
+            continue
+        cells, col, held = [], 0, below
+        below = {c: n - 1 for c, n in held.items() if n > 1}
         for cell, seen in row:
+            while col in held:
+                col += 1
             inner = Lines()
-            render(cell, inner, shown=seen)
+            yield _shown(cell, inner, shown=seen)
             text = inner.result()
-            span = cell.attributes().get("colspan", "1")
-            span = min(int(span), 100) if span.isdigit() and int(span[:4]) else 1
-            cells.append((col, span, text))
-            if span == 1:
-                widths += [0] * (col + 1 - len(widths))
-                widths[col] = max(widths[col], max(map(len, text), default=0))
-            col += span
-        widths += [0] * (col - len(widths))
+            across, down = max(1, _span(cell, "colspan", MOST_COLUMNS)), _span(cell, "rowspan", MOST_ROWS)
+            cells.append((col, text))
+            width = max(map(len, text), default=0) if across == 1 else 0
+            widths[col] = max(widths.get(col, 0), width)
+            if down != 1:  # 0 holds to the end of the section
+                below |= {c: (down or MOST_ROWS) - 1 for c in range(col, col + across)}
+            col += across
         grid.append(cells)
+    starts, at = {}, 0
+    for col in sorted(widths):
+        starts[col] = at
+        at += widths[col] + 2
     for cells in grid:
-        for i in range(max((len(t) for *_, t in cells), default=0)):
+        for i in range(max((len(t) for _, t in cells), default=0)):
             out = ""
-            for col, _, text in cells:
-                start = sum(widths[:col]) + 2 * col
-                out = out.ljust(start) if len(out) <= start or not out else out + "  "
+            for col, text in cells:
+                out = out.ljust(starts[col]) if len(out) <= starts[col] or not out else out + "  "
                 out += text[i] if i < len(text) else ""
             if out.strip():
                 lines.text(out, True)

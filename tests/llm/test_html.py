@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 
 from tesserine.llm import html as H
@@ -36,6 +39,58 @@ def test_text_between_cells_and_in_drawings_stays(page, want):
     assert H.page_text(page) == want
 
 
+MORE = [
+    ("a<!-->b<!--->c<!-- x --!>d", "abcd"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c</tr><tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<table><tr><td colspan=150>w<td>x<tr><td>y</table>", "w  x\ny"),
+    ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c</table>", "a b\n  c"), ("<table><tr>stray<td>a</table>", "stray\n\na"), ("<div>" * 200 + "<p hidden>secret</p>", ""), ("<div>" * 3000 + "<p style='display:none'>x</p>y", "y"),
+    ("<table>" * 300 + "<tr><td>in" + "</table>" * 300, "in"), ("<ul><li>" * 400 + "x", "- " * 0 + "  " * 399 + "- x"),
+]
+
+
+@pytest.mark.parametrize("page,want", MORE, ids=range(len(MORE)))
+def test_spans_comments_and_depth(page, want):
+    assert H.page_text(page) == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages_show_their_visible_words_in_order(seed):
+    rng, words, want = random.Random(seed), itertools.count(), []
+
+    def build(depth, laid, shown, block):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["text", "inline", "block", "list", "table", "hide", "invisible", "comment"] if depth < 6 else ["text"])
+            if kind in ("block", "list", "table") and not block:
+                kind = "inline"
+            if kind == "text":
+                w = f"w{next(words)}"
+                if laid and shown:
+                    want.append(w)
+                out.append(w + " ")
+            elif kind == "inline":
+                tag = rng.choice(["b", "i", "span", "a"])
+                out.append(f"<{tag}>{build(depth + 1, laid, shown, False)}</{tag}>")
+            elif kind == "block":
+                tag = rng.choice(["div", "section", "blockquote", "h2", "article"])
+                out.append(f"<{tag}>{build(depth + 1, laid, shown, True)}" + (f"</{tag}>"))
+            elif kind == "list":
+                out.append("<ul>" + "".join(f"<li>{build(depth + 2, laid, shown, True)}" + rng.choice(["", "</li>"]) for _ in range(rng.randint(1, 3))) + "</ul>")
+            elif kind == "table":
+                out.append("<table>" + "".join(f"<tr><td>{build(depth + 3, laid, shown, True)}" + rng.choice(["", "</td>", "</td></tr>"]) for _ in range(rng.randint(1, 3))) + "</table>")
+            elif kind == "hide":
+                out.append(f"<{(t := rng.choice(['div', 'span'])  if block else 'span')} {rng.choice(['hidden', 'style=display:none'])}>{build(depth + 1, False, shown, block)}</{t}>")
+            elif kind == "invisible":
+                again = rng.random() < 0.5
+                inner = f"<span style='visibility:visible'>{build(depth + 2, laid, True, False)}</span>" if again else build(depth + 2, laid, False, False)
+                out.append(f"<span style='visibility:hidden'>{inner}</span>")
+            else:
+                out.append("<!-- <b>no</b> -->")
+        return "".join(out)
+
+    page = build(0, True, True, True)
+    assert [w for w in H.page_text(page).split() if w != "-"] == want, page
+
+
 def test_deep_and_long_pages():
     assert H.page_text("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert H.page_text("<b>" * 5000 + "x") == "x"
