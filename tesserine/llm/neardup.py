@@ -37,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import map_texts, write_shared
+from .textops import map_texts, spread_join, write_shared, write_table
 
 BANDS, ROWS = 32, 4
 BATCH = 32  # signature values compared at a time
 MISS = 1e-6  # posterior probability under which a pair is dropped
-BLOCK = 512  # members of a band that are compared with each other at a time
+BLOCK = 256  # members of a band that are compared with each other at a time
 SMALL_ROWS = 1_000_000  # ids (8 bytes each) up to which a side of a join is broadcast
+SPLIT_EDGES = 200_000  # links that a task can take; beyond them the neighbours of one text are split
 WORDS_KEPT = 200_000  # word hashes that a task keeps between texts
 
 _rng = np.random.default_rng(20240229)
@@ -144,7 +145,7 @@ def bounded(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 def _bayes_pairs(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
     """The pairs (a, b) whose signatures pass the sequential test."""
     sig = classes
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    both = spread_join(pairs, sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
     schema = T.StructType([both.schema["a"], both.schema["b"]])
 
     def run(batches):
@@ -161,7 +162,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, id_c
     ids = _packed(write_shared(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()))
     need = texts.select(id_col, F.col(text_col).cast("string").alias("_t")).join(bounded(ids), id_col, "left_semi")
     # a class has one set, but rows may share an id: the texts of an id are tried one by one
-    both = pairs.join(need.toDF("a", "_ta"), "a").join(need.toDF("b", "_tb"), "b").select("a", "b", "_ta", "_tb")
+    both = spread_join(pairs, need.toDF("a", "_ta"), "a").join(need.toDF("b", "_tb"), "b").select("a", "b", "_ta", "_tb")
     schema = T.StructType([both.schema["a"], both.schema["b"]])
 
     def run(batches):
@@ -306,12 +307,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     longest path; each is checkpointed.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    many = now.count() > SPLIT_EDGES
     for _ in range(most):
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        join = spread_join if many else DataFrame.join  # the centre of a star may have any number of neighbours
+        large = join(both, low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(low, "u")
+        tied = join(large, low, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(tied.select("u", F.col("m").alias("v")))
         now = _packed(write_shared(small.filter("u <> v").distinct()))
         ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(now.select("v", F.lit(0)))
@@ -326,8 +329,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id (smallest id reachable over links) and kept (id is component_id)."""
     least = min_matches(percent / 100)
-    sets = shingle_sets(df, words, True, id_col, text_col).filter("digest is not null")
-    classes = write_shared(sets.groupBy("digest").agg(F.min(id_col).alias("rep"), F.first("sig").alias("sig")).filter("rep is not null"))
+    sets = write_table(shingle_sets(df, words, True, id_col, text_col))  # every text is shingled here, and later only members of verified pairs
+    classes = write_shared(sets.filter("digest is not null").groupBy("digest").agg(F.min(id_col).alias("rep"), F.first("sig").alias("sig")).filter("rep is not null"))
 
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)])
     bands = classes.select("rep", F.posexplode(keys).alias("band", "key"))
@@ -357,6 +360,6 @@ def near_duplicates(
         roots = components(reduce(DataFrame.union, [more.select("a", "b"), roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]))
 
     final = classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").groupBy("digest").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
-    rows = shingle_sets(df, words, False, id_col, text_col).join(final, "digest", "left")
+    rows = spread_join(sets.select(id_col, "n_shingles", "digest"), final, "digest", "left")
     comp = F.when(F.col("digest").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
     return rows.select(id_col, "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))

@@ -7,6 +7,7 @@ bounded size so that one worker never holds more than a slice of decoded texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, nullcontext
 from inspect import isgeneratorfunction
@@ -88,13 +89,41 @@ def hash_share(df: DataFrame, id_col: str, rows: int, seed: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * 2 * rows / total))
 
 
-def write_shared(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: ``spark.checkpoint.dir``, or one in the warehouse where it is unset (local tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
-    The folder is ``spark.checkpoint.dir`` of the session; one is set only where it is unset
-    (local tests), never over the cluster's own.
-    """
+
+def write_shared(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder, never over the cluster's own setting."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder, for what is read column by column or more than once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 1000, limit: int = 1_000_000) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per ``key`` (or few), however often ``left`` repeats a key.
+
+    A key that ``left`` has more than ``most`` times is split: its rows get a salt by their hash and
+    the key's row on the right is copied once per salt, so that a task meets about ``most`` rows of
+    one key. The repeated keys are counted under partial aggregation; they are broadcast while there
+    are at most ``limit`` of them (and are at most 1/``most`` of the rows), else joined by shuffle.
+    """
+    hot = left.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("__salts")).filter("__salts > 1")
+    hot = write_shared(hot)
+    n = hot.count()
+    if not n:
+        return left.join(right, key, how)
+    small = F.broadcast(hot.coalesce(1)) if n <= limit else hot
+    row = F.xxhash64(*[F.col(c) for c in left.columns])
+    salted = left.join(small, key, "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(row, F.col("__salts")))).drop("__salts")
+    copies = right.join(small, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return salted.withColumn("__salt", F.col("__salt").cast("int")).join(copies, [key, "__salt"], how).drop("__salt")
