@@ -2,7 +2,7 @@
 
 The texts of a slice are cut by the tokenizer's pattern; pieces that the vocabulary holds whole
 are one token, the other distinct pieces become token-position rows. A recursive query joins
-adjacent rows with the merge table and contracts, per piece and round, the leftmost pair of
+neighbours with the merge table and contracts, per piece and round, the leftmost pair of
 minimum rank until no pair is left. Token sequences of pieces are kept for the next slices of
 the same worker, in two tables of bounded size. Decoding joins the ids with the vocabulary and
 aggregates their bytes in order.
@@ -43,49 +43,54 @@ KEPT_PIECES = 200_000
 #: Bytes of text in a slice, bytes of pieces in one recursive query, and the length from which a piece counts as long.
 SLICE, BLOCK, LONG = 2 << 20, 1 << 18, 128
 #: Rounds of one recursive query; unfinished pieces start the next query where they stand.
-ROUNDS = 16
+ROUNDS = 12
 #: Tokens that one decoding query joins.
 DECODED = 200_000
 #: DuckDB's memory: a floor, and bytes per row of a query (for single pieces larger than a block).
-FLOOR_MB, ROW_BYTES = 160, 480
-
-ADJACENT = """
-  SELECT q.w, q.pos, q.npos, m.id AS mid FROM (
-    SELECT w, pos, id, lead(id) OVER x AS nid, lead(pos) OVER x AS npos
-    FROM t WINDOW x AS (PARTITION BY w ORDER BY pos)) q
-  JOIN merges m ON m.l = q.id AND m.r = q.nid
-"""
-
-#: One contraction per piece and round: the minimum of (rank, position).
-SHORT_STEP = f"""
-  SELECT t.round + 1, t.w, t.pos, CASE WHEN t.pos = g.hit THEN g.mid ELSE t.id END
-  FROM t JOIN (
-    SELECT w, arg_min(pos, k) AS hit, arg_min(mid, k) AS mid, arg_min(npos, k) AS gone
-    FROM (SELECT *, (mid::BIGINT << 32) | pos AS k FROM ({ADJACENT})) GROUP BY w) g ON g.w = t.w
-  WHERE t.pos <> g.gone AND t.round < $rounds
+FLOOR_MB, ROW_BYTES = 192, 600
+
+#: One contraction per piece and round. A row is a token with its right neighbour and the key of their pair, (rank,
+#: position); the least key of a piece is contracted, and only the two pairs beside it meet the merge table again.
+SHORT = """
+  WITH RECURSIVE t(round, w, pos, npos, id, nid, k) AS (
+    SELECT 0, s.w, s.pos, s.pos + 1, s.id, s.nid, m.id::BIGINT << 32 | s.pos FROM seed s LEFT JOIN merges m ON m.l = s.id AND m.r = s.nid
+    UNION ALL
+    SELECT round, w, pos, npos, u.id, nid, CASE WHEN changed THEN m.id::BIGINT << 32 | pos ELSE k END
+    FROM (
+      SELECT t.round + 1 AS round, t.w, t.pos, t.k, t.pos = g.pos OR t.npos = g.pos AS changed,
+        CASE WHEN t.pos = g.pos THEN g.gone_npos ELSE t.npos END AS npos,
+        CASE WHEN t.pos = g.pos THEN g.mid ELSE t.id END AS id,
+        CASE WHEN t.pos = g.pos THEN g.gone_nid WHEN t.npos = g.pos THEN g.mid ELSE t.nid END AS nid
+      FROM t JOIN (
+        SELECT h.w, h.k & 4294967295 AS pos, (h.k >> 32)::INT AS mid, h.gone, x.npos AS gone_npos, x.nid AS gone_nid
+        FROM (SELECT w, min(k) AS k, arg_min(npos, k) AS gone FROM t GROUP BY w HAVING min(k) IS NOT NULL) h
+        JOIN t x ON x.w = h.w AND x.pos = h.gone) g ON g.w = t.w
+      WHERE t.pos <> g.gone AND t.round < $rounds) u
+    LEFT JOIN merges m ON changed AND m.l = u.id AND m.r = u.nid)
 """
 
 #: All contractions of the minimum rank where it is safe: in each run of overlapping pairs the first, third, ...
-LONG_STEP = """
-  SELECT round + 1, w, pos, CASE WHEN hit THEN mid ELSE id END FROM (
-    SELECT *, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone FROM (
-      SELECT *, coalesce(mid = best >> 32 AND (pos = best & 4294967295 OR safe AND (nth - other) % 2 = 1), false) AS hit FROM (
-        SELECT *, coalesce(max(CASE WHEN mid IS NULL OR mid <> best >> 32 THEN nth END) OVER (PARTITION BY w ORDER BY pos), 0) AS other FROM (
-          SELECT *, min(mid::BIGINT << 32 | pos) OVER (PARTITION BY w) AS best, row_number() OVER (PARTITION BY w ORDER BY pos) AS nth FROM (
-            SELECT q.*, m.id AS mid, m.safe
-            FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS nid FROM t) q LEFT JOIN merges m ON m.l = q.id AND m.r = q.nid))
-        WHERE best IS NOT NULL AND round < $rounds)))
-  WHERE NOT gone
+LONG_ROUNDS = """
+  WITH RECURSIVE t(round, w, pos, id) AS (
+    SELECT 0, w, pos, id FROM seed
+    UNION ALL
+    SELECT round + 1, w, pos, CASE WHEN hit THEN mid ELSE id END FROM (
+      SELECT *, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone FROM (
+        SELECT *, coalesce(mid = best >> 32 AND (pos = best & 4294967295 OR safe AND (nth - other) % 2 = 1), false) AS hit FROM (
+          SELECT *, coalesce(max(CASE WHEN mid IS NULL OR mid <> best >> 32 THEN nth END) OVER (PARTITION BY w ORDER BY pos), 0) AS other FROM (
+            SELECT *, min(mid::BIGINT << 32 | pos) OVER (PARTITION BY w) AS best, row_number() OVER (PARTITION BY w ORDER BY pos) AS nth FROM (
+              SELECT q.*, m.id AS mid, m.safe
+              FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS nid FROM t) q LEFT JOIN merges m ON m.l = q.id AND m.r = q.nid))
+          WHERE best IS NOT NULL AND round < $rounds)))
+    WHERE NOT gone)
 """
 
-
-def _query(step: str, rounds: int) -> str:
-    return f"""
-      WITH RECURSIVE t(round, w, pos, id) AS (SELECT 0, w, pos, id FROM seed UNION ALL {step.replace("$rounds", str(rounds))})
-      SELECT t.w AS w, any_value(t.round) AS round, list(id ORDER BY pos) AS ids
-      FROM t JOIN (SELECT w, max(round) AS last FROM t GROUP BY w) z ON z.w = t.w AND z.last = t.round
-      GROUP BY t.w
-    """
+#: The tokens of each piece after its last round.
+LAST = """
+  SELECT t.w AS w, any_value(t.round) AS round, list(id ORDER BY pos) AS ids
+  FROM t JOIN (SELECT w, max(round) AS last FROM t GROUP BY w) z ON z.w = t.w AND z.last = t.round
+  GROUP BY t.w
+"""
 
 
 DECODE = "SELECT part, string_agg(v.chars, '' ORDER BY pos) AS chars FROM toks JOIN vocab v USING (id) GROUP BY part"
@@ -149,9 +154,13 @@ class Tokenizer:
         while open_:
             sizes = np.array([len(seqs[i]) for i in open_])
             pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            seed = pa.table({"w": np.repeat(np.array(open_, np.int32), sizes), "pos": pos.astype(np.int32), "id": np.concatenate([seqs[i] for i in open_])})
+            flat = np.concatenate([seqs[i] for i in open_])
+            right = np.append(flat[1:], -1)
+            right[np.cumsum(sizes) - 1] = -1
+            seed = pa.table({"w": np.repeat(np.array(open_, np.int32), sizes), "pos": pos.astype(np.int32), "id": flat, "nid": right.astype(np.int32)})
             rounds = max(1, min(ROUNDS, ROUNDS * BLOCK // len(pos)))
-            got = self._table(_query(LONG_STEP if long else SHORT_STEP, rounds), "seed", seed).combine_chunks()
+            query = (LONG_ROUNDS if long else SHORT).replace("$rounds", str(rounds)) + LAST
+            got = self._table(query, "seed", seed).combine_chunks()
             ids = got["ids"].combine_chunks()
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
             flat, ends = ids.values.to_numpy(zero_copy_only=False).astype(np.int32), ids.offsets.to_numpy()
