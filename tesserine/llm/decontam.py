@@ -7,9 +7,11 @@ positions differ, one mask fits into the window without touching them. The hashe
 positions of all documents meet those of the benchmark, and the tokens around every hit are
 compared position by position.
 
-The benchmark's hashes are broadcast in blocks of at most ``BLOCK_SEEDS`` rows; a larger
-benchmark takes several passes and never a larger broadcast. Nothing else is joined before the
-few hits, so neither frequent passages nor long documents gather in one task.
+A benchmark of up to ``BLOCK_SEEDS`` seeds is broadcast whole. Of a larger one only the distinct
+hashes are, ``BLOCK_KEYS`` at a time: they let the few positions through that have a seed, which
+are written and meet the seeds by a join that splits frequent hashes. Only a benchmark of many
+millions of seeds reads the documents more than once. Nothing else is joined before the few hits,
+so neither frequent passages nor long documents gather in one task.
 
 Tokens are the runs of letters and digits of the lower-cased text. Items of 5 to 10 tokens count
 when they occur whole and unchanged; shorter ones are no evidence and match nothing.
@@ -25,12 +27,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textops import spread_join, write_table
+
 WINDOW, SUBS = 13, 2
 #: Kept positions of the masks.
 MASKS = ((0, 1, 3, 6, 7, 8), (0, 1, 3, 4, 5, 6))
 SHORTEST = 5
-#: Rows of a broadcast block, each of at most 25 token hashes and three numbers.
-BLOCK_SEEDS = 100_000
+#: Seeds that are broadcast with their surroundings (at most 25 token hashes and three numbers each), and hashes that are broadcast alone.
+BLOCK_SEEDS, BLOCK_KEYS = 100_000, 4_000_000
 
 
 def _tokens(text: Column) -> Column:
@@ -67,7 +71,6 @@ def passage_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 F.slice("tokens", F.greatest(F.lit(1), F.col("pos") + 1 - reach), 2 * reach + 1).alias("near"))
         .withColumn("near", F.slice("near", 1, F.col("lead") + WINDOW))
     )
-    blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
     documents = df.select(F.col(id_col).alias("doc"), _tokens(F.col(text_col)).alias("tokens"))
     spots = _positions(documents, ["doc"], masks).select("doc", "tokens", "pos", "key")
 
@@ -78,14 +81,19 @@ def passage_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     window = lambda s: F.bit_count(F.shiftright("bits", s).bitwiseAND(F.lit((1 << WINDOW) - 1)))
     run = F.shiftright("bits", reach)
     exact = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("exact")) - 1
-    found = []
-    for i in range(blocks):
-        part = seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i)
-        # the generator is a barrier: a hit takes its surroundings along, not the tokens of its document
-        around = F.explode(F.array(F.slice("tokens", F.greatest(F.lit(1), F.col("pos") + 1 - reach), 2 * reach + 1)))
-        met = spots.join(F.broadcast(part), "key").select("doc", "item", "exact", "lead", "near", F.least(F.lit(reach), F.col("pos")).alias("before"), around.alias("around"))
-        found.append(met.select("doc", "item", "exact", bits.alias("bits")))
-    hits = reduce(DataFrame.union, found)
+    # the generator is a barrier: a hit takes its surroundings along, not the tokens of its document
+    around = F.explode(F.array(F.slice("tokens", F.greatest(F.lit(1), F.col("pos") + 1 - reach), 2 * reach + 1)))
+    before = F.least(F.lit(reach), F.col("pos"))
+    if seeds.count() <= BLOCK_SEEDS:
+        met = spots.join(F.broadcast(seeds), "key").select("doc", "item", "exact", "lead", "near", before.alias("before"), around.alias("around"))
+    else:
+        seeds = write_table(seeds)
+        keys = seeds.select("key").distinct()
+        blocks = -(-keys.count() // BLOCK_KEYS)
+        parts = [keys.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i) for i in range(blocks)]
+        some = [spots.join(F.broadcast(part), "key", "left_semi").select("doc", "key", before.alias("before"), around.alias("around")) for part in parts]
+        met = spread_join(write_table(reduce(DataFrame.union, some)), seeds, "key")
+    hits = met.select("doc", "item", "exact", bits.alias("bits"))
     best = F.when(F.col("exact") > 0, F.when(run.bitwiseAND(exact) == exact, F.col("exact")).otherwise(0)).otherwise(F.greatest(*[window(s) for s in range(WINDOW)]))
     return hits.select("doc", "item", "exact", best.alias("best")).filter((F.col("best") >= whole) | (F.col("exact") > 0) & (F.col("best") > 0)).select("doc", "item", F.col("best").cast("long").alias("best"))
 

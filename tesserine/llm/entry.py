@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontam, html, langid, lm, media, neardup, pii, quality, secrets
 
@@ -105,6 +106,89 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"))
 
 
+# What the contracts fix exactly, taken from the operators' own results and held against SQL --------------------------
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: Documents with each match of a pattern between two control characters, cut there: (doc_id, match, start, end) in code points.
+def _matches(pattern: str) -> str:
+    return rf"""
+  SELECT doc_id, m, start, start + len(m) AS stop FROM (
+    SELECT doc_id, i, string_split(seg, chr(2))[1] AS m, (sum(len(seg) - (i > 1)::INT) OVER (PARTITION BY doc_id ORDER BY i) - len(seg) + (i > 1)::INT)::BIGINT AS start FROM (
+      SELECT doc_id, unnest(s) AS seg, generate_subscripts(s, 1) AS i
+      FROM (SELECT doc_id, string_split(regexp_replace(t, '{pattern}', chr(1) || '\0' || chr(2), 'g'), chr(1)) AS s FROM d))) WHERE i > 1"""
+
+
+_ASSIGN = "(" + "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key"))) + """)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_TEXTS = "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+
+
+def _digest(kinds: tuple[str, ...], order: str) -> str:
+    counts = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)
+    sums = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(kinds))
+    names = str(list(kinds))
+    return f"""
+SELECT doc_id, {counts}, sha256(coalesce(line, '')) AS base_sha256 FROM documents
+LEFT JOIN (SELECT doc_id, {sums}, string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY {order}) AS line FROM spans GROUP BY doc_id) USING (doc_id)"""
+
+
+def exact_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+ORACLES["exact_secret_spans"] = f"""
+WITH {_TEXTS}, spans AS (
+  SELECT 0 AS kind, * FROM ({_matches(_ASSIGN)}) WHERE len(regexp_extract(m, '{_ASSIGN}', 2)) >= 6
+  UNION ALL SELECT 1, * FROM ({_matches('AKIA[A-Z0-9]+')}) WHERE len(m) >= 20
+  UNION ALL SELECT 2, * FROM ({_matches('[0-9a-f]+')}) WHERE len(m) >= 24)
+{_digest(('assign', 'access', 'hex'), 'start, kind')}"""
+
+
+def exact_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_boosted_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+_LUHN = "list_sum(list_transform(range(1, len(g) + 1), lambda i: ((substr(reverse(g), i, 1)::INT * (2 - i % 2)) // 10) + ((substr(reverse(g), i, 1)::INT * (2 - i % 2)) % 10))) % 10 = 0"
+ORACLES["exact_pii_spans"] = f"""
+WITH {_TEXTS}, spans AS (
+  SELECT 0 AS kind, * FROM ({_matches('[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+')})
+  UNION ALL SELECT 1, * FROM ({_matches('[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)')}) WHERE len(list_filter(string_split(m, '.'), lambda x: x::DOUBLE > 255)) = 0
+  UNION ALL SELECT 2, doc_id, m, start, stop FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS g FROM ({_matches('[0-9]([ -]?[0-9])+')})) WHERE len(g) BETWEEN 13 AND 19 AND {_LUHN}
+  UNION ALL SELECT 3, * FROM ({_matches('[+][0-9][ ().0-9-]+[0-9]')}) WHERE len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)
+{_digest(('email', 'ip', 'card', 'phone'), 'kind, start')}"""
+
+#: CRC-32 of a list of bytes, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], {0}), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295::BIGINT)"
+
+
+def exact_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_context_tree_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+ORACLES["exact_word_scores"] = rf"""
+WITH h AS (SELECT doc_id, {_CRC.format("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 10 = 0 AS held_out,
+    list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), [' end']) AS w FROM documents),
+  x AS (SELECT doc_id, held_out, unnest(w) AS w FROM h),
+  c AS (SELECT w, count(*) AS c FROM x WHERE NOT held_out GROUP BY w),
+  n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score
+FROM x LEFT JOIN c USING (w), n GROUP BY doc_id, held_out, n"""
+
+
+def exact_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+
+
+_LITTLE = "format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}', ({0}) & 255, (({0}) >> 8) & 255, (({0}) >> 16) & 255, (({0}) >> 24) & 255)"
+ORACLES["exact_media"] = f"""
+WITH a AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, coalesce(text, '') AS t FROM documents),
+  b AS (SELECT doc_id, n, greatest(64, (n + 63) // 64 * 64) AS p, encode(t || repeat(chr(0), (greatest(64, (n + 63) // 64 * 64) - n)::INT)) AS payload FROM a),
+  c AS (SELECT *, hex(payload)[-128:] AS tail, from_hex('52494646' || {_LITTLE.format('36 + p')} || '57415645666D742010000000010001' || '00401F0000401F00000100080064617461' || {_LITTLE.format('p')}) AS head FROM b)
+SELECT doc_id, n AS n_bytes, p AS payload_bytes, sha256(payload) AS payload_sha256,
+  {_CRC.format("list_transform(regexp_extract_all(tail, '..'), lambda x: ('0x' || x)::BIGINT)")} AS tail_crc32, 44 + p AS media_bytes, sha256(head || payload) AS media_sha256 FROM c"""
+
+
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -116,4 +200,8 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_html_layout": op9_html_layout,
     "op10_weak_quality": op10_weak_quality,
+    "exact_secret_spans": exact_secret_spans,
+    "exact_pii_spans": exact_pii_spans,
+    "exact_word_scores": exact_word_scores,
+    "exact_media": exact_media,
 }

@@ -7,7 +7,7 @@ deeper. A prediction mixes the estimates along the path from depth 0 to the deep
 training has seen; the code length per byte follows.
 
 Plan: (1) one pass turns each chunk of the input into its distinct words and five-byte grams with
-training counts; (2) the counts of the corpus are summed by key; (3) grams are dealt out by their
+training counts, which are written; (2) the counts of the corpus are summed by key; (3) grams are dealt out by their
 last two context bytes, below which the tree is computed inside the task, while the sums for
 depths 1 and 0 (at most 65,280 and 255 nodes) pass over the driver; (4) every distinct gram gets
 its log-probability; (5) chunks are joined with the values of their keys and meet their texts
@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import sized_slices, small_batches, write_shared
+from .textops import sized_slices, small_batches, write_shared, write_table
 
+#: Bytes of context (2 to 7: a gram is packed into eight bytes).
 DEPTH = 4
 CHUNK_BYTES = 32 << 20
 GROUPED_ROWS = 400_000  # grams that a task computes at a time, whole groups of two context bytes
@@ -45,7 +46,11 @@ def with_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     pieces = max(1, -(-split // CHUNK_BYTES))
     part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(pieces))
-    loose = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(8 * int(conf.get("spark.sql.shuffle.partitions"))))
+    buckets = int(conf.get("spark.sql.shuffle.partitions"))
+    if not df.inputFiles():
+        size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        buckets = max(buckets, -(-size // CHUNK_BYTES))
+    loose = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(buckets))
     chunk = F.when(F.col("_file") == "", loose).otherwise(F.xxhash64("_file", "_block", part))
     held = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"))
@@ -107,7 +112,7 @@ def gathered(docs: DataFrame) -> DataFrame:
             g, n = _summed(*grams.pop(c))
             rows = np.empty((len(g), 2 + DEPTH), np.uint8)
             rows[:, 0] = 0
-            rows[:, 1:] = g.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+            rows[:, 1:] = g.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :]
             count = words.pop(c)
             keys = pa.Array.from_buffers(pa.binary(2 + DEPTH), len(g), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
             for k, m in ((keys, pa.array(n)), (pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64()))):
@@ -214,7 +219,7 @@ def log10_of(grams: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
 
 def _in_groups(counts: DataFrame, compute, schema: T.StructType) -> DataFrame:
     """Run ``compute(grams, counts)`` over whole groups of two context bytes (at most 2^24 grams each)."""
-    dealt = counts.filter(F.substring("k", 1, 1) == F.lit(GRAM)).withColumn("g", F.substring("k", 4, 2)).repartition("g").sortWithinPartitions("g").select("k", "n")
+    dealt = counts.filter(F.substring("k", 1, 1) == F.lit(GRAM)).withColumn("g", F.substring("k", DEPTH, 2)).repartition("g").sortWithinPartitions("g").select("k", "n")
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -234,7 +239,7 @@ def _in_groups(counts: DataFrame, compute, schema: T.StructType) -> DataFrame:
                 continue
             raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 2 + DEPTH)
             wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, 3:] = raw[:, 1:]
+            wide[:, 7 - DEPTH :] = raw[:, 1:]
             held.append(wide.view(">u8").ravel().astype(np.uint64))
             hold_n.append(batch.column(1).to_numpy())
             waiting += len(raw)
@@ -275,7 +280,8 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = df.sparkSession
     small_batches(spark)
     docs = with_chunks(df, id_col, text_col)
-    keys = gathered(docs)
+    keys = write_table(gathered(docs))
+    chunks = max(1, keys.select("chunk").distinct().count())
     counts = write_shared(keys.groupBy("k").agg(F.sum("n").alias("n")))
     word = F.substring("k", 1, 1) != F.lit(GRAM)
     total, distinct = counts.filter(word & (F.col("n") > 0)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -286,7 +292,7 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def logs(g, n):
         v = log10_of(g, levels_of(g, n, 2) | low.value)
         rows = np.zeros((len(g), 2 + DEPTH), np.uint8)
-        rows[:, 1:] = g.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+        rows[:, 1:] = g.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :]
         k = pa.Array.from_buffers(pa.binary(2 + DEPTH), len(g), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
         for at in range(0, len(g), 100_000):
             yield pa.RecordBatch.from_arrays([k.slice(at, 100_000), pa.array(v[at : at + 100_000])], names=["k", "v"])
@@ -321,7 +327,7 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     gram = np.array([k[0] == 0 for k in ks])
                     raw = np.frombuffer(b"".join([k for k, y in zip(ks, gram) if y]), np.uint8).reshape(-1, 2 + DEPTH)
                     wide = np.zeros((len(raw), 8), np.uint8)
-                    wide[:, 3:] = raw[:, 1:]
+                    wide[:, 7 - DEPTH :] = raw[:, 1:]
                     part_g.append(wide.view(">u8").ravel().astype(np.uint64))
                     part_v.append(vs[gram])
                     words.update((k, v) for k, v, y in zip(ks, vs.tolist(), gram) if not y)
@@ -345,4 +351,4 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     size = np.array([len(t) + 1 for t in texts])
                     yield pa.RecordBatch.from_arrays([some.column(4), some.column(6), pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array([total] * len(n), pa.int64()), pa.array(base), pa.array(score), pa.array(-score / np.log10(2) / size)], names=schema.names)
 
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "tag").mapInArrow(run, schema)
+    return rows.repartition(2 * chunks, "chunk").sortWithinPartitions("chunk", "tag").mapInArrow(run, schema)
