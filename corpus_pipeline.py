@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm import bpe, decontam, langid, neardup, secrets
+from tesserine.llm.textops import shared_folder, write_shared
 
 #: Least score with which a recognised language is kept.
 LANGUAGE_SCORE = 0.4
@@ -26,9 +27,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps each group's document with the smallest id; rows that share that id stay with it."""
-    dropped = neardup.near_duplicates(docs, words=5, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(neardup.bounded(neardup.write_shared(dropped)), "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group: the one with the smallest id.
+
+    Rows without an id take part under a number above all ids that their text gives them, so that a
+    row with an id goes before its copies without one. Of rows with one id and one text one stays.
+    """
+    spare = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), spare))
+    dropped = neardup.near_duplicates(keyed.select("_key", "text"), words=5, percent=80, id_col="_key").filter("not kept").select("_key").distinct()
+    repeated = write_shared(keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key"))
+    left = keyed.join(neardup.bounded(write_shared(dropped)), "_key", "left_anti")
+    if not repeated.isEmpty():
+        again = neardup.bounded(repeated)
+        left = left.join(again, "_key", "left_anti").union(left.join(again, "_key", "left_semi").dropDuplicates(["_key", "text"]))
+    return left.select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, with what each kept written to the session's shared folder."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    base = f"{home}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}_{name}"
