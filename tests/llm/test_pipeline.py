@@ -50,3 +50,12 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in C.run(spark, d).collect()}
     assert got == want
     assert want[105][0] and "[SECRET]" not in docs[-2][1]
+
+
+def test_near_dedup_leaves_one_row_of_each_group(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(7, words), (3, words), (3, words), (None, words), (None, "some other text of more than five words here"), (None, "some other text of more than five words here"), (9, ""), (9, ""), (10, None), (None, None), (11, "x y"), (11, "quite another text under the same id as x y")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in C.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, words), (None, "some other text of more than five words here"), (9, ""), (10, None), (None, None), (11, "x y"), (11, "quite another text under the same id as x y")], key=str)
+    assert C.near_dedup(spark, docs.limit(0), "").count() == 0
