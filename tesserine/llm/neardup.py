@@ -44,7 +44,7 @@ BATCH = 32  # signature values compared at a time
 MISS = 1e-6  # posterior probability under which a pair is dropped
 BLOCK = 256  # members of a band that are compared with each other at a time
 SMALL_ROWS = 1_000_000  # ids (8 bytes each) up to which a side of a join is broadcast
-SPLIT_EDGES = 200_000  # links that a task can take; beyond them the neighbours of one text are split
+SPLIT_EDGES = 2_000  # links beyond which the neighbours of one text are split among tasks
 WORDS_KEPT = 200_000  # word hashes that a task keeps between texts
 
 _rng = np.random.default_rng(20240229)
