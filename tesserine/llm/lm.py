@@ -1,17 +1,22 @@
 """Language-model scores by context-tree weighting over bytes, beside a word base score.
 
-Every byte is eight binary decisions. A node is a context of 0 to 4 preceding bytes with the bits
-of the next byte decided so far; it holds a Krichevsky-Trofimov estimate, and each node's weighted
-probability is the even mixture of its own estimate and the product of its children one byte
-deeper. A prediction mixes the estimates along the path from depth 0 to the deepest node that
+Every byte is eight binary decisions. A node is a context of 0 to ``DEPTH`` preceding bytes with
+the bits of the next byte decided so far; it holds a Krichevsky-Trofimov estimate, and each node's
+weighted probability is the even mixture of its own estimate and the product of its children one
+byte deeper. A prediction mixes the estimates along the path from depth 0 to the deepest node that
 training has seen; the code length per byte follows.
 
-Plan: (1) one pass turns each chunk of the input into its distinct words and five-byte grams with
-training counts, which are written; (2) the counts of the corpus are summed by key; (3) grams are dealt out by their
-last two context bytes, below which the tree is computed inside the task, while the sums for
-depths 1 and 0 (at most 65,280 and 255 nodes) pass over the driver; (4) every distinct gram gets
-its log-probability; (5) chunks are joined with the values of their keys and meet their texts
-again, sorted so that a task holds one chunk's table and streams the texts.
+Plan: (1) one pass turns each chunk of the input into its distinct words and its distinct grams
+(context and byte) with training counts, and writes them; the grams of a chunk that share their
+last two context bytes are one row of packed integers. (2) The word counts of the corpus are
+summed by word. (3) Gram rows are dealt out by their two bytes, below which the tree is computed
+inside the task, while the sums for depths 1 and 0 (at most 65,280 and 255 nodes) pass over the
+driver. (4) A second pass over the dealt rows gives each row the log-probabilities of its grams.
+(5) Chunks meet the values of their grams and words and their texts again, sorted so that a task
+holds one chunk's table and streams the texts.
+
+A gram is an integer with the nearest context byte first, so that sorted grams have their contexts
+of every depth together, and nodes are runs of neighbours.
 
 Nothing that grows with the corpus is broadcast. A chunk is a file split cut by id into pieces of
 about ``CHUNK_BYTES`` of input, or a hash bucket where the rows come from no file.
@@ -27,6 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +40,11 @@ from pyspark.sql import types as T
 from .textops import sized_slices, small_batches, write_shared, write_table
 
 #: Bytes of context (2 to 7: a gram is packed into eight bytes).
-DEPTH = 4
+DEPTH = 6
 CHUNK_BYTES = 32 << 20
-GROUPED_ROWS = 400_000  # grams that a task computes at a time, whole groups of two context bytes
-GRAM, WORD, END = b"\0", b"\1", b"\2"  # first byte of a key
+GROUPED_ROWS = 200_000  # grams that a task computes at a time, whole groups of two context bytes
+END = b"\n"  # no word
+ONE, EIGHT = np.uint64(1), np.uint64(8)
 
 
 def with_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,12 +65,13 @@ def with_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def pack(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Five-byte grams of the texts, each with its end, as integers; and where each text's grams end."""
+    """Grams of the texts, each with its end, as integers; and where each text's grams end."""
     buf = np.frombuffer(b"".join([b"\0" * DEPTH + t + b"\0" for t in texts]), np.uint8).astype(np.uint64)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    g = buf[: len(buf) - DEPTH].copy()
-    for i in range(1, DEPTH + 1):
-        g = (g << np.uint64(8)) | buf[i : len(buf) - DEPTH + i]
+    g = np.zeros(len(buf) - DEPTH, np.uint64)
+    for back in range(1, DEPTH + 1):
+        g = (g << EIGHT) | buf[DEPTH - back : len(buf) - back]
+    g = (g << EIGHT) | buf[DEPTH:]
     keep = np.ones(len(g), bool)
     starts = np.cumsum(sizes + DEPTH)[:-1] - DEPTH  # first start that runs into the next text
     for i in range(DEPTH):
@@ -71,6 +79,24 @@ def pack(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[keep], np.cumsum(sizes)
 
 
+def squeezed(a: np.ndarray) -> bytes:
+    """An array compressed byte plane by byte plane."""
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+
+
+def restored(data: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def squeezed_grams(g: np.ndarray) -> bytes:
+    return squeezed(np.diff(g, prepend=np.uint64(0)))
+
+
+def restored_grams(data: bytes) -> np.ndarray:
+    return np.cumsum(restored(data, np.uint64), dtype=np.uint64)
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.concatenate(keys), np.concatenate(counts)
     u, inverse = np.unique(k, return_inverse=True)
@@ -78,8 +104,8 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def gathered(docs: DataFrame) -> DataFrame:
-    """(chunk, k, n): distinct keys of each chunk's texts with their count in training rows (0 where only others have them)."""
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("k", T.BinaryType()), T.StructField("n", T.LongType())])
+    """Rows of each chunk: a word with its count in training rows (0 where only others have it), or the grams of one pair of nearest bytes with theirs."""
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("pair", T.IntegerType()), T.StructField("k", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
         grams: dict[int, list] = {}
@@ -104,21 +130,25 @@ def gathered(docs: DataFrame) -> DataFrame:
                         for t in texts:
                             if out:
                                 for w in set(t.lower().split()):
-                                    count.setdefault(WORD + w, 0)
+                                    count.setdefault(w, 0)
                             else:
-                                count.update([WORD + w for w in t.lower().split()])
+                                count.update(t.lower().split())
                         count[END] += 0 if out else len(texts)
         for c in list(grams):
             g, n = _summed(*grams.pop(c))
-            rows = np.empty((len(g), 2 + DEPTH), np.uint8)
-            rows[:, 0] = 0
-            rows[:, 1:] = g.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :]
+            pair = (g >> np.uint64(8 * (DEPTH - 1))).astype(np.int32)
+            cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(g)]
+            for at in range(0, len(cuts) - 1, 500):
+                some = list(zip(cuts[at : at + 501], cuts[at + 1 : at + 501]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(some), c), pa.int64()), pa.array([int(pair[a]) for a, _ in some], pa.int32()), pa.array([squeezed_grams(g[a:b]) for a, b in some], pa.binary()),
+                    pa.array([b - a for a, b in some], pa.int64()), pa.array([squeezed(n[a:b].astype(np.uint32)) for a, b in some], pa.binary()),
+                ], names=schema.names)
             count = words.pop(c)
-            keys = pa.Array.from_buffers(pa.binary(2 + DEPTH), len(g), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-            for k, m in ((keys, pa.array(n)), (pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64()))):
-                for at in range(0, len(k), 100_000):
-                    size = min(100_000, len(k) - at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, c), pa.int64()), k.slice(at, size), m.slice(at, size)], names=["chunk", "k", "n"])
+            k, m = pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())
+            for at in range(0, len(k), 100_000):
+                size = min(100_000, len(k) - at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, c), pa.int64()), pa.array(np.full(size, -1, np.int32)), k.slice(at, size), m.slice(at, size), pa.nulls(size, pa.binary())], names=schema.names)
 
     return docs.select("chunk", "text", "held_out").mapInArrow(run, schema)
 
@@ -138,19 +168,16 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
-def nodes_of(ctx: np.ndarray, sym: np.ndarray, n: np.ndarray):
-    """Sorted ids (context << 8 | bits so far with a leading 1) of the binary nodes, with their zeros and ones."""
-    ids, zeros, ones = [], [], []
-    for j in range(8):
-        node = (ctx << np.uint64(8)) | (np.uint64(1 << j) | (sym >> np.uint64(8 - j)))
-        bit = ((sym >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-        u, inv = np.unique(node, return_inverse=True)
-        total = np.bincount(inv, n, len(u))
-        one = np.bincount(inv, n * bit, len(u))
-        ids.append(u), zeros.append(total - one), ones.append(one)
-    ids, zeros, ones = map(np.concatenate, (ids, zeros, ones))
-    order = np.argsort(ids)
-    return ids[order], zeros[order], ones[order]
+_SMALL = 64
+_TABLE = log_kt(*np.meshgrid(np.arange(_SMALL, dtype=float), np.arange(_SMALL, dtype=float), indexing="ij"))
+
+
+def fast_log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """``log_kt`` with small counts from a table."""
+    out = _TABLE[np.minimum(n0, _SMALL - 1).astype(np.int32), np.minimum(n1, _SMALL - 1).astype(np.int32)]
+    large = np.flatnonzero((n0 >= _SMALL) | (n1 >= _SMALL))
+    out[large] = log_kt(n0[large], n1[large])
+    return out
 
 
 class Level:
@@ -171,108 +198,144 @@ class Level:
         return at, (self.ids[at] == nodes) if len(self.ids) else np.zeros(len(nodes), bool)
 
 
-def _up(level: Level, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the parents of a level at ``depth`` and the sums of their children's weighted log-probabilities."""
-    mask = np.uint64((1 << 8 * (depth - 1)) - 1)
-    parent = (((level.ids >> np.uint64(8)) & mask) << np.uint64(8)) | (level.ids & np.uint64(255))
-    u, inv = np.unique(parent, return_inverse=True)
-    return u, np.bincount(inv, level.log_pw, len(u))
-
-
-def levels_of(grams: np.ndarray, n: np.ndarray, lowest: int) -> dict[int, Level]:
-    """The tree of complete groups of grams from ``DEPTH`` up to depth ``lowest``."""
-    seen = n > 0
-    key, n = grams[seen], n[seen].astype(np.float64)
-    out: dict[int, Level] = {}
-    for d in range(DEPTH, lowest - 1, -1):
-        mask = np.uint64((1 << 8 * (d + 1)) - 1)  # context of d bytes and the symbol
-        u, inv = np.unique(key & mask, return_inverse=True)
-        n = np.bincount(inv, n, len(u))
-        key = u
-        ids, n0, n1 = nodes_of(key >> np.uint64(8), key & np.uint64(255), n)
-        children = None
-        if d < DEPTH:
-            parents, sums = _up(out[d + 1], d + 1)
-            assert len(parents) == len(ids) and (parents == ids).all()
-            children = sums
-        out[d] = Level(ids, n0, n1, children)
-    return out
+def low_levels(ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> list[Level]:
+    """Depths 0 and 1 from the sums of depth 1; an id is the context byte and the bits so far with a leading 1."""
+    one = Level(ids, n0, n1, below)
+    roots, inv = np.unique(ids & np.uint64(255), return_inverse=True)
+    return [Level(roots, *(np.bincount(inv, x, len(roots)) for x in (n0, n1, one.log_pw))), one]
+
+
+class Depth:
+    """The nodes of one depth of a block of grams: per bit the run of each entry, and each run's estimate, weight and log-probability."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, child: Depth | None, up: np.ndarray | None):
+        self.keys, self.run, self.first, self.p1, self.stop, self.seen, self.log_pw, self.counts = keys, [], [], [], [], [], [], []
+        for j in range(8):
+            node = keys >> np.uint64(8 - j)
+            fresh = np.ones(len(keys), bool)
+            np.not_equal(node[1:], node[:-1], out=fresh[1:])
+            first, run = np.flatnonzero(fresh), np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+            total = np.add.reduceat(n, first)
+            n1 = np.add.reduceat(n * ((keys >> np.uint64(7 - j)) & ONE), first)
+            kt = log_pw = fast_log_kt(total - n1, n1)
+            stop = np.ones(len(first), np.float32)
+            if child is not None:
+                below = np.bincount(run[up[child.first[j]]], child.log_pw[j], len(first))
+                log_pw = np.log(0.5) + np.logaddexp(kt, below)
+                stop = np.exp(np.log(0.5) + kt - log_pw).astype(np.float32)
+            for held, x in ((self.run, run), (self.first, first), (self.p1, ((n1 + 0.5) / (total + 1.0)).astype(np.float32)), (self.stop, stop), (self.seen, total > 0), (self.log_pw, log_pw), (self.counts, (total - n1, n1))):
+                held.append(x)
+
+
+class Tree:
+    """Depths 2 to ``DEPTH`` of whole groups of two context bytes: sorted distinct grams with their training counts."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self.depths: dict[int, Depth] = {}
+        self.up: dict[int, np.ndarray] = {}
+        keys, child, up = grams, None, None
+        n = n.astype(float)
+        for d in range(DEPTH, 1, -1):
+            if d < DEPTH:
+                keys, up = np.unique(((keys >> np.uint64(16)) << EIGHT) | (keys & np.uint64(255)), return_inverse=True)
+                n = np.bincount(up, n, len(keys))
+                self.up[d + 1] = up
+            child = self.depths[d] = Depth(keys, n, child, up)
+
+    def below_one(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What depth 1 takes from here: ids of its nodes, their zeros and ones, and the sums of their children's log-probabilities."""
+        two, parts = self.depths[2], []
+        for j in range(8):
+            keys = two.keys[two.first[j]]
+            ids = ((keys >> np.uint64(16)) << EIGHT) | np.uint64(1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j))
+            seen = two.seen[j]
+            parts.append([x[seen] for x in (ids, *two.counts[j], two.log_pw[j])])
+        ids, *values = map(np.concatenate, zip(*parts))
+        u, inv = np.unique(ids, return_inverse=True)
+        return u, *(np.bincount(inv, x, len(u)) for x in values)
+
+    def log10(self, low: list[Level]) -> np.ndarray:
+        """log10 of the mixed probability of each gram's byte after its context.
+
+        From the root down: what the nodes so far give (``have``), the weight left for deeper ones (``left``),
+        and the estimate if the last node is the deepest that training has seen (``now``).
+        """
+        keys = self.depths[2].keys
+        shape = len(keys), 8
+        now, have, left = np.full(shape, 0.5, np.float32), np.zeros(shape, np.float32), np.ones(shape, np.float32)
+        for d, level in enumerate(low):
+            for j in range(8):
+                ids = np.uint64(1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j))
+                at, hit = level.find(((keys >> np.uint64(16)) << EIGHT) | ids if d else ids)
+                if len(level.ids):
+                    p, w = level.p1[at].astype(np.float32), level.stop[at].astype(np.float32)
+                    now[:, j] = np.where(hit, have[:, j] + left[:, j] * p, now[:, j])
+                    have[:, j] += np.where(hit, left[:, j] * w * p, 0)
+                    left[:, j] *= np.where(hit, 1 - w, 1)
+        for d in range(2, DEPTH + 1):
+            depth, up = self.depths[d], self.up.get(d)
+            out = np.empty(len(depth.keys)) if d == DEPTH else None
+            kept = [] if d < DEPTH else None
+            for at in range(0, len(depth.keys), 100_000):
+                rows = slice(at, at + 100_000)
+                parent = rows if up is None else up[rows]
+                a, b, c = now[parent], have[parent], left[parent]
+                for j in range(8):
+                    run = depth.run[j][rows]
+                    p, w = depth.p1[j][run], depth.stop[j][run]
+                    a[:, j] = np.where(depth.seen[j][run], b[:, j] + c[:, j] * p, a[:, j])
+                    if kept is not None:
+                        b[:, j] += c[:, j] * w * p
+                        c[:, j] *= 1 - w
+                if kept is not None:
+                    kept.append((a, b, c))
+                else:
+                    bits = (depth.keys[rows, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & ONE
+                    out[rows] = np.log10(np.where(bits == 1, a, 1 - a).astype(float)).sum(axis=1)
+            if kept is not None:
+                now, have, left = map(np.concatenate, zip(*kept))
+        return out
+
+
+def _in_groups(grams: DataFrame, compute, schema: T.StructType) -> DataFrame:
+    """Run ``compute(tree, rows)`` over blocks of whole groups; a row is (chunk, pair, packed grams, places of its grams in the tree's)."""
+    dealt = grams.repartition("pair").sortWithinPartitions("pair").select("chunk", "pair", "k", "counts")
 
+    def run(batches):
+        rows, waiting = [], 0
 
-def log10_of(grams: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
-    """log10 of the mixed probability of each gram's symbol after its context."""
-    sym, total = grams & np.uint64(255), np.zeros(len(grams))
-    for j in range(8):
-        prefix = np.uint64(1 << j) | (sym >> np.uint64(8 - j))
-        one = ((sym >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-        p1, known = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
-        for d in range(DEPTH, -1, -1):
-            ctx = (grams >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
-            at, hit = levels[d].find((ctx << np.uint64(8)) | prefix)
-            if len(levels[d].ids):
-                w = np.where(known, levels[d].stop[at], 1.0)  # the deepest node seen speaks for itself
-                p1 = np.where(hit, w * levels[d].p1[at] + (1 - w) * p1, p1)
-            known |= hit
-        total += np.log10(np.where(one, p1, 1 - p1))
-    return total
-
-
-def _in_groups(counts: DataFrame, compute, schema: T.StructType) -> DataFrame:
-    """Run ``compute(grams, counts)`` over whole groups of two context bytes (at most 2^24 grams each)."""
-    dealt = counts.filter(F.substring("k", 1, 1) == F.lit(GRAM)).withColumn("g", F.substring("k", DEPTH, 2)).repartition("g").sortWithinPartitions("g").select("k", "n")
+        def flush():
+            each = [restored_grams(r[2]) for r in rows]
+            u, at = np.unique(np.concatenate(each), return_inverse=True)
+            n = np.bincount(at, np.concatenate([restored(r[3], np.uint32) for r in rows]), len(u))
+            places = np.split(at, np.cumsum([len(e) for e in each])[:-1])
+            return compute(Tree(u, n), [(*r[:3], x) for r, x in zip(rows, places)])
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        hold_n: list[np.ndarray] = []
-
-        def flush(last: bool):
-            g, n = np.concatenate(held), np.concatenate(hold_n)
-            pair = (g >> np.uint64(8)) & np.uint64(0xFFFF)
-            cut = len(g) if last else int(np.flatnonzero(pair != pair[-1])[-1] + 1) if (pair != pair[-1]).any() else 0
-            held[:], hold_n[:] = [g[cut:]], [n[cut:]]
-            if cut:
-                yield from compute(g[:cut], n[:cut])
-
-        waiting = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 2 + DEPTH)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, 7 - DEPTH :] = raw[:, 1:]
-            held.append(wide.view(">u8").ravel().astype(np.uint64))
-            hold_n.append(batch.column(1).to_numpy())
-            waiting += len(raw)
-            if waiting >= GROUPED_ROWS:
-                yield from flush(False)
-                waiting = sum(map(len, held))
-        if held:
-            yield from flush(True)
+            for i in range(batch.num_rows):
+                row = tuple(batch.column(c)[i].as_py() for c in range(4))
+                if waiting >= GROUPED_ROWS and row[1] != rows[-1][1]:
+                    yield from flush()
+                    rows, waiting = [], 0
+                rows.append(row)
+                waiting += len(row[2]) // 2  # about the grams of a row
+        if rows:
+            yield from flush()
 
     return dealt.mapInArrow(run, schema)
 
 
-def _low_levels(counts: DataFrame) -> dict[int, Level]:
-    """Depths 0 and 1, from sums over the groups of two context bytes; at most 65,280 rows reach the driver."""
+def _low(grams: DataFrame) -> list[Level]:
+    """Depths 0 and 1 of the corpus; at most 65,280 rows reach the driver."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("n0", T.DoubleType()), T.StructField("n1", T.DoubleType()), T.StructField("below", T.DoubleType())])
 
-    def compute(g, n):
-        level = levels_of(g, n, 2)[2]
-        ids, below = _up(level, 2)
-        mask = np.uint64(0xFF)
-        parent = (((level.ids >> np.uint64(8)) & mask) << np.uint64(8)) | (level.ids & mask)
-        inv = np.searchsorted(ids, parent)
-        sums = [np.bincount(inv, x, len(ids)) for x in (level.n0, level.n1)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(below)], names=schema.names)
+    def compute(tree, rows):
+        ids, *values = tree.below_one()
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), *map(pa.array, values)], names=schema.names)
 
-    rows = _in_groups(counts, compute, schema).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).collect()
+    rows = _in_groups(grams, compute, schema).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).collect()
     rows.sort(key=lambda r: r.node)
-    col = lambda c, t=np.float64: np.array([r[c] for r in rows], t)
-    one = Level(col("node", np.uint64), col("n0"), col("n1"), col("below"))
-    ids, below = _up(one, 1)
-    inv = np.searchsorted(ids, one.ids & np.uint64(255))
-    zero = Level(ids, np.bincount(inv, one.n0, len(ids)), np.bincount(inv, one.n1, len(ids)), below)
-    return {0: zero, 1: one}
+    return low_levels(*(np.array([r[c] for r in rows], np.uint64 if c == "node" else float) for c in ("node", "n0", "n1", "below")))
 
 
 def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,28 +345,25 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = with_chunks(df, id_col, text_col)
     keys = write_table(gathered(docs))
     chunks = max(1, keys.select("chunk").distinct().count())
-    counts = write_shared(keys.groupBy("k").agg(F.sum("n").alias("n")))
-    word = F.substring("k", 1, 1) != F.lit(GRAM)
-    total, distinct = counts.filter(word & (F.col("n") > 0)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    low = spark.sparkContext.broadcast(_low_levels(counts))
-
-    values = T.StructType([T.StructField("k", T.BinaryType()), T.StructField("v", T.DoubleType())])
-
-    def logs(g, n):
-        v = log10_of(g, levels_of(g, n, 2) | low.value)
-        rows = np.zeros((len(g), 2 + DEPTH), np.uint8)
-        rows[:, 1:] = g.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :]
-        k = pa.Array.from_buffers(pa.binary(2 + DEPTH), len(g), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-        for at in range(0, len(g), 100_000):
-            yield pa.RecordBatch.from_arrays([k.slice(at, 100_000), pa.array(v[at : at + 100_000])], names=["k", "v"])
-
-    known = _in_groups(counts, logs, values).union(counts.filter(word).select("k", F.col("n").cast("double")))
-    told = keys.select("chunk", "k").join(known, "k")
+    grams, words = keys.filter("pair >= 0"), keys.filter("pair < 0")
+    counts = write_table(words.groupBy("k").agg(F.sum("n").alias("v")))
+    total, distinct = counts.filter("v > 0").agg(F.coalesce(F.sum("v"), F.lit(0)), F.count("*")).first()
+    low = spark.sparkContext.broadcast(_low(grams))
+
+    packed = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("k", T.BinaryType()), T.StructField("v", T.BinaryType())])
+
+    def logs(tree, rows):
+        values = tree.log10(low.value).astype(np.float32)
+        for at in range(0, len(rows), 500):
+            some = rows[at : at + 500]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.binary()), pa.array([squeezed(values[r[3]]) for r in some], pa.binary())], names=packed.names)
+
     id_type = docs.schema["id"].dataType
     none = lambda t: F.lit(None).cast(t)
-    rows = told.select("chunk", F.lit(0).alias("tag"), "k", "v", none(id_type).alias("id"), none("string").alias("text"), none("boolean").alias("held_out")).union(
-        docs.select("chunk", F.lit(1), none("binary"), none("double"), "id", "text", "held_out")
-    )
+    rest = [none(id_type).alias("id"), none("string").alias("text"), none("boolean").alias("held_out")]
+    told = words.select("chunk", "k").join(counts, "k").select("chunk", F.lit(0).alias("tag"), "k", F.col("v").alias("n"), none("binary").alias("v"), *rest)
+    known = _in_groups(grams, logs, packed).select("chunk", F.lit(1), "k", none("long"), "v", *rest)
+    rows = told.union(known).union(docs.select("chunk", F.lit(2), none("binary"), none("long"), none("binary"), "id", "text", "held_out"))
     names = [(id_col, id_type), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())]
     schema = T.StructType([T.StructField(*x) for x in names])
 
@@ -320,35 +380,34 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if hi == lo:
                     continue
                 if chunks[lo] != now:
-                    now, part_g, part_v, words, index = chunks[lo], [], [], {}, None
+                    now, part_g, part_v, words, index, table = chunks[lo], [], [], {}, None, None
                 piece = batch.slice(lo, hi - lo)
                 if tags[lo] == 0:
-                    ks, vs = piece.column(2).to_pylist(), piece.column(3).to_numpy()
-                    gram = np.array([k[0] == 0 for k in ks])
-                    raw = np.frombuffer(b"".join([k for k, y in zip(ks, gram) if y]), np.uint8).reshape(-1, 2 + DEPTH)
-                    wide = np.zeros((len(raw), 8), np.uint8)
-                    wide[:, 7 - DEPTH :] = raw[:, 1:]
-                    part_g.append(wide.view(">u8").ravel().astype(np.uint64))
-                    part_v.append(vs[gram])
-                    words.update((k, v) for k, v, y in zip(ks, vs.tolist(), gram) if not y)
+                    words.update(zip(piece.column(2).to_pylist(), piece.column(3).to_pylist()))
+                    continue
+                if tags[lo] == 1:
+                    part_g += [restored_grams(k) for k in piece.column(2).to_pylist()]
+                    part_v += [restored(v, np.float32) for v in piece.column(4).to_pylist()]
                     continue
                 if index is None:
-                    grams, first = np.unique(np.concatenate(part_g), return_index=True)
-                    index, table = pd.Index(grams), np.concatenate(part_v)[first]
+                    index, table = pd.Index(np.concatenate(part_g)), np.concatenate(part_v).astype(float)
+                    if not index.is_unique:  # rows from no file: several tasks gathered from the chunk
+                        grams_, first = np.unique(index.to_numpy(), return_index=True)
+                        index, table = pd.Index(grams_), table[first]
                     part_g, part_v = [], []
-                for some in sized_slices(piece, 5, 4 << 20):
-                    texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in some.column(5).to_pylist()]
+                for some in sized_slices(piece, 6, 2 << 20):
+                    texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in some.column(6).to_pylist()]
                     g, ends = pack(texts)
                     at = index.get_indexer(g)
                     assert (at >= 0).all(), "a chunk met a text that it was not gathered from"
                     score = np.add.reduceat(table[at], np.concatenate([[0], ends[:-1]]))
                     n, known_n, base = [], [], []
                     for t in texts:
-                        c = np.array([words[WORD + w] for w in t.lower().split()] + [words[END]])
+                        c = np.array([words[w] for w in t.lower().split()] + [words[END]])
                         n.append(len(c))
                         known_n.append(int((c > 0).sum()))
                         base.append(float((np.log10(c + 0.1) - floor).sum()))
                     size = np.array([len(t) + 1 for t in texts])
-                    yield pa.RecordBatch.from_arrays([some.column(4), some.column(6), pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array([total] * len(n), pa.int64()), pa.array(base), pa.array(score), pa.array(-score / np.log10(2) / size)], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([some.column(5), some.column(7), pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array([total] * len(n), pa.int64()), pa.array(base), pa.array(score), pa.array(-score / np.log10(2) / size)], names=schema.names)
 
     return rows.repartition(2 * chunks, "chunk").sortWithinPartitions("chunk", "tag").mapInArrow(run, schema)
