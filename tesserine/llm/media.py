@@ -5,7 +5,7 @@ validator of that format walks the structure (chunks, segments, pages, boxes) an
 length of a well-formed item, or nothing. The item at offset 0 corrects the declared type; items
 further inside are carved.
 
-Defined cases: null bytes count as empty, have no type and no items; a value whose structure is
+Defined cases: null bytes count as empty, have no type and no items; a null id is kept; a value whose structure is
 broken or cut short is not that format; repeated rows repeat; an empty table gives an empty
 result.
 """
@@ -112,16 +112,26 @@ def _riff(b: bytes, at: int, need: set[bytes]) -> int | None:
     return end - at if kinds & need and end - 1 <= last <= end + 1 else None
 
 
-def _ogg_table() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint32) << np.uint32(24)
-    for _ in range(8):
-        table = (table << np.uint32(1)) ^ np.where(table >> np.uint32(31), np.uint32(0x04C11DB7), np.uint32(0))
-    return table
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    """Remainders of all bytes, most significant bit first."""
+    out, top = [], 1 << bits - 1
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = x << 1 ^ (polynomial if x & top else 0)
+        out.append(x & (1 << bits) - 1)
+    return out
+
+
+#: The polynomials of Ogg pages and of FLAC frames and headers.
+OGG_CRC, FLAC_CRC16, FLAC_CRC8 = _crc_table(0x04C11DB7, 32), _crc_table(0x8005, 16), _crc_table(0x07, 8)
 
 
 def _ogg(b: bytes, at: int) -> int | None:
-    """Pages with right checksums up to the last of the stream."""
-    table, p = _ogg_table().tolist(), at
+    """Pages with right checksums from the first of a stream to its last."""
+    p = at
+    if b[p + 5 : p + 6] and not b[p + 5] & 2:
+        return None
     while p + 27 <= len(b) and b[p : p + 4] == b"OggS":
         n = b[p + 26]
         size = 27 + n + sum(b[p + 27 : p + 27 + n])
@@ -129,7 +139,7 @@ def _ogg(b: bytes, at: int) -> int | None:
             return None
         crc = 0
         for x in b[p : p + 22] + b"\0\0\0\0" + b[p + 26 : p + size]:
-            crc = (crc << 8) & 0xFFFFFFFF ^ table[(crc >> 24) ^ x]
+            crc = (crc << 8) & 0xFFFFFFFF ^ OGG_CRC[(crc >> 24) ^ x]
         if crc != struct.unpack_from("<I", b, p + 22)[0]:
             return None
         p += size
@@ -138,26 +148,63 @@ def _ogg(b: bytes, at: int) -> int | None:
     return None
 
 
+def _flac_header(b: bytes, p: int) -> tuple[int, int] | None:
+    """(end of the header, samples) of a frame whose header has the right checksum."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or not b[p + 2] >> 4 or b[p + 2] & 15 == 15:
+        return None
+    size, rate, q = b[p + 2] >> 4, b[p + 2] & 15, p + 4
+    lead = next((i for i in range(8) if not b[q] << i & 128), 8)  # the number of the frame, like a UTF-8 character
+    q += max(1, lead)
+    extra = {6: 1, 7: 2}.get(size, 0)
+    samples = 192 if size == 1 else 576 << size - 2 if size < 6 else int.from_bytes(b[q : q + extra], "big") + 1 if size < 8 else 256 << size - 8
+    q += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for x in b[p:q]:
+        crc = FLAC_CRC8[crc ^ x]
+    return (q + 1, samples) if q < len(b) and b[q] == crc else None
+
+
 def _flac(b: bytes, at: int) -> int | None:
-    """STREAMINFO first, then metadata blocks; audio frames run to the end of the value."""
-    p, first = at + 4, True
+    """STREAMINFO first, then metadata blocks, then frames with right checksums: all samples that are announced, or as far as frames follow."""
+    p, first, total = at + 4, True, 0
     while p + 4 <= len(b):
         head, n = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
         if first and (head & 127 or n != 34) or p + 4 + n > len(b):
             return None
+        if first:
+            total = int.from_bytes(b[p + 17 : p + 22], "big") & (1 << 36) - 1
         p, first = p + 4 + n, False
         if head & 128:
-            return len(b) - at if b[p : p + 1] == b"\xff" else None
-    return None
+            break
+    else:
+        return None
+    have = 0
+    while (frame := _flac_header(b, p)) and (not total or have < total):
+        q, samples = frame
+        crc, end = 0, None
+        for i in range(p, len(b)):
+            crc = (crc << 8) & 0xFFFF ^ FLAC_CRC16[(crc >> 8) ^ b[i]]
+            if not crc and i > q and (i + 1 == len(b) or 0 < total <= have + samples or not total or _flac_header(b, i + 1)):  # a frame and its checksum leave nothing
+                end = i + 1
+                break
+        if end is None:
+            return None
+        p, have = end, have + samples
+    return p - at if have and have >= total else None
 
 
 def _mp4(b: bytes, at: int) -> int | None:
-    """Boxes with printable names that fill the value; a movie box among them."""
+    """Boxes with printable names, of 32-bit or 64-bit length or up to the end of the value; a movie box among them."""
     p, kinds = at - 4, set()
     start = p
     while 0 <= p and p + 8 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
-        if n < 8 or p + n > len(b) or not kind.isalnum():
+        least = 8
+        if n == 1 and p + 16 <= len(b):
+            n, least = struct.unpack_from(">Q", b, p + 8)[0], 16
+        elif n == 0 and kinds:
+            n = len(b) - p
+        if n < least or p + n > len(b) or not kind.isalnum():
             break
         kinds.add(kind)
         p += n
@@ -189,16 +236,17 @@ def build_automaton() -> ahocorasick.Automaton:
 
 def sniff(value: bytes, auto: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """Well-formed items as (type, offset, length) by offset; what lies inside an item other than the first is that item's."""
-    found, over = [], 0
+    found, over, pages = [], 0, 0  # pages: how far a stream at offset 0 goes, whose pages are no items of their own
     for last, magic in auto.iter(value.decode("latin-1")):
         kind, back, check = FORMATS[magic]
         hit = last - len(magic) + 1
         at = hit - back
-        if at < 0 or at < over:
+        if at < 0 or at < over or magic == b"OggS" and at < pages:
             continue
         if (n := check(value, hit)) is not None:
             found.append((kind, at, n))
             over = at + n if at else 0
+            pages = n if magic == b"OggS" and not at else pages
     return sorted(found, key=lambda x: x[1])
 
 

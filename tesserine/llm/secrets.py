@@ -6,8 +6,8 @@ run of three lower-case hex digits (a run of 24 holds one). Regular expressions
 at those places. Tokens that carry their own checksum or structure are reported only when it
 holds.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows give repeated
-results; an empty table gives an empty result; spans of different kinds may overlap; offsets
+Defined cases: a null text counts as empty and has no spans; a null id is kept; repeated rows
+give repeated results; an empty table gives an empty result; spans of different kinds may overlap; offsets
 are code points with an exclusive end.
 """
 
@@ -19,11 +19,14 @@ import hashlib
 import json
 import re
 import zlib
+from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from .textops import map_texts, small_batches
 
@@ -152,12 +155,10 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
 
     Null stays null; the other columns are kept as they are.
     """
-    from pyspark.sql.functions import pandas_udf
-
     small_batches(df.sparkSession)
 
     @pandas_udf("string")
-    def redact(texts):
+    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         auto = build_automaton()
 
         def one(text):
@@ -170,7 +171,8 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
                 at = max(at, end)
             return "".join([*out, text[at:]]) if out else text
 
-        return texts.map(one, na_action="ignore")
+        for texts in batches:
+            yield texts.map(one, na_action="ignore")
 
     return df.withColumn(text_col, redact(F.col(text_col)))
 

@@ -97,3 +97,11 @@ def test_empty_and_without_training(spark):
     out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     rows = lm.ctw_scores(spark.createDataFrame([(i, "ab") for i in out], "doc_id long, text string")).collect()
     assert all(r.score == pytest.approx(24 * math.log10(0.5)) and r.train_tokens == 0 and r.n_known == 0 for r in rows)
+
+
+def test_null_ids_and_very_long_texts(spark):
+    df = spark.createDataFrame([(None, "some text"), (None, "some text"), (1, "a b " * 400_000), (2, None)], "doc_id long, text string")
+    rows = lm.ctw_scores(df).collect()
+    assert len(rows) == 4 and [r.held_out for r in rows if r.doc_id is None] == [True, True]
+    long = next(r for r in rows if r.doc_id == 1)
+    assert long.n_tokens == 800_001 and long.bits_per_byte < 0.1

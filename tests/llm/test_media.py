@@ -42,3 +42,53 @@ def test_types_corrected_and_carved(spark):
     assert rows[8].media_type == "audio/wav"
     carved = sorted((r.k, r.type, r.offset, bytes(r.content)) for r in M.carve_media(df, "k", "body").collect())
     assert carved == [(4, "image/gif", 7 + len(png()), GIF), (4, "image/png", 4, png())]
+
+
+def crc(data, polynomial, bits):
+    """Bit by bit."""
+    out = 0
+    for x in data:
+        out ^= x << bits - 8
+        for _ in range(8):
+            out = (out << 1 ^ (polynomial if out >> bits - 1 else 0)) & (1 << bits) - 1
+    return out
+
+
+def flac(frames, total):
+    def frame(i, size):
+        head = bytes([0xFF, 0xF8, 0x60 | 9, 0x08, i, size - 1])
+        body = head + bytes([crc(head, 0x07, 8)]) + bytes((7 * i + k) % 251 for k in range(40))
+        return body + crc(body, 0x8005, 16).to_bytes(2, "big")
+
+    info = bytes(10) + (total | 44100 << 44).to_bytes(8, "big") + bytes(16)
+    return b"fLaC" + b"\x80\0\0\x22" + info + b"".join(frame(i, 100) for i in range(frames))
+
+
+def ogg(pages):
+    def page(i, body):
+        p = b"OggS\0" + bytes([4 * (i == pages - 1) | 2 * (i == 0)]) + bytes(8) + struct.pack("<III", 7, i, 0) + bytes([1, len(body)]) + body
+        return p[:22] + struct.pack("<I", crc(p, 0x04C11DB7, 32)) + p[26:]
+
+    return b"".join(page(i, bytes([i]) * 30) for i in range(pages))
+
+
+def box(kind, body, wide=False, to_end=False):
+    return (struct.pack(">I4sQ", 1, kind, 16 + len(body)) if wide else struct.pack(">I4s", 0 if to_end else 8 + len(body), kind)) + body
+
+
+def test_lengths_of_streams_and_boxes():
+    auto = M.build_automaton()
+    for n in (1, 3):
+        whole = flac(n, 100 * n)
+        assert M.sniff(b"xx" + whole + b"rest" + GIF, auto) == [("audio/flac", 2, len(whole)), ("image/gif", 6 + len(whole), len(GIF))]
+        assert M.sniff(whole[:-1] + b"?", auto) == []
+    assert M.sniff(flac(2, 0) + GIF, auto)[0] == ("audio/flac", 0, len(flac(2, 0)))
+    assert M.sniff(ogg(3) + b"!", auto) == [("audio/ogg", 0, len(ogg(3)))] and M.sniff(ogg(3).replace(b"\1\1", b"\1\2", 1), auto) == []
+    start = box(b"ftyp", b"isom0000")
+    for tail in (box(b"moov", bytes(20)) + box(b"mdat", bytes(50), wide=True), box(b"mdat", bytes(9), wide=True) + box(b"moov", b"", to_end=True)):
+        assert M.sniff(start + tail, auto) == [("video/mp4", 0, len(start + tail))]
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, None)], "doc_id long, text string")
+    assert sorted([(r.doc_id, r.n_bytes) for r in M.text_media(df).collect()], key=str) == [(1, 0), (None, 1), (None, 1)]

@@ -55,3 +55,9 @@ def test_redaction_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a password=abcdef12 b", "", 0), (2, None, "", 0), (3, "clean", "", 0)], SCHEMA)
     assert {r.doc_id: r.text for r in S.redact_secrets(df).collect()} == {1: "a [SECRET] b", 2: None, 3: "clean"}
     assert S.secret_digests(df.limit(0)).count() == 0
+
+
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "token=abcdef1"), (None, "token=abcdef1"), (2, None)], "doc_id long, text string")
+    assert sorted([(r.doc_id, r.n_assign) for r in S.secret_digests(df).collect()], key=str) == [(2, 0), (None, 1), (None, 1)]
+    assert sorted([r.text for r in S.redact_secrets(df).collect()], key=str) == [None, "[SECRET]", "[SECRET]"]
