@@ -1,14 +1,17 @@
-"""Natural-language queries: a protocol that fills unset parameters, and a filler of plain rules.
+"""Natural-language queries: a protocol that fills unset parameters, a filler for language models, one of plain rules.
 
-A model can be plugged in behind ``ParamFiller``; the rules below need none.
+``ModelFiller`` asks any model that completes a text; ``RuleFiller`` is a stand-in that needs none.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from typing import Protocol
 
 from tesserine.plans.query import Param
+from tesserine.schema import SchemaError
 
 
 class ParamFiller(Protocol):
@@ -41,3 +44,56 @@ class RuleFiller:
             elif re.search(r"(text|query|search)", name):
                 out[p.name] = text
         return out
+
+
+class ModelFiller:
+    """Asks a language model for the unset parameters and checks its answer.
+
+    ``complete`` takes a prompt and returns text with one JSON object in it. Weights must be -1, 0 or 1,
+    parameters with options one of them (or a list of them where the default is a list), and
+    names must be asked for; null leaves a parameter unset. A wrong answer is sent back with what is
+    wrong, ``tries`` times in all.
+    """
+
+    WEIGHTS = (-1, 0, 1)
+
+    def __init__(self, complete: Callable[[str], str], system_prompt: str = "", tries: int = 3):
+        self.complete, self.system_prompt, self.tries = complete, system_prompt, tries
+
+    @staticmethod
+    def _is_weight(p: Param) -> bool:
+        return "weight" in p.name.lower()
+
+    def prompt(self, text: str, params: list[Param]) -> str:
+        lines = [self.system_prompt, "Fill the parameters of a search from the user's words. Answer with one JSON object; null where the words say nothing."]
+        for p in params:
+            of = list(self.WEIGHTS) if self._is_weight(p) else p.options
+            lines.append(f"- {p.name}" + (f": {p.description}" if p.description else "") + (f" (one of {json.dumps(list(of))})" if of else ""))
+        return "\n".join([*filter(None, lines), f"User: {text}"])
+
+    def _checked(self, answer: str, params: list[Param]) -> dict[str, object]:
+        if not (m := re.search(r"\{.*\}", answer, re.S)):
+            raise SchemaError("the answer holds no JSON object")
+        try:
+            given = json.loads(m[0])
+        except ValueError as e:
+            raise SchemaError(f"the answer is no JSON: {e}") from e
+        known, out = {p.name: p for p in params}, {}
+        for name, value in given.items():
+            if name not in known:
+                raise SchemaError(f"{name} was not asked for")
+            if value is None:
+                continue
+            if self._is_weight(known[name]) and value not in self.WEIGHTS:
+                raise SchemaError(f"{name} must be one of {self.WEIGHTS}")
+            out[name] = known[name].check(value)
+        return out
+
+    def fill(self, text: str, params: list[Param]) -> dict[str, object]:
+        prompt, wrong = self.prompt(text, params), None
+        for _ in range(self.tries):
+            try:
+                return self._checked(self.complete(prompt if wrong is None else f"{prompt}\nThe last answer was wrong: {wrong}"), params)
+            except SchemaError as e:
+                wrong = e
+        raise SchemaError(f"no usable answer after {self.tries} tries: {wrong}")

@@ -11,6 +11,7 @@ from tesserine import App, Blob, ByteEmbedder, CategoricalSimilaritySpace, Custo
 from tesserine.functions.vectors import weighted_sum
 from tesserine.operators.index import ORIGIN
 from tesserine.plans.app import serializable
+from tesserine.plans.natural import ModelFiller
 from tesserine.sources.store import last_of, persist, restore
 
 
@@ -160,3 +161,20 @@ def test_labels_and_bytes(spark):
     rows = {r.id: r for r in app.rows(index, page).select("id", kinds.labels(F.col("__raw_0")).alias("labels"), "__raw_1").collect()}
     assert rows["1"].labels == ["a"] and rows["2"].labels == ["bb_"] and rows["3"].labels is None
     assert np.allclose(rows["1"]["__raw_1"], [2 / 5**0.5, *[0] * 14, 1 / 5**0.5]) and not any(rows["3"]["__raw_1"])
+
+
+def test_a_model_fills_parameters_and_wrong_answers_go_back(spark):
+    params = [Param("brand", "the maker", options=("A", "B")), Param("price_weight"), Param("most")]
+    asked, answers = [], iter(["nothing", '{"brand": "C"}', 'Sure: {"brand": "B", "price_weight": -1, "most": null}'])
+    filler = ModelFiller(lambda prompt: asked.append(prompt) or next(answers), "Be brief.")
+    assert filler.fill("cheap ones by B", params) == {"brand": "B", "price_weight": -1}
+    assert "the maker" in asked[0] and '["A", "B"]' in asked[0] and "[-1, 0, 1]" in asked[0] and "C" in asked[2] and "no JSON" in asked[1]
+    for wrong in ('{"price_weight": 2}', '{"other": 1}', "{"):
+        with pytest.raises(SchemaError):
+            ModelFiller(lambda prompt, w=wrong: w).fill("x", params)
+    space = NumberSpace(doc.n, 0, 10, Mode.MAXIMUM)
+    index, source = Index(space, fields=[doc.n]), Source(doc)
+    app = App(spark, [source], [index])
+    source.put([{"key": str(i), "n": i} for i in range(9)])
+    query = Query(index).find(doc).filter(doc.n <= Param("most")).limit(Param("limit")).with_natural_query("the two best up to five", ModelFiller(lambda prompt: '{"most": 5, "limit": 2}'))
+    assert [r.id for r in app.query(query).frame.collect()] == ["5", "4"]
