@@ -42,7 +42,7 @@ from .textops import sized_slices, small_batches, write_shared, write_table
 #: Bytes of context (2 to 7: a gram is packed into eight bytes).
 DEPTH = 6
 CHUNK_BYTES = 32 << 20
-GROUPED_ROWS = 200_000  # grams that a task computes at a time, whole groups of two context bytes
+GROUPED_ROWS = 200_000  # grams that a task computes at a time, whole groups of two context bytes; a larger group is split by its next bytes
 END = b"\n"  # no word
 ONE, EIGHT = np.uint64(1), np.uint64(8)
 
@@ -228,57 +228,53 @@ class Depth:
 
 
 class Tree:
-    """Depths 2 to ``DEPTH`` of whole groups of two context bytes: sorted distinct grams with their training counts."""
+    """Depths ``lowest`` to ``DEPTH`` of whole groups of that many context bytes: sorted distinct grams with their training counts."""
 
-    def __init__(self, grams: np.ndarray, n: np.ndarray):
-        self.depths: dict[int, Depth] = {}
-        self.up: dict[int, np.ndarray] = {}
+    def __init__(self, grams: np.ndarray, n: np.ndarray, lowest: int = 2):
+        self.lowest, self.depths, self.up = lowest, {}, {}
         keys, child, up = grams, None, None
         n = n.astype(float)
-        for d in range(DEPTH, 1, -1):
+        for d in range(DEPTH, lowest - 1, -1):
             if d < DEPTH:
                 keys, up = np.unique(((keys >> np.uint64(16)) << EIGHT) | (keys & np.uint64(255)), return_inverse=True)
                 n = np.bincount(up, n, len(keys))
                 self.up[d + 1] = up
             child = self.depths[d] = Depth(keys, n, child, up)
 
-    def below_one(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What depth 1 takes from here: ids of its nodes, their zeros and ones, and the sums of their children's log-probabilities."""
-        two, parts = self.depths[2], []
+    def nodes(self) -> tuple[np.ndarray, ...]:
+        """The nodes of the lowest depth that training has seen: ids (context and bits so far with a leading 1), zeros, ones, log-probabilities."""
+        low, parts = self.depths[self.lowest], []
         for j in range(8):
-            keys = two.keys[two.first[j]]
-            ids = ((keys >> np.uint64(16)) << EIGHT) | np.uint64(1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j))
-            seen = two.seen[j]
-            parts.append([x[seen] for x in (ids, *two.counts[j], two.log_pw[j])])
-        ids, *values = map(np.concatenate, zip(*parts))
-        u, inv = np.unique(ids, return_inverse=True)
-        return u, *(np.bincount(inv, x, len(u)) for x in values)
+            keys, seen = low.keys[low.first[j]], low.seen[j]
+            ids = ((keys >> EIGHT) << EIGHT) | np.uint64(1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j))
+            parts.append([x[seen] for x in (ids, *low.counts[j], low.log_pw[j])])
+        return tuple(map(np.concatenate, zip(*parts)))
 
     def log10(self, low: list[Level]) -> np.ndarray:
-        """log10 of the mixed probability of each gram's byte after its context.
+        """log10 of the mixed probability of each gram's byte after its context; ``low`` are the depths above the lowest.
 
         From the root down: what the nodes so far give (``have``), the weight left for deeper ones (``left``),
         and the estimate if the last node is the deepest that training has seen (``now``).
         """
-        keys = self.depths[2].keys
+        keys = self.depths[self.lowest].keys
         shape = len(keys), 8
         now, have, left = np.full(shape, 0.5, np.float32), np.zeros(shape, np.float32), np.ones(shape, np.float32)
         for d, level in enumerate(low):
+            context = (keys >> np.uint64(8 * (self.lowest - d) + 8)) << EIGHT if d else np.uint64(0)
             for j in range(8):
-                ids = np.uint64(1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j))
-                at, hit = level.find(((keys >> np.uint64(16)) << EIGHT) | ids if d else ids)
+                at, hit = level.find(context | np.uint64(1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j)))
                 if len(level.ids):
                     p, w = level.p1[at].astype(np.float32), level.stop[at].astype(np.float32)
                     now[:, j] = np.where(hit, have[:, j] + left[:, j] * p, now[:, j])
                     have[:, j] += np.where(hit, left[:, j] * w * p, 0)
                     left[:, j] *= np.where(hit, 1 - w, 1)
-        for d in range(2, DEPTH + 1):
+        for d in range(self.lowest, DEPTH + 1):
             depth, up = self.depths[d], self.up.get(d)
             out = np.empty(len(depth.keys)) if d == DEPTH else None
             kept = [] if d < DEPTH else None
             for at in range(0, len(depth.keys), 100_000):
                 rows = slice(at, at + 100_000)
-                parent = rows if up is None else up[rows]
+                parent = np.arange(len(depth.keys))[rows] if up is None else up[rows]
                 a, b, c = now[parent], have[parent], left[parent]
                 for j in range(8):
                     run = depth.run[j][rows]
@@ -297,30 +293,72 @@ class Tree:
         return out
 
 
+def _split(grams: np.ndarray, lowest: int) -> list[slice]:
+    """Blocks of about ``GROUPED_ROWS`` grams, of whole groups of ``lowest`` context bytes each."""
+    group = grams >> np.uint64(8 * (DEPTH - lowest) + 8)
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(grams))
+    out, start = [], 0
+    while start < len(grams):
+        end = int(ends[max(np.searchsorted(ends, start + GROUPED_ROWS, side="right") - 1, np.searchsorted(ends, start, side="right"))])
+        out.append(slice(start, end))
+        start = end
+    return out
+
+
+def nodes_of(grams: np.ndarray, n: np.ndarray, lowest: int = 2) -> tuple[np.ndarray, ...]:
+    """``Tree.nodes`` of depth ``lowest``; a group that is too large for one tree is put together from deeper ones."""
+    if len(grams) <= 2 * GROUPED_ROWS or lowest == DEPTH:
+        return Tree(grams, n, lowest).nodes()
+    level = level_above([nodes_of(grams[b], n[b], lowest + 1) for b in _split(grams, lowest + 1)])
+    return level.ids, level.n0, level.n1, level.log_pw
+
+
+def level_above(parts: list[tuple[np.ndarray, ...]]) -> Level:
+    """The nodes one byte further up from those of a depth."""
+    ids, n0, n1, log_pw = map(np.concatenate, zip(*parts))
+    u, inv = np.unique(((ids >> np.uint64(16)) << EIGHT) | (ids & np.uint64(255)), return_inverse=True)
+    return Level(u, *(np.bincount(inv, x, len(u)) for x in (n0, n1, log_pw)))
+
+
+def log10_of(grams: np.ndarray, n: np.ndarray, low: list[Level], lowest: int = 2) -> np.ndarray:
+    """``Tree.log10``; a group that is too large for one tree is computed by its next bytes."""
+    if len(grams) <= 2 * GROUPED_ROWS or lowest == DEPTH:
+        return Tree(grams, n, lowest).log10(low)
+    blocks = _split(grams, lowest + 1)
+    low = [*low, level_above([nodes_of(grams[b], n[b], lowest + 1) for b in blocks])]
+    return np.concatenate([log10_of(grams[b], n[b], low, lowest + 1) for b in blocks])
+
+
 def _in_groups(grams: DataFrame, compute, schema: T.StructType) -> DataFrame:
-    """Run ``compute(tree, rows)`` over blocks of whole groups; a row is (chunk, pair, packed grams, places of its grams in the tree's)."""
+    """Run ``compute(grams, counts, rows)`` over blocks of whole groups; rows are (chunk, pair, packed grams, packed counts).
+
+    Rows wait packed (one or two bytes a gram); their grams are merged a few rows at a time.
+    """
     dealt = grams.repartition("pair").sortWithinPartitions("pair").select("chunk", "pair", "k", "counts")
 
+    def merged(rows):
+        g, n, held = [], [], 0
+        for r in rows:
+            g.append(restored_grams(r[2]))
+            n.append(restored(r[3], np.uint32).astype(np.int64))
+            held += len(g[-1])
+            if held > 2 * len(g[0]) + 4 * GROUPED_ROWS:
+                g, n = ([x] for x in _summed(g, n))
+                held = len(g[0])
+        return _summed(g, n)
+
     def run(batches):
         rows, waiting = [], 0
-
-        def flush():
-            each = [restored_grams(r[2]) for r in rows]
-            u, at = np.unique(np.concatenate(each), return_inverse=True)
-            n = np.bincount(at, np.concatenate([restored(r[3], np.uint32) for r in rows]), len(u))
-            places = np.split(at, np.cumsum([len(e) for e in each])[:-1])
-            return compute(Tree(u, n), [(*r[:3], x) for r, x in zip(rows, places)])
-
         for batch in batches:
             for i in range(batch.num_rows):
                 row = tuple(batch.column(c)[i].as_py() for c in range(4))
                 if waiting >= GROUPED_ROWS and row[1] != rows[-1][1]:
-                    yield from flush()
+                    yield from compute(*merged(rows), rows)
                     rows, waiting = [], 0
                 rows.append(row)
-                waiting += len(row[2]) // 2  # about the grams of a row
+                waiting += len(row[2])  # about a byte a gram
         if rows:
-            yield from flush()
+            yield from compute(*merged(rows), rows)
 
     return dealt.mapInArrow(run, schema)
 
@@ -329,9 +367,10 @@ def _low(grams: DataFrame) -> list[Level]:
     """Depths 0 and 1 of the corpus; at most 65,280 rows reach the driver."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("n0", T.DoubleType()), T.StructField("n1", T.DoubleType()), T.StructField("below", T.DoubleType())])
 
-    def compute(tree, rows):
-        ids, *values = tree.below_one()
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), *map(pa.array, values)], names=schema.names)
+    def compute(g, n, rows):
+        ids, n0, n1, log_pw = nodes_of(g, n)
+        up, inv = np.unique(((ids >> np.uint64(16)) << EIGHT) | (ids & np.uint64(255)), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(up.astype(np.int64)), *(pa.array(np.bincount(inv, x, len(up))) for x in (n0, n1, log_pw))], names=schema.names)
 
     rows = _in_groups(grams, compute, schema).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).collect()
     rows.sort(key=lambda r: r.node)
@@ -352,11 +391,12 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     packed = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("k", T.BinaryType()), T.StructField("v", T.BinaryType())])
 
-    def logs(tree, rows):
-        values = tree.log10(low.value).astype(np.float32)
+    def logs(g, n, rows):
+        values = log10_of(g, n, low.value).astype(np.float32)
         for at in range(0, len(rows), 500):
             some = rows[at : at + 500]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.binary()), pa.array([squeezed(values[r[3]]) for r in some], pa.binary())], names=packed.names)
+            each = [squeezed(values[np.searchsorted(g, restored_grams(r[2]))]) for r in some]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.binary()), pa.array(each, pa.binary())], names=packed.names)
 
     id_type = docs.schema["id"].dataType
     none = lambda t: F.lit(None).cast(t)

@@ -58,7 +58,7 @@ TEXTS = ["the cat sat on the mat", "The Cat\x0bsat", None, "", "a\0b \0", "naïv
 
 @pytest.mark.parametrize("from_file", [True, False])
 def test_equals_brute_force(spark, tmp_path, monkeypatch, from_file):
-    monkeypatch.setattr(lm, "GROUPED_ROWS", 50)
+    monkeypatch.setattr(lm, "GROUPED_ROWS", 50 if from_file else 100_000)
     rows = [(i, TEXTS[i % len(TEXTS)], 1.0, "x") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double, chunk string").repartition(3)
     if from_file:
@@ -78,6 +78,29 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, from_file):
         assert r.score == pytest.approx(model.score(t or ""), rel=1e-5)  # values are kept as 32-bit floats
 
 
+def lows(nodes):
+    """Depths 0 and 1 from the nodes of depth 2."""
+    ids, *values = nodes
+    up = ((ids >> np.uint64(16)) << np.uint64(8)) | (ids & np.uint64(255))
+    u, inv = np.unique(up, return_inverse=True)
+    return lm.low_levels(u, *(np.bincount(inv, x, len(u)) for x in values))
+
+
+@pytest.mark.parametrize("limit", [3, 40, 200])
+def test_large_groups_are_split_by_their_next_bytes(monkeypatch, limit):
+    rng = np.random.default_rng(limit)
+    texts = [bytes(rng.choice(list(b"ab c"), 60).tolist()) for _ in range(40)]
+    g, n = np.unique(lm.pack(texts)[0], return_counts=True)
+    n = n * (rng.random(len(n)) < 0.8)
+    want_nodes = lm.nodes_of(g, n)
+    want = lm.log10_of(g, n, lows(want_nodes))
+    monkeypatch.setattr(lm, "GROUPED_ROWS", limit)
+    nodes = lm.nodes_of(g, n)
+    order, same = np.argsort(nodes[0]), np.argsort(want_nodes[0])
+    assert (nodes[0][order] == want_nodes[0][same]).all() and np.allclose(nodes[3][order], want_nodes[3][same])
+    assert np.allclose(lm.log10_of(g, n, lows(nodes)), want, rtol=1e-5)
+
+
 def test_predictions_sum_to_one():
     g, _ = lm.pack([b"abracadabra", b"alakazam"])
     seen, n = np.unique(g, return_counts=True)
@@ -86,8 +109,8 @@ def test_predictions_sum_to_one():
         every = np.unique(np.concatenate([seen, np.arange(base, base + 256, dtype=np.uint64)]))
         counts = np.zeros(len(every))
         counts[np.searchsorted(every, seen)] = n
-        tree = lm.Tree(every, counts)
-        values = tree.log10(lm.low_levels(*tree.below_one()))
+        low = lows(lm.nodes_of(every, counts))
+        values = lm.log10_of(every, counts, low)
         assert (10 ** values[(every >> np.uint64(8)) == np.uint64(base >> 8)]).sum() == pytest.approx(1.0, rel=1e-5)
 
 
