@@ -340,7 +340,8 @@ def near_duplicates(
     busy = _packed(write_shared(classes.join(bounded(members.select("rep").distinct()), "rep", "left_semi").select("rep", "sig")), 20_000)
 
     stars = members.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _packed(write_shared(_verified(_bayes_pairs(stars, busy, least), df, words, percent, id_col, text_col)))
+    survivors = _packed(write_shared(_bayes_pairs(_packed(write_shared(stars)), busy, least)))
+    links = _packed(write_shared(_verified(survivors, df, words, percent, id_col, text_col)))
     roots = components(links)
 
     known = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("root", "rep").alias("comp"))
