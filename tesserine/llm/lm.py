@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from .textops import sized_slices, small_batches, write_shared, write_table
 
 #: Bytes of context (2 to 7: a gram is packed into eight bytes).
-DEPTH = 6
+DEPTH = 5
 CHUNK_BYTES = 32 << 20
 GROUPED_ROWS = 200_000  # grams that a task computes at a time, whole groups of two context bytes; a larger group is split by its next bytes
 END = b"\n"  # no word
@@ -412,6 +412,7 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         now, part_g, part_v, words, index, table = None, [], [], {}, None, None
         floor = np.log10(total + 0.1 * (distinct + 1))
+        unknown = np.log10(0.5)  # between a count of 0 and one of 1
         for batch in batches:
             chunks = batch.column(0).to_numpy()
             tags = batch.column(1).to_numpy()
@@ -423,7 +424,7 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     now, part_g, part_v, words, index, table = chunks[lo], [], [], {}, None, None
                 piece = batch.slice(lo, hi - lo)
                 if tags[lo] == 0:
-                    words.update(zip(piece.column(2).to_pylist(), piece.column(3).to_pylist()))
+                    words.update(zip(piece.column(2).to_pylist(), np.log10(piece.column(3).to_numpy() + 0.1).tolist()))
                     continue
                 if tags[lo] == 1:
                     part_g += [restored_grams(k) for k in piece.column(2).to_pylist()]
@@ -443,10 +444,12 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     score = np.add.reduceat(table[at], np.concatenate([[0], ends[:-1]]))
                     n, known_n, base = [], [], []
                     for t in texts:
-                        c = np.array([words[w] for w in t.lower().split()] + [words[END]])
-                        n.append(len(c))
-                        known_n.append(int((c > 0).sum()))
-                        base.append(float((np.log10(c + 0.1) - floor).sum()))
+                        tokens = t.lower().split()
+                        tokens.append(END)
+                        logs = np.fromiter(map(words.__getitem__, tokens), float, len(tokens))
+                        n.append(len(logs))
+                        known_n.append(int((logs > unknown).sum()))
+                        base.append(float((logs - floor).sum()))
                     size = np.array([len(t) + 1 for t in texts])
                     yield pa.RecordBatch.from_arrays([some.column(5), some.column(7), pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array([total] * len(n), pa.int64()), pa.array(base), pa.array(score), pa.array(-score / np.log10(2) / size)], names=schema.names)
 
