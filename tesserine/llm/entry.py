@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, lm, media, neardup, pii, quality, secrets
+from . import bpe, decontam, html, langid, linededup, lm, media, neardup, pii, quality, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -106,6 +106,20 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digests(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+  k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+  f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last IS NULL OR last = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id
+"""
+
+
 # What the contracts fix exactly, taken from the operators' own results and held against SQL --------------------------
 def _either_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -168,7 +182,8 @@ def exact_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["exact_word_scores"] = rf"""
 WITH h AS (SELECT doc_id, {_CRC.format("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 10 = 0 AS held_out,
-    list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), [' end']) AS w FROM documents),
+    list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), [' end']) AS w FROM documents),
   x AS (SELECT doc_id, held_out, unnest(w) AS w FROM h),
   c AS (SELECT w, count(*) AS c FROM x WHERE NOT held_out GROUP BY w),
   n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
@@ -200,6 +215,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_html_layout": op9_html_layout,
     "op10_weak_quality": op10_weak_quality,
+    "op11_line_dedup": op11_line_dedup,
     "exact_secret_spans": exact_secret_spans,
     "exact_pii_spans": exact_pii_spans,
     "exact_word_scores": exact_word_scores,

@@ -37,13 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import map_texts, spread_join, write_shared, write_table
+from .textops import bounded, map_texts, spread_join, write_shared, write_table
 
 BANDS, ROWS = 32, 4
 BATCH = 32  # signature values compared at a time
 MISS = 1e-6  # posterior probability under which a pair is dropped
 BLOCK = 256  # members of a band that are compared with each other at a time
-SMALL_ROWS = 1_000_000  # ids (8 bytes each) up to which a side of a join is broadcast
 SPLIT_EDGES = 2_000  # links beyond which the neighbours of one text are split among tasks
 WORDS_KEPT = 200_000  # word hashes that a task keeps between texts
 
@@ -137,11 +136,6 @@ def shingle_sets(df: DataFrame, words: int, signatures: bool, id_col: str, text_
     return map_texts(df, make, columns, id_col, text_col)
 
 
-def bounded(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is (a shuffled join)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def _bayes_pairs(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
     """The pairs (a, b) whose signatures pass the sequential test."""
     sig = classes

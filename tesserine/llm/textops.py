@@ -102,6 +102,11 @@ def write_shared(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is (a shuffled join)."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def write_table(df: DataFrame) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder, for what is read column by column or more than once."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
