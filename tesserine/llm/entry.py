@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, linededup, lm, media, neardup, pii, quality, secrets
+from . import bpe, decontam, hardneg, html, langid, linededup, lm, media, neardup, pii, quality, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -120,6 +120,24 @@ FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = r"""
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT a, b AS positive, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+  n AS (
+    SELECT p.a AS anchor_id, p.positive AS positive_id, row_number() OVER (PARTITION BY p.a, p.positive ORDER BY s.score DESC, s.b) AS r, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, r::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10
+"""
+
+
 # What the contracts fix exactly, taken from the operators' own results and held against SQL --------------------------
 def _either_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -216,6 +234,7 @@ QUERIES = {
     "op9_html_layout": op9_html_layout,
     "op10_weak_quality": op10_weak_quality,
     "op11_line_dedup": op11_line_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
     "exact_secret_spans": exact_secret_spans,
     "exact_pii_spans": exact_pii_spans,
     "exact_word_scores": exact_word_scores,
