@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hardneg, html, langid, linededup, lm, media, neardup, pii, quality, secrets
+from . import bpe, crosstok, decontam, hardneg, html, langid, linededup, lm, media, neardup, pii, quality, secrets
 
 ORACLES: dict[str, str] = {}
 
@@ -120,6 +120,10 @@ FROM k LEFT JOIN f USING (key) GROUP BY doc_id
 """
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0)
@@ -234,6 +238,7 @@ QUERIES = {
     "op9_html_layout": op9_html_layout,
     "op10_weak_quality": op10_weak_quality,
     "op11_line_dedup": op11_line_dedup,
+    "op12_cross_tokenizer": op12_cross_tokenizer,
     "op13_hard_negatives": op13_hard_negatives,
     "exact_secret_spans": exact_secret_spans,
     "exact_pii_spans": exact_pii_spans,
