@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserine.operators.cells import CellIndex
 from tesserine.operators.effects import apply_effects
 from tesserine.operators.index import Index
 from tesserine.operators.spaces import Context
@@ -89,6 +90,7 @@ class App:
         self.now, self.distinct_events, self.return_origin_id, self.queue = now, distinct_events, return_origin_id, queue
         self.batches: dict[Schema, list[DataFrame]] = {}
         self.tables: dict[Schema, DataFrame] = {}
+        self.cells: dict[tuple[Index, Schema], CellIndex] = {}
         for s in self.sources:
             s.app = self
             if s.loader is not None:
@@ -97,6 +99,7 @@ class App:
     def ingest(self, source: Source, rows) -> None:
         """Add a batch. All batches of a schema are merged in one shuffle; every ``MOST_BATCHES`` the result is written, which cuts its lineage."""
         schema, held = source.schema, self.batches.setdefault(source.schema, [])
+        self.cells.clear()  # rows may change cells, also those that events move
         if isinstance(rows, (dict, list, tuple)):
             rows = [rows] if isinstance(rows, dict) else list(rows)
             for row in rows if self.queue else ():
@@ -131,6 +134,11 @@ class App:
         events = {s: df for s, df in self.tables.items() if s.is_event}
         return apply_effects(index, schema, rows, tables, events, self.clock(), self.distinct_events) if events else rows
 
+    def deal(self, index: Index, schema: Schema, path: str | None = None, cells: int | None = None) -> CellIndex:
+        """Write the indexed rows of a schema in cells; until more is put in, queries with a limit or radius read those they need (results are the same)."""
+        self.cells[index, schema] = CellIndex.build(self.rows(index, schema), index, self.clock(), path, cells)
+        return self.cells[index, schema]
+
     def query(self, query: Query, strategy: str = "auto", **params) -> QueryResult:
         index = query.index
 
@@ -141,7 +149,8 @@ class App:
             return found[0].asDict()
 
         plan = replace(query.bind(params, stored, self.clock(), strategy), origin_id=self.return_origin_id)
-        return QueryResult(plan.frame(self.rows(index, query.schema)), plan)
+        dealt = self.cells.get((index, query.schema))
+        return QueryResult(dealt.frame(plan) if dealt else plan.frame(self.rows(index, query.schema)), plan)
 
     def vectors(self, index: Index, schema: Schema, ids: list[str] | None = None) -> DataFrame:
         """(id, vector): stored vectors, of given ids or all."""

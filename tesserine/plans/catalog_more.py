@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from tesserine.plans.natural import RuleFiller
 from tesserine.plans.query import Param, Query
 from tesserine.schema import Blob, Boolean, CreatedAtField, EventSchema, Float, IdField, Integer, Schema, SchemaReference, String
 from tesserine.sources.readers import DataFormat, DataLoaderConfig, decode_blob
-from tesserine.sources.store import persist, restore, shared_folder
+from tesserine.sources.store import kept_for_session, persist, restore
 
 QUERIES, ORACLES, register = C.QUERIES, C.ORACLES, C.register
 
@@ -174,7 +173,7 @@ SELECT id, round(CASE WHEN y IS NULL THEN 0 ELSE cos({C._angle('y', 0.0, 10.0)}
 
 # files, stores, look-ups -------------------------------------------------------
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    return kept_for_session(spark, "tables") + "/rows"
 
 
 def source_formats(spark: SparkSession, sf_dir: str) -> DataFrame:

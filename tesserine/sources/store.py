@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -90,6 +91,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
+def kept_for_session(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster shares, removed when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)  # only what exists can be marked
+    fs.deleteOnExit(path)
+    return path.toString()
+
+
 def write_shared(df: DataFrame) -> DataFrame:
     """``df`` written once to the folder that the cluster shares."""
     spark = df.sparkSession
