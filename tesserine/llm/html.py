@@ -11,7 +11,8 @@ Elements may be nested to any depth: the builder keeps its own stack, and the re
 generator per element that a loop drives, so neither recurses.
 
 Defined cases: null and empty pages give empty text; unclosed tags, comments and quotes run to
-the end; a null id is kept; repeated rows repeat; an empty table gives an empty result.
+the end; a null id is kept; repeated rows repeat; an empty table gives an empty result. Rules of style
+elements are not applied: visibility comes from elements, attributes and style attributes.
 """
 
 from __future__ import annotations
@@ -25,15 +26,17 @@ from pyspark.sql import types as T
 
 from .textops import map_texts
 
-TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*+)[^>]*+(?:>|\Z)|<([A-Za-z][^\s/>]*+)(?:((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|([^>]*+)(?:>|\Z))""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript".split())
-UNSEEN = frozenset("head script style title meta link template noscript iframe noembed noframes object audio video canvas datalist".split())
+UNSEEN = frozenset("head rp script style title meta link template noscript iframe noembed noframes object audio video canvas datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd tr caption thead tbody tfoot figcaption details summary dialog legend option optgroup center menu".split())
+#: Inputs that show a label, and the one that they have without a value.
+BUTTONS = {"submit": "Submit", "reset": "Reset", "button": ""}
 #: Not shown inside svg and math.
 DRAWN_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
 #: Elements inside svg and math whose content is HTML again, and HTML that ends a drawing.
@@ -135,6 +138,8 @@ def parse(page: str) -> Element:
         if m.start() > at:
             add(unescape(page[at : m.start()]))
         at = m.end()
+        if m[2] and m[2].lower() in ("pre", "listing", "textarea"):  # a line break right behind the tag doesn't count
+            at += 2 if page.startswith("\r\n", at) else page.startswith("\n", at)
         if m[1]:
             tag = m[1].lower()
             if tag == "br":
@@ -142,10 +147,16 @@ def parse(page: str) -> Element:
             elif tag not in VOID:
                 close((tag,), ("table",) if tag not in ("table", "body", "html") else ())
             continue
-        name = m[2] or m[4]
-        if not name:
+        if not m[2]:
             continue
-        tag, attrs = name.lower(), m[3] or m[5] or ""
+        tag, attrs = m[2].lower(), m[3] or m[4] or ""
+        if tag == "plaintext" and not (drawn and drawing()):
+            if "p" in stack.open:
+                close(("p",), STOPS_P)
+            block = Element("pre")
+            block.kids.append(page[at:])
+            add(block)
+            return root
         inside = drawing() if drawn else 0
         if inside and tag in ENDS_DRAWING:
             stack.cut(inside)
@@ -222,6 +233,10 @@ class Lines:
 
     def line(self) -> None:
         """End the line; an empty one stays (as after two breaks)."""
+        if not self.now:
+            if self.gap and self.done:
+                self.done += [""] * (self.gap - 1)
+            self.gap = 0
         self.done.append("".join(self.now).rstrip())
         self.now, self.space = [], False
 
@@ -245,14 +260,26 @@ def _hidden(element: Element, tag: str) -> bool:
     if not element.attrs:
         return tag == "dialog"
     a = element.attributes()
-    style = BLANK.sub("", a.get("style", "").lower())
-    return "hidden" in a or "display:none" in style or tag == "input" and a.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in a
+    display = _declared(a, "display")
+    return display == "none" or "hidden" in a and not display or tag == "input" and a.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in a
+
+
+def _declared(attributes: dict[str, str], name: str) -> str:
+    """What a style attribute says last of a property, or nothing; what is marked important goes before the rest."""
+    found, strong = "", False
+    for part in attributes.get("style", "").lower().split(";"):
+        key, _, value = part.partition(":")
+        if key.strip() == name and value.strip():
+            value, mark, _ = value.partition("!")
+            if bool(mark) >= strong:
+                found, strong = value.strip(), bool(mark)
+    return found
 
 
 def _seen(element: Element, shown: bool) -> bool:
     if element.attrs and "visibility" in element.attrs.lower():
-        style = BLANK.sub("", element.attributes().get("style", "").lower())
-        return False if "visibility:hidden" in style or "visibility:collapse" in style else True if "visibility:visible" in style else shown
+        said = _declared(element.attributes(), "visibility")
+        return False if said in ("hidden", "collapse") else True if said == "visible" else shown
     return shown
 
 
@@ -269,7 +296,7 @@ def render(element: Element, lines: Lines) -> None:
 
 def _shown(element: Element, lines: Lines, pre: bool = False, shown: bool = True, depth: int = 0):
     """Renders an element; yields the parts that must run before it goes on."""
-    number = 0
+    number = _whole(element.attributes().get("start", ""), 1) - 1 if element.tag == "ol" and element.attrs else 0
     closed = element.tag == "details" and "open" not in element.attributes()  # only its summary shows
     for kid in element.kids:
         if isinstance(kid, str):
@@ -284,19 +311,25 @@ def _shown(element: Element, lines: Lines, pre: bool = False, shown: bool = True
             if seen:
                 lines.line()
             continue
+        if tag == "input":
+            if seen and kid.attrs:
+                a = kid.attributes()
+                if a.get("type", "").lower() in BUTTONS:
+                    lines.text(a.get("value", BUTTONS[a["type"].lower()]), False)
+            continue
         if tag == "table":
             lines.block(1)
             yield _table(kid, lines, depth, seen)
             lines.block(1)
             continue
         if tag not in BLOCK and not (tag == "text" and kid.drawn):
-            yield _shown(kid, lines, pre, seen, depth)
+            yield _shown(kid, lines, pre or tag == "textarea", seen, depth)
             continue
         margin = int(tag in SPACED and not (tag in LISTS and depth))
         lines.block(margin)
         indent = lines.indent
         if tag == "li":
-            number += 1
+            number = _whole(kid.attributes().get("value", ""), number + 1) if kid.attrs else number + 1
             lines.bullet = f"{number}. " if element.tag == "ol" else "- "
             yield _shown(kid, lines, pre, seen, depth)
             lines.bullet = ""
@@ -325,6 +358,12 @@ def _rows(table: Element, shown: bool):
                 yield None
 
 
+def _whole(value: str, other: int) -> int:
+    """A whole number at the start of an attribute, or ``other``."""
+    m = re.match(r"\s*([+-]?[0-9]{1,9})", value)
+    return int(m[1]) if m else other
+
+
 def _span(cell: Element, name: str, most: int) -> int:
     value = cell.attributes().get(name, "1").strip() if cell.attrs else "1"
     return min(int(value[:9]), most) if value.isdecimal() and value.isascii() else 1
@@ -341,16 +380,16 @@ def _table(table: Element, lines: Lines, depth: int, shown: bool = True):
     lines.block(0)
     grid: list[list[tuple[int, list[str]]]] = []
     widths: dict[int, int] = {}
-    below: dict[int, int] = {}  # columns that cells of earlier rows hold, and for how many more rows
-    for row in _rows(table, shown):
+    held: list[tuple[int, int, int]] = []  # columns from and to that cells of earlier rows hold, and up to which row; in order
+    for at, row in enumerate(_rows(table, shown)):
         if row is None:
-            below = {}
+            held = []
             continue
-        cells, col, held = [], 0, below
-        below = {c: n - 1 for c, n in held.items() if n > 1}
+        held = [h for h in held if h[2] >= at]
+        cells, col, nth, new = [], 0, 0, []
         for cell, seen in row:
-            while col in held:
-                col += 1
+            while nth < len(held) and held[nth][0] <= col:
+                col, nth = max(col, held[nth][1]), nth + 1
             inner = Lines()
             yield _shown(cell, inner, shown=seen)
             text = inner.result()
@@ -359,8 +398,9 @@ def _table(table: Element, lines: Lines, depth: int, shown: bool = True):
             width = max(map(len, text), default=0) if across == 1 else 0
             widths[col] = max(widths.get(col, 0), width)
             if down != 1:  # 0 holds to the end of the section
-                below |= {c: (down or MOST_ROWS) - 1 for c in range(col, col + across)}
+                new.append((col, col + across, at + (down or MOST_ROWS) - 1))
             col += across
+        held = sorted(held + new) if new else held
         grid.append(cells)
     starts, at = {}, 0
     for col in sorted(widths):

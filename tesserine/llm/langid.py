@@ -134,7 +134,7 @@ def fit_sample(train: DataFrame) -> DataFrame:
     # a share of each language that holds three times the bound on average narrows the ranking to few rows
     sizes = narrow.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("h", "th")).alias("d"))
     shares = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGS).select("lang", (F.lit(3.0 * FIT_ROWS) / F.col("d")).alias("share"))
-    near = narrow.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "h", "id", "th").distinct()
+    near = narrow.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("h", "th"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "h", "id", "th").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "th"))
     picked = near.withColumn("r", rank).filter(F.col("r") <= FIT_ROWS).select(F.col("lang").alias("l"), F.col("id").alias("i"), F.col("th").alias("t"), "r")
     met = keyed.join(F.broadcast(picked), (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i")) & F.col("th").eqNullSafe(F.col("t")))

@@ -274,7 +274,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Select
                 hashes = [xxhash.xxh3_64_intdigest(around.encode("utf-8", "surrogatepass")) >> 1 for *_, around in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([float(r[1]) for r in rows], pa.float64()), pa.array(hashes, pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=schema.names)
 
-    found = hash_share(df, id_col, FIT_ROWS, 11).select(F.col(text_col).cast("string")).mapInArrow(run, schema)
+    found = hash_share(df, [id_col, text_col], FIT_ROWS, 11).select(F.col(text_col).cast("string")).mapInArrow(run, schema)
     nth = F.row_number().over(Window.partitionBy("kind", "y").orderBy("h", "x"))
     rows = found.withColumn("nth", nth).filter(F.col("nth") <= FIT_SPANS).orderBy("h", "kind", "y", "x").select("kind", "y", "x").toArrow()  # at most FIT_SPANS per kind and outcome
     y = rows["y"].to_numpy()

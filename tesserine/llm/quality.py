@@ -221,7 +221,7 @@ def vote_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def fit_sample(texts: DataFrame) -> DataFrame:
     """(id, text): ``FIT_ROWS`` distinct rows of ``texts``, those with the smallest hash of their id."""
-    keyed = hash_share(texts, "id", FIT_ROWS, 7).withColumns({"h": F.xxhash64(F.col("id").cast("string"), F.lit(7)), "th": F.xxhash64("text")})
+    keyed = hash_share(texts, ["id", "text"], FIT_ROWS, 7).withColumns({"h": F.xxhash64(F.col("id").cast("string"), F.lit(7)), "th": F.xxhash64("text")})
     picked = keyed.select("h", "id", "th").distinct().orderBy("h", "id", "th").limit(FIT_ROWS).select(F.col("id").alias("i"), F.col("th").alias("t"))
     met = keyed.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("i")) & F.col("th").eqNullSafe(F.col("t")))
     return met.groupBy("id", "th").agg(F.first("text").alias("text")).select("id", "text")  # repeated rows leave a task once

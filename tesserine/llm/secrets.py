@@ -43,8 +43,9 @@ CHECKED = {
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "xprv": re.compile(rf"xprv[{BASE58}]{{107}}(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"),
+    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+"),
 }
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++)?")
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
     "access": ("akia",),
@@ -86,13 +87,32 @@ def _base58_check(word: str) -> bool:
     return bool(raw) and hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
 
 
+def _json_object(part: str) -> dict | None:
+    """The object that a base64url text holds; read in growing pieces, so that what is no JSON ends early."""
+    size = 512
+    while True:
+        piece = part if size >= len(part) else part[: size - size % 4]
+        try:
+            raw = base64.urlsafe_b64decode(piece + "=" * (-len(piece) % 4))
+            if not raw.lstrip(b" \t\r\n").startswith(b"{"):
+                return None
+            found = json.loads(raw)
+            return found if isinstance(found, dict) and piece is part else None
+        except json.JSONDecodeError as error:
+            unclosed = error.msg.startswith("Unterminated") or error.pos >= len(error.doc) - 16
+            if piece is part or not unclosed:
+                return None
+        except (ValueError, binascii.Error, RecursionError):  # a cut may stand inside a character
+            if piece is part:
+                return None
+        size *= 4
+
+
 def _jwt_header(word: str) -> bool:
     """The first part is base64url JSON that names an algorithm and the second is base64url JSON."""
-    try:
-        head, body = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in word.split(".")[:2])
-    except (ValueError, binascii.Error):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+    head, body = word.split(".")[:2]
+    head = _json_object(head)
+    return head is not None and isinstance(head.get("alg"), str) and _json_object(body) is not None
 
 
 def _valid(kind: str, m: re.Match) -> bool:
@@ -132,9 +152,12 @@ def find_secrets(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int,
                 over[kind] = m.end()
                 if m.end() - at >= 20:
                     spans.append((at, m.end(), kind))
-        elif (m := CHECKED[kind].match(text, at)) and _valid(kind, m):
-            over[kind] = m.end()
-            spans.append((at, m.end(), kind))
+        elif m := CHECKED[kind].match(text, at):
+            if _valid(kind, m):
+                over[kind] = m.end()
+                spans.append((at, m.end(), kind))
+        elif kind == "jwt" and text.startswith("eyJ", at) and at + 4 <= len(text):
+            over[kind] = max(JWT_RUN.match(text, at).end() - 3, at)  # whatever begins in a run that leads to no second dot fails, too
     spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return spans
 

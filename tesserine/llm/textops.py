@@ -77,16 +77,18 @@ def map_texts(
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def hash_share(df: DataFrame, id_col: str, rows: int, seed: int) -> DataFrame:
-    """Rows chosen by the hash of their id, twice ``rows`` on average (all rows of a smaller table).
+def hash_share(df: DataFrame, columns: list[str], rows: int, seed: int) -> DataFrame:
+    """Rows chosen by the hash of ``columns``, some twice ``rows`` different ones (all rows of a smaller table).
 
     Narrows a bounded sample for a fit before it is ordered and limited, so that what tasks
-    return for it does not grow with their number.
+    return for it does not grow with their number. ``columns`` should tell rows apart (id and text):
+    rows that are equal in all of them are taken or left together and count once.
     """
-    total = df.count()
+    h = F.xxhash64(*[F.col(c).cast("string") for c in columns], F.lit(seed))
+    total = df.agg(F.approx_count_distinct(h)).first()[0]
     if total <= 2 * rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * 2 * rows / total))
+    return df.filter(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * 2 * rows / total))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -108,10 +110,16 @@ def bounded(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
 
 
 def write_table(df: DataFrame) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder, for what is read column by column or more than once."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """``df`` written once as a Parquet table in the shared folder, for what is read column by column or more than once.
+
+    The folder is removed when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 1000, limit: int = 1_000_000) -> DataFrame:

@@ -103,3 +103,31 @@ def test_operator(spark):
     got = H.extracted(df).collect()
     assert len(got) == len(CASES) + 1 and all(r.text == CASES[r.page_id][1] and r.n_chars == len(r.text) for r in got)
     assert H.extracted(df.limit(0)).count() == 0
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    start = time.process_time()
+    rows = "".join("<tr><td rowspan=65534 colspan=1000>x" for _ in range(300))
+    for page in ("<b" * 500_000, "<a " + "x" * 1_000_000, "<" + "y" * 1_000_000, "</" + "z" * 1_000_000, "<a '" * 200_000, "<a b=" * 200_000, f"<table>{rows}</table>", "<table><tr>" + "<td rowspan=65534 colspan=1000>x" * 300, "<!--" * 250_000):
+        H.page_text(page)
+    assert time.process_time() - start < 45
+
+
+PAGES = [
+    ("<ol start=5><li>a<li value=9>b<li>c</ol>", "5. a\n9. b\n10. c"),
+    ("<pre>\n\na</pre>", "\na"),
+    ("<p>x<plaintext>a<b>c", "x\n\na<b>c"),
+    ("<form><input type=submit value=Go> <input type=reset> <input value=no></form>", "Go Reset"),
+    ("<ruby>a<rp>(</rp><rt>b</rt><rp>)</rp></ruby>", "ab"),
+    ("<p style='display:none;display:block'>a</p><p style='display: none !important; display:block'>b</p>", "a"),
+    ("<textarea>\na\n b</textarea>", "a\n b"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td rowspan=0>a<td rowspan=2>b<td>c<tr><td>d<tr><td>e</table>", "a  b  c\n      d\n   e"),
+]
+
+
+@pytest.mark.parametrize("page,text", PAGES)
+def test_pages_of_odd_parts(page, text):
+    assert H.page_text(page) == text

@@ -117,3 +117,13 @@ def test_repeated_rows_stay_bounded_in_the_sample(spark):
     got = L.fit_sample(train)
     assert got.count() == train.distinct().count() and got.select("lang", "r").distinct().count() == got.count()
     assert L.language_predictions(df).count() == df.count()
+
+
+def test_many_texts_under_one_id_keep_their_languages(spark, monkeypatch):
+    monkeypatch.setattr(L, "FIT_ROWS", 40)
+    parts = {"aa": "the of ing", "bb": "der die sch", "cc": "le les que"}
+    rows = [(1, f"{p} {i} {p[: i % 5]} {i * 7}", g) for g, p in parts.items() for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert {r.lang: r.n for r in L.fit_sample(L.training_rows(df, "doc_id", "text", "lang")).groupBy("lang").count().withColumnRenamed("count", "n").collect()} == dict.fromkeys(parts, 40)
+    got = L.language_predictions(df).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred for r in got} == set(parts)

@@ -59,3 +59,13 @@ def test_near_dedup_leaves_one_row_of_each_group(spark):
     got = sorted(((r.doc_id, r.text) for r in C.near_dedup(spark, docs, "").collect()), key=str)
     assert got == sorted([(3, words), (None, "some other text of more than five words here"), (9, ""), (10, None), (None, None), (11, "x y"), (11, "quite another text under the same id as x y")], key=str)
     assert C.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_decontamination_knows_rows_by_id_and_text(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"a {passage} b"), (None, "clean without an id"), (None, None), (3, passage), (3, "clean under the same id"), (3, passage), (4, "clean"), (4, "clean")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _key string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in C.decontaminate(spark, docs, str(tmp_path)).collect()), key=str)
+    assert got == sorted([r for r in rows if passage not in (r[1] or "")], key=str)
+    assert set(C.near_dedup(spark, docs, "").columns) == set(docs.columns)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tesserine.llm import quality as Q
 
@@ -129,3 +130,10 @@ def test_scores_equal_a_plain_model(spark):
 def test_repeated_rows_stay_bounded_in_the_sample(spark):
     df = spark.createDataFrame([(5, "the same text")] * 200 + [(6, f"text {i}") for i in range(30)] + [(None, None)] * 9, "id long, text string").repartition(4)
     assert Q.fit_sample(df).count() == 32
+
+
+@pytest.mark.parametrize("one", ["3L", "cast(null as bigint)"])
+def test_many_texts_under_one_id_are_sampled(spark, monkeypatch, one):
+    monkeypatch.setattr(Q, "FIT_ROWS", 60)
+    df = spark.range(3000).selectExpr(f"{one} as id", "if(id < 2000, 'copy', concat('text ', id)) as text")
+    assert Q.fit_sample(df).count() == 60

@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import json
 import re
 import zlib
 
@@ -61,3 +63,17 @@ def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "token=abcdef1"), (None, "token=abcdef1"), (2, None)], "doc_id long, text string")
     assert sorted([(r.doc_id, r.n_assign) for r in S.secret_digests(df).collect()], key=str) == [(2, 0), (None, 1), (None, 1)]
     assert sorted([r.text for r in S.redact_secrets(df).collect()], key=str) == [None, "[SECRET]", "[SECRET]"]
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    auto, start = S.build_automaton(), time.process_time()
+    good = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    for unit, tail in (("eyJ", ""), ("eyJ", ".a.b"), ("eyJ", "."), ("eyJhIj", ".x"), ("AKIA", ""), ("token", ""), ("token ", ""), ("ghp_", ""), ("deadbeef ", ""), ("xprv", "")):
+        assert [k for _, _, k in S.find_secrets(unit * (1_000_000 // len(unit)) + tail + " " + good, auto) if k == "jwt"] == ["jwt"]
+    assert time.process_time() - start < 30
+    for broken in ("eyJeyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln", "eyJ.eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln", "eyJx.y eyJ eyJ." + good):
+        assert [k for _, _, k in S.find_secrets(broken, auto) if k == "jwt"] == ["jwt"]
+    large = base64.urlsafe_b64encode(json.dumps({"alg": "é" * 4000, "n": list(range(3000))}).encode()).decode().rstrip("=")
+    assert [k for *_, k in S.find_secrets(f"x {large}.eyJzdWIiOiIxIn0.c2ln y", auto) if k == "jwt"] == ["jwt"]

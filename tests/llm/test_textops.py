@@ -20,11 +20,18 @@ def test_map_keeps_ids_of_any_type(spark):
 
 def test_hash_share_bounds_large_tables_only(spark):
     df = spark.range(20000).withColumnRenamed("id", "doc_id")
-    assert X.hash_share(df.limit(100), "doc_id", 50, 1).count() == 100
-    n = X.hash_share(df, "doc_id", 1000, 1).count()
-    assert 1700 < n < 2300 and n == X.hash_share(df, "doc_id", 1000, 1).count()
+    assert X.hash_share(df.limit(90), ["doc_id"], 50, 1).count() == 90
+    n = X.hash_share(df, ["doc_id"], 1000, 1).count()
+    assert 1600 < n < 2400 and n == X.hash_share(df, ["doc_id"], 1000, 1).count()
 
 
 def test_checkpoint_outlives_its_plan(spark):
     cut = X.write_shared(spark.range(5).selectExpr("id * 2 as x"))
     assert sorted(r.x for r in cut.collect()) == [0, 2, 4, 6, 8] and "Range" not in cut._jdf.queryExecution().toString()
+
+
+def test_hash_share_tells_rows_of_one_id_apart(spark):
+    """Texts that share an id, and copies that outnumber all other rows."""
+    df = spark.range(20000).selectExpr("3L as doc_id", "cast(if(id < 17000, 0, id) as string) as text")
+    n = X.hash_share(df, ["doc_id", "text"], 500, 1).select("text").distinct().count()
+    assert 800 < n < 1200
