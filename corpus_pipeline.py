@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm import bpe, decontam, langid, neardup, secrets
-from tesserine.llm.textops import shared_folder, write_shared
+from tesserine.llm.textops import bounded, shared_folder, write_shared
 
 #: Least score with which a recognised language is kept.
 LANGUAGE_SCORE = 0.4
@@ -26,27 +26,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, langid.fit(docs), LANGUAGE_SCORE)
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group: the one with the smallest id.
 
     Rows without an id take part under a number above all ids that their text gives them, so that a
     row with an id goes before its copies without one. Of rows with one id and one text one stays.
     """
-    spare = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), spare))
-    dropped = neardup.near_duplicates(keyed.select("_key", "text"), words=5, percent=80, id_col="_key").filter("not kept").select("_key").distinct()
-    repeated = write_shared(keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key"))
-    left = keyed.join(neardup.bounded(write_shared(dropped)), "_key", "left_anti")
+    key = spare(docs, "_key")
+    made = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), made))
+    dropped = neardup.near_duplicates(keyed.select(key, "text"), words=5, percent=80, id_col=key).filter("not kept").select(key).distinct()
+    repeated = write_shared(keyed.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key))
+    left = keyed.join(bounded(write_shared(dropped)), key, "left_anti")
     if not repeated.isEmpty():
-        again = neardup.bounded(repeated)
-        left = left.join(again, "_key", "left_anti").union(left.join(again, "_key", "left_semi").dropDuplicates(["_key", "text"]))
+        again = bounded(repeated)
+        left = left.join(again, key, "left_anti").union(left.join(again, key, "left_semi").dropDuplicates([key, "text"]))
     return left.select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows with a passage; a row is known by its id and its text, so that others of its id (or without one) stay."""
+    key = spare(docs, "_key")
+    named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string"))
+    keyed = docs.withColumn(key, named)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontam.passage_hits(docs, benchmark).select("doc").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc"]), "left_anti").select(docs.columns)
+    hit = decontam.passage_hits(keyed, benchmark, id_col=key).select(F.col("doc").alias(key)).distinct()
+    return keyed.join(hit, key, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,13 +83,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, with what each kept written to the session's shared folder until the next is written."""
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", spark._jvm.org.apache.hadoop.fs.Path
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = at(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at(base))
+    files.deleteOnExit(at(base))  # the last stage's rows are read after this returns
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if i:
-            before = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{i - 1}_{STAGES[i - 1][0]}")
-            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
+            files.delete(at(f"{base}/{i - 1}_{STAGES[i - 1][0]}"), True)
     return docs
