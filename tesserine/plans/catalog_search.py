@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tesserine.functions.vectors import unit
+from tesserine.operators.codes import CodeIndex
 from tesserine.operators.index import Index
 from tesserine.operators.spaces import CategoricalSimilaritySpace, CustomSpace, Mode, NumberSpace
 from tesserine.plans import catalog as C
@@ -34,3 +37,29 @@ _price, _brand, _size = NumberSpace(C.part.price, 900, 1000, Mode.MINIMUM), Cate
 _several = Index([_price, _brand, _size], fields=[C.part.type, C.part.size, C.part.brand])
 _weighted = Query(_several, weights={_price: 1.0, _brand: 2.0}).find(C.part).similar(_brand, ["Brand#11", "Brand#13"]).similar(_size, 15, 0.5)
 dealt(_several, C.part, _weighted.filter(C.part.type != "STANDARD").filter((C.part.size > 5) | (C.part.brand == "Brand#11")).select(C.part.brand, C.part.price).limit(50), ORACLES["weighted_multi_space"], "cells_multi_space")
+
+
+# codes -------------------------------------------------------------------------
+def _asked_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors of all items, and of those whose id is divisible by 100 as queries."""
+    vectors = C._read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), unit(F.col("embedding"), 64).alias("vector"))
+    return vectors, vectors.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+
+
+def codes_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the ten nearest items of each query the compressed vectors find, with their exact scores."""
+    vectors, asked = _asked_of(spark, sf_dir)
+    index = CodeIndex.build(vectors, 64)
+    return index.recall(asked, 10)
+
+
+def codes_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest items by compressed vectors where all items are candidates: the exact result."""
+    vectors, asked = _asked_of(spark, sf_dir)
+    index = CodeIndex.build(vectors, 64)
+    top = index.search(asked, 10, candidates=max(10, vectors.count()))
+    return top.select("query_id", "id", "rank", (F.round("score", 5) + 0.0).alias("score"))
+
+
+QUERIES |= {"codes_recall": codes_recall, "codes_topk": codes_topk}
+ORACLES["codes_topk"] = ORACLES["batch_queries"]
