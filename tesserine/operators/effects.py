@@ -2,8 +2,8 @@
 
 Events of an entity act in the order of (created_at, event id). The rule is a chain
 ``vec' = (T a + s vec) / (T + s)`` whose factors depend only on counts and times, so the batch form
-needs no entity's events in one place: a pass over sorted, narrow rows yields each event's two
-factors, running products give the final share of each event, and the vectors are summed with
+needs no entity's vectors in one place: one pass over sorted, narrow rows yields the share that each
+event has in the final vector, added up by affecting entity, and the vectors are summed with
 these shares under ordinary partial aggregation. The streaming form keeps the same state per
 entity (see ``tesserine.streaming.effects``).
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from pyspark.sql.window import Window
 from tesserine.operators.index import Effect, Index
 from tesserine.operators.spaces import Space
 from tesserine.schema import Schema, condition
+from tesserine.sources.store import write_shared
 
 
 @dataclass
@@ -87,32 +89,67 @@ def groups_of(index: Index, schema: Schema) -> list[tuple[Space, Schema, str, st
     return [(index.spaces[i], events, affected, affecting, es[0].affecting_reference.target, es) for (i, events, affected, affecting), es in out.items()]
 
 
-def chain(events: DataFrame, rule: Rule) -> DataFrame:
-    """Events (entity, created_at, event, m, …) with the share that each has in its entity's final vector.
+SHARES = T.StructType([T.StructField("entity", T.StringType()), T.StructField("by", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("part", T.LongType()), T.StructField("later", T.DoubleType())])
 
-    One sort by entity and order; the state of a task is one tally. A window of products over the
-    later events of the entity turns factors into shares.
+
+def shares(acting: DataFrame, rule: Rule) -> DataFrame:
+    """(entity, by, share): what the affecting entities' values count in each entity's final one.
+
+    ``acting``: (entity, created_at, event, by, m, weight). One sort by entity and order; a task keeps one
+    tally and goes over each stretch of an entity's events (those of one Arrow batch) twice: forwards
+    for the factors, backwards for their products. An entity whose events fill several stretches leaves
+    them with numbers, and at its end one row per stretch with the product of all later factors, which
+    is joined: the rows of that join's other side are fewer than the events by the size of a batch.
     """
-    order = ["entity", "created_at", "event"]
-    schema = T.StructType([*events.schema.fields, T.StructField("keep", T.DoubleType()), T.StructField("add", T.DoubleType())])
+    arrow = pa.schema([pa.field(f.name, {"StringType": pa.string(), "DoubleType": pa.float64(), "LongType": pa.int64()}[type(f.dataType).__name__]) for f in SHARES])
+
+    def stretch(by: list, weight: np.ndarray, keep: np.ndarray, add: np.ndarray) -> tuple[list, np.ndarray, float]:
+        """Affecting entities, their shares at the stretch's end, and the product of its factors."""
+        after = np.concatenate([np.cumprod(keep[::-1])[::-1], [1.0]])
+        names, of = np.unique(np.array(by), return_inverse=True)
+        return names.tolist(), np.bincount(of, weights=add * weight * after[1:], minlength=len(names)), float(after[0])
+
+    def rows(entity: str, names: list, values: np.ndarray, part: int | None) -> pa.RecordBatch:
+        n = len(names)
+        return pa.RecordBatch.from_arrays([pa.array([entity] * n, pa.string()), pa.array(names, pa.string()), pa.array(values), pa.array([part] * n, pa.int64()), pa.nulls(n, pa.float64())], schema=arrow)
+
+    def closing(entity: str, products: list[float]) -> pa.RecordBatch:
+        later = np.concatenate([np.cumprod(np.array(products)[::-1])[::-1][1:], [1.0]])
+        n = len(products)
+        return pa.RecordBatch.from_arrays([pa.array([entity] * n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()), pa.array(range(n), pa.int64()), pa.array(later)], schema=arrow)
 
     def run(batches):
-        now, tally = None, Tally()
+        now, tally, waiting, products = None, Tally(), None, []
+
+        def end():
+            """What is left of an entity once no more of its events can come."""
+            if products:
+                yield rows(now, *waiting[:2], len(products))
+                yield closing(now, [*products, waiting[2]])
+            elif waiting:
+                yield rows(now, *waiting[:2], None)
+
         for batch in batches:
-            keep, add = [], []
-            for entity, at, m in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("entity", "created_at", "m"))):
-                if entity != now:
-                    now, tally = entity, Tally()
-                k, a = rule.step(tally, at, m)
-                keep.append(k)
-                add.append(a)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keep, pa.float64()), pa.array(add, pa.float64())], names=[*batch.schema.names, "keep", "add"])
-
-    steps = events.repartition("entity").sortWithinPartitions(*order).mapInArrow(run, schema)
-    later = Window.partitionBy("entity").orderBy(F.desc("created_at"), F.desc("event")).rowsBetween(Window.unboundedPreceding, -1)
-    zeros = F.coalesce(F.sum((F.col("keep") == 0).cast("int")).over(later), F.lit(0))
-    logs = F.coalesce(F.sum(F.when(F.col("keep") > 0, F.log("keep")).otherwise(0.0)).over(later), F.lit(0.0))
-    return steps.withColumn("share", F.when(zeros > 0, 0.0).otherwise(F.col("add") * F.exp(logs)))
+            entities, at, by, m, weight = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("entity", "created_at", "by", "m", "weight"))
+            cuts = [0, *[i for i in range(1, len(entities)) if entities[i] != entities[i - 1]], len(entities)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]) if entities else ():
+                if entities[lo] != now:
+                    yield from end()
+                    now, tally, waiting, products = entities[lo], Tally(), None, []
+                elif waiting:
+                    yield rows(now, *waiting[:2], len(products))
+                    products.append(waiting[2])
+                steps = np.array([rule.step(tally, t, n) for t, n in zip(at[lo:hi], m[lo:hi])])
+                waiting = stretch(by[lo:hi], np.array(weight[lo:hi]), steps[:, 0], steps[:, 1])
+        yield from end()
+
+    made = acting.repartition("entity").sortWithinPartitions("entity", "created_at", "event").mapInArrow(run, SHARES)
+    made = write_shared(made)  # read twice: shares, and products of long entities
+    later = made.filter("by is null").select("entity", "part", "later")
+    own = made.filter("by is not null").drop("later")
+    if later.isEmpty():
+        return own.select("entity", "by", "share")
+    return own.join(later, ["entity", "part"], "left").select("entity", "by", (F.col("share") * F.coalesce("later", F.lit(1.0))).alias("share"))
 
 
 def event_values(events: DataFrame, affecting: DataFrame, space: Space, raw: str, affected: str, reference: str, effects: list[Effect], rule: Rule, distinct_events: bool = False, max_count: int | None = None) -> DataFrame:
@@ -129,8 +166,9 @@ def event_values(events: DataFrame, affecting: DataFrame, space: Space, raw: str
     if max_count:
         last = Window.partitionBy("entity").orderBy(F.desc("created_at"), F.desc("event"))
         acting = acting.withColumn("nth", F.row_number().over(last)).filter(F.col("nth") <= max_count).drop("nth")
-    shares = chain(acting, rule).filter("share <> 0").groupBy("entity", "by").agg(F.sum(F.col("share") if space.scalar else F.col("share") * F.col("weight")).alias("share"))
-    both = shares.join(known, "by")
+    if space.scalar:
+        acting = acting.withColumn("weight", F.lit(1.0))
+    both = shares(acting, rule).filter("share <> 0").groupBy("entity", "by").agg(F.sum("share").alias("share")).join(known, "by")
     if space.scalar:
         return both.groupBy("entity").agg((F.sum(F.col("share") * F.col("raw")) / F.sum("share")).alias("value"))
     parts = both.select("entity", *[(F.col("share") * F.get("raw", F.lit(i))).alias(f"d{i}") for i in range(space.length)])

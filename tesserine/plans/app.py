@@ -91,6 +91,7 @@ class App:
         self.batches: dict[Schema, list[DataFrame]] = {}
         self.tables: dict[Schema, DataFrame] = {}
         self.cells: dict[tuple[Index, Schema], CellIndex] = {}
+        self.moved: dict[tuple[Index, Schema, int], DataFrame] = {}
         for s in self.sources:
             s.app = self
             if s.loader is not None:
@@ -100,6 +101,7 @@ class App:
         """Add a batch. All batches of a schema are merged in one shuffle; every ``MOST_BATCHES`` the result is written, which cuts its lineage."""
         schema, held = source.schema, self.batches.setdefault(source.schema, [])
         self.cells.clear()  # rows may change cells, also those that events move
+        self.moved.clear()
         if isinstance(rows, (dict, list, tuple)):
             rows = [rows] if isinstance(rows, dict) else list(rows)
             for row in rows if self.queue else ():
@@ -132,7 +134,12 @@ class App:
             return rows
         tables = {s: index.rows(s, df) for s, df in self.tables.items() if not s.is_event}
         events = {s: df for s, df in self.tables.items() if s.is_event}
-        return apply_effects(index, schema, rows, tables, events, self.clock(), self.distinct_events) if events else rows
+        if not events:
+            return rows
+        key = index, schema, self.clock()
+        if key not in self.moved:  # events are folded once until more is put in
+            self.moved[key] = apply_effects(index, schema, rows, tables, events, key[2], self.distinct_events)
+        return self.moved[key]
 
     def deal(self, index: Index, schema: Schema, path: str | None = None, cells: int | None = None) -> CellIndex:
         """Write the indexed rows of a schema in cells; until more is put in, queries with a limit or radius read those they need (results are the same)."""

@@ -1,11 +1,12 @@
 """Event effects: batch and stream against the worked example."""
 
+import random
 from datetime import timedelta
 
 import pytest
 
 from tesserine import App, CreatedAtField, CustomSpace, Effect, EventSchema, Float, FloatList, IdField, Index, InMemorySource, Integer, Mode, NumberSpace, Query, Schema, SchemaError, SchemaReference, String
-from tesserine.operators.effects import rule_of
+from tesserine.operators.effects import Rule, Tally, rule_of, shares
 from tesserine.sources.store import persist, restore
 from tesserine.streaming.effects import stream_effects, with_values
 
@@ -98,6 +99,36 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows[-1].value == pytest.approx([0, 0.6, 0.2])
 
 
+@pytest.mark.parametrize("rule", [Rule(0.5, 2000), Rule(0.9, 2000, max_age=900, floor=0.2), Rule(0.0, 2000), Rule(0.3, 1500, floor=0.0)])
+def test_shares_of_long_and_short_entities(spark, rule):
+    """Stretches of seven events: entities of one stretch, of many, and that end where a stretch ends."""
+    rng = random.Random(3)
+    sizes = {"a": 1, "b": 7, "hot": 500, "c": 6, "d": 14, "e": 40}
+    events = [(u, rng.randint(1, 1900), f"{u}{i}", f"i{rng.randint(0, 9)}", rng.randint(1, 2), rng.choice([1.0, 0.5])) for u, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(events, "entity string, created_at long, event string, by string, m int, weight double").repartition(3)
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "7")
+    try:
+        got = {(r.entity, r.by): r.share for r in shares(df, rule).groupBy("entity", "by").sum("share").withColumnRenamed("sum(share)", "share").collect()}
+    finally:
+        spark.conf.set(key, old)
+    want = {}
+    for u in sizes:
+        tally, vec = Tally(), {}
+        for _, at, _, by, m, w in sorted((e for e in events if e[0] == u), key=lambda e: (e[1], e[2])):
+            keep, add = rule.step(tally, at, m)
+            vec = {k: v * keep for k, v in vec.items()}
+            vec[by] = vec.get(by, 0.0) + add * w
+        want |= {(u, k): v for k, v in vec.items()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+
+def test_one_sort_per_fold(spark):
+    app, index, _ = build(spark)
+    plan = app.rows(index, user)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and app.rows(index, user) is app.rows(index, user)
+
+
 def test_validation():
     space = CustomSpace([user.taste, item.v], 3)
     with pytest.raises(SchemaError):
