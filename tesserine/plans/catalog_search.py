@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from tesserine.functions.vectors import unit
 from tesserine.operators.codes import CodeIndex
+from tesserine.operators.effects import rule_of
 from tesserine.operators.index import Index
 from tesserine.operators.spaces import CategoricalSimilaritySpace, CustomSpace, Mode, NumberSpace
 from tesserine.plans import catalog as C
 from tesserine.plans import catalog_more as M
+from tesserine.plans.app import App, Source
 from tesserine.plans.query import Query
+from tesserine.sources.store import kept_for_session, write_shared
+from tesserine.streaming.effects import batch_states, ordered_effects, run_available, with_values
 
 QUERIES, ORACLES = M.QUERIES, M.ORACLES
 
@@ -63,3 +67,38 @@ def codes_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"codes_recall": codes_recall, "codes_topk": codes_topk}
 ORACLES["codes_topk"] = ORACLES["batch_queries"]
+
+
+# the fold as a stream ------------------------------------------------------------
+#: Events before this instant are folded in a batch, which the stream starts from.
+HISTORY = C.EVENTS_NOW - 15 * 86_400
+
+
+def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member's level after all purchases: those before ``HISTORY`` by the batch fold, the later ones as a stream of the event files."""
+    path = kept_for_session(spark, "stream")
+    index = M._index_level
+    app = App(spark, [source := Source(M.thing, unique=True)], [index], now=C.EVENTS_NOW)
+    source.put(C.TABLES[M.thing](spark, sf_dir))
+    things = app.rows(index, M.thing)
+    n = C._read(spark, sf_dir, "embeddings").count()
+
+    def events(df: DataFrame) -> DataFrame:
+        named = df.selectExpr("cast(event_id as string) as id", "unix_timestamp(ts) as created_at", "cast(user_id as string) as member", f"cast(event_id % {n} as string) as thing", "event_type as what")
+        return with_values(named, things, M._level, index.raw_column(M._level), "member", "thing", index.effects)
+
+    stored = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rule = rule_of(index, C.EVENTS_NOW)
+    start = write_shared(batch_states(events(stored).filter(F.col("created_at") < HISTORY), rule))
+    files = f"{sf_dir}/events.parque[t]"  # as a pattern, a table of one file is taken as well as a folder of files
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 8).parquet(files)
+    updates = ordered_effects(events(stream).filter(F.col("created_at") >= HISTORY), rule, "30 days", start)
+    last = run_available(updates, path)
+    quiet = start.join(last.select("entity"), "entity", "left_anti")  # members without an event in the stream
+    return last.unionByName(quiet).select(F.col("entity").alias("id"), "count", (F.round(F.get("value", F.lit(0)), 6) + 0.0).alias("level"))
+
+
+QUERIES["stream_fold"] = stream_fold
+ORACLES["stream_fold"] = f"""
+WITH {M._order_of_events("event_type = 'purchase'")}
+SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS count, round(avg(label), 6) + 0.0 AS level FROM o GROUP BY user_id"""

@@ -1,20 +1,25 @@
 """Event effects on a stream: one state per entity, the same rule as the batch form.
 
 Rows enter with the affecting entity's raw value beside them (a stream-static join before), in
-micro-batches; inside a batch an entity's events act by (created_at, event id), across batches in
-the order of arrival. The state is the tally and the running vector.
+micro-batches. ``stream_effects`` takes events as they come: inside a batch by (created_at, event id),
+across batches in the order of arrival; its state is the tally and the running vector.
+``ordered_effects`` lets events wait until the watermark has passed them, so that late ones act in
+their place, and can start from the batch fold of a history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tesserine.operators.effects import Rule, Tally, matching
 from tesserine.operators.index import Effect
@@ -62,3 +67,137 @@ def stream_effects(acting: DataFrame, rule: Rule, watermark: str | None = None)
         yield pd.DataFrame({"entity": [key[0]], "count": [tally.count], "average": [tally.average], "oldest": [tally.oldest], "value": [vec.tolist()]})
 
     return acting.groupBy("entity").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+# With late events in order, timers and a start from the batch fold ---------------------------------------------
+PENDING = T.StructType([T.StructField("created_at", T.LongType()), T.StructField("event", T.StringType()), T.StructField("m", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("raw", T.ArrayType(T.DoubleType()))])
+
+
+def batch_states(acting: DataFrame, rule: Rule) -> DataFrame:
+    """(entity, count, average, oldest, value) after all of ``acting`` (see ``with_values``), for a stream to start from.
+
+    One sort by entity and order; a task holds one entity's state.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tally, vec = None, Tally(), None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(x, f) for x, f in zip(([now], [tally.count], [tally.average], [tally.oldest], [vec.tolist()]), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())))], names=OUT.names)
+
+        for batch in batches:
+            entities = batch.column(0).to_pylist()
+            cuts = [0, *[i for i in range(1, len(entities)) if entities[i] != entities[i - 1]], len(entities)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]) if entities else ():
+                if entities[lo] != now:
+                    if vec is not None:
+                        yield done()
+                    now, tally, vec = entities[lo], Tally(), None
+                vec = advance(tally, vec, batch.slice(lo, hi - lo).to_pandas(), rule)
+        if vec is not None:
+            yield done()
+
+    rows = acting.select(F.col("entity").cast("string").alias("entity"), "created_at", "event", "m", "weight", "raw")
+    return rows.repartition("entity").sortWithinPartitions("entity", "created_at", "event").mapInArrow(run, OUT)
+
+
+class EffectFold(StatefulProcessor):
+    """One entity's fold: what can no longer be preceded is in the state, the rest waits for the watermark.
+
+    Every batch tells the value with all that has come so far; timers fold what has waited long enough
+    also where an entity gets no more events.
+    """
+
+    def __init__(self, rule: Rule):
+        self.rule = rule
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", STATE)
+        self.waiting = handle.getListState("waiting", PENDING)
+
+    def _state(self) -> tuple[Tally, np.ndarray | None]:
+        held = self.settled.get() if self.settled.exists() else None
+        if held is None:
+            return Tally(), None
+        count, average, oldest, vec = held
+        return Tally(count, average, oldest), np.array(vec, float)
+
+    def _keep(self, tally: Tally, vec: np.ndarray | None) -> None:
+        if vec is not None:
+            self.settled.update((tally.count, tally.average, tally.oldest, [float(x) for x in vec]))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for r in initialState.itertuples():
+            self.settled.update((int(r.count), int(r.average), int(r.oldest), [float(x) for x in r.value]))
+
+    def _settle(self, events: pd.DataFrame, until: int) -> tuple[Tally, np.ndarray | None, pd.DataFrame]:
+        """Fold the events before ``until`` (milliseconds) into the state; what is left waits."""
+        events = events.drop_duplicates("event").sort_values(["created_at", "event"], kind="stable")
+        ready = events["created_at"] * 1000 < until
+        tally, vec = self._state()
+        if ready.any():
+            vec = advance(tally, vec, events[ready], self.rule)
+            self._keep(tally, vec)
+        rest = events[~ready]
+        if len(rest):
+            self.waiting.put([(int(a), e, int(m), float(w), [float(x) for x in v]) for a, e, m, w, v in rest[PENDING.names].itertuples(index=False)])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        return tally, vec, rest
+
+    def _held(self) -> pd.DataFrame:
+        return pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=PENDING.names)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = [part[PENDING.names] for part in rows]
+        held = self._held()
+        events = pd.concat([held, *came] if len(held) else came)
+        tally, vec, rest = self._settle(events, timerValues.getCurrentWatermarkInMs())
+        if len(rest):
+            self.handle.registerTimer(int(rest["created_at"].max()) * 1000 + 1)
+        now = Tally(tally.count, tally.average, tally.oldest)
+        vec = advance(now, vec, rest, self.rule)
+        yield pd.DataFrame({"entity": [key[0]], "count": [now.count], "average": [now.average], "oldest": [now.oldest], "value": [vec.tolist()]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._settle(self._held(), timerValues.getCurrentWatermarkInMs())
+        return iter([])
+
+
+def ordered_effects(acting: DataFrame, rule: Rule, delay: str = "1 day", initial: DataFrame | None = None) -> DataFrame:
+    """Updates as of ``stream_effects``, equal to the batch fold whatever the order in which events come, up to ``delay`` late.
+
+    ``initial`` (see ``batch_states``) is where entities start; its events must be older than those of the stream. Events that
+    are later than ``delay`` are dropped. Needs the RocksDB state store (``rocksdb_states``).
+    """
+    timed = acting.withColumn("_time", F.timestamp_seconds("created_at")).withWatermark("_time", delay)
+    timed = timed.select(F.col("entity").cast("string").alias("entity"), "created_at", F.col("event").cast("string").alias("event"), F.col("m").cast("long").alias("m"), "weight", "raw", "_time")
+    start = initial.select(*OUT.names).groupBy("entity") if initial is not None else None
+    return timed.groupBy("entity").transformWithStateInPandas(EffectFold(rule), OUT, "Update", "EventTime", start)
+
+
+@contextmanager
+def rocksdb_states(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def run_available(updates: DataFrame, path: str) -> DataFrame:
+    """Run a stream over all there is, writing each batch's updates under ``path``; the last row of every entity."""
+    spark = updates.sparkSession
+    with rocksdb_states(spark):
+        query = (
+            updates.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
+            .foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/updates/batch={n}")).start()
+        )
+        query.awaitTermination()
+    found = spark.read.schema(T.StructType([*OUT.fields, T.StructField("batch", T.LongType())])).option("recursiveFileLookup", "true").parquet(f"{path}/updates")
+    last = F.max_by(F.struct(*OUT.names[1:]), "batch").alias("s")
+    return found.groupBy("entity").agg(last).select("entity", "s.*")

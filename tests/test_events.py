@@ -3,12 +3,13 @@
 import random
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 
 from tesserine import App, CreatedAtField, CustomSpace, Effect, EventSchema, Float, FloatList, IdField, Index, InMemorySource, Integer, Mode, NumberSpace, Query, Schema, SchemaError, SchemaReference, String
 from tesserine.operators.effects import Rule, Tally, rule_of, shares
 from tesserine.sources.store import persist, restore
-from tesserine.streaming.effects import stream_effects, with_values
+from tesserine.streaming.effects import advance, batch_states, ordered_effects, run_available, stream_effects, with_values
 
 DAY = 86400
 
@@ -129,6 +130,28 @@ def test_one_sort_per_fold(spark):
     assert "Window" not in plan and app.rows(index, user) is app.rows(index, user)
 
 
+def test_stream_orders_late_events_and_starts_from_history(spark, tmp_path):
+    """Files in the wrong order, an event that comes twice, and a history folded in a batch."""
+    rule, rng = Rule(0.4, 10_000 * DAY, floor=0.5), random.Random(5)
+    rows = [(rng.choice("abc"), (i + 1) * 3600, f"e{i:03}", rng.randint(1, 2), 0.5, [float(rng.randint(0, 9)), 1.0]) for i in range(60)]
+    schema = "entity string, created_at long, event string, m long, weight double, raw array<double>"
+    want = {r.entity: r for r in batch_states(spark.createDataFrame(rows, schema).repartition(3), rule).collect()}
+    tallies = {u: Tally() for u in "abc"}
+    for u in "abc":
+        vec = advance(tallies[u], None, pd.DataFrame([r for r in rows if r[0] == u], columns=["entity", "created_at", "event", "m", "weight", "raw"]), rule)
+        assert want[u].value == pytest.approx(vec.tolist()) and (want[u]["count"], want[u].average) == (tallies[u].count, tallies[u].average)
+    history, late = rows[:20], rows[20:]
+    start = batch_states(spark.createDataFrame(history, schema), rule)
+    for n, part in enumerate((late[25:], late[:12], late[12:25] + late[30:31], [("d", 60 * 3600, "x1", 1, 1.0, [4.0, 4.0])])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    got = {r.entity: r for r in run_available(ordered_effects(stream, rule, "30 hours", start), f"{tmp_path}/out").collect()}
+    assert set(got) >= {u for u in "abc"} and got["d"].value == [4.0, 4.0]
+    for u in "abc":
+        assert (got[u]["count"], got[u].average, got[u].oldest) == (want[u]["count"], want[u].average, want[u].oldest)
+        assert got[u].value == pytest.approx(want[u].value)
+
+
 def test_validation():
     space = CustomSpace([user.taste, item.v], 3)
     with pytest.raises(SchemaError):
