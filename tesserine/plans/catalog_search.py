@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserine.functions.learned import LearnedEmbedder, information, pair_counts, vocabulary, word_counts
+from tesserine.functions.text import HashedEmbedder
 from tesserine.functions.vectors import unit
 from tesserine.operators.codes import CodeIndex
 from tesserine.operators.effects import rule_of
@@ -13,7 +15,7 @@ from tesserine.operators.spaces import CategoricalSimilaritySpace, CustomSpace,
 from tesserine.plans import catalog as C
 from tesserine.plans import catalog_more as M
 from tesserine.plans.app import App, Source
-from tesserine.plans.query import Query
+from tesserine.plans.query import Query, batch_top_k
 from tesserine.sources.store import kept_for_session, write_shared
 from tesserine.streaming.effects import batch_states, ordered_effects, run_available, with_values
 
@@ -102,3 +104,41 @@ QUERIES["stream_fold"] = stream_fold
 ORACLES["stream_fold"] = f"""
 WITH {M._order_of_events("event_type = 'purchase'")}
 SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS count, round(avg(label), 6) + 0.0 AS level FROM o GROUP BY user_id"""
+
+
+# word vectors from the corpus ------------------------------------------------------
+def word_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per word of the vocabulary its occurrences, the words it stands near, how often, and the sum of the information."""
+    docs = C._read(spark, sf_dir, "documents")
+    words, n = vocabulary(write_shared(word_counts(docs, "text")))
+    named = spark.createDataFrame([(i, w, int(k)) for i, (w, k) in enumerate(zip(words, n))], "a int, word string, n long")
+    pairs = information(write_shared(pair_counts(docs, "text", words)))
+    sums = pairs.groupBy("a").agg(F.count("*").alias("partners"), F.sum("n").alias("near"), F.round(F.sum("ppmi"), 4).alias("information"))
+    return named.join(F.broadcast(sums), "a").select("word", "n", "partners", "near", "information")
+
+
+def learned_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the ten nearest documents of those whose id is divisible by 100, the share in the same language, by learned and by hashed vectors."""
+    docs = C._read(spark, sf_dir, "documents").filter("text is not null and lang is not null")
+    out = None
+    for name, embedder in (("learned", LearnedEmbedder.fit(docs)), ("hashed", HashedEmbedder(64))):
+        vectors = write_shared(docs.select(F.col("doc_id").cast("string").alias("id"), "lang", embedder.column(F.col("text")).alias("vector")))
+        asked = vectors.filter("cast(id as long) % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+        near = batch_top_k(vectors, asked, 64, 11).filter("query_id <> id")
+        langs = vectors.select("id", "lang")
+        both = near.join(langs, "id").join(langs.toDF("query_id", "own"), "query_id")
+        one = both.agg(F.lit(name).alias("embedder"), F.countDistinct("query_id").alias("queries"), F.round(F.avg((F.col("lang") == F.col("own")).cast("int")), 4).alias("same_language"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+QUERIES |= {"word_information": word_information, "learned_purity": learned_purity}
+ORACLES["word_information"] = r"""
+WITH w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents)),
+  v AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 3 ORDER BY n DESC, word LIMIT 20000),
+  k AS (SELECT * FROM w SEMI JOIN v USING (word)),
+  p AS (SELECT a.word AS a, b.word AS b, count(*) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.i <> b.i AND abs(a.i - b.i) <= 5 GROUP BY ALL),
+  s AS (SELECT a, sum(n) AS of FROM p GROUP BY a),
+  t AS (SELECT sum(n) AS total FROM p)
+SELECT v.word, v.n, count(*) AS partners, sum(p.n)::BIGINT AS near, round(sum(greatest(0.0, ln(p.n * total / (x.of::DOUBLE * y.of::DOUBLE)))), 4) AS information
+FROM p JOIN v ON v.word = p.a JOIN s x ON x.a = p.a JOIN s y ON y.a = p.b, t GROUP BY v.word, v.n"""
