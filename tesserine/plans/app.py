@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -16,6 +17,7 @@ from tesserine.plans.query import Query, QueryPlan
 from tesserine.schema import AT, KEY, Schema, SchemaError, condition, has_fields, with_ids
 from tesserine.sources.readers import DataLoaderConfig, from_rows, load
 from tesserine.sources.store import merged, write_shared
+from tesserine.sources.stored import BucketedRows
 
 
 #: Batches of a schema that are merged when it is read; beyond them the merged rows are written once.
@@ -80,11 +82,13 @@ class App:
     """``App(spark, sources, indexes, now=…)``; ``query`` returns a lazy result.
 
     ``queue`` is called with the schema's name and each raw dictionary that is put (DataFrames are
-    not passed on). ``return_origin_id`` gives chunks their document's id in results.
+    not passed on). ``return_origin_id`` gives chunks their document's id in results. ``buckets`` keeps
+    rows in tables with so many buckets by id: a put then writes, and shuffles the new rows alone.
     """
 
-    def __init__(self, spark: SparkSession, sources, indices, now: int | None = None, distinct_events: bool = False, return_origin_id: bool = False, queue: Callable[[str, dict], None] | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, sources, indices, now: int | None = None, distinct_events: bool = False, return_origin_id: bool = False, queue: Callable[[str, dict], None] | None = None, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets
+        self.stores: dict[Schema, BucketedRows] = {}
         self.sources = list(sources) if isinstance(sources, (list, tuple)) else [sources]
         self.indices: list[Index] = list(indices) if isinstance(indices, (list, tuple)) else [indices]
         self.now, self.distinct_events, self.return_origin_id, self.queue = now, distinct_events, return_origin_id, queue
@@ -109,6 +113,10 @@ class App:
             df = from_rows(self.spark, schema, rows, source.mapping)
         else:
             df = schema.read(rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows), source.mapping, keep_key=source.unique and not held, order=source.order)
+        if self.buckets:
+            store = self.stores.setdefault(schema, BucketedRows(self.spark, f"rows_{uuid.uuid4().hex}", self.buckets))
+            self.tables[schema] = store.update(df.drop(KEY))
+            return
         if source.unique and not held:
             held.append(df)
             self.tables[schema] = df.drop(AT)

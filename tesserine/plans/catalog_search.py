@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions.learned import LearnedEmbedder, information, pair_counts, vocabulary, word_counts
 from tesserine.functions.text import HashedEmbedder
-from tesserine.functions.vectors import unit
+from tesserine.functions.vectors import norm_l1, unit
 from tesserine.operators.codes import CodeIndex
 from tesserine.operators.effects import rule_of
 from tesserine.operators.index import Index
@@ -16,7 +16,8 @@ from tesserine.plans import catalog as C
 from tesserine.plans import catalog_more as M
 from tesserine.plans.app import App, Source
 from tesserine.plans.query import Query, batch_top_k
-from tesserine.sources.store import kept_for_session, write_shared
+from tesserine.sources.store import kept_for_session, restore, write_shared
+from tesserine.sources.stored import StoredEmbeddings, persist_clustered
 from tesserine.streaming.effects import batch_states, ordered_effects, run_available, with_values
 
 QUERIES, ORACLES = M.QUERIES, M.ORACLES
@@ -142,3 +143,58 @@ WITH w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM
   t AS (SELECT sum(n) AS total FROM p)
 SELECT v.word, v.n, count(*) AS partners, sum(p.n)::BIGINT AS near, round(sum(greatest(0.0, ln(p.n * total / (x.of::DOUBLE * y.of::DOUBLE)))), 4) AS information
 FROM p JOIN v ON v.word = p.a JOIN s x ON x.a = p.a JOIN s y ON y.a = p.b, t GROUP BY v.word, v.n"""
+
+
+# what is kept between runs -----------------------------------------------------------
+def stored_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents embedded in two runs: the even ones, then all. Per run its rows, the texts that were new, and the sum of the vectors' absolute numbers."""
+    docs = C._read(spark, sf_dir, "documents").select("doc_id", "text")
+    store = StoredEmbeddings(spark, kept_for_session(spark, "embedded"), HashedEmbedder())
+    out = None
+    for run, rows in (("half", docs.filter("doc_id % 2 = 0")), ("all", docs), ("again", docs)):
+        new = store.add(rows, "text")
+        found = store.vectors(rows, "text")
+        one = found.agg(F.lit(run).alias("run"), F.count("*").alias("rows"), F.lit(new).cast("long").alias("embedded"), F.round(F.sum(norm_l1(F.col("vector"))), 3).alias("mass"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def put_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of ``put_in_batches`` kept in a table with buckets."""
+    source = Source(M.account, order="at")
+    app = App(spark, [source], [M._account_index], now=C.NOW, buckets=8)
+    rows = C._read(spark, sf_dir, "customer")
+    for i in range(10):
+        segment = F.when(F.lit(i % 2 == 0), F.col("c_mktsegment")).otherwise(F.concat("c_mktsegment", F.lit(f"-{i}")))
+        source.put(rows.filter(F.col("c_custkey") % (i + 1) == 0).select(F.col("c_custkey").alias("key"), (F.col("c_acctbal") + i).alias("balance"), F.lit(None).cast("boolean").alias("rich"), segment.alias("segment"), F.lit(i).alias("at")))
+    return C._rounded(app.query(Query(M._account_index).find(M.account).select(M.account.segment)).frame)
+
+
+def clustered_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts stored in the Z-order of brand, size and price, and counted under several filters."""
+    path = kept_for_session(spark, "clustered") + "/rows"
+    rows = C.app_of(spark, sf_dir, [C.part], _several).rows(_several, C.part)
+    persist_clustered(rows, path, ["brand", "size", "price"])
+    stored, out = restore(spark, path), None
+    for name, where in (("size", C.part.size == 15), ("brand", C.part.brand.in_(["Brand#11", "Brand#13"])), ("sizes", (C.part.size > 45) | (C.part.size < 3)), ("type", C.part.type != "STANDARD")):
+        plan = Query(_several).find(C.part).similar(_brand, "Brand#13").filter(where).bind({}, lambda *_: {}, C.NOW)
+        one = plan.frame(stored).agg(F.lit(name).alias("filter"), F.count("*").alias("rows"), F.round(F.sum("score"), 4).alias("score"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+QUERIES |= {"stored_embeddings": stored_embeddings, "put_bucketed": put_bucketed, "clustered_filters": clustered_filters}
+ORACLES["put_bucketed"] = ORACLES["put_in_batches"]
+ORACLES["stored_embeddings"] = f"""
+WITH w AS (SELECT doc_id, unnest({C._HASHED.format('text')}) AS w FROM documents),
+  h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 128 AS b, CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT < 8 THEN 1.0 ELSE -1.0 END AS s FROM w),
+  n AS (SELECT doc_id, b, sum(s) AS n FROM h GROUP BY ALL),
+  m AS (SELECT doc_id, sum(abs(n)) / nullif(sqrt(sum(n * n)), 0) AS m FROM n GROUP BY doc_id),
+  d AS (SELECT doc_id, text, coalesce(m, 0) AS m FROM documents LEFT JOIN m USING (doc_id))
+SELECT 'half' AS run, count(*) AS rows, count(DISTINCT text) AS embedded, round(sum(m), 3) AS mass FROM d WHERE doc_id % 2 = 0
+UNION ALL SELECT 'all', count(*), (SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)), round(sum(m), 3) FROM d
+UNION ALL SELECT 'again', count(*), 0, round(sum(m), 3) FROM d"""
+ORACLES["clustered_filters"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS filter, count(*) AS rows, round(sum({C._marks('Brand#13')}), 4) AS score FROM {C.PART_SQL} t WHERE {where}"
+    for name, where in (("size", "size = 15"), ("brand", "brand IN ('Brand#11', 'Brand#13')"), ("sizes", "size > 45 OR size < 3"), ("type", "type <> 'STANDARD'"))
+)
