@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserine.functions.images import GradientEmbedder, decode_image, resize_blobs
 from tesserine.functions.learned import LearnedEmbedder, information, pair_counts, vocabulary, word_counts
 from tesserine.functions.text import HashedEmbedder
 from tesserine.functions.vectors import norm_l1, unit
 from tesserine.operators.codes import CodeIndex
 from tesserine.operators.effects import rule_of
 from tesserine.operators.index import Index
-from tesserine.operators.spaces import CategoricalSimilaritySpace, CustomSpace, Mode, NumberSpace
+from tesserine.operators.spaces import CategoricalSimilaritySpace, CustomSpace, ImageSpace, Mode, NumberSpace
 from tesserine.plans import catalog as C
 from tesserine.plans import catalog_more as M
 from tesserine.plans.app import App, Source
 from tesserine.plans.query import Query, batch_top_k
+from tesserine.schema import Blob, IdField, Schema
 from tesserine.sources.store import kept_for_session, restore, write_shared
 from tesserine.sources.stored import StoredEmbeddings, persist_clustered
 from tesserine.streaming.effects import batch_states, ordered_effects, run_available, with_values
@@ -198,3 +201,47 @@ ORACLES["clustered_filters"] = " UNION ALL ".join(
     f"SELECT '{name}' AS filter, count(*) AS rows, round(sum({C._marks('Brand#13')}), 4) AS score FROM {C.PART_SQL} t WHERE {where}"
     for name, where in (("size", "size = 15"), ("brand", "brand IN ('Brand#11', 'Brand#13')"), ("sizes", "size > 45 OR size < 3"), ("type", "type <> 'STANDARD'"))
 )
+
+
+# images ------------------------------------------------------------------------------
+class Picture(Schema):
+    key: IdField
+    image: Blob
+
+
+picture = Picture()
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a grey image of 8 by 8 pixels in binary PNM."""
+    grey = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 256 + 128))))
+    body = F.array_join(F.transform(grey, lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    return C._read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.unhex(F.concat(F.lit(b"P5 8 8 255\n".hex()), body)).alias("image"))
+
+
+def image_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images at 4 by 4 pixels, through PNG."""
+    small = pictures(spark, sf_dir).select("key", resize_blobs(F.col("image"), 4).alias("png"))
+
+    @F.pandas_udf("string")
+    def numbers(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: ",".join(map(str, decode_image(b).ravel().tolist())))
+
+    return small.select(F.col("key").cast("string").alias("id"), numbers("png").alias("pixels"))
+
+
+_image = ImageSpace(picture.image, GradientEmbedder())
+_image_index = Index(_image)
+
+
+def image_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All images by the likeness of their gradients to the first one's."""
+    app = App(spark, [source := Source(picture, unique=True)], [_image_index], now=C.NOW)
+    source.put(pictures(spark, sf_dir))
+    return C._rounded(app.query(Query(_image_index).find(picture).with_vector(picture, "0")).frame)
+
+
+QUERIES |= {"image_resize": image_resize, "image_similar": image_similar}
+ORACLES["image_resize"] = """
+WITH g AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_transform(embedding, lambda x: greatest(0, least(255, floor(x::DOUBLE * 256 + 128)))) AS g FROM embeddings)
+SELECT id, array_to_string(list_transform(range(16), lambda i: floor((g[16 * (i // 4) + 2 * (i % 4) + 1] + g[16 * (i // 4) + 2 * (i % 4) + 2] + g[16 * (i // 4) + 2 * (i % 4) + 9] + g[16 * (i // 4) + 2 * (i % 4) + 10]) / 4 + 0.5)::INT), ',') AS pixels FROM g"""
