@@ -92,3 +92,25 @@ def test_lengths_of_streams_and_boxes():
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a"), (None, "a"), (1, None)], "doc_id long, text string")
     assert sorted([(r.doc_id, r.n_bytes) for r in M.text_media(df).collect()], key=str) == [(1, 0), (None, 1), (None, 1)]
+
+
+def test_texts_go_through_both_operators(spark):
+    """The types that were declared, and texts that hold magic bytes or a whole file."""
+    texts = ["abc", "def", "ghi", "jkl", "mno", "p" * 64, "GIF89a BM ID3 OggS fLaC", M.to_wav(b"a" * 8).decode("latin-1"), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    stored = {r.doc_id: r for r in M.stored_texts(df).collect()}
+    rows = {r.doc_id: r for r in M.text_media(df).collect()}
+    assert len(rows) == len(texts) and len({r.declared for r in stored.values()}) > 2
+    for i, r in rows.items():
+        media = bytes(stored[i].media)
+        assert r.media_sha256 == hashlib.sha256(media).hexdigest() and r.media_bytes == len(media)
+        assert r.feature.startswith(f"audio/wav;declared={stored[i].declared};carved=audio/wav@{r.n_bytes % 61 + 3};n={r.payload_bytes};")
+
+
+def test_jpeg_with_fill_bytes():
+    head = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF\0" + bytes(9)
+    tail = b"\xff\xda" + struct.pack(">H", 8) + bytes(6) + b"\x12\x34\xff\xd9"
+    auto = M.build_automaton()
+    for fill in (b"", b"\xff", b"\xff" * 3):
+        whole = head + fill + tail
+        assert M.sniff(whole + b"rest", auto) == [("image/jpeg", 0, len(whole))]
