@@ -14,7 +14,16 @@ only pairs that have m as a part. A round is widened only where every token of w
 has a higher rank than m ("safe"); then no added pair has a rank of k or less, so the next pair
 of the plain order is the next one of rank k that does not overlap with one already contracted.
 In a run of overlapping pairs these are the first, third, and so on. Where m isn't safe, the
-round contracts the leftmost pair alone.
+round contracts the leftmost pair alone, but only chunks that seams could not settle are that long.
+
+A piece of more than ``LONG`` bytes is cut into chunks that are contracted apart, and then joined at the
+seams. A sequence of tokens is the result of the plain order exactly if each two neighbours are,
+contracted by themselves, those same two tokens: as long as no contraction crosses a border, those
+on either side of it come in the order that their two tokens alone would have, since each is
+the least of all when its turn comes; so the first that would cross a border would do so with
+these two tokens alone, and the other way round. Neighbours inside a chunk thus fit; those at
+seams are tried, and where they don't fit the tokens around the seam are contracted again as one
+chunk, with twice as many tokens each time, in the worst case the whole piece.
 
 Memory is bounded by bytes: a query holds at most ``BLOCK`` bytes of pieces (or one piece) times
 the rounds that it may run, and nothing spills to local disk.
@@ -115,6 +124,8 @@ class Tokenizer:
         with open(rank_file, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
+        self.raw = {i: t for t, i in self.ranks.items()}
+        self.fitting: dict[tuple[int, int], bool] = {}
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -171,6 +182,58 @@ class Tokenizer:
                     open_.append(w)
         return out
 
+    def contracted(self, raws: list[bytes]) -> list[np.ndarray]:
+        """Token ids of each of some byte strings; equal ones are contracted once."""
+        done: dict[bytes, np.ndarray] = {}
+        once = list(dict.fromkeys(raws))
+        for long in (False, True):
+            group = [r for r in once if (len(r) > 2 * LONG) == long]
+            for lo, hi in _blocks([len(r) for r in group], BLOCK):
+                done.update(zip(group[lo:hi], self.merge([self.of_byte[np.frombuffer(r, np.uint8)] for r in group[lo:hi]], long)))
+        return [done[r] for r in raws]
+
+    def fit(self, pairs: set[tuple[int, int]]) -> None:
+        """Find out which neighbours are what the plain order makes of their bytes."""
+        if len(self.fitting) > KEPT_PIECES:
+            self.fitting.clear()
+        new = [p for p in pairs if p not in self.fitting]
+        for p, ids in zip(new, self.contracted([self.raw[a] + self.raw[b] for a, b in new])):
+            self.fitting[p] = ids.tolist() == list(p)
+
+    def joined(self, raws: list[bytes]) -> list[np.ndarray]:
+        """Token ids of long byte strings, from chunks and their seams."""
+        chunks = [[r[i : i + LONG] for i in range(0, len(r), LONG)] for r in raws]
+        made = iter(self.contracted([c for cs in chunks for c in cs]))
+        parts = [[next(made) for _ in cs] for cs in chunks]
+        tokens = [np.concatenate(p) for p in parts]
+        seams = [np.cumsum([len(x) for x in p])[:-1] for p in parts]
+        open_, reach = list(range(len(raws))), 2
+        while open_:
+            near = {i: [(int(tokens[i][s - 1]), int(tokens[i][s])) for s in seams[i]] for i in open_}
+            self.fit({p for ps in near.values() for p in ps})
+            spans = {}  # of tokens to contract again, by piece
+            for i in open_:
+                bad = [int(s) for s, p in zip(seams[i], near[i]) if not self.fitting[p]]
+                for s in bad:
+                    lo, hi = max(0, s - reach), min(len(tokens[i]), s + reach)
+                    mine = spans.setdefault(i, [])
+                    if mine and mine[-1][1] >= lo:
+                        mine[-1][1] = hi
+                    else:
+                        mine.append([lo, hi])
+            again = iter(self.contracted([b"".join(map(self.raw.__getitem__, tokens[i][lo:hi].tolist())) for i, ss in spans.items() for lo, hi in ss]))
+            for i, ss in spans.items():
+                old, out, borders, at, size = tokens[i], [], [], 0, 0
+                for lo, hi in ss:
+                    new = next(again)
+                    out += [old[at:lo], new]
+                    borders += [size + lo - at, size + lo - at + len(new)]
+                    size, at = borders[-1], hi
+                tokens[i] = np.concatenate([*out, old[at:]])
+                seams[i] = [s for s in borders if 0 < s < len(tokens[i])]
+            open_, reach = list(spans), 2 * reach
+        return tokens
+
     def learn(self, pieces: set[str]) -> None:
         """Put the token ids of new pieces among the kept ones."""
         short, long = [], []
@@ -180,10 +243,9 @@ class Tokenizer:
                 self.kept[p] = whole.to_bytes(4, "little")
             else:
                 (long if len(raw) > LONG else short).append((p, raw))
-        for group in (short, long):
+        for group, method in ((short, self.contracted), (long, self.joined)):
             for lo, hi in _blocks([len(raw) for _, raw in group], BLOCK):
-                seqs = [self.of_byte[np.frombuffer(raw, np.uint8)] for _, raw in group[lo:hi]]
-                for (p, _), ids in zip(group[lo:hi], self.merge(seqs, group is long)):
+                for (p, _), ids in zip(group[lo:hi], method([raw for _, raw in group[lo:hi]])):
                     self.kept[p] = ids.astype("<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -199,7 +261,7 @@ class Tokenizer:
 
     def forget(self) -> None:
         """Drop what was kept, at the end of a task; the vocabulary stays with the worker."""
-        self.kept, self.older = {}, {}
+        self.kept, self.older, self.fitting = {}, {}, {}
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes of each id sequence, joined and put in order ``DECODED`` ids at a time."""

@@ -89,6 +89,10 @@ def test_long_rounds_equal_the_plain_order_on_random_vocabularies(tmp_path, monk
     want = [plain(w, merges) for w in words]
     assert [x.tolist() for x in tok.merge(seqs(), False)] == want
     assert [x.tolist() for x in tok.merge(seqs(), True)] == want
+    for long in (2, 5, 16):
+        monkeypatch.setattr(bpe, "LONG", long)
+        tok.fitting.clear()
+        assert [x.tolist() for x in tok.joined([bytes(w) for w in words])] == want
 
 
 def test_very_long_piece_and_text(library, monkeypatch):
@@ -101,3 +105,12 @@ def test_very_long_piece_and_text(library, monkeypatch):
     got = tok.encode([one, many, None])
     assert got[0] == np.array(library.encode_ordinary(one), "<u4").tobytes() and got[1] == np.array(library.encode_ordinary(many), "<u4").tobytes() and got[2] == b""
     assert tok.decode(got) == [one.encode(), many.encode(), b""]
+
+
+def test_long_pieces_without_safe_ranks_end_soon(library):
+    import time
+
+    tok, rng, start = bpe.Tokenizer(RANKS, P.PATTERN), random.Random(2), time.process_time()
+    for piece in ("ab" * 500_000, "abc" * 33_333, "a" * 99_999, "=-" * 50_001, "".join(rng.choice("0123456789") for _ in range(50_000)), "internationalization" * 3_000, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(20_000))):
+        assert tok.encode([piece])[0] == np.array(library.encode_ordinary(piece), "<u4").tobytes()
+    assert time.process_time() - start < 30
