@@ -58,7 +58,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     keyed = docs.withColumn(key, named)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = decontam.passage_hits(keyed, benchmark, id_col=key).select(F.col("doc").alias(key)).distinct()
-    return keyed.join(hit, key, "left_anti").select(docs.columns)
+    return keyed.join(bounded(write_shared(hit)), key, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
