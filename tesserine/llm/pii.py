@@ -56,6 +56,9 @@ LOOSE = {
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
 }
 CUES = ("phone", "tel", "call", "fax", "mobile", "ssn", "social", "security", "iban", "account", "bank", "card", "mail", "email", "contact", "ip", "from", "version", "isbn", "order", "id", "no", "date")
+#: Words before a number that say it is another kind of number, and ends of domains that are common.
+OTHER_NUMBERS = frozenset("part order invoice serial item lot ref reference model ticket batch sku isbn version no score scores coordinates page pages total totals years chapter case file receipt tracking".split())
+ENDS = frozenset("com org net edu gov info io co de fr es it nl eu uk us ch at be pl se".split())
 DIGITS = re.compile(r"[0-9]")
 
 
@@ -146,21 +149,64 @@ def rewritten(text: str, base: list[tuple[int, int, str]]) -> list[tuple[str, in
     return out
 
 
+#: What stands before made numbers that are personal data, and before those that are none.
+WITH_CUE, WITH_OTHER = ("tel ", "phone ", "call ", "mobile: ", "contact ", ""), ("part no ", "order ", "invoice ", "serial ", "item ", "lot ", "ref ", "model ", "ticket no ", "batch ")
+ORDINARY = re.compile(r"(?<![\w.@-])[^\W\d_]{2,12}(?= [^\W\d_]{2,12} [^\W\d_]{2,12}(?![\w@]))")
+
+
+def made(text: str) -> list[tuple[str, int, int, str, bool]]:
+    """(text around, start, end, kind, outcome): personal data and look-alikes put among the text's own ordinary words.
+
+    Their digits and words come from the text: numbers that stand behind words for other numbers, lists of numbers,
+    years, and prose with "at" and "dot" against phone numbers, social security numbers and spelled-out addresses.
+    """
+    out = []
+    places = list(ORDINARY.finditer(text[:20_000]))  # the fit's sample takes few places of a text
+    for k, m in enumerate(places[:: max(1, len(places) // 3)][:3]):
+        first, second, third = text[m.start() : m.start() + 60].split(" ")[:3]
+        style = crc32(text[m.start() : m.start() + 40].encode("utf-8", "surrogatepass"))
+        d = lambda n, at: str((style >> at) % 9 + 1) + f"{style * (at + 7) % 10**9:09d}"[: n - 1]
+        sep, cue, other = "- ."[style % 3], WITH_CUE[style // 3 % len(WITH_CUE)], WITH_OTHER[style // 7 % len(WITH_OTHER)]
+        phone = (f"({d(3, 1)}) {d(3, 2)}-{d(4, 3)}", f"{d(3, 1)}{sep}{d(3, 2)}{sep}{d(4, 3)}", f"1{sep}{d(3, 1)}{sep}{d(3, 2)}{sep}{d(4, 3)}", f"0{d(2, 4)} {d(3, 1)} {d(4, 3)}")[style // 11 % 4]
+        step = 10 ** (style % 3) * (style % 7 + 1)
+        listed = [str(int(d(4, 5)) // 100 * 100 + step * i) for i in range(3 + style % 2)]
+        groups = (d(4, 1), d(4, 2), d(4, 3)) if style % 2 else (d(2, 1), d(4, 2), d(4, 3))
+        years = " ".join(str(1950 + (style >> i) % 75) for i in (0, 4, 9))
+        ssn = f"{style % 600 + 100}-{style // 5 % 89 + 10}-{style // 3 % 8999 + 1000}"
+        at, dot = ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "))[style // 13 % 3]
+        end = ("com", "org", "net", "de")[style // 17 % 4]
+        name = (f"{first}.{second}", f"{first}{style % 90 + 10}", f"{first[:1]}_{second}", first)[min(style // 19 % 4, 3 if at != " at " else 2)]
+        forms = [
+            (cue, phone, "phone_loose", True), (other, phone if "(" not in phone else f"{d(3, 1)}-{d(3, 2)}-{d(4, 3)}", "phone_loose", False), (("", "were ", "of ")[style % 3], " ".join(listed), "phone_loose", False),
+            (other if style % 3 else "", sep.join(groups), "phone_loose", False), ("", years, "phone_loose", False), (("ssn ", "", "social security ")[style % 3], ssn, "ssn", True), (other, ssn, "ssn", False),
+            ("", name + at + third + dot + end, "mail_words", True), ("", f"{first} at {second} dot {third}", "mail_words", False), ("", f"{first} (at) {second} dot {end}", "mail_words", False), ("", f"{first} at {second} dot {end}", "mail_words", False),
+        ]
+        before, after = text[max(0, m.start() - 60) : m.start()], " " + text[m.end() + 1 : m.end() + 60]
+        for lead, form, kind, outcome in forms[k % 2 :: 2] if k else forms:
+            new, lo = before + lead + form + after, len(before) + len(lead)
+            hi = lo + len(form)
+            out += [(new, f.start(), f.end(), kind, outcome) for f in LOOSE[kind].finditer(new) if lo <= f.start() and f.end() <= hi and 2 * (f.end() - f.start()) > hi - lo and _decided(kind, f[0]) is not False]
+    return out
+
+
 def describe(text: str, start: int, end: int, kind: str) -> list[float]:
     """Format of the span, with the checks of the kinds that have some, and of the text around it."""
-    word, before, after = text[start : min(end, start + 200)], text[max(0, start - 40) : start], text[end : end + 20]
+    word, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 20]
     digits = len(DIGITS.findall(word))
     groups, mail = re.findall(r"[0-9]+", word), kind == "mail_words"
-    cue = before.lower().split()[-3:]
+    sizes = sorted(map(len, groups)) or [0]
+    cue = [c.strip(":.,#()") for c in before.lower().split()[-3:]]
+    local = re.match(r"[A-Za-z0-9._%+-]*", word)[0] if mail else ""
     return [
         *(float(kind == k) for k in EXTRA),
-        float(kind in ("ssn", "iban") and _decided(kind, text[start:end]) is True),
-        float(mail and "(" in word), float(mail and "[" in word), float(mail and " dot " in word), float(". " in word), len(word), digits, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
+        float(mail and "(" in word), float(mail and "[" in word), float(mail and " dot " in word), float(mail and " at " in word), float(". " in word), len(word), digits, len(groups), sizes[-1], sizes[0],
+        float(len(groups) > 1 and sizes[0] == sizes[-1]), sum(g.endswith("00") for g in groups), float(groups == sorted(groups)), sum(g[:2] in ("19", "20") and len(g) == 4 for g in groups), len(groups[0]) if groups else 0,
         sum(c.isalpha() for c in word), sum(c.isupper() for c in word), word.count("-"), word.count("."), word.count(" "), word.count("("), word.count("@"),
+        len(local), float(any(not c.isalpha() for c in local)), float(mail and word.lower().rpartition(" ")[2].rpartition("]")[2].rpartition(".")[2] in ENDS),
         len(set(word)), float(word[:1] == "+"), float(word[:1] == "("),
         float(before[-1:] in ("", " ", "\n", ":", "=")), float(after[:1] in ("", " ", "\n", ",", ".", ";")), float(before[-2:-1] == ":"),
         sum(c.isdigit() for c in before), sum(c.isdigit() for c in after),
-        float(any(c.strip(":.,#") in CUES[:5] for c in cue)), float(any(c.strip(":.,#") in CUES for c in cue)),
+        float(any(c in CUES[:5] for c in cue)), float(any(c in CUES for c in cue)), float(any(c in OTHER_NUMBERS for c in cue)),
     ]
 
 
@@ -226,19 +272,24 @@ class Trees:
         return 1 / (1 + np.exp(-(self.scale * margin + self.shift)))
 
 
+#: Held-out candidates of a kind below which its threshold comes from all kinds together.
+FEW = 20
+
+
 class Selector:
-    """Trees over extra candidates and the least probability with which each kind is kept."""
+    """Trees over extra candidates and the least probability with which each kind is kept; what a checksum proves is kept by itself."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, kinds: np.ndarray):
         self.trees = Trees().fit(x, y)
         hold = np.arange(len(y)) % 4 == 3
-        p = self.trees.probability(x[hold])
-        self.least = {k: self._least(p[kinds[hold] == k], y[hold][kinds[hold] == k]) for k in EXTRA}
+        p, right, of = self.trees.probability(x[hold]), y[hold], kinds[hold]
+        pooled = self._least(p, right)
+        enough = lambda k: (of == k).sum() >= FEW and right[of == k].any()
+        self.least = {k: self._least(p[of == k], right[of == k]) if enough(k) else pooled for k in EXTRA}
 
     @staticmethod
     def _least(p: np.ndarray, y: np.ndarray) -> float:
-        if not y.any():
-            return 2.0
+        """The least probability down to which at least ``PRECISION`` of the candidates are right; beyond 1 where there is none."""
         order = np.argsort(-p, kind="stable")
         p, right = p[order], np.cumsum(y[order]) / np.arange(1, len(y) + 1)
         last = np.append(p[1:] < p[:-1], True)  # a threshold takes all equal probabilities
@@ -250,14 +301,15 @@ class Selector:
 
     def keep(self, text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         p = self.trees.probability(np.array([describe(text, *s) for s in spans]))
-        return [s for s, q in zip(spans, p) if q >= self.least[s[2]]]
+        return [s for s, q in zip(spans, p) if s[2] == "iban" or q >= self.least[s[2]]]
 
 
 def decided_rows(text: str) -> list[tuple[str, bool, list[float], str]]:
     """(kind, outcome, features, surroundings) of the candidates of a text that something decides."""
     base = base_spans(text)
     out = [(k, ok, describe(text, s, e, k), text[max(0, s - 20) : e + 20]) for s, e, k, ok in extras(text, base) if ok is not None]
-    return out + [(k, True, describe(t, s, e, k), t) for t, s, e, k in rewritten(text, base)]
+    out += [(k, True, describe(t, s, e, k), t) for t, s, e, k in rewritten(text, base)]
+    return out + [(k, ok, describe(t, s, e, k), t) for t, s, e, k, ok in made(text)]
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Selector | None:

@@ -97,6 +97,46 @@ def test_extra_kinds_are_found_and_look_alikes_are_not(spark):
     assert {k for *_, k in spans if k in P.EXTRA} == {"phone_loose", "mail_words"}
 
 
+LOOK_ALIKES = [
+    "we met at noon dot and then left", "stay (at) home dot com for the best", "part no 555-123-4567 is out of stock", "the scores were 1200 1300 1400 in the end", "coordinates 4012 3456 7890 on the old map",
+    "invoice 2024 0012 3456 was paid", "serial 12-3456-7890 on the back", "the years 1998 2004 2012 were dry", "order 386-555-3733 shipped", "look at this dot and that one", "ticket no 415 555 2671 closed",
+    "arrive at dawn dot dash dot", "lot 212-555-0199 was sold", "rooms 101 102 103 104 are free", "model 310-555-7788 replaces it", "a point at infinity dot product", "wait (at) work dot com is down", "values 2000 2100 2200 2300 follow",
+]
+PERSONAL = [
+    ("call 386-555-3733 after six", "phone_loose"), ("my phone (415) 555-2671 is new", "phone_loose"), ("tel 212 555 0199 or write", "phone_loose"), ("mobile: 310.555.7788 any time", "phone_loose"),
+    ("anna.berg (at) posteo (dot) de", "mail_words"), ("write to jo77[at]mail[dot]org soon", "mail_words"), ("reach m_lopez (at) correo (dot) com", "mail_words"), ("mail tom.k at web dot com", "mail_words"),
+    ("ssn 123-45-6789 on file", "ssn"), ("her social security 512-33-4821 was", "ssn"), ("the form said 219-09-9999 there", "ssn"), ("pay to DE89370400440532013000 please", "iban"), ("IBAN GB82 WEST 1234 5698 7654 32 works", "iban"),
+]
+
+
+def prose(n, seed=1):
+    """Texts without any personal data but a few plain addresses and phones."""
+    rng = random.Random(seed)
+    w = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for i in range(n):
+        words = [w() for _ in range(rng.randint(5, 60))]
+        if i % 4 == 0:
+            words.insert(2, f"{w()}.{w()}@{w()}.com" if i % 8 else f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}")
+        rows.append(" ".join(words))
+    return rows
+
+
+def test_forms_that_the_fit_does_not_make(spark):
+    """Sentences in other words than those the fit writes, learned from prose alone."""
+    df = spark.createDataFrame(list(enumerate(prose(1500))), "doc_id long, text string")
+    selector = P.fit(df)
+    told = lambda t: {k for *_, k in P.pii_spans(t, selector) if k in P.EXTRA}
+    wrong = [t for t in LOOK_ALIKES if told(t)]
+    missed = [t for t, k in PERSONAL if k not in told(t)]
+    found = len(PERSONAL) - len(missed)
+    assert found >= 0.9 * len(PERSONAL) and found >= 0.9 * (found + len(wrong)), (wrong, missed)
+    assert not {LOOK_ALIKES[i] for i in range(7)} & set(wrong)
+    assert {"iban", "ssn"} <= {k for t, k in PERSONAL if k in told(t)}
+    long = "x" * 500 + " (at) " + "y" * 30 + " (dot) com"
+    assert P.describe(long, 0, len(long), "mail_words") != P.describe(long + "z" * 50, 0, len(long) + 50, "mail_words")
+
+
 def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a@b.cd"), (None, "a@b.cd"), (3, None), (3, "x")], "doc_id long, text string")
     rows = [(r.doc_id, r.n_email) for r in P.pii_digests(df).collect()]
