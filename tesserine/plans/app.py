@@ -56,12 +56,14 @@ class QueryResult:
     def metadata(self) -> dict:
         return {"schema_name": self.plan.schema.schema_name, "search_vector": self.plan.search_vector.tolist(), "search_params": dict(self.plan.search_params)}
 
-    def to_pandas(self, format_dates: tuple[str, ...] = ()):
-        """All rows with ``similarity_score``; given time columns as dates."""
+    def to_table(self, format_dates: tuple[str, ...] = ()) -> DataFrame:
+        """The rows with ``similarity_score``; given time columns as dates."""
         df = self.frame.withColumnRenamed("score", "similarity_score" if "similarity_score" not in self.frame.columns else "query_similarity_score")
-        for c in format_dates:
-            df = df.withColumn(c, F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm:ss"))
-        return df.toPandas()
+        return df.withColumns({c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm:ss") for c in format_dates}) if format_dates else df
+
+    def to_pandas(self, format_dates: tuple[str, ...] = ()):
+        """``to_table`` on the driver."""
+        return self.to_table(format_dates).toPandas()
 
     def to_json(self) -> DataFrame:
         """One JSON text per row; bytes as base64."""

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions.images import GradientEmbedder, decode_image, resize_blobs
 from tesserine.functions.learned import LearnedEmbedder, information, pair_counts, vocabulary, word_counts
-from tesserine.functions.text import HashedEmbedder
+from tesserine.functions.text import CachedEmbedder, HashedEmbedder
 from tesserine.functions.vectors import norm_l1, unit
 from tesserine.operators.codes import CodeIndex
 from tesserine.operators.effects import rule_of
-from tesserine.operators.index import Index
-from tesserine.operators.spaces import CategoricalSimilaritySpace, CustomSpace, ImageSpace, Mode, NumberSpace
+from tesserine.operators.index import Effect, Index
+from tesserine.operators.spaces import CategoricalSimilaritySpace, CustomSpace, ImageSpace, Mode, NumberSpace, TextSimilaritySpace
 from tesserine.plans import catalog as C
 from tesserine.plans import catalog_more as M
 from tesserine.plans.app import App, Source
+from tesserine.plans.inspect import stored_bytes
 from tesserine.plans.query import Query, batch_top_k
 from tesserine.schema import Blob, IdField, Schema
-from tesserine.sources.store import kept_for_session, restore, write_shared
+from tesserine.sources.store import kept_for_session, persist, restore, tee, write_shared
 from tesserine.sources.stored import StoredEmbeddings, persist_clustered
 from tesserine.streaming.effects import batch_states, ordered_effects, run_available, with_values
 
@@ -245,3 +247,78 @@ QUERIES |= {"image_resize": image_resize, "image_similar": image_similar}
 ORACLES["image_resize"] = """
 WITH g AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_transform(embedding, lambda x: greatest(0, least(255, floor(x::DOUBLE * 256 + 128)))) AS g FROM embeddings)
 SELECT id, array_to_string(list_transform(range(16), lambda i: floor((g[16 * (i // 4) + 2 * (i % 4) + 1] + g[16 * (i // 4) + 2 * (i % 4) + 2] + g[16 * (i // 4) + 2 * (i % 4) + 9] + g[16 * (i // 4) + 2 * (i % 4) + 10]) / 4 + 0.5)::INT), ',') AS pixels FROM g"""
+
+
+# results, storage, prompts, taps ---------------------------------------------------------
+def table_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a table with their times as dates."""
+    space = NumberSpace(C.order.total, 0, 400_000, Mode.MAXIMUM)
+    index = Index(space, fields=[C.order.placed, C.order.status])
+    query = Query(index).find(C.order).filter(C.order.status == "F").select(C.order.placed)
+    table = C.app_of(spark, sf_dir, [C.order], index).query(query).to_table(("placed",))
+    return table.withColumn("similarity_score", F.round("similarity_score", 6) + 0.0)
+
+
+def half_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items stored with 16-bit numbers: which of them keep every number to 0.0005, and whether files are smaller than half of those with 64 bits."""
+    path = kept_for_session(spark, "half")
+    rows = C.app_of(spark, sf_dir, [C.item], _index).rows(_index, C.item)
+    persist(rows, f"{path}/half", half=True)
+    persist(rows, f"{path}/whole")
+    both = restore(spark, f"{path}/half").select("id", F.col("__raw_0").alias("h")).join(restore(spark, f"{path}/whole").select("id", F.col("__raw_0").alias("w")), "id")
+    size = lambda name: stored_bytes(spark, f"{path}/{name}").select(F.col("bytes").alias(name))
+    smaller = size("half").crossJoin(size("whole")).select((F.col("half") * 2 < F.col("whole")).alias("smaller"))
+    near = F.forall(F.zip_with("h", "w", lambda a, b: F.abs(a - b) < 0.0005), lambda x: x)
+    return both.select("id", near.alias("near")).crossJoin(F.broadcast(smaller))  # one row
+
+
+def letters():
+    """A model without weights: how often each letter from a to z occurs."""
+    return lambda texts: np.array([[t.count(chr(97 + i)) for i in range(26)] for t in texts], float)
+
+
+_prompted = TextSimilaritySpace(C.document.text, CachedEmbedder(26, letters, query_prompt="zz query: ", document_prompt="passage: "))
+_prompted_index = Index(_prompted)
+C.register("prompted_text", _prompted_index, Query(_prompted_index).find(C.document).similar(_prompted, "a question of letters"), None)
+
+
+def stream_tee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a stream that goes into a store and, as it came, to a queue (two folders here): both, row by row."""
+    path = kept_for_session(spark, "tee")
+    schema = C._read(spark, sf_dir, "customer").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/customer.parque[t]")
+    publish = lambda rows: rows.select(F.to_json(F.struct("c_custkey", "c_mktsegment")).alias("message")).write.mode("append").parquet(f"{path}/queue")
+    sink = lambda rows, n: rows.select(F.col("c_custkey").alias("id"), "c_acctbal").write.mode("append").parquet(f"{path}/store")
+    running = tee(stream, sink, publish, f"{path}/checkpoint")
+    running.processAllAvailable()
+    running.stop()
+    messages = spark.read.parquet(f"{path}/queue").select(F.get_json_object("message", "$.c_custkey").cast("long").alias("id"), F.get_json_object("message", "$.c_mktsegment").alias("segment"))
+    return spark.read.parquet(f"{path}/store").join(messages, "id").select("id", "segment", F.round(F.col("c_acctbal").cast("double"), 2).alias("balance"))
+
+
+#: One event moves both sides: members toward the labels of things, things toward the levels of members.
+_both = Index(M._level, effects=[Effect(M._level, M.visit.member, M.visit.thing, M.visit.what == "purchase"), Effect(M._level, M.visit.thing, M.visit.member, M.visit.what == "purchase")], temperature=0.5, event_influence=1.0)
+
+
+def event_effects_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = M._visited(spark, sf_dir, _both, Query(_both).find(M.member).similar(M._level, 6.0))
+    things = M._visited(spark, sf_dir, _both, Query(_both).find(M.thing).similar(M._level, 6.0))
+    return members.select(F.lit("member").alias("side"), "id", "score").union(things.select(F.lit("thing"), "id", "score"))
+
+
+QUERIES |= {"table_result": table_result, "half_precision": half_precision, "stream_tee": stream_tee, "event_effects_both": event_effects_both}
+ORACLES["table_result"] = f"SELECT id, strftime(make_timestamp(placed * 1000000), '%Y-%m-%d %H:%M:%S') AS placed, round(CASE WHEN total < 0 THEN 0 ELSE sin({C._angle('total', 0.0, 400000.0)}) END, 6) + 0.0 AS similarity_score FROM {C.ORDER_SQL} WHERE status = 'F'"
+ORACLES["half_precision"] = "SELECT CAST(vec_id AS VARCHAR) AS id, true AS near, true AS smaller FROM embeddings"
+_count = lambda text: "[" + ", ".join(f"(len({text}) - len(replace({text}, '{chr(97 + i)}', '')))::DOUBLE" for i in range(26)) + "]"
+ORACLES["prompted_text"] = f"""
+WITH q AS (SELECT {_count("'zz query: a question of letters'")} AS q),
+  d AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN coalesce(text, '') <> '' THEN {_count("('passage: ' || text)")} END AS v FROM documents)
+SELECT id, round(coalesce(list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q)), 0), 6) + 0.0 AS score FROM d, q"""
+ORACLES["stream_tee"] = "SELECT c_custkey AS id, c_mktsegment AS segment, round(c_acctbal::DOUBLE, 2) AS balance FROM customer"
+ORACLES["event_effects_both"] = f"""
+WITH n AS (SELECT count(*) AS n FROM embeddings),
+  e AS (SELECT user_id, CASE WHEN user_id % 3 <> 0 THEN (user_id % 10)::DOUBLE END AS level, vec_id, label::DOUBLE AS label FROM events JOIN embeddings ON vec_id = event_id % (SELECT n FROM n) WHERE event_type = 'purchase'),
+  m AS (SELECT u.user_id, coalesce(avg(label), any_value(CASE WHEN u.user_id % 3 <> 0 THEN (u.user_id % 10)::DOUBLE END)) AS y FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN e USING (user_id) GROUP BY u.user_id),
+  t AS (SELECT v.vec_id, coalesce(avg(e.level), any_value(v.label::DOUBLE)) AS y FROM embeddings v LEFT JOIN e ON e.vec_id = v.vec_id GROUP BY v.vec_id),
+  x AS (SELECT 'member' AS side, CAST(user_id AS VARCHAR) AS id, y FROM m UNION ALL SELECT 'thing', CAST(vec_id AS VARCHAR), y FROM t)
+SELECT side, id, round(CASE WHEN y IS NULL THEN 0 ELSE cos({C._angle('y', 0.0, 10.0)} - {C._angle('6.0', 0.0, 10.0)}) END, 6) + 0.0 AS score FROM x"""

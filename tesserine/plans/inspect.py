@@ -1,4 +1,4 @@
-"""Looking inside: plans, recency curves, table sizes."""
+"""Looking inside: plans, recency curves, sizes of vectors and files."""
 
 from __future__ import annotations
 
@@ -37,3 +37,9 @@ def vector_bytes(rows: DataFrame, index: Index) -> DataFrame:
     counted = rows.agg(*[F.count(index.raw_column(s)).alias(f"n{i}") for i, s in enumerate(index.spaces)])
     entries = F.array(*[F.struct(F.lit(s.name).alias("space"), F.col(f"n{i}").alias("rows"), (F.col(f"n{i}") * 8 * s.length).alias("bytes")) for i, s in enumerate(index.spaces)])
     return counted.select(F.inline(entries))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(files, bytes) of the data files under ``path``, by their listing; none is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return listed.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
