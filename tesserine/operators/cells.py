@@ -23,18 +23,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserine.functions.clusters import k_means, nearest, sample_matrix
 from tesserine.operators.index import Index
 from tesserine.operators.spaces import Context, RecencySpace
+from tesserine.plans.query import block_top_k
 from tesserine.schema import SchemaError
-from tesserine.sources.store import kept_for_session
+from tesserine.sources.store import kept_for_session, write_shared
 
 #: Cells of an index at most, whose centres and bounds the driver holds; cells whose angles are named one by one in a filter.
 MOST_CELLS, NAMED_CELLS = 4096, 64
+#: Rows of a cell, and queries, that meet in one task.
+ROWS_MET, QUERIES_MET = 100_000, 4096
 #: What rounding may add to a score.
 SLACK = 1e-9
 
@@ -84,7 +87,7 @@ class CellIndex:
     def rows(self, chosen: np.ndarray, angles: list[tuple[float, float]] | None = None) -> DataFrame:
         """The rows of some cells, on demand those between two angles of each."""
         names = [int(c) for c in self.cells["cell"][chosen]]
-        df = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
+        df = self._stored()
         df = df.filter(F.col("cell").isin(names)) if names else df.limit(0)
         if angles is not None and 0 < len(names) <= NAMED_CELLS:
             some = F.lit(False)
@@ -94,20 +97,12 @@ class CellIndex:
         return df.drop("cell", "angle", "length")
 
     def _angles(self, q: np.ndarray) -> np.ndarray:
-        """The angle between the query and each cell's centre."""
-        own = self.cells["cell"]
-        cos = np.zeros(len(own))
-        real = own >= 0
-        cos[real] = self.centres[own[real]] @ q / (np.linalg.norm(q) or 1.0)
-        return np.arccos(np.clip(cos, -1, 1))
+        """The angle between the query (or each row of a matrix of queries) and each cell's centre."""
+        return _angles(q, self.centres, self.cells)
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """Per cell a score that none of its rows exceeds."""
-        c, at = self.cells, self._angles(q)
-        nearest_angle = np.maximum(0, np.maximum(c["least"] - at, at - c["greatest"]))
-        cos = np.cos(np.minimum(nearest_angle, math.pi))
-        best = np.linalg.norm(q) * np.where(cos > 0, c["longest"], c["shortest"]) * cos
-        return np.where(c["cell"] < 0, 0.0, best) + SLACK
+        """Per cell a score that none of its rows exceeds, for a query or each row of a matrix."""
+        return _bounds(q, self.centres, self.cells)
 
     def selected(self, plan) -> tuple[np.ndarray, float]:
         """The cells that a bound query reads (a mask) and the score from which rows count."""
@@ -139,12 +134,91 @@ class CellIndex:
         free = self.cells["cell"][chosen] < 0
         return plan.frame(self.rows(np.flatnonzero(chosen), [(-1.0, 4.0) if f else (a - r, a + r) for a, r, f in zip(at, reach, free)]))
 
+    def batch(self, queries: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
+        """Exact top ``k`` rows for each of many query vectors: query_id, id, score, rank (ties by id), as ``batch_top_k``.
+
+        Every query first meets the cells of the highest bounds that hold ``k`` rows; its k-th score then
+        names the other cells that it must meet. Cells of many rows, and the queries of a cell, are split by count.
+        """
+        asked = write_shared(queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("v is not null"))
+        stored = self.index.with_vectors(self._stored(), Context(self.now), "v").select("id", "cell", "v")
+        best = self._met(self._sent(asked, k), stored, k)
+        best = write_shared(best)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        kth = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("least"))
+        more = self._met(self._sent(asked.join(kth, "q", "left"), k, True), stored, k)
+        return best.union(more).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
+
+    def _sent(self, asked: DataFrame, k: int, again: bool = False) -> DataFrame:
+        """(q, v, cell): the cells that queries meet first, or ``again`` those that may hold better rows than the k-th (``least``)."""
+        centres, cells = self.centres, self.cells
+        schema = T.StructType([asked.schema["q"], asked.schema["v"], T.StructField("cell", T.IntegerType())])
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    part = batch.slice(at, 2000)
+                    m = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    bounds = _bounds(m, centres, cells)
+                    order = np.argsort(-bounds, axis=1, kind="stable")
+                    before = np.cumsum(cells["n"][order], axis=1) - cells["n"][order]
+                    first = np.zeros(bounds.shape, bool)
+                    np.put_along_axis(first, order, before < k, 1)
+                    if again:
+                        least = part.column(2).fill_null(-math.inf).to_numpy(zero_copy_only=False)
+                        first = ~first & (bounds >= least[:, None] - SLACK)
+                    row, cell = np.nonzero(first)
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(cells["cell"][cell], pa.int32())], names=schema.names)
+
+        return asked.select("q", "v", *["least"] * again).mapInArrow(run, schema)
+
+    def _met(self, sent: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+        """query_id, id, score: the best ``k`` of each block of a cell for the queries that were sent there."""
+        sent = write_shared(sent)
+        asked = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row per cell
+        if not asked:
+            return self.spark.createDataFrame([], T.StructType([T.StructField("query_id", sent.schema["q"].dataType), T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType())]))
+        splits = [(int(c), -(-int(n) // ROWS_MET), -(-asked[c] // QUERIES_MET)) for c, n in zip(self.cells["cell"], self.cells["n"]) if c in asked]
+        split = F.broadcast(self.spark.createDataFrame(splits, "cell int, blocks int, groups int"))
+        grid = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = sent.join(split, "cell").withColumn("g", F.pmod(F.xxhash64("q", "v"), F.col("groups")).cast("int")).withColumn("b", grid("blocks"))
+        names = list(asked)
+        right = stored.filter(F.col("cell").isin(names)).join(split, "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("g", grid("groups"))
+        schema = T.StructType([T.StructField("query_id", sent.schema["q"].dataType), T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType())])
+        length = self.index.length
+
+        def best_of(queries: pa.Table, rows: pa.Table) -> pa.Table:
+            return block_top_k(queries, rows, length, k)
+
+        key = ["cell", "b", "g"]
+        return left.select(*key, "q", "v").groupBy(*key).cogroup(right.select(*key, "id", "v").groupBy(*key)).applyInArrow(best_of, schema)
+
     def share_read(self, plan) -> float:
         """The share of cells that ``plan`` reads."""
         chosen = self.selected(plan)[0]
         return float(chosen.mean()) if len(chosen) else 0.0
 
 
+def _angles(q: np.ndarray, centres: np.ndarray, cells: dict[str, np.ndarray]) -> np.ndarray:
+    own, size = cells["cell"], np.linalg.norm(q, axis=-1, keepdims=True)
+    cos = np.zeros((*q.shape[:-1], len(own)))
+    real = own >= 0
+    cos[..., real] = q @ centres[own[real]].T / np.where(size > 0, size, 1.0)
+    return np.arccos(np.clip(cos, -1, 1))
+
+
+def _bounds(q: np.ndarray, centres: np.ndarray, cells: dict[str, np.ndarray]) -> np.ndarray:
+    at = _angles(q, centres, cells)
+    nearest_angle = np.maximum(0, np.maximum(cells["least"] - at, at - cells["greatest"]))
+    cos = np.cos(np.minimum(nearest_angle, math.pi))
+    best = np.linalg.norm(q, axis=-1, keepdims=True) * np.where(cos > 0, cells["longest"], cells["shortest"]) * cos
+    return np.where(cells["cell"] < 0, 0.0, best) + SLACK
+
+
 def _dealt(vectors: DataFrame, centres: np.ndarray, length: int) -> DataFrame:
     """``vectors`` with cell, angle to its centre and length of the vector."""
     schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType()), T.StructField("length", T.DoubleType())])

@@ -51,6 +51,17 @@ _weighted = Query(_several, weights={_price: 1.0, _brand: 2.0}).find(C.part).sim
 dealt(_several, C.part, _weighted.filter(C.part.type != "STANDARD").filter((C.part.size > 5) | (C.part.brand == "Brand#11")).select(C.part.brand, C.part.price).limit(50), ORACLES["weighted_multi_space"], "cells_multi_space")
 
 
+def cells_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest items of every item whose id is divisible by 100, by cells."""
+    app = C.app_of(spark, sf_dir, [C.item], _index)
+    cells = app.deal(_index, C.item)
+    top = cells.batch(_asked_of(spark, sf_dir)[1], 10)
+    return top.select("query_id", "id", "rank", (F.round("score", 5) + 0.0).alias("score"))
+
+
+QUERIES["cells_batch"], ORACLES["cells_batch"] = cells_batch, ORACLES["batch_queries"]
+
+
 # codes -------------------------------------------------------------------------
 def _asked_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Unit vectors of all items, and of those whose id is divisible by 100 as queries."""

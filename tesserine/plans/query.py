@@ -13,8 +13,10 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tesserine.operators.index import ORIGIN, Index
@@ -308,6 +310,30 @@ ROW_BLOCK_BYTES = 16 << 20
 LEAST_ROWS = 1024
 
 
+def block_top_k(asked: pa.Table, some: pa.Table, length: int, k: int, scores: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, row_length: int | None = None) -> pa.Table:
+    """Best ``k`` rows of one block (id, v) for each query (q, v) of another: query_id, id, score."""
+    scores = scores or (lambda a, b: a @ b.T)
+
+    def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+    m = matrix(asked["v"], length)
+    of, score, name = np.empty(0, np.int64), np.empty(0), np.empty(0, "U1")
+    floor = np.full(len(m), -np.inf)  # the k-th best score so far
+    for at in range(0, some.num_rows if len(m) else 0, 2048):
+        part = some.slice(at, 2048)
+        s = np.round(scores(m, matrix(part["v"], row_length or length)), 9)
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(m), -np.inf)
+        q, row = np.nonzero(s >= np.maximum(least, floor)[:, None])
+        of, score, name = np.concatenate([of, q]), np.concatenate([score, s[q, row]]), np.concatenate([name, np.array(part["id"].to_pylist())[row]])
+        order = np.lexsort((name, -score, of))
+        of, score, name = of[order], score[order], name[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        floor[of[rank == k - 1]] = score[rank == k - 1]
+        of, score, name = of[rank < k], score[rank < k], name[rank < k]
+    return pa.table([asked["q"].combine_chunks().take(pa.array(of)), pa.array(name.tolist(), pa.string()), pa.array(score)], names=["query_id", "id", "score"])
+
+
 def batch_top_k(
     rows: DataFrame, queries: DataFrame, length: int, k: int, id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query",
     scores: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, row_length: int | None = None,
@@ -323,9 +349,6 @@ def batch_top_k(
     ``scores`` takes a matrix of queries and one of rows (arrays of ``row_length`` numbers, kept in their
     type) and gives the scores in place of inner products.
     """
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType())])
     given = write_shared(queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("v is not null"))
     stored = F.col(vector_col) if scores else F.col(vector_col).cast("array<double>")
@@ -333,32 +356,14 @@ def batch_top_k(
     n, tasks = vectors.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-given.count() // QUERY_BLOCK))
     groups = max(1, -(-n * 8 * length // ROW_BLOCK_BYTES), min(-(-tasks // blocks), -(-n // LEAST_ROWS)))
-    scores, row_length = scores or (lambda a, b: a @ b.T), row_length or length
 
     def dealt(df: DataFrame, key: str, own: str, mine: int, other: str, others: int):
         """Each row in its own block, once per block of the other side."""
         block = F.pmod(F.xxhash64(key, "v"), F.lit(mine)).cast("int")
         return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("b", "g")
 
-    def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
     def best_of(asked: pa.Table, some: pa.Table) -> pa.Table:
-        m = matrix(asked["v"], length)
-        of, score, name = np.empty(0, np.int64), np.empty(0), np.empty(0, "U1")
-        floor = np.full(len(m), -np.inf)  # the k-th best score so far
-        for at in range(0, some.num_rows if len(m) else 0, 2048):
-            part = some.slice(at, 2048)
-            s = np.round(scores(m, matrix(part["v"], row_length)), 9)
-            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(m), -np.inf)
-            q, row = np.nonzero(s >= np.maximum(least, floor)[:, None])
-            of, score, name = np.concatenate([of, q]), np.concatenate([score, s[q, row]]), np.concatenate([name, np.array(part["id"].to_pylist())[row]])
-            order = np.lexsort((name, -score, of))
-            of, score, name = of[order], score[order], name[order]
-            rank = np.arange(len(of)) - np.searchsorted(of, of)
-            floor[of[rank == k - 1]] = score[rank == k - 1]
-            of, score, name = of[rank < k], score[rank < k], name[rank < k]
-        return pa.table([asked["q"].combine_chunks().take(pa.array(of)), pa.array(name.tolist(), pa.string()), pa.array(score)], names=schema.names)
+        return block_top_k(asked, some, length, k, scores, row_length)
 
     local = dealt(given, "q", "b", blocks, "g", groups).cogroup(dealt(vectors, "id", "g", groups, "b", blocks)).applyInArrow(best_of, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))

@@ -8,6 +8,7 @@ import pytest
 from tesserine import App, CustomSpace, FloatList, IdField, Index, Integer, PeriodTime, Query, RecencySpace, Schema, SchemaError, Source, Timestamp
 from tesserine.functions.clusters import k_means, nearest, sample_matrix
 from tesserine.operators.cells import CellIndex
+from tesserine.plans.query import batch_top_k
 
 
 class Point(Schema):
@@ -72,6 +73,25 @@ def test_few_cells_are_read(app):
     assert not app.cells and app.query(near.limit(1)).frame.first().id == "new"
 
 
+def test_many_queries_equal_the_plain_way(app, monkeypatch):
+    """Hot cells are split, queries without a vector left out, and most pairs of a query and a cell never meet."""
+    import tesserine.operators.cells as K
+
+    monkeypatch.setattr(K, "ROWS_MET", 150)
+    monkeypatch.setattr(K, "QUERIES_MET", 5)
+    cells = app.deal(index, point)
+    rows = app.spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(points()[0] and points()[1][:12])] + [("none", None), ("zero", [0.0] * 8)], "query_id string, query array<double>")
+    vectors = index.with_vectors(app.rows(index, point), None).select("id", "vector")
+    for k in (1, 30):
+        got = sorted((r.query_id, r.rank, r.id, r.score) for r in cells.batch(rows, k).collect())
+        assert got == sorted((r.query_id, r.rank, r.id, r.score) for r in batch_top_k(vectors, rows, 8, k).collect())
+    asked = rows.filter("query is not null and query_id <> 'zero'").select(rows["query_id"].alias("q"), rows["query"].alias("v"))
+    near = batch_top_k(vectors, rows, 8, 5).filter("rank = 5").selectExpr("query_id as q", "score as least")
+    met = cells._sent(asked, 5).count() + cells._sent(asked.join(near, "q", "left"), 5, True).count()
+    assert met < 0.35 * 12 * len(cells.cells["n"])
+    app.cells.clear()
+
+
 def test_empty_tables_and_clocks(spark):
     source = Source(point, unique=True)
     app = App(spark, [source], [index], now=1)
