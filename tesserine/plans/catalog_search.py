@@ -21,6 +21,7 @@ from tesserine.plans.app import App, Source
 from tesserine.plans.inspect import stored_bytes
 from tesserine.plans.query import Query, batch_top_k
 from tesserine.schema import Blob, IdField, Schema
+from tesserine.sources.plugin import Condition, plugged
 from tesserine.sources.store import kept_for_session, persist, restore, tee, write_shared
 from tesserine.sources.stored import StoredEmbeddings, persist_clustered
 from tesserine.streaming.effects import batch_states, ordered_effects, run_available, with_values
@@ -333,3 +334,14 @@ WITH n AS (SELECT count(*) AS n FROM embeddings),
   t AS (SELECT v.vec_id, coalesce(avg(e.level), any_value(v.label::DOUBLE)) AS y FROM embeddings v LEFT JOIN e ON e.vec_id = v.vec_id GROUP BY v.vec_id),
   x AS (SELECT 'member' AS side, CAST(user_id AS VARCHAR) AS id, y FROM m UNION ALL SELECT 'thing', CAST(vec_id AS VARCHAR), y FROM t)
 SELECT side, id, round(CASE WHEN y IS NULL THEN 0 ELSE cos({C._angle('y', 0.0, 10.0)} - {C._angle('6.0', 0.0, 10.0)}) END, 6) + 0.0 AS score FROM x"""
+
+
+# plugged sources -----------------------------------------------------------------------
+def plugged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations read through a plugged source that answers the conditions on turns and roles by itself."""
+    asked = plugged(spark, "tesserine.sources.plugin:ArrowFiles", [Condition("role", "in", ["user", "assistant"]), Condition("turn", ">", 0)], path=f"{sf_dir}/conversations.parquet")
+    return asked.groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.max("turn").alias("last"), F.sum(F.length("text")).alias("chars"))
+
+
+QUERIES["plugged_source"] = plugged_source
+ORACLES["plugged_source"] = "SELECT conv_id, role, count(*) AS turns, max(turn) AS last, sum(length(text))::BIGINT AS chars FROM conversations WHERE role IN ('user', 'assistant') AND turn > 0 GROUP BY conv_id, role"
