@@ -19,7 +19,8 @@ from tesserine.plans import catalog as C
 from tesserine.plans import catalog_more as M
 from tesserine.plans.app import App, Source
 from tesserine.plans.inspect import stored_bytes
-from tesserine.plans.query import Query, batch_top_k
+from tesserine.plans.natural import SlotFiller
+from tesserine.plans.query import Param, Query, batch_top_k
 from tesserine.schema import Blob, IdField, Schema
 from tesserine.sources.plugin import Condition, plugged
 from tesserine.sources.store import kept_for_session, persist, restore, tee, write_shared
@@ -345,3 +346,13 @@ def plugged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["plugged_source"] = plugged_source
 ORACLES["plugged_source"] = "SELECT conv_id, role, count(*) AS turns, max(turn) AS last, sum(length(text))::BIGINT AS chars FROM conversations WHERE role IN ('user', 'assistant') AND turn > 0 GROUP BY conv_id, role"
+
+
+# sentences -------------------------------------------------------------------------------
+_priced, _branded = NumberSpace(C.part.price, 900, 1000, Mode.MINIMUM), CategoricalSimilaritySpace(C.part.brand, C.BRANDS)
+_sentence_index = Index([_priced, _branded], fields=[C.part.type, C.part.size])
+_sentence = (
+    Query(_sentence_index, weights={_priced: Param("price_weight", default=1.0), _branded: 1.0}).find(C.part).similar(_branded, Param("brand", options=tuple(C.BRANDS)))
+    .filter(C.part.size <= Param("max_size")).filter(C.part.size >= Param("min_size", default=1)).limit(Param("limit")).with_natural_query(Param("ask"), SlotFiller())
+)
+C.register("natural_slots", _sentence_index, _sentence, C._top(f"({C._marks('Brand#13')} - cos({C._angle('price', 900.0, 1000.0)})) / (sqrt(2.0) * sqrt(2.0))", C.PART_SQL, 60, "WHERE size BETWEEN 4 AND 30"), ask="sixty? no, the best 60 results of brand#13 with a size between 4 and 30; I dislike the price")
