@@ -304,17 +304,20 @@ class Selector:
         return [s for s, q in zip(spans, p) if s[2] == "iban" or q >= self.least[s[2]]]
 
 
-def decided_rows(text: str) -> list[tuple[str, bool, list[float], str]]:
-    """(kind, outcome, features, surroundings) of the candidates of a text that something decides."""
+def decided_rows(text: str, every: int = 1) -> list[tuple[str, bool, list[float], str]]:
+    """(kind, outcome, features, surroundings) of the candidates of a text that something decides, and of those made in one of ``every`` texts."""
     base = base_spans(text)
     out = [(k, ok, describe(text, s, e, k), text[max(0, s - 20) : e + 20]) for s, e, k, ok in extras(text, base) if ok is not None]
     out += [(k, True, describe(t, s, e, k), t) for t, s, e, k in rewritten(text, base)]
+    if crc32(text.encode("utf-8", "surrogatepass")) % every:
+        return out
     return out + [(k, ok, describe(t, s, e, k), t) for t, s, e, k, ok in made(text)]
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Selector | None:
     """A selector from the decided candidates of sampled rows; None without both outcomes."""
     small_batches(df.sparkSession)
+    every = max(1, min(df.count(), 2 * FIT_ROWS) // (2 * FIT_SPANS))  # a text gives some of every kind, and FIT_SPANS of each are used
     schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("y", T.DoubleType()), T.StructField("h", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
@@ -322,7 +325,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Select
 
         for batch in batches:
             for part in sized_slices(batch, 0):
-                rows = [r for text in part.column(0).to_pylist() if text for r in decided_rows(text)]
+                rows = [r for text in part.column(0).to_pylist() if text for r in decided_rows(text, every)]
                 hashes = [xxhash.xxh3_64_intdigest(around.encode("utf-8", "surrogatepass")) >> 1 for *_, around in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([float(r[1]) for r in rows], pa.float64()), pa.array(hashes, pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=schema.names)
 
