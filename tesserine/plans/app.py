@@ -147,7 +147,8 @@ class App:
         if not events:
             return rows
         key = index, schema, self.clock()
-        if key not in self.moved:  # events are folded once until more is put in
+        if key not in self.moved:  # events are folded once until more is put in or the clock goes on
+            self.moved = {k: v for k, v in self.moved.items() if k[2] == key[2]}
             self.moved[key] = apply_effects(index, schema, rows, tables, events, key[2], self.distinct_events)
         return self.moved[key]
 

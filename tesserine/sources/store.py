@@ -101,11 +101,14 @@ def kept_for_session(spark: SparkSession, name: str) -> str:
 
 
 def write_shared(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder that the cluster shares."""
+    """``df`` written once to the folder that the cluster shares; the session's own part of it is removed at its end."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    own = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return cut
 
 
 def tee(stream: DataFrame, sink: Callable[[DataFrame, int], None], publish: Callable[[DataFrame], None], checkpoint: str):
