@@ -191,7 +191,7 @@ _index = Index(_space, fields=[item.label])
 _probe = [((i * 7) % 11) - 5.0 for i in range(64)]
 _unit = f"list_transform({_probe}::DOUBLE[], lambda x: x / sqrt(list_dot_product({_probe}::DOUBLE[], {_probe}::DOUBLE[])))"
 register("custom_topk", _index, Query(_index).find(item).similar(_space, _probe).filter(item.label != 3).limit(20), _top(f"list_dot_product(v, {_unit})", ITEM_SQL, 20, "WHERE label IS DISTINCT FROM 3"))
-register("custom_radius", _index, Query(_index).find(item).similar(_space, _probe).radius(0.9), f"SELECT * FROM ({_top(f'list_dot_product(v, {_unit})', ITEM_SQL)}) WHERE score >= 0.1")
+register("custom_radius", _index, Query(_index).find(item).similar(_space, _probe).radius(0.9, digits=6), f"SELECT * FROM ({_top(f'list_dot_product(v, {_unit})', ITEM_SQL)}) WHERE score >= 0.1")
 register("with_vector_custom", _index, Query(_index).find(item).with_vector(item, Param("like")).select(item.label).limit(25), _top("list_dot_product(v, (SELECT v FROM " + ITEM_SQL + " WHERE id = '7'))", ITEM_SQL, 25, extra=", label"), like="7")
 
 # several spaces --------------------------------------------------------------

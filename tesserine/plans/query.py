@@ -73,11 +73,19 @@ class QueryPlan:
     search_params: Mapping[str, object]
     strategy: str = "auto"
     origin_id: bool = False
+    digits: int | None = None
 
     @property
     def search_vector(self) -> np.ndarray:
         return np.concatenate(self.parts)
 
+    @property
+    def least(self) -> float:
+        """A score below which no row lies within the radius."""
+        if not self.radius:
+            return -math.inf
+        return 1 - self.radius if self.digits is None else round(1 - self.radius, self.digits) - 0.5 * 10.0**-self.digits
+
     def frame(self, rows: DataFrame) -> DataFrame:
         """id, selected fields, score and on demand partial_scores and vector_parts; best first, ties by id."""
         from tesserine.schema import condition
@@ -101,8 +109,10 @@ class QueryPlan:
         for n in each:
             total = total + F.col(n)
         scored = scored.withColumn("score", total)
-        if self.radius:
+        if self.radius and self.digits is None:
             scored = scored.filter(F.col("score") >= 1 - self.radius)
+        elif self.radius:
+            scored = scored.filter(F.round("score", self.digits) >= round(1 - self.radius, self.digits))
         scored = scored.orderBy(F.desc(F.round("score", 12)), F.asc("id"))
         if self.limit and self.limit > 0:
             scored = scored.limit(self.limit)
@@ -126,6 +136,7 @@ class Query:
     look: tuple | None = None
     filters: tuple = ()
     radius_: object = None
+    digits: int | None = None
     limit_: object = None
     selected: object = None
     metadata_: tuple = ()
@@ -179,8 +190,9 @@ class Query:
                 raise SchemaError(f"{p.field.name} is not among the index's fields")
         return replace(self, filters=(*self.filters, predicate))
 
-    def radius(self, radius: object) -> Query:
-        return self._one("radius", radius_=radius)
+    def radius(self, radius: object, digits: int | None = None) -> Query:
+        """Rows whose score is at least ``1 - radius``; with ``digits`` the score counts as it is shown, rounded to so many."""
+        return self._one("radius", radius_=radius, digits=digits)
 
     def limit(self, limit: object) -> Query:
         return self._one("limit", limit_=limit)
@@ -289,7 +301,7 @@ class Query:
         if radius is not None and not (isinstance(radius, (int, float)) and 0 <= radius <= 1):
             raise SchemaError("a radius lies between 0 and 1")
         search |= {"limit_param__": limit, "radius_param__": radius, **bound}
-        return QueryPlan(schema, self.index, tuple(parts), ctx, tuple(groups), limit, radius, tuple(self._names(chosen)), self.metadata_, self.partial, search, strategy)
+        return QueryPlan(schema, self.index, tuple(parts), ctx, tuple(groups), limit, radius, tuple(self._names(chosen)), self.metadata_, self.partial, search, strategy, digits=self.digits)
 
 
 def query_parts(index: Index, inputs: dict[int, list], items: dict[int, list], weights: list[float], ctx: Context) -> list[np.ndarray]:
