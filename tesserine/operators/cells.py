@@ -110,7 +110,7 @@ class CellIndex:
             raise SchemaError("cells of an index with a recency space hold for the time of their making")
         q = plan.search_vector
         bounds = self.bounds(q)
-        least = 1 - plan.radius if plan.radius else -math.inf
+        least = plan.least
         if plan.limit and plan.limit > 0:
             order = np.argsort(-bounds, kind="stable")
             have = np.cumsum(self.cells["n"][order])

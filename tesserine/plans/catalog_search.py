@@ -46,7 +46,7 @@ _vectors = CustomSpace(C.item.v, 64)
 _index = Index(_vectors, fields=[C.item.label])
 _asked = Query(_index).find(C.item).similar(_vectors, C._probe)
 dealt(_index, C.item, _asked.filter(C.item.label != 3).limit(20), ORACLES["custom_topk"], "cells_topk")
-dealt(_index, C.item, _asked.radius(0.9), ORACLES["custom_radius"], "cells_radius")
+dealt(_index, C.item, _asked.radius(0.9, digits=6), ORACLES["custom_radius"], "cells_radius")
 _price, _brand, _size = NumberSpace(C.part.price, 900, 1000, Mode.MINIMUM), CategoricalSimilaritySpace(C.part.brand, C.BRANDS), NumberSpace(C.part.size, 1, 50, Mode.SIMILAR)
 _several = Index([_price, _brand, _size], fields=[C.part.type, C.part.size, C.part.brand])
 _weighted = Query(_several, weights={_price: 1.0, _brand: 2.0}).find(C.part).similar(_brand, ["Brand#11", "Brand#13"]).similar(_size, 15, 0.5)

@@ -23,7 +23,7 @@ def path(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["custom_radius"])
+@pytest.mark.parametrize("name", ["custom_radius", "cells_radius"])
 def test_radius_as_shown(spark, path, name):
     got = {r.id: r.score for r in QUERIES[name](spark, path).collect()}
     with duckdb.connect() as db:
