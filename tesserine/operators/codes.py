@@ -7,7 +7,8 @@ inner products with all centres make a small table, so that the score of a row i
 meet their whole vectors, which give the exact scores and the order.
 
 The result may lack rows whose code is far from their vector; ``recall`` measures how many of the true
-ones are found, and ``batch_top_k`` is the exact way. With ``candidates`` of all rows the result is exact.
+ones are found, and ``batch_top_k`` is the exact way. With ``candidates`` of all rows codes have nothing to choose: the exact way is
+taken, which holds ``k`` rows per query and block instead of a row per query and candidate.
 
 Defined cases: rows and queries without a vector are left out; of rows that share an id each takes part; an
 empty table gives an empty result.
@@ -110,6 +111,8 @@ class CodeIndex:
 
     def search(self, queries: DataFrame, k: int, candidates: int | None = None, query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
         """query_id, id, score (exact), rank of the ``k`` best of each query's ``candidates`` (ten times ``k``)."""
+        if candidates is not None and candidates >= self.rows().count():  # codes can choose nothing: rows meet queries block by block, and no pair is written
+            return batch_top_k(self.rows(), queries, self.length, k, query_id=query_id, query_vector=query_vector)
         near = batch_top_k(self.rows(), queries, self.length, candidates or 10 * k, vector_col="code", query_id=query_id, query_vector=query_vector, scores=self.book.scores, row_length=self.book.parts)
         asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("query"))
         whole = near.select("query_id", "id").distinct().join(self.rows().select("id", "vector"), "id").join(asked, "query_id")

@@ -317,33 +317,78 @@ def query_parts(index: Index, inputs: dict[int, list], items: dict[int, list], w
 
 
 #: Query vectors of a block, bytes of row vectors of a block, and the rows below which a block is not split to make tasks.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16384
 ROW_BLOCK_BYTES = 16 << 20
 LEAST_ROWS = 1024
+#: Queries and rows whose scores a task has at one time, and pairs whose vectors meet in double precision at one time.
+TILE_QUERIES, TILE_ROWS, PAIRS = 1024, 4096, 1 << 14
+
+
+def kth_largest(s: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th largest number of each row; nothing below it where there are no more than ``k``."""
+    return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+
+
+def pair_scores(m: np.ndarray, v: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Inner products of rows ``q`` of ``m`` with rows ``row`` of ``v``, at nine digits."""
+    out = np.empty(len(q))
+    for at in range(0, len(q), PAIRS):
+        out[at : at + PAIRS] = np.einsum("ij,ij->i", m[q[at : at + PAIRS]], v[row[at : at + PAIRS]])
+    return np.round(out, 9)
 
 
 def block_top_k(asked: pa.Table, some: pa.Table, length: int, k: int, scores: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, row_length: int | None = None) -> pa.Table:
-    """Best ``k`` rows of one block (id, v) for each query (q, v) of another: query_id, id, score."""
-    scores = scores or (lambda a, b: a @ b.T)
+    """Best ``k`` rows of one block (id, v) for each query (q, v) of another: query_id, id, score.
+
+    Inner products are made in single precision first. What they can be off by is known, so that only pairs
+    that may be among the best are computed in double precision, and the result is that of doubles.
+    """
 
     def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
         return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
-    m = matrix(asked["v"], length)
-    of, score, name = np.empty(0, np.int64), np.empty(0), np.empty(0, "U1")
-    floor = np.full(len(m), -np.inf)  # the k-th best score so far
-    for at in range(0, some.num_rows if len(m) else 0, 2048):
-        part = some.slice(at, 2048)
-        s = np.round(scores(m, matrix(part["v"], row_length or length)), 9)
-        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(m), -np.inf)
-        q, row = np.nonzero(s >= np.maximum(least, floor)[:, None])
-        of, score, name = np.concatenate([of, q]), np.concatenate([score, s[q, row]]), np.concatenate([name, np.array(part["id"].to_pylist())[row]])
-        order = np.lexsort((name, -score, of))
-        of, score, name = of[order], score[order], name[order]
-        rank = np.arange(len(of)) - np.searchsorted(of, of)
-        floor[of[rank == k - 1]] = score[rank == k - 1]
-        of, score, name = of[rank < k], score[rank < k], name[rank < k]
-    return pa.table([asked["q"].combine_chunks().take(pa.array(of)), pa.array(name.tolist(), pa.string()), pa.array(score)], names=["query_id", "id", "score"])
+    m, width = matrix(asked["v"], length), row_length or length
+    place = np.empty(some.num_rows, np.int64)  # of each row in the order of ids
+    place[np.argsort(np.array(some["id"].to_pylist(), dtype=str), kind="stable")] = np.arange(some.num_rows)
+    tiles = [slice(at, at + TILE_QUERIES) for at in range(0, len(m), TILE_QUERIES)]
+    best = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)) for _ in tiles]  # query in its tile, score, row
+    floors = [np.full(len(m[t]), -np.inf) for t in tiles]  # the k-th best scores so far
+    with np.errstate(over="ignore", invalid="ignore"):
+        small, norms = m.astype(np.float32), np.linalg.norm(m, axis=1)
+    for at in range(0, some.num_rows if len(m) else 0, TILE_ROWS):
+        v = matrix(some["v"].slice(at, TILE_ROWS), width)
+        longest = 0.0
+        if scores is None:
+            with np.errstate(over="ignore", invalid="ignore"):
+                few, longest = v.astype(np.float32), np.linalg.norm(v, axis=1).max()
+        for i, t in enumerate(tiles):
+            floor = floors[i]
+            if scores is None and longest < 1e15 and norms[t].max() < 1e15:
+                s = small[t] @ few.T
+                off = (length + 4) * 2.0**-23 * norms[t] * longest + 1e-9  # sums of rounded products, and the nine digits
+            else:
+                s, off = np.round(scores(m[t], v) if scores else m[t] @ v.T, 9), None
+            least = floor if off is None else floor - off
+            if (floor == -np.inf).any():
+                first = kth_largest(s, k)
+                least = np.maximum(least, first if off is None else first - 2 * off)
+            if off is not None:  # the next smaller single, so that the comparison stays in singles
+                least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+            q, row = np.nonzero(s >= least[:, None])
+            if len(q) > 16 * k * len(floor) and s.shape[1] > k:  # rows that get better and better
+                first = kth_largest(s, k)
+                q, row = np.nonzero(s >= np.maximum(least, first if off is None else np.nextafter((first - 2 * off).astype(np.float32), np.float32(-np.inf)))[:, None])
+            if not len(q):
+                continue
+            new = pair_scores(m[t], v, q, row) if off is not None else s[q, row]
+            of, score, row = (np.concatenate(x) for x in zip(best[i], (q, new, row + at)))
+            order = np.lexsort((place[row], -score, of))
+            of, score, row = of[order], score[order], row[order]
+            rank = np.arange(len(of)) - np.searchsorted(of, of)
+            floor[of[rank == k - 1]] = score[rank == k - 1]
+            best[i] = of[rank < k], score[rank < k], row[rank < k]
+    of, score, row = (np.concatenate([np.empty(0, kind), *x]) for kind, x in zip((np.int64, float, np.int64), zip(*[(b[0] + t.start, b[1], b[2]) for b, t in zip(best, tiles)]))) if tiles else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+    return pa.table([asked["q"].combine_chunks().take(pa.array(of)), some["id"].combine_chunks().take(pa.array(row)).cast(pa.string()), pa.array(score)], names=["query_id", "id", "score"])
 
 
 def batch_top_k(
