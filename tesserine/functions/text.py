@@ -12,6 +12,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,24 @@ from tesserine.functions.vectors import l2
 WORD = re.compile(r"[a-z0-9]+")
 
 
+#: Bytes of text, and texts, that a task decodes at a time; words whose slots it keeps.
+SLICE_BYTES, SLICE_TEXTS, KEPT_WORDS = 2 << 20, 2000, 1 << 16
+
+
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive slices of about ``SLICE_BYTES`` (one text at least), whatever the size of an Arrow batch."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_TEXTS):
+            yield texts.slice(start, i - start)
+            start = i
+            held = 0
+        held += n
+    if len(texts) > start:
+        yield texts.slice(start)
+
+
 class TextEmbedder(Protocol):
     """Anything that turns a text column into vectors of ``length``; queries may use a prompt of their own."""
 
@@ -34,7 +54,7 @@ class HashedEmbedder:
     """Signed counts of hashed lower-case words (ASCII letters and digits), L2-normalised.
 
     Bucket and sign of a word come from its MD5, so that other engines can follow. Null and texts
-    without words give zeros. Runs over Arrow batches; the slots of words are kept between texts.
+    without words give zeros. Runs over slices of Arrow batches; the slots of words are kept between texts.
     """
 
     def __init__(self, length: int = 128):
@@ -47,7 +67,7 @@ class HashedEmbedder:
 
     def counts(self, text: str | None, kept: dict) -> np.ndarray:
         words = WORD.findall(text.lower()) if text else []
-        if len(kept) > 200_000:
+        if len(kept) > KEPT_WORDS:
             kept.clear()
         for w in set(words).difference(kept):
             kept[w] = self.slot(w)
@@ -55,13 +75,17 @@ class HashedEmbedder:
         return l2((up_down[::2] - up_down[1::2]).astype(float))
 
     def column(self, text: Column) -> Column:
-        counts = self.counts
+        counts, length = self.counts, self.length
 
-        @F.pandas_udf("array<double>")
-        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<double>")
+        def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             kept: dict = {}
             for texts in batches:
-                yield pd.Series([counts(t, kept) for t in texts])
+                for some in text_slices(texts):
+                    m = np.empty((len(some), length))
+                    for i, t in enumerate(some):
+                        m[i] = counts(t.as_py(), kept)
+                    yield pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, length, dtype=np.int32)), pa.array(m.ravel()))
 
         return embed(text)
 
@@ -145,9 +169,11 @@ def chunk_text(text: str | None, size: int = 250, overlap: int = 20, kept: list[
 def chunk_column(text: Column, **options) -> Column:
     """The chunks of a text column (see ``chunk_text``); null and blank texts have none."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk_text(t, **options))
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for some in text_slices(texts):
+                yield pa.array([chunk_text(t.as_py(), **options) for t in some], pa.list_(pa.string()))
 
     return cut(text)
 
