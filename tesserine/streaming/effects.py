@@ -9,13 +9,15 @@ their place, and can start from the batch fold of a history.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,7 +33,12 @@ OUT = T.StructType([T.StructField("entity", T.StringType()), T.StructField("coun
 
 def advance(tally: Tally, vec: np.ndarray | None, events: pd.DataFrame, rule: Rule) -> np.ndarray | None:
     """Take a sorted batch of one entity's events (created_at, m, weight, raw) in."""
-    for at, m, weight, raw in zip(events["created_at"], events["m"], events["weight"], events["raw"]):
+    return folded(tally, vec, zip(events["created_at"], events["m"], events["weight"], events["raw"]), rule)
+
+
+def folded(tally: Tally, vec: np.ndarray | None, events: Iterable[tuple], rule: Rule) -> np.ndarray | None:
+    """As ``advance``, for tuples."""
+    for at, m, weight, raw in events:
         keep, add = rule.step(tally, int(at), int(m))
         a = np.asarray(raw, float) * weight
         vec = a * add if vec is None else vec * keep + a * add
@@ -72,6 +79,9 @@ def stream_effects(acting: DataFrame, rule: Rule, watermark: str | None = None)
 # With late events in order, timers and a start from the batch fold ---------------------------------------------
 PENDING = T.StructType([T.StructField("created_at", T.LongType()), T.StructField("event", T.StringType()), T.StructField("m", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("raw", T.ArrayType(T.DoubleType()))])
 
+#: What the fold takes of a waiting event.
+ACTING = itemgetter(0, 2, 3, 4)
+
 
 def batch_states(acting: DataFrame, rule: Rule) -> DataFrame:
     """(entity, count, average, oldest, value) after all of ``acting`` (see ``with_values``), for a stream to start from.
@@ -86,14 +96,14 @@ def batch_states(acting: DataFrame, rule: Rule) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, f) for x, f in zip(([now], [tally.count], [tally.average], [tally.oldest], [vec.tolist()]), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())))], names=OUT.names)
 
         for batch in batches:
-            entities = batch.column(0).to_pylist()
+            entities, at, _, *rest = (c.to_pylist() for c in batch.columns)
             cuts = [0, *[i for i in range(1, len(entities)) if entities[i] != entities[i - 1]], len(entities)]
             for lo, hi in zip(cuts[:-1], cuts[1:]) if entities else ():
                 if entities[lo] != now:
                     if vec is not None:
                         yield done()
                     now, tally, vec = entities[lo], Tally(), None
-                vec = advance(tally, vec, batch.slice(lo, hi - lo).to_pandas(), rule)
+                vec = folded(tally, vec, zip(at[lo:hi], *(x[lo:hi] for x in rest)), rule)
         if vec is not None:
             yield done()
 
@@ -117,51 +127,51 @@ class EffectFold(StatefulProcessor):
         self.waiting = handle.getListState("waiting", PENDING)
 
     def _state(self) -> tuple[Tally, np.ndarray | None]:
-        held = self.settled.get() if self.settled.exists() else None
+        held = self.settled.get()
         if held is None:
             return Tally(), None
         count, average, oldest, vec = held
         return Tally(count, average, oldest), np.array(vec, float)
 
-    def _keep(self, tally: Tally, vec: np.ndarray | None) -> None:
-        if vec is not None:
-            self.settled.update((tally.count, tally.average, tally.oldest, [float(x) for x in vec]))
-
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for r in initialState.itertuples():
-            self.settled.update((int(r.count), int(r.average), int(r.oldest), [float(x) for x in r.value]))
+        r = initialState
+        self.settled.update((r["count"], r["average"], r["oldest"], list(r["value"])))
 
-    def _settle(self, events: pd.DataFrame, until: int) -> tuple[Tally, np.ndarray | None, pd.DataFrame]:
-        """Fold the events before ``until`` (milliseconds) into the state; what is left waits."""
-        events = events.drop_duplicates("event").sort_values(["created_at", "event"], kind="stable")
-        ready = events["created_at"] * 1000 < until
+    def _settle(self, events: list[tuple], until: int) -> tuple[Tally, np.ndarray | None, list[tuple]]:
+        """Fold the events before ``until`` (milliseconds) into the state; the rest is returned in order."""
+        events = sorted({e[1]: e for e in reversed(events)}.values(), key=lambda e: e[:2])  # of an event's rows the first
+        ready = bisect_left(events, until, key=lambda e: e[0] * 1000)
         tally, vec = self._state()
-        if ready.any():
-            vec = advance(tally, vec, events[ready], self.rule)
-            self._keep(tally, vec)
-        rest = events[~ready]
-        if len(rest):
-            self.waiting.put([(int(a), e, int(m), float(w), [float(x) for x in v]) for a, e, m, w, v in rest[PENDING.names].itertuples(index=False)])
-        elif self.waiting.exists():
+        if ready:
+            vec = folded(tally, vec, map(ACTING, events[:ready]), self.rule)
+            self.settled.update((tally.count, tally.average, tally.oldest, vec.tolist()))
+        return tally, vec, events[ready:]
+
+    def _wait(self, held: list[tuple], rest: list[tuple]) -> None:
+        """Let ``rest`` wait; where all that waited still does, only what is new is written."""
+        names = {e[1] for e in held}
+        if len(rest) >= len(names) and names <= {e[1] for e in rest} and len(names) == len(held):
+            new = [e for e in rest if e[1] not in names]
+            if new:
+                self.waiting.appendList(new)
+        elif rest:
+            self.waiting.put(rest)
+        elif held:
             self.waiting.clear()
-        return tally, vec, rest
-
-    def _held(self) -> pd.DataFrame:
-        return pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=PENDING.names)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = [part[PENDING.names] for part in rows]
-        held = self._held()
-        events = pd.concat([held, *came] if len(held) else came)
-        tally, vec, rest = self._settle(events, timerValues.getCurrentWatermarkInMs())
-        if len(rest):
-            self.handle.registerTimer(int(rest["created_at"].max()) * 1000 + 1)
-        now = Tally(tally.count, tally.average, tally.oldest)
-        vec = advance(now, vec, rest, self.rule)
-        yield pd.DataFrame({"entity": [key[0]], "count": [now.count], "average": [now.average], "oldest": [now.oldest], "value": [vec.tolist()]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._settle(self._held(), timerValues.getCurrentWatermarkInMs())
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        came = [(r["created_at"], r["event"], r["m"], r["weight"], list(r["raw"])) for r in rows]
+        held = [tuple(e) for e in self.waiting.get()]
+        tally, vec, rest = self._settle(held + came, timerValues.getCurrentWatermarkInMs())
+        self._wait(held, rest)
+        if rest:
+            self.handle.registerTimer(rest[-1][0] * 1000 + 1)
+        vec = folded(tally, vec, map(ACTING, rest), self.rule)
+        yield Row(entity=key[0], count=tally.count, average=tally.average, oldest=tally.oldest, value=vec.tolist())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = [tuple(e) for e in self.waiting.get()]
+        self._wait(held, self._settle(held, timerValues.getCurrentWatermarkInMs())[2])
         return iter([])
 
 
@@ -174,7 +184,7 @@ def ordered_effects(acting: DataFrame, rule: Rule, delay: str = "1 day", initial
     timed = acting.withColumn("_time", F.timestamp_seconds("created_at")).withWatermark("_time", delay)
     timed = timed.select(F.col("entity").cast("string").alias("entity"), "created_at", F.col("event").cast("string").alias("event"), F.col("m").cast("long").alias("m"), "weight", "raw", "_time")
     start = initial.select(*OUT.names).groupBy("entity") if initial is not None else None
-    return timed.groupBy("entity").transformWithStateInPandas(EffectFold(rule), OUT, "Update", "EventTime", start)
+    return timed.groupBy("entity").transformWithState(EffectFold(rule), OUT, "Update", "EventTime", start)
 
 
 @contextmanager
