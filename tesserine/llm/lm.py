@@ -41,7 +41,9 @@ from .textops import sized_slices, small_batches, write_shared, write_table
 
 #: Bytes of context (2 to 7: a gram is packed into eight bytes).
 DEPTH = 5
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
+HELD_GRAMS = 6 << 20  # distinct grams that a task gathers before it hands them on; a chunk then has several rows of a pair, which are summed
+HELD_WORDS = 500_000  # and words
 GROUPED_ROWS = 200_000  # grams that a task computes at a time, whole groups of two context bytes; a larger group is split by its next bytes
 END = b"\n"  # no word
 ONE, EIGHT = np.uint64(1), np.uint64(8)
@@ -107,9 +109,28 @@ def gathered(docs: DataFrame) -> DataFrame:
     """Rows of each chunk: a word with its count in training rows (0 where only others have it), or the grams of one pair of nearest bytes with theirs."""
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("pair", T.IntegerType()), T.StructField("k", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType())])
 
+    def chunk_rows(c: int, g: np.ndarray, n: np.ndarray, count: Counter):
+        pair = (g >> np.uint64(8 * (DEPTH - 1))).astype(np.int32)
+        cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(g)]
+        for at in range(0, len(cuts) - 1, 500):
+            some = list(zip(cuts[at : at + 501], cuts[at + 1 : at + 501]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(some), c), pa.int64()), pa.array([int(pair[a]) for a, _ in some], pa.int32()), pa.array([squeezed_grams(g[a:b]) for a, b in some], pa.binary()),
+                pa.array([b - a for a, b in some], pa.int64()), pa.array([squeezed(n[a:b].astype(np.uint32)) for a, b in some], pa.binary()),
+            ], names=schema.names)
+        k, m = pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())
+        for at in range(0, len(k), 100_000):
+            size = min(100_000, len(k) - at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, c), pa.int64()), pa.array(np.full(size, -1, np.int32)), k.slice(at, size), m.slice(at, size), pa.nulls(size, pa.binary())], names=schema.names)
+
     def run(batches):
         grams: dict[int, list] = {}
         words: dict[int, Counter] = {}
+
+        def told():
+            for c in list(grams):
+                yield from chunk_rows(c, *_summed(*grams.pop(c)), words.pop(c))
+
         for batch in batches:
             for part in sized_slices(batch, 1):
                 chunk = part.column(0).to_numpy()
@@ -134,21 +155,12 @@ def gathered(docs: DataFrame) -> DataFrame:
                             else:
                                 count.update(t.lower().split())
                         count[END] += 0 if out else len(texts)
-        for c in list(grams):
-            g, n = _summed(*grams.pop(c))
-            pair = (g >> np.uint64(8 * (DEPTH - 1))).astype(np.int32)
-            cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(g)]
-            for at in range(0, len(cuts) - 1, 500):
-                some = list(zip(cuts[at : at + 501], cuts[at + 1 : at + 501]))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(some), c), pa.int64()), pa.array([int(pair[a]) for a, _ in some], pa.int32()), pa.array([squeezed_grams(g[a:b]) for a, b in some], pa.binary()),
-                    pa.array([b - a for a, b in some], pa.int64()), pa.array([squeezed(n[a:b].astype(np.uint32)) for a, b in some], pa.binary()),
-                ], names=schema.names)
-            count = words.pop(c)
-            k, m = pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())
-            for at in range(0, len(k), 100_000):
-                size = min(100_000, len(k) - at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, c), pa.int64()), pa.array(np.full(size, -1, np.int32)), k.slice(at, size), m.slice(at, size), pa.nulls(size, pa.binary())], names=schema.names)
+                if sum(len(x) for g, _ in grams.values() for x in g) > HELD_GRAMS or sum(map(len, words.values())) > HELD_WORDS:
+                    for c, have in grams.items():
+                        grams[c] = [[x] for x in _summed(*have)]
+                    if sum(len(g[0]) for g, _ in grams.values()) > HELD_GRAMS // 2 or sum(map(len, words.values())) > HELD_WORDS:
+                        yield from told()
+        yield from told()
 
     return docs.select("chunk", "text", "held_out").mapInArrow(run, schema)
 
@@ -430,18 +442,16 @@ def ctw_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     part_g += [restored_grams(k) for k in piece.column(2).to_pylist()]
                     part_v += [restored(v, np.float32) for v in piece.column(4).to_pylist()]
                     continue
-                if index is None:
-                    index, table = pd.Index(np.concatenate(part_g)), np.concatenate(part_v).astype(float)
-                    if not index.is_unique:  # rows from no file: several tasks gathered from the chunk
-                        grams_, first = np.unique(index.to_numpy(), return_index=True)
-                        index, table = pd.Index(grams_), table[first]
+                if index is None:  # a gram comes more than once where several tasks, or one in several goes, gathered from the chunk
+                    grams_, first = np.unique(np.concatenate(part_g), return_index=True)
+                    index, table = pd.Index(grams_), np.concatenate(part_v)[first]
                     part_g, part_v = [], []
                 for some in sized_slices(piece, 6, 2 << 20):
                     texts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in some.column(6).to_pylist()]
                     g, ends = pack(texts)
                     at = index.get_indexer(g)
                     assert (at >= 0).all(), "a chunk met a text that it was not gathered from"
-                    score = np.add.reduceat(table[at], np.concatenate([[0], ends[:-1]]))
+                    score = np.add.reduceat(table[at].astype(float), np.concatenate([[0], ends[:-1]]))
                     n, known_n, base = [], [], []
                     for t in texts:
                         tokens = t.lower().split()
