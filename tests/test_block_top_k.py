@@ -54,3 +54,16 @@ def test_singles_do_the_bulk(monkeypatch):
     m, v = rng.normal(size=(200, 64)), rng.normal(size=(20_000, 64))
     Q.block_top_k(table(list(range(200)), m, "q"), table([str(i) for i in range(20_000)], v, "id"), 64, 10)
     assert 0 < sum(seen) < 200 * 20_000 / 100
+
+
+def test_scores_of_a_block_are_never_held_whole():
+    """Numbers that a block of many queries holds: tiles, not queries times rows."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    asked, some = table(list(range(4096)), rng.normal(size=(4096, 64)), "q"), table([str(i) for i in range(6000)], rng.normal(size=(6000, 64)), "id")
+    tracemalloc.start()
+    Q.block_top_k(asked, some, 64, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
