@@ -43,9 +43,9 @@ CHECKED = {
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "xprv": re.compile(rf"xprv[{BASE58}]{{107}}(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+"),
 }
-JWT_RUN = re.compile(r"[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++)?")
+#: The first part from some place on, and the second and third part where both dots stand.
+JWT_PARTS = re.compile(r"([A-Za-z0-9_-]*+)(?:\.([A-Za-z0-9_-]++)\.[A-Za-z0-9_-]*+)?")
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
     "access": ("akia",),
@@ -87,38 +87,48 @@ def _base58_check(word: str) -> bool:
     return bool(raw) and hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
 
 
-def _json_object(part: str) -> dict | None:
-    """The object that a base64url text holds; read in growing pieces, so that what is no JSON ends early."""
+def _base64_bytes(part: str) -> bytes:
+    return base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))
+
+
+def _json_object(text: str, lo: int, hi: int) -> dict | None:
+    """The object that ``text[lo:hi]`` holds in base64url; read in growing pieces, so that what is no JSON ends early."""
     size = 512
     while True:
-        piece = part if size >= len(part) else part[: size - size % 4]
+        whole = size >= hi - lo
         try:
-            raw = base64.urlsafe_b64decode(piece + "=" * (-len(piece) % 4))
+            raw = _base64_bytes(text[lo : hi if whole else lo + size])
             if not raw.lstrip(b" \t\r\n").startswith(b"{"):
                 return None
             found = json.loads(raw)
-            return found if isinstance(found, dict) and piece is part else None
+            if whole:
+                return found if isinstance(found, dict) else None  # else only blanks may follow
         except json.JSONDecodeError as error:
             unclosed = error.msg.startswith("Unterminated") or error.pos >= len(error.doc) - 16
-            if piece is part or not unclosed:
+            if whole or not unclosed:
+                return None
+        except UnicodeDecodeError as error:
+            if whole or error.start < len(raw) - 4:  # a cut may stand inside a character
                 return None
-        except (ValueError, binascii.Error, RecursionError):  # a cut may stand inside a character
-            if piece is part:
+        except RecursionError:
+            return None
+        except (ValueError, binascii.Error):
+            if whole:
                 return None
         size *= 4
 
 
-def _jwt_header(word: str) -> bool:
-    """The first part is base64url JSON that names an algorithm and the second is base64url JSON."""
-    head, body = word.split(".")[:2]
-    head = _json_object(head)
-    return head is not None and isinstance(head.get("alg"), str) and _json_object(body) is not None
+def _jwt_header(text: str, lo: int, hi: int) -> bool:
+    """``text[lo:hi]`` is base64url JSON that names an algorithm; its last bytes are looked at first."""
+    over = (hi - lo) % 4
+    if over == 1 or _base64_bytes(text[hi - (over or 4) : hi])[-1:] not in (b"}", b" ", b"\t", b"\r", b"\n"):
+        return False
+    head = _json_object(text, lo, hi)
+    return head is not None and isinstance(head.get("alg"), str)
 
 
 def _valid(kind: str, m: re.Match) -> bool:
-    if kind in ("github", "npm"):
-        return _base62_crc(m[1], m[2])
-    return _base58_check(m[0]) if kind == "xprv" else _jwt_header(m[0])
+    return _base58_check(m[0]) if kind == "xprv" else _base62_crc(m[1], m[2])
 
 
 def find_secrets(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
@@ -128,6 +138,7 @@ def find_secrets(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int,
         low = text.translate(ASCII_LOWER)
     spans: list[tuple[int, int, str]] = []
     over = dict.fromkeys(KINDS, 0)  # where the last match of each kind ended
+    parts, head = None, 0  # of a token: the match of its parts, and where its first part ends
     for last, (kind, size) in auto.iter(low):
         at = last - size + 1
         if at < over[kind]:
@@ -152,12 +163,21 @@ def find_secrets(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int,
                 over[kind] = m.end()
                 if m.end() - at >= 20:
                     spans.append((at, m.end(), kind))
-        elif m := CHECKED[kind].match(text, at):
-            if _valid(kind, m):
-                over[kind] = m.end()
-                spans.append((at, m.end(), kind))
-        elif kind == "jwt" and text.startswith("eyJ", at) and at + 4 <= len(text):
-            over[kind] = max(JWT_RUN.match(text, at).end() - 3, at)  # whatever begins in a run that leads to no second dot fails, too
+        elif kind == "jwt":
+            if not text.startswith("eyJ", at):
+                continue
+            if at >= head:  # the other parts are the same wherever in this run a token begins
+                parts = JWT_PARTS.match(text, at)
+                head = parts.end(1)
+                if not parts[2] or _json_object(text, *parts.span(2)) is None:
+                    over[kind] = head
+                    continue
+            if at + 4 <= head and _jwt_header(text, at, head):
+                over[kind] = parts.end()
+                spans.append((at, parts.end(), kind))
+        elif (m := CHECKED[kind].match(text, at)) and _valid(kind, m):
+            over[kind] = m.end()
+            spans.append((at, m.end(), kind))
     spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return spans
 

@@ -77,3 +77,38 @@ def test_long_runs_take_linear_time():
         assert [k for _, _, k in S.find_secrets(broken, auto) if k == "jwt"] == ["jwt"]
     large = base64.urlsafe_b64encode(json.dumps({"alg": "é" * 4000, "n": list(range(3000))}).encode()).decode().rstrip("=")
     assert [k for *_, k in S.find_secrets(f"x {large}.eyJzdWIiOiIxIn0.c2ln y", auto) if k == "jwt"] == ["jwt"]
+
+
+def test_tokens_equal_plain_search_and_take_linear_time():
+    """Every start tried by itself; starts in a run with a good second part, and heads that are nearly JSON, end soon, too."""
+    import random
+    import time
+
+    def parsed(part):
+        try:
+            return json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+        except (ValueError, RecursionError):
+            return None
+
+    def plain(text):
+        out, at = [], 0
+        while m := re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+").search(text, at):
+            head, body = map(parsed, m[0].split(".")[:2])
+            good = isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+            out += [(m.start(), m.end(), "jwt")] if good else []
+            at = m.end() if good else m.start() + 1
+        return out
+
+    auto, rng = S.build_automaton(), random.Random(5)
+    packed = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    good, body = packed('{"alg":"HS256"}'), packed('{"sub":"1"}')
+    bits = [good, body, packed('{"alg":"é"}  '), packed('{"alg":{"alg":"x"}}'), packed('{"a":'), packed('{"alg":"x"'), packed('{"alg":"x"}' + " " * 900), packed('{"alg":"' + "é" * 700 + '"}'), "eyJ", "eyj", "a", "-", ".", ".", ".", ".", " "]
+    for _ in range(20_000):
+        text = "".join(rng.choices(bits, k=rng.randint(3, 9)))
+        assert [s for s in S.find_secrets(text, auto) if s[2] == "jwt"] == plain(text), text
+    start = time.process_time()
+    for run in ("eyJ" * 150_000, "eyJhYSI6" * 50_000, "eyJhIjoi" * 50_000 + "In0", packed('{"aé":1},' * 40_000)):
+        for rest in (f".{body}.x", ".a.b", f".{good}.{body}.x"):
+            text = run + rest
+            assert [s for s in S.find_secrets(text, auto) if s[2] == "jwt"] == ([(len(run) + 1, len(text), "jwt")] if good in rest else [])
+    assert time.process_time() - start < 20
