@@ -4,8 +4,8 @@ The texts of a slice are cut by the tokenizer's pattern; pieces that the vocabul
 are one token, the other distinct pieces become token-position rows. A recursive query joins
 neighbours with the merge table and contracts, per piece and round, the leftmost pair of
 minimum rank until no pair is left. Token sequences of pieces are kept for the next slices of
-the same worker, in two tables of bounded size. Decoding joins the ids with the vocabulary and
-aggregates their bytes in order.
+the same worker, in two tables of bounded size. Decoding joins the ids with the vocabulary
+in their order; a text is a range of the joined bytes.
 
 Long pieces would need a round per contraction, so for them a round takes several contractions
 of the plain order at once. That this changes nothing: let k be the minimum rank among a piece's
@@ -36,10 +36,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from functools import reduce
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,15 +97,26 @@ LONG_ROUNDS = """
     WHERE NOT gone)
 """
 
-#: The tokens of each piece after its last round.
+#: The tokens of each piece after its last round, piece by piece in order.
 LAST = """
-  SELECT t.w AS w, any_value(t.round) AS round, list(id ORDER BY pos) AS ids
+  SELECT t.w AS w, t.round AS round, t.id AS id
   FROM t JOIN (SELECT w, max(round) AS last FROM t GROUP BY w) z ON z.w = t.w AND z.last = t.round
-  GROUP BY t.w
+  ORDER BY t.w, t.pos
 """
 
+#: The bytes of each token in order; texts are ranges of positions.
+DECODE = "SELECT v.chars AS chars FROM toks JOIN vocab v USING (id) ORDER BY pos"
+#: Classes of a pattern's letters and numbers among the first 128 characters.
+ASCII_CLASSES = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
 
-DECODE = "SELECT part, string_agg(v.chars, '' ORDER BY pos) AS chars FROM toks JOIN vocab v USING (id) GROUP BY part"
+
+def ascii_pattern(pattern: str) -> re.Pattern | None:
+    """The same cuts of texts that are ASCII alone, for the faster package; None where a pattern has what it may read otherwise."""
+    out = re.sub(r"\[[^\]]*\]", lambda m: reduce(lambda c, k: c.replace(*k), ASCII_CLASSES.items(), m[0]), pattern)
+    for name, letters in ASCII_CLASSES.items():
+        out = out.replace(name, f"[{letters}]")
+    known = re.fullmatch(r"(?:[\w' ?+|]|\\s|\(\?!\\S\)|\[\^?(?:\\s|[A-Za-z0-9-])+\])*", out, re.A)
+    return re.compile(out, re.A) if known else None
 
 
 def _blocks(sizes: list[int], limit: int):
@@ -117,13 +131,17 @@ def _blocks(sizes: list[int], limit: int):
         yield start, len(sizes)
 
 
+def _ids(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u4").astype(np.int32)
+
+
 class Tokenizer:
     """The vocabulary of one rank file and one DuckDB connection, for one Python worker."""
 
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.plain = regex.compile(pattern), ascii_pattern(pattern)
         self.raw = {i: t for t, i in self.ranks.items()}
         self.fitting: dict[tuple[int, int], bool] = {}
         self.kept: dict[str, bytes] = {}
@@ -160,36 +178,43 @@ class Tokenizer:
 
     def merge(self, seqs: list[np.ndarray], long: bool) -> list[np.ndarray]:
         """The fixpoint of each sequence of token ids."""
-        out: list = [None] * len(seqs)
-        open_ = list(range(len(seqs)))
-        while open_:
-            sizes = np.array([len(seqs[i]) for i in open_])
-            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            flat = np.concatenate([seqs[i] for i in open_])
+        ids, sizes = self.merge_flat(np.concatenate(seqs), np.array([len(x) for x in seqs]), long)
+        return np.split(ids, np.cumsum(sizes)[:-1])
+
+    def merge_flat(self, flat: np.ndarray, sizes: np.ndarray, long: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The fixpoint of sequences of token ids, which stand one after the other: all ids and the sizes."""
+        w, n = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), len(sizes)
+        done_w, done_id = [], []
+        while len(flat):
+            starts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            pos = np.arange(len(flat)) - np.repeat(starts, np.diff(np.r_[starts, len(flat)]))
             right = np.append(flat[1:], -1)
-            right[np.cumsum(sizes) - 1] = -1
-            seed = pa.table({"w": np.repeat(np.array(open_, np.int32), sizes), "pos": pos.astype(np.int32), "id": flat, "nid": right.astype(np.int32)})
+            right[starts[1:] - 1] = -1
+            seed = pa.table({"w": w, "pos": pos.astype(np.int32), "id": flat, "nid": right.astype(np.int32)})
             rounds = max(1, min(ROUNDS, ROUNDS * BLOCK // len(pos)))
             query = (LONG_ROUNDS if long else SHORT).replace("$rounds", str(rounds)) + LAST
-            got = self._table(query, "seed", seed).combine_chunks()
-            ids = got["ids"].combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            flat, ends = ids.values.to_numpy(zero_copy_only=False).astype(np.int32), ids.offsets.to_numpy()
-            open_ = []
-            for k, (w, r) in enumerate(zip(got["w"].to_pylist(), got["round"].to_pylist())):
-                seqs[w] = out[w] = flat[ends[k] : ends[k + 1]]
-                if r == rounds:
-                    open_.append(w)
-        return out
-
-    def contracted(self, raws: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each of some byte strings; equal ones are contracted once."""
-        done: dict[bytes, np.ndarray] = {}
+            got = self._table(query, "seed", seed)
+            w, round_, flat = (got[c].to_numpy() for c in ("w", "round", "id"))
+            ended = round_ < rounds
+            done_w.append(w[ended]), done_id.append(flat[ended])
+            w, flat = w[~ended], flat[~ended]
+        if len(done_w) == 1:
+            return done_id[0], np.bincount(done_w[0], minlength=n)
+        w, flat = (np.concatenate([np.empty(0, np.int32), *x]) for x in (done_w, done_id))
+        order = np.argsort(w, kind="stable")
+        return flat[order], np.bincount(w, minlength=n)
+
+    def contracted(self, raws: list[bytes]) -> list[bytes]:
+        """Token ids of each of some byte strings, as little-endian 32-bit integers; equal ones are contracted once."""
+        done: dict[bytes, bytes] = {}
         once = list(dict.fromkeys(raws))
         for long in (False, True):
             group = [r for r in once if (len(r) > 2 * LONG) == long]
             for lo, hi in _blocks([len(r) for r in group], BLOCK):
-                done.update(zip(group[lo:hi], self.merge([self.of_byte[np.frombuffer(r, np.uint8)] for r in group[lo:hi]], long)))
+                some = group[lo:hi]
+                ids, sizes = self.merge_flat(self.of_byte[np.frombuffer(b"".join(some), np.uint8)], np.array([len(r) for r in some]), long)
+                packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+                done.update(zip(some, [packed[a:b] for a, b in zip([0, *ends], ends)]))
         return [done[r] for r in raws]
 
     def fit(self, pairs: set[tuple[int, int]]) -> None:
@@ -198,12 +223,12 @@ class Tokenizer:
             self.fitting.clear()
         new = [p for p in pairs if p not in self.fitting]
         for p, ids in zip(new, self.contracted([self.raw[a] + self.raw[b] for a, b in new])):
-            self.fitting[p] = ids.tolist() == list(p)
+            self.fitting[p] = np.frombuffer(ids, "<u4").tolist() == list(p)
 
     def joined(self, raws: list[bytes]) -> list[np.ndarray]:
         """Token ids of long byte strings, from chunks and their seams."""
         chunks = [[r[i : i + LONG] for i in range(0, len(r), LONG)] for r in raws]
-        made = iter(self.contracted([c for cs in chunks for c in cs]))
+        made = map(_ids, self.contracted([c for cs in chunks for c in cs]))
         parts = [[next(made) for _ in cs] for cs in chunks]
         tokens = [np.concatenate(p) for p in parts]
         seams = [np.cumsum([len(x) for x in p])[:-1] for p in parts]
@@ -221,7 +246,7 @@ class Tokenizer:
                         mine[-1][1] = hi
                     else:
                         mine.append([lo, hi])
-            again = iter(self.contracted([b"".join(map(self.raw.__getitem__, tokens[i][lo:hi].tolist())) for i, ss in spans.items() for lo, hi in ss]))
+            again = map(_ids, self.contracted([b"".join(map(self.raw.__getitem__, tokens[i][lo:hi].tolist())) for i, ss in spans.items() for lo, hi in ss]))
             for i, ss in spans.items():
                 old, out, borders, at, size = tokens[i], [], [], 0, 0
                 for lo, hi in ss:
@@ -243,16 +268,16 @@ class Tokenizer:
                 self.kept[p] = whole.to_bytes(4, "little")
             else:
                 (long if len(raw) > LONG else short).append((p, raw))
-        for group, method in ((short, self.contracted), (long, self.joined)):
+        for group, method in ((short, self.contracted), (long, lambda raws: [x.astype("<u4").tobytes() for x in self.joined(raws)])):
             for lo, hi in _blocks([len(raw) for _, raw in group], BLOCK):
-                for (p, _), ids in zip(group[lo:hi], method([raw for _, raw in group[lo:hi]])):
-                    self.kept[p] = ids.astype("<u4").tobytes()
+                self.kept.update(zip([p for p, _ in group[lo:hi]], method([raw for _, raw in group[lo:hi]])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         if len(self.kept) > KEPT_PIECES:
             self.kept, self.older = {}, self.kept
-        cut = [self.pattern.findall(t) if t else [] for t in texts]
+        whole, ascii_ = self.pattern.findall, (self.plain or self.pattern).findall
+        cut = [(ascii_ if t.isascii() else whole)(t) if t else [] for t in texts]
         new = set().union(*cut).difference(self.kept)
         self.kept.update((p, self.older[p]) for p in new.intersection(self.older))
         self.learn(new.difference(self.older))
@@ -264,16 +289,18 @@ class Tokenizer:
         self.kept, self.older, self.fitting = {}, {}, {}
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """The bytes of each id sequence, joined and put in order ``DECODED`` ids at a time."""
-        sizes = np.array([len(e) // 4 for e in encoded], np.int64)
-        out = [[] for _ in encoded]
-        ids, doc = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        """The bytes of each id sequence, joined in order, about ``DECODED`` ids at a time."""
+        ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)
+        made, sizes = [], [np.zeros(1, np.int64)]
         for at in range(0, len(ids), DECODED):
-            some = doc[at : at + DECODED]
-            got = self._table(DECODE, "toks", pa.table({"part": some, "pos": np.arange(len(some), dtype=np.int32), "id": ids[at : at + DECODED]}))
-            for part, chars in zip(got["part"].to_pylist(), got["chars"].to_pylist()):
-                out[part].append(chars.encode("latin-1"))
-        return [b"".join(x) for x in out]
+            some = ids[at : at + DECODED]
+            chars = self._table(DECODE, "toks", pa.table({"pos": np.arange(len(some), dtype=np.int32), "id": some}))["chars"].combine_chunks()
+            bounds = np.frombuffer(chars.buffers()[1], np.int32)[chars.offset : chars.offset + len(chars) + 1]
+            made.append(str(chars.buffers()[2][bounds[0] : bounds[-1]], "utf-8").encode("latin-1"))
+            sizes.append(pc.utf8_length(chars).to_numpy())
+        ends = np.cumsum(np.concatenate(sizes))[np.cumsum([len(e) // 4 for e in encoded], dtype=np.int64)].tolist() if encoded else []
+        whole = b"".join(made)
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
 _tokenizers: dict[tuple[str, str], Tokenizer] = {}

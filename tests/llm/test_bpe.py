@@ -114,3 +114,26 @@ def test_long_pieces_without_safe_ranks_end_soon(library):
     for piece in ("ab" * 500_000, "abc" * 33_333, "a" * 99_999, "=-" * 50_001, "".join(rng.choice("0123456789") for _ in range(50_000)), "internationalization" * 3_000, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(20_000))):
         assert tok.encode([piece])[0] == np.array(library.encode_ordinary(piece), "<u4").tobytes()
     assert time.process_time() - start < 30
+
+
+def test_ascii_texts_are_cut_alike_by_the_faster_package():
+    import regex
+
+    rng, slow, fast = random.Random(7), regex.compile(P.PATTERN), bpe.ascii_pattern(P.PATTERN)
+    for _ in range(3000):
+        text = "".join(rng.choice([chr(rng.randrange(128)), "'s", "'LL", "'re", " ", "  \n", "\t", "\x1c", "\x0b", "ab", "_", "19"]) for _ in range(rng.randint(1, 40)))
+        assert fast.findall(text) == slow.findall(text)
+    assert all(bpe.ascii_pattern(p) is None for p in (r"(?i:'s)| ?\p{L}+", r"\p{N}{1,3}", r"[\p{L}\p{M}]+", r"[^\r\n\p{L}]?\p{Lu}", r"\w+"))
+
+
+def test_decoding_keeps_order_and_ends_of_many_short_texts(monkeypatch):
+    """Blocks that end inside texts and inside characters, and texts without ids among them."""
+    monkeypatch.setattr(bpe, "DECODED", 7)
+    tok, rng = bpe.Tokenizer(RANKS, P.PATTERN), random.Random(8)
+    some = ["".join(rng.choice("aé你\U0001f600 \n") for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    assert tok.decode(tok.encode(some)) == [t.encode() for t in some] and tok.decode([]) == [] and tok.decode([b"", b""]) == [b"", b""]
+    calls = []
+    kept = tok._table
+    monkeypatch.setattr(tok, "_table", lambda sql, *a: calls.append(sql) or kept(sql, *a))
+    tok.decode([b"\x05\0\0\0" * 9])
+    assert calls and all("string_agg" not in c for c in calls)  # no sort per text
