@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserine.functions.vectors import l2
-from tesserine.sources.store import write_shared
+from tesserine.sources.store import write_columns, write_shared
 
 #: Words of the vocabulary at most (the most frequent), texts' words on either side that count as near, and least occurrences.
 VOCABULARY, WINDOW, LEAST = 20_000, 5, 3
@@ -35,6 +35,8 @@ VOCABULARY, WINDOW, LEAST = 20_000, 5, 3
 EXTRA, SHARPEN = 16, 3
 #: A word of this share of all words counts half.
 HALF = 1e-3
+#: Rows of the matrix that a task holds whole at a time (8 bytes times the vocabulary each).
+DENSE = 128
 #: Counts that a task adds up at a time.
 FLUSH = 1 << 22
 WORDS = re.compile(r"[^\W_]+")
@@ -103,8 +105,9 @@ def pair_counts(texts: DataFrame, text_col: str, words: list[str], window: int =
 
     half = texts.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("code").agg(F.sum("n").alias("n"))
     half = half.select(F.floor(F.col("code") / size).cast("int").alias("a"), (F.col("code") % size).cast("int").alias("b"), "n")
-    turned = half.withColumn("pair", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))  # a word beside itself counts in both orders, too
-    return turned.groupBy("pair.a", "pair.b").agg(F.sum("n").alias("n"))
+    own = F.col("a") == F.col("b")  # a word beside itself counts in both orders, too
+    both = F.when(own, F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(F.explode(both).alias("pair"), F.when(own, 2 * F.col("n")).otherwise(F.col("n")).alias("n")).select("pair.a", "pair.b", "n")
 
 
 def information(pairs: DataFrame) -> DataFrame:
@@ -116,33 +119,39 @@ def information(pairs: DataFrame) -> DataFrame:
 
 
 def multiplied(matrix: DataFrame, factor: np.ndarray) -> np.ndarray:
-    """``matrix`` (rows (a, b, ppmi), dealt and sorted by a) times ``factor``; comes back in rows of a."""
-    sent, wide = matrix.sparkSession.sparkContext.broadcast(factor), factor.shape[1]
+    """``matrix`` (rows (a, b, ppmi), dealt and sorted by a) times ``factor``; comes back in rows of a.
+
+    A task fills ``DENSE`` rows of the matrix at a time and multiplies them whole, so that the work is bounded by the
+    square of the vocabulary, however many pairs the texts have.
+    """
+    sent, (size, wide) = matrix.sparkSession.sparkContext.broadcast(factor), factor.shape
     schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("v", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, np.zeros(wide)
+        ids, dense = [], np.zeros((DENSE, size))
+
+        def told():
+            v = dense[: len(ids)] @ sent.value
+            dense[: len(ids)] = 0
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([x.tobytes() for x in v], pa.binary())], names=schema.names)
+
         for batch in batches:
             a, b, x = (batch.column(i).to_numpy() for i in range(3))
-            for lo in range(0, len(a), 20_000):
-                mine, rows = a[lo : lo + 20_000], sent.value[b[lo : lo + 20_000]] * x[lo : lo + 20_000, None]
-                starts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-                sums = np.add.reduceat(rows, starts, axis=0)
-                ids = mine[starts]
-                if at == ids[0]:
-                    sums[0] += total
-                elif at is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()])], names=schema.names)
-                at, total = int(ids[-1]), sums[-1]
-                if len(ids) > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[:-1], pa.int32()), pa.array([s.tobytes() for s in sums[:-1]])], names=schema.names)
-        if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()])], names=schema.names)
+            starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]).tolist() if len(a) else []
+            for lo, hi in zip(starts, [*starts[1:], len(a)]):
+                if not ids or ids[-1] != a[lo]:
+                    if len(ids) == DENSE:
+                        yield told()
+                        ids = []
+                    ids.append(int(a[lo]))
+                dense[len(ids) - 1, b[lo:hi]] = x[lo:hi]
+        if ids:
+            yield told()
 
     got = matrix.select("a", "b", "ppmi").mapInArrow(run, schema).toArrow()  # a row per word
     out = np.zeros_like(factor)
     if got.num_rows:
-        out[got["a"].to_numpy()] = np.frombuffer(b"".join(got["v"].to_pylist())).reshape(-1, wide)
+        np.add.at(out, got["a"].to_numpy(), np.frombuffer(b"".join(got["v"].to_pylist())).reshape(-1, wide))  # a split file may hold a row in two parts
     sent.unpersist()
     return out
 
@@ -180,8 +189,8 @@ class LearnedEmbedder:
         total = counts.agg(F.sum("n")).first()[0] or 0
         if not words:
             return cls((), n, np.zeros((0, length)), total)
-        ppmi = information(write_shared(pair_counts(texts, text_col, words, window))).filter("ppmi > 0")
-        matrix = write_shared(ppmi.select("a", "b", "ppmi").repartition("a").sortWithinPartitions("a", "b"))
+        ppmi = information(write_columns(pair_counts(texts, text_col, words, window))).filter("ppmi > 0")
+        matrix = write_columns(ppmi.select("a", "b", "ppmi").repartition("a").sortWithinPartitions("a", "b"))
         return cls(tuple(words), n, strongest(matrix, len(words), length, seed), total)
 
     @property

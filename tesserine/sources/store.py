@@ -111,6 +111,16 @@ def write_shared(df: DataFrame) -> DataFrame:
     return cut
 
 
+def write_columns(df: DataFrame) -> DataFrame:
+    """``df`` of numbers or text written once as Parquet, as ``write_shared`` does with rows; for what is large and read more than once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/columns-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def tee(stream: DataFrame, sink: Callable[[DataFrame, int], None], publish: Callable[[DataFrame], None], checkpoint: str):
     """Run a stream into ``sink`` and hand every micro-batch's raw rows to ``publish`` as well (a queue, say)."""
 

@@ -96,3 +96,25 @@ def test_texts_near_their_topic(spark, tmp_path):
 def test_a_corpus_without_words(spark):
     embedder = L.LearnedEmbedder.fit(spark.createDataFrame([(1, None), (2, "- -")], "id long, text string"), length=4)
     assert embedder.words == () and embedder.length == 4 and not embedder.query("a").any()
+
+
+def test_multiplied_adds_parts_of_rows_and_works_by_rows_not_by_pairs(spark, monkeypatch):
+    """Rows over several blocks and batches, and rows that a split file leaves to two tasks."""
+    rng = np.random.default_rng(9)
+    m = np.where(rng.random((40, 40)) < 0.6, rng.normal(size=(40, 40)), 0.0)
+    m[7] = 0
+    factor = rng.normal(size=(40, 6))
+    rows = [(int(a), int(b), float(m[a, b])) for a, b in zip(*np.nonzero(m))]
+    df = spark.createDataFrame(rows, "a int, b int, ppmi double")
+    monkeypatch.setattr(L, "DENSE", 3)
+    whole = df.repartition(3, "a").sortWithinPartitions("a", "b")
+    split = df.repartitionByRange(5, "a", "b").sortWithinPartitions("a", "b")
+    for dealt in (whole, split):
+        assert np.allclose(L.multiplied(dealt, factor), m @ factor, atol=1e-12)
+
+
+def test_a_word_beside_itself_counts_twice_without_a_second_sum(spark):
+    df = spark.createDataFrame([(1, "a a b"), (2, "b a a a")], "id long, text string")
+    made = L.pair_counts(df, "text", ["a", "b"], 2)
+    assert {(r.a, r.b): r.n for r in made.collect()} == {(0, 0): 8, (0, 1): 4, (1, 0): 4}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
